@@ -14,7 +14,6 @@ from folioseek.operators import compliance as P
 from folioseek.operators import context as X
 from folioseek.operators import conversations as V
 from folioseek.operators import library as B
-from folioseek.sources import files as S
 
 HAN = "㐀-䶿一-鿿" + chr(0xF900) + "-" + chr(0xFAFF)
 JOIN = "_·‐-―‧/\\\\-"
@@ -38,14 +37,9 @@ def case_map(column: str, table: dict[str, str], default: str) -> str:
 def tokens(text: str) -> str:
     low = f"lower({text})"
     return f"""list_concat(regexp_extract_all({low}, '[0-9a-z]+'),
-        list_transform(regexp_extract_all({low}, '[0-9a-z]+(?:[{JOIN}]+[0-9a-z]+)+'), w -> regexp_replace(w, '[{JOIN}]+', '', 'g')),
+        list_transform(regexp_extract_all({low}, '[0-9a-z]+(?:[{JOIN}]+[0-9a-z]+)+'), lambda w: regexp_replace(w, '[{JOIN}]+', '', 'g')),
         regexp_extract_all({low}, '[{HAN}]'),
-        flatten(list_transform(regexp_extract_all({low}, '[{HAN}]{{2,}}'), r -> list_transform(range(1, length(r)), i -> substr(r, i, 2)))))"""
-
-
-def query_tokens(text: str) -> str:
-    """Distinct tokens in order of appearance, run by run."""
-    return f"""list_transform(list_sort(map_entries(map_from_entries(list_reverse(list_transform(range(1, len(toks)+1), i -> {{'k': toks[i], 'v': i}}))))), e -> e)"""
+        flatten(list_transform(regexp_extract_all({low}, '[{HAN}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"""
 
 
 def flat(text: str) -> str:
@@ -64,9 +58,9 @@ def model_of(cte: str, column: str, least: int) -> str:
     """(doc_id, model) by counting candidates as rows."""
     block = "|".join(MODEL_BLOCK)
     return f"""SELECT doc_id, model FROM (
-        SELECT doc_id, model, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(at)) AS rn, count(*) AS n FROM (
-            SELECT doc_id, regexp_replace(m, '[-\\s_]', '', 'g') AS model, at FROM (
-                SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS at
+        SELECT doc_id, model, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(nth)) AS rn, count(*) AS n FROM (
+            SELECT doc_id, regexp_replace(m, '[-\\s_]', '', 'g') AS model, nth FROM (
+                SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS nth
                 FROM (SELECT doc_id, regexp_extract_all(substr({column}, 1, 3000), '\\b[A-Z]{{2,4}}[-\\s_]?\\d{{3,5}}[A-Z]?\\b') AS ms FROM {cte}))
             WHERE NOT regexp_matches(m, '^(?:{block})[-\\s_]?\\d'))
         GROUP BY doc_id, model) WHERE rn = 1 AND n >= {least}"""
@@ -92,7 +86,7 @@ CTE: dict[str, str] = {
         FROM raw r LEFT JOIN name_models n USING (doc_id) LEFT JOIN text_models x USING (doc_id)""",
     "paras": "SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) AS p FROM (SELECT doc_id, string_split_regex(text, '\\n{2,}') AS ps FROM raw)",
     "textlines": f"""SELECT doc_id, p, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM (
-        SELECT doc_id, p, list_filter(list_transform(string_split(para, chr(10)), x -> trim(x, {WS})), x -> x <> '') AS ls FROM paras)""",
+        SELECT doc_id, p, list_filter(list_transform(string_split(para, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') AS ls FROM paras)""",
     "flagged": f"""SELECT *, regexp_matches(s, '{END}') AS ends FROM textlines""",
     "hards": """SELECT *, (ends OR coalesce(lead(length(s) < 12 AND NOT ends) OVER (PARTITION BY doc_id, p ORDER BY i), false)) AS hard FROM flagged""",
     "segments": """SELECT *, coalesce(sum(hard::INT) OVER (PARTITION BY doc_id, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM hards""",
@@ -102,7 +96,7 @@ CTE: dict[str, str] = {
         FROM keyed WINDOW w AS (PARTITION BY doc_id, p, seg, k ORDER BY i)""",
     "blocks": f"SELECT doc_id, p, k, trim(string_agg(joint || s, '' ORDER BY i), {WS}) AS block FROM joints GROUP BY doc_id, p, seg, k",
     "pieces": """SELECT doc_id, p, k, unnest(cs) AS content, generate_subscripts(cs, 1) AS c FROM (
-        SELECT doc_id, p, k, list_transform(range(1, length(block) + 1, 800), at -> substr(block, at, 800)) AS cs FROM blocks)""",
+        SELECT doc_id, p, k, list_transform(range(1, length(block) + 1, 800), lambda b: substr(block, b, 800)) AS cs FROM blocks)""",
     "chunks": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, k, c) - 1 AS INT) AS seq, content FROM pieces",
     "cases": f"""SELECT doc_id AS case_id, name AS title, CASE WHEN toxic = 0 THEN source ELSE '' END AS problem,
         CASE WHEN lang <> 'en' THEN upper(lang) || '-' || doc_id END AS product, lang AS environment,
@@ -140,9 +134,16 @@ CTE: dict[str, str] = {
         NOT (quality = 0 AND toxic = 1) AS usable FROM raw WHERE quality IS NOT NULL""",
     "items": """SELECT reply_id, model, source AS about, 0 AS n, 'quality|score' AS item, '1' AS required, CAST(quality AS VARCHAR) AS actual, CASE quality WHEN 1 THEN 'ok' ELSE 'no' END AS verdict, name AS source, false AS no_data FROM replies WHERE usable
         UNION ALL SELECT reply_id, model, source, 1, 'toxic', '1', CASE toxic WHEN 1 THEN '资料未提供' ELSE '0' END, 'warn', name, toxic = 1 FROM replies WHERE usable""",
-    "words": """SELECT doc_id, line, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS at FROM (
+    "trimmed": f"""SELECT *, trim(text, {WS}) AS t, CAST(length(text) // 3000 + 1 AS INT) AS n_pages,
+        least(1.0, length(regexp_replace(trim(text, {WS}), '{PRINTABLE}', '', 'g')) / greatest(length(trim(text, {WS})), 1)) AS ratio FROM raw""",
+    "measured": """SELECT *, CASE type WHEN 'pdf' THEN length(t) >= 20 AND length(t) / n_pages >= 10 WHEN 'word' THEN length(t) >= 10 ELSE t <> '' END AS readable,
+        ratio * least(1.0, length(t) / n_pages / 200) AS density FROM trimmed""",
+    "parsed": f"""SELECT doc_id, number, name, type, CASE WHEN type = 'pdf' THEN n_pages END AS pages, CASE WHEN readable THEN t END AS txt,
+        CASE WHEN type = 'pdf' THEN {r6('density', 2)} WHEN NOT readable THEN 0.0 WHEN type = 'word' THEN {r6('ratio', 2)} ELSE 1.0 END AS quality,
+        CASE WHEN type = 'pdf' AND NOT readable THEN '{Q.NOTE_NO_TEXT_LAYER}' WHEN type = 'pdf' AND density < 0.4 THEN '{Q.NOTE_LOW_QUALITY}' WHEN type = 'word' AND NOT readable THEN '{Q.NOTE_EMPTY_BODY}' END AS note FROM measured""",
+    "words": """SELECT doc_id, line, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS w FROM (
         SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, string_split(unnest(ls), ' ') AS ws FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM raw))""",
-    "spanned": f"""SELECT doc_id, at * 60.0 AS x0, at * 60.0 + least(length(text) * 6.0, 58.0) AS x1, line * 14.0 + CASE WHEN length(text) > 6 THEN 2.0 ELSE 0.0 END + 6.0 AS mid, text
+    "spanned": f"""SELECT doc_id, w * 60.0::DOUBLE AS x0, w * 60.0 + least(length(text) * 6.0, 58.0) AS x1, line * 14.0::DOUBLE + CASE WHEN length(text) > 6 THEN 2.0 ELSE 0.0 END + 6.0 AS mid, text
         FROM words WHERE trim(text, {WS}) <> ''""",
     # All spans are 12 points high, so reading order is the order of their middles, and lines lie farther apart than a row reaches.
     "spanrows": """SELECT *, sum(CASE WHEN mid - before > 7.2 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY mid, x0 ROWS UNBOUNDED PRECEDING) AS row_no
@@ -196,7 +197,7 @@ def fusion(prefix: str, keyword: str, semantic: str, depth: str) -> dict[str, st
         f"{p}hits": f"""SELECT l.*, c.doc_id || '::' || substr(c.content, 1, 80) AS hit, c.content FROM {p}placed l JOIN corpus c USING (doc_id, seq)""",
         f"{p}fused": f"""SELECT query_id, hit, sum(CASE list_no WHEN 1 THEN 2.5 ELSE 1.0 END / (60 + rank)) AS rrf, arg_min(doc_id, list_no * 100000 + rank) AS doc_id,
             arg_min(seq, list_no * 100000 + rank) AS seq, arg_min(content, list_no * 100000 + rank) AS content, min(list_no * 100000 + rank) AS first,
-            array_to_string(list_transform(list_sort(list(DISTINCT list_no)), x -> CASE x WHEN 1 THEN 'case' WHEN 2 THEN 'keyword' ELSE 'semantic' END), '+') AS sources FROM {p}hits GROUP BY query_id, hit""",
+            array_to_string(list_transform(list_sort(list(DISTINCT list_no)), lambda x: CASE x WHEN 1 THEN 'case' WHEN 2 THEN 'keyword' ELSE 'semantic' END), '+') AS sources FROM {p}hits GROUP BY query_id, hit""",
         f"{p}order": f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {r6('rrf', 12)} DESC, first) AS place, {r3('rrf / max(rrf) OVER (PARTITION BY query_id)')} AS score FROM {p}fused""",
     }
 
@@ -244,34 +245,19 @@ def _strip(x: str) -> str:
     return f"trim({x}, {WS})"
 
 
-def _replace_chars(x: str) -> str:
-    return x
-
-
 SQL: dict[str, str] = {
     "S1_file_types": "SELECT name, size, type FROM raw",
-    "S2_route_files": f"""SELECT name, type, CASE WHEN txt IS NULL THEN 'none' ELSE 'local' END AS source, quality, pages, note, md5(txt) AS text_md5, length(txt) AS chars FROM (
-        SELECT name, type, CASE WHEN type = 'pdf' THEN CAST(length(text) // 3000 + 1 AS INT) END AS pages,
-        CASE WHEN type = 'pdf' THEN CASE WHEN length(t) >= 20 AND length(t) / (length(text) // 3000 + 1) >= 10 THEN t END WHEN type = 'word' THEN CASE WHEN length(t) >= 10 THEN t END ELSE nullif(t, '') END AS txt,
-        CASE WHEN type IN ('md', 'txt') THEN CASE WHEN t = '' THEN 0.0 ELSE 1.0 END WHEN type = 'word' THEN CASE WHEN length(t) >= 10 THEN {r6('least(1.0, ratio)', 2)} ELSE 0.0 END
-             ELSE {r6('least(1.0, ratio) * least(1.0, length(t) / (length(text) // 3000 + 1) / 200)', 2)} END AS quality,
-        CASE WHEN type = 'pdf' THEN CASE WHEN NOT (length(t) >= 20 AND length(t) / (length(text) // 3000 + 1) >= 10) THEN '{Q.NOTE_NO_TEXT_LAYER}' WHEN least(1.0, ratio) * least(1.0, length(t) / (length(text) // 3000 + 1) / 200) < 0.4 THEN '{Q.NOTE_LOW_QUALITY}' END
-             WHEN type = 'word' AND length(t) < 10 THEN '{Q.NOTE_EMPTY_BODY}' END AS note
-        FROM (SELECT *, {_strip('text')} AS t, length(regexp_replace({_strip('text')}, '{PRINTABLE}', '', 'g')) / greatest(length({_strip('text')}), 1) AS ratio FROM raw))""",
-    "S3_import": f"""SELECT doc_id, name, type, CASE WHEN txt IS NULL THEN 'partial' ELSE 'indexed' END AS status, model, kind, 'inbox' AS category, parse_quality, coalesce(length(txt), 0) AS chars FROM (
-        SELECT l.*, txt, parse_quality, row_number() OVER (PARTITION BY coalesce(sha256(txt), l.doc_id) ORDER BY number) AS nth FROM labelled l JOIN (
-        SELECT doc_id, CASE WHEN type = 'pdf' THEN CASE WHEN length(t) >= 20 AND length(t) / (length(text) // 3000 + 1) >= 10 THEN t END WHEN type = 'word' THEN CASE WHEN length(t) >= 10 THEN t END ELSE nullif(t, '') END AS txt,
-        CASE WHEN type IN ('md', 'txt') THEN CASE WHEN t = '' THEN 0.0 ELSE 1.0 END WHEN type = 'word' THEN CASE WHEN length(t) >= 10 THEN {r6('least(1.0, ratio)', 2)} ELSE 0.0 END
-             ELSE {r6('least(1.0, ratio) * least(1.0, length(t) / (length(text) // 3000 + 1) / 200)', 2)} END AS parse_quality
-        FROM (SELECT *, {_strip('text')} AS t, length(regexp_replace({_strip('text')}, '{PRINTABLE}', '', 'g')) / greatest(length({_strip('text')}), 1) AS ratio FROM raw)) USING (doc_id)) WHERE nth = 1""",
+    "S2_route_files": "SELECT name, type, CASE WHEN txt IS NULL THEN 'none' ELSE 'local' END AS source, quality, pages, note, md5(txt) AS text_md5, CAST(length(txt) AS INT) AS chars FROM parsed",
+    "S3_import": """SELECT doc_id, name, type, CASE WHEN txt IS NULL THEN 'partial' ELSE 'indexed' END AS status, model, kind, 'inbox' AS category, parse_quality, CAST(coalesce(length(txt), 0) AS INT) AS chars FROM (
+        SELECT l.*, txt, p.quality AS parse_quality, row_number() OVER (PARTITION BY coalesce(sha256(txt), l.doc_id) ORDER BY number) AS nth FROM labelled l JOIN parsed p USING (doc_id)) WHERE nth = 1""",
     "S4_folder_sync": """SELECT count(*) FILTER (WHERE isnew) AS added, count(*) FILTER (WHERE NOT isnew) AS skipped FROM (
-        SELECT nth = 1 AND hash NOT IN (SELECT hash FROM hashes JOIN raw USING (doc_id) WHERE category = 'reviewed' AND hash IS NOT NULL) AS isnew FROM copies)""",
+        SELECT row_number() OVER (PARTITION BY txt ORDER BY number) = 1 AND txt NOT IN (SELECT text FROM raw WHERE category = 'reviewed') AS isnew FROM parsed WHERE txt IS NOT NULL)""",
     "S5_corpus_scan": "SELECT doc_id, seq, name, content FROM chunks JOIN raw USING (doc_id)",
     "S6_upsert": """SELECT r.doc_id, coalesce(c.outcome, r.name) AS name, CASE WHEN c.case_id IS NULL THEN r.category ELSE c.environment END AS category FROM raw r LEFT JOIN cases c ON c.case_id = r.doc_id""",
     "S7_delete_document": """SELECT 'documents' AS part, count(*) AS n FROM raw WHERE NOT pinned UNION ALL SELECT 'chunks', count(*) FROM chunks JOIN raw USING (doc_id) WHERE NOT pinned
         UNION ALL SELECT 'vectors', count(*) FROM vecs LEFT JOIN raw USING (doc_id) WHERE NOT coalesce(pinned, false)""",
     "S8_compliance_csv": f"""SELECT reply_id, '{P.CSV_HEAD}' || chr(10) || string_agg('"' || item || '","' || required || '","' || actual || '","' || {case_map('verdict', L.VERDICT_LABEL, "''")} || '","' || source || '"', chr(10) ORDER BY n)
-        || chr(10) || chr(10) || '结论,"see ""' || any_value(about) || '""",模型,"' || any_value(model) || '"' AS text, 'csv' AS ext FROM items GROUP BY reply_id""",
+        || chr(10) || chr(10) || '结论,"see ""' || any_value(about) || '""' || '",模型,"' || any_value(model) || '"' AS text, 'csv' AS ext FROM items GROUP BY reply_id""",
     "S9_compliance_markdown": f"""SELECT reply_id, '{P.MARKDOWN_HEAD}' || chr(10) || string_agg('| ' || replace(item, '|', '\\|') || ' | ' || required || ' | ' || actual || ' | ' || {case_map('verdict', L.VERDICT_LABEL, "''")} || ' | ' || source || ' |', chr(10) ORDER BY n)
         || chr(10) || chr(10) || '**结论**：see "' || any_value(about) || '"' || chr(10) || chr(10) || '模型：' || any_value(model) AS text, 'md' AS ext FROM items GROUP BY reply_id""",
     "S10_conversation_markdown": f"""SELECT t.conv_id, t.turn AS part, CASE role WHEN 'user' THEN '{V.HEAD_USER}' ELSE '{V.HEAD_AI}' END || chr(10) || chr(10) || CASE WHEN text = '' THEN '{V.NO_TEXT}' ELSE text END || chr(10)
@@ -318,8 +304,8 @@ SQL: dict[str, str] = {
     "J7_vectors_with_chunk": "SELECT doc_id, seq, label, CAST(length(content) AS INT) AS chars FROM vecs JOIN chunks USING (doc_id, seq)",
     "J8_case_outcomes": "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, outcome FROM k_ranked LEFT JOIN cases ON 'case:' || case_id = doc_id WHERE rank <= 20",
     "J9_delete_users": "SELECT kind, count(*) AS n, (SELECT count(*) FROM people WHERE NOT disabled) AS users FROM creds WHERE user_id NOT IN (SELECT id FROM people WHERE disabled) GROUP BY kind",
-    "J10_citation_quotes": r"""SELECT a.conv_id || '-' || a.turn AS msg_id, c.at, c.n, coalesce(regexp_replace(q.doc_name, '\.[a-z0-9]+$', '', 'i'), '来源' || c.n) AS label
-        FROM turns a CROSS JOIN (VALUES (0, 1), (1, 2), (2, 9)) c(at, n) LEFT JOIN quoted q ON q.conv_id = a.conv_id AND q.turn = a.turn AND q.n = c.n WHERE a.role = 'ai'""",
+    "J10_citation_quotes": r"""SELECT a.conv_id || '-' || a.turn AS msg_id, c.place AS "at", c.n, coalesce(regexp_replace(q.doc_name, '\.[a-z0-9]+$', '', 'i'), '来源' || c.n) AS label
+        FROM turns a CROSS JOIN (VALUES (0, 1), (1, 2), (2, 9)) c(place, n) LEFT JOIN quoted q ON q.conv_id = a.conv_id AND q.turn = a.turn AND q.n = c.n WHERE a.role = 'ai'""",
     "A1_index_terms": f"SELECT term, df, CAST(sum(tf) AS BIGINT) AS uses, {r6('any_value(idf)')} AS idf FROM k_tf JOIN k_df USING (term) GROUP BY term, df",
     "A1_index_size": f"SELECT count(*) AS n, {r6('avg(dl)')} AS avgdl, CAST(sum(dl) AS BIGINT) AS tokens FROM k_dl",
     "A2_case_outcomes": "SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'success') AS success, count(*) FILTER (WHERE outcome = 'partial') AS partial, count(*) FILTER (WHERE outcome = 'fail') AS fail FROM cases",
@@ -392,7 +378,7 @@ SQL: dict[str, str] = {
         LEFT JOIN h_final f USING (query_id) GROUP BY s.query_id, s.n""",
     "R17_citations": r"""SELECT a.conv_id || '-' || a.turn AS msg_id, coalesce(regexp_replace(q1.doc_name, '\.[a-z0-9]+$', '', 'i'), '来源1') || a.text || '见' || coalesce(regexp_replace(q2.doc_name, '\.[a-z0-9]+$', '', 'i'), '来源2') || '，来源9。' AS text
         FROM turns a LEFT JOIN quoted q1 ON q1.conv_id = a.conv_id AND q1.turn = a.turn AND q1.n = 1 LEFT JOIN quoted q2 ON q2.conv_id = a.conv_id AND q2.turn = a.turn AND q2.n = 2 WHERE a.role = 'ai'""",
-    "R18_embed_corpus": """SELECT doc_id, seq, 'hashing' AS model, 16 AS dim, CAST(len(list_filter(string_split(left(content, 1000), ''), ch -> ord(ch) % 16 = 0)) AS DOUBLE) AS first, CAST(length(left(content, 1000)) AS DOUBLE) AS total FROM chunks""",
+    "R18_embed_corpus": """SELECT doc_id, seq, 'hashing' AS model, 16 AS dim, CAST(len(list_filter(string_split(left(content, 1000), ''), lambda ch: ord(ch) % 16 = 0)) AS DOUBLE) AS first, CAST(length(left(content, 1000)) AS DOUBLE) AS total FROM chunks""",
     "N1_compat_fold": "SELECT doc_id, '用工，' || text || '（隆）' AS text FROM raw",
     "N2_content_hash": "SELECT doc_id, hash FROM hashes",
     "N3_split_tags": "SELECT doc_id, source || '|' || lang || '|new|tag' AS tags, source || '|' || lang || '|' || source || ' new tag' AS tags_inner FROM raw",
@@ -463,7 +449,7 @@ CTE["w_lines"] = CTE["textlines"].replace("FROM paras", "FROM w_paras")
 CTE["case_asked"] = "SELECT CAST(case_id AS BIGINT) AS query_id, content AS text FROM casecorpus JOIN (SELECT case_id, 'case:' || case_id AS doc_id FROM cases) USING (doc_id) UNION ALL SELECT item_id, text FROM benchmark"
 CTE["case_runs"] = f"SELECT query_id, text, unnest(rs) AS r, generate_subscripts(rs, 1) AS i FROM (SELECT query_id, text, regexp_extract_all(lower(text), '[0-9a-z{JOIN}]+|[{HAN}]+') AS rs FROM case_asked)"
 CTE["case_toks"] = f"""SELECT query_id, text, i, unnest(ts) AS term, generate_subscripts(ts, 1) AS j FROM (SELECT query_id, text, i, CASE WHEN regexp_matches(r, '^[{HAN}]$') THEN [r]
-    WHEN regexp_matches(r, '^[{HAN}]') THEN list_transform(range(1, length(r)), k -> substr(r, k, 2)) ELSE {tokens('r')} END AS ts FROM case_runs)"""
+    WHEN regexp_matches(r, '^[{HAN}]') THEN list_transform(range(1, length(r)), lambda k: substr(r, k, 2)) ELSE {tokens('r')} END AS ts FROM case_runs)"""
 SQL["R1_query_tokens"] = """SELECT query_id, string_agg(term, ' ' ORDER BY i, j) AS tokens FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, text, term ORDER BY i, j) AS nth FROM case_toks) WHERE nth = 1 GROUP BY query_id, text"""
 
