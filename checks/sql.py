@@ -249,7 +249,7 @@ SQL: dict[str, str] = {
     "S1_file_types": "SELECT name, size, type FROM raw",
     "S2_route_files": "SELECT name, type, CASE WHEN txt IS NULL THEN 'none' ELSE 'local' END AS source, quality, pages, note, md5(txt) AS text_md5, CAST(length(txt) AS INT) AS chars FROM parsed",
     "S3_import": """SELECT doc_id, name, type, CASE WHEN txt IS NULL THEN 'partial' ELSE 'indexed' END AS status, model, kind, 'inbox' AS category, parse_quality, CAST(coalesce(length(txt), 0) AS INT) AS chars FROM (
-        SELECT l.*, txt, p.quality AS parse_quality, row_number() OVER (PARTITION BY coalesce(sha256(txt), l.doc_id) ORDER BY number) AS nth FROM labelled l JOIN parsed p USING (doc_id)) WHERE nth = 1""",
+        SELECT l.*, txt, p.quality AS parse_quality, row_number() OVER (PARTITION BY coalesce(sha256(txt), l.doc_id) ORDER BY l.number) AS nth FROM labelled l JOIN parsed p USING (doc_id)) WHERE nth = 1""",
     "S4_folder_sync": """SELECT count(*) FILTER (WHERE isnew) AS added, count(*) FILTER (WHERE NOT isnew) AS skipped FROM (
         SELECT row_number() OVER (PARTITION BY txt ORDER BY number) = 1 AND txt NOT IN (SELECT text FROM raw WHERE category = 'reviewed') AS isnew FROM parsed WHERE txt IS NOT NULL)""",
     "S5_corpus_scan": "SELECT doc_id, seq, name, content FROM chunks JOIN raw USING (doc_id)",

@@ -38,7 +38,7 @@ def stamp(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_documents(spark: SparkSession, sf_dir: str, light: bool = False) -> DataFrame:
     """Documents with their labels: id, name, type, tags, pinned, category, text."""
     extension = (
         F.when(F.col("lang") == "en", ".pdf").when(F.col("lang") == "fr", ".docx").when(F.col("lang") == "de", ".md")
@@ -46,7 +46,8 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("source", F.lit(" "), F.upper("lang"), F.lit("-"), "doc_id", extension)
     kind = F.when(F.col("lang") == "en", "pdf").when(F.col("lang") == "fr", "word").when(F.col("lang") == "de", "md")
     category = F.when(F.col("quality") == 1, "reviewed").when(F.col("quality") == 0, "draft")
-    joined = spread(given(spark, sf_dir, "documents")).join(given(spark, sf_dir, "labels"), "doc_id", "left")
+    stored = given(spark, sf_dir, "documents")
+    joined = (stored if light else spread(stored)).join(given(spark, sf_dir, "labels"), "doc_id", "left")
     return joined.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col("doc_id").alias("number"),
@@ -89,7 +90,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def light_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What scoping and naming need; no text is read."""
-    return raw_documents(spark, sf_dir).select("doc_id", "name", "type", "tags", "pinned", "category", "created_at")
+    return raw_documents(spark, sf_dir, light=True).select("doc_id", "name", "type", "tags", "pinned", "category", "created_at")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

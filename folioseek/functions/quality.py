@@ -14,9 +14,10 @@ NOTE_EMPTY_BODY = "文档正文为空"
 # --- end of fixed values ---
 
 
-def _ratio(text: Column) -> Column:
+def printable_share(text: Column) -> Column:
+    """Share of characters that are Han, Latin letters, digits, punctuation or white space."""
     n = F.length(text)
-    return F.when(n > 0, F.regexp_count(text, F.lit(PRINTABLE)) / n).otherwise(0.0)
+    return F.when(n > 0, 1 - F.length(F.regexp_replace(text, f"{PRINTABLE}++", "")) / n).otherwise(0.0)
 
 
 def service_quality(text: Column, pages: Column) -> Column:
@@ -28,12 +29,16 @@ def service_quality(text: Column, pages: Column) -> Column:
     )
 
 
-def paged_quality(text: Column, pages: Column) -> Column:
-    """struct<quality, has_text, note> for paged files: printable share x page density."""
+def paged_quality(text: Column, pages: Column, share: Column | None = None) -> Column:
+    """struct<quality, has_text, note> for paged files: printable share x page density.
+
+    `share` is `printable_share(text)` where the caller has it as a column already.
+    """
+    share = printable_share(text) if share is None else share
     n = F.length(text)
     per_page = F.when(pages > 0, n / pages).otherwise(0.0)
     quality = F.when(
-        (n > 0) & (pages > 0), F.least(F.lit(1.0), _ratio(text)) * F.least(F.lit(1.0), per_page / 200)
+        (n > 0) & (pages > 0), share * F.least(F.lit(1.0), per_page / 200)
     ).otherwise(0.0)
     has_text = (n >= 20) & (per_page >= 10)
     note = F.when(~has_text, NOTE_NO_TEXT_LAYER).when(quality < 0.4, NOTE_LOW_QUALITY)
@@ -42,10 +47,11 @@ def paged_quality(text: Column, pages: Column) -> Column:
     )
 
 
-def flow_quality(text: Column) -> Column:
+def flow_quality(text: Column, share: Column | None = None) -> Column:
     """struct<quality, has_text, note> for unpaged word-processor files."""
+    share = printable_share(text) if share is None else share
     has_text = F.length(text) >= 10
-    quality = F.when(has_text, F.least(F.lit(1.0), _ratio(text))).otherwise(0.0)
+    quality = F.when(has_text, share).otherwise(0.0)
     return F.struct(
         rounded(quality, 2).alias("quality"),
         has_text.alias("has_text"),

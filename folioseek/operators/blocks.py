@@ -14,21 +14,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_BYTES, _width
-
 CELLS = 4_000_000  # scores held at a time: queries x rows
+BLOCK_BYTES = 32 << 20  # of queries sent to every task
 
 
-def query_blocks(queries: DataFrame, key: str = "query_id", max_bytes: int = BROADCAST_BYTES) -> Iterator[DataFrame]:
-    """The queries cut by hash of `key` into parts that stay within the broadcast bound."""
-    width = sum((_width(f) for f in queries.schema.fields), F.lit(0))
-    size = queries.agg(F.sum(width.cast("long"))).first()[0] or 0
-    parts = max(1, math.ceil(size / (max_bytes / 2)))
+def query_blocks(queries: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> Iterator[DataFrame]:
+    """The queries cut by hash of their id into parts within the block size; `size` is their measured total."""
+    parts = max(1, math.ceil(size / block_bytes))
     if parts == 1:
         yield queries
         return
     for part in range(parts):
-        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
 
 
 def row_slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
@@ -96,7 +93,7 @@ def scored_in_tasks(
     """(query_id, *keep, raw) near the top of each query of one block.
 
     `scorer(block)` runs once per task and gives a function from a batch to a queries x rows matrix;
-    `block` has one row per query and is within the broadcast bound.
+    `block` has one row per query and comes from `query_blocks`.
     """
     spark = rows.sparkSession
     table = block.toArrow()

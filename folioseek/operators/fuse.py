@@ -82,13 +82,14 @@ def fuse(lists: DataFrame) -> DataFrame:
     )
 
 
-def pinned_rows(chunks: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+def pinned_rows(chunks: DataFrame, docs: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
     """The first chunks of the pinned documents, up to each query's budget: query_id, doc_id, seq, page_no, content, place.
 
     The opening of the pinned chunks is the same for all queries: it is taken once, to the largest
     budget, and each query slices it.
     """
-    most = queries.agg(F.max(pinned_budget(F.col("top_k")))).first()[0] or 0
+    if most is None:
+        most = queries.agg(F.max(pinned_budget(F.col("top_k")))).first()[0] or 0
     pinned = docs.filter("pinned").select("doc_id")
     head = chunks.join(pinned, "doc_id", "left_semi").select("doc_id", "seq", "page_no", "content")
     head = head.orderBy("doc_id", "seq").limit(most)

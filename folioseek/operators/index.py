@@ -54,7 +54,7 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     spark = rows.sparkSession
     rows = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), "page_no", "content")
     if not unique_keys:
-        rows = first_seen(rows, ["doc_id", "seq"], [F.monotonically_increasing_id()])
+        rows = first_seen(rows, ["doc_id", "seq"], [F.col("content")])
     body = F.coalesce("content", F.lit(""))
     corpus = rows.select(
         F.monotonically_increasing_id().alias("chunk_no"), "*", index_tokens(body).alias("tokens")

@@ -20,7 +20,7 @@ from ..functions.text import flat, query_tokens, rounded
 from .blocks import ScopeMask, query_blocks, scored_in_tasks
 from .index import KeywordIndex, idf, term_part
 from .scope import Scope
-from .tables import broadcast_if_small, fits_broadcast, row_top, written
+from .tables import row_top, written
 
 # --- fixed values ---
 PHRASE_BOOST = 2.5
@@ -30,7 +30,8 @@ MATCHED_SHOWN = 6
 
 PAIR = ["query_id", "chunk_no"]
 JOINED_PAIRS = 2_000_000  # up to this many (query, posting) pairs are joined as rows
-PUSHED_TERMS = 1000  # up to this many distinct terms become a scan filter on the term-sorted files
+PUSHED_TERMS = 1000  # up to this many terms become a scan filter on the term-sorted files
+TERM_BYTES = 64  # room for one query term in a query block
 SLACK = 1e-6  # room for float addition order when scores are compared with a bound
 
 
@@ -46,19 +47,17 @@ def display_score(raw: Column) -> Column:
 def query_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """(query_id, pos, term, df, idf) for the query terms the corpus knows."""
     asked = queries.select("query_id", F.posexplode(query_tokens(F.col("text"))).alias("pos", "term"))
-    return index.terms.join(broadcast_if_small(asked), "term").select(
+    return index.terms.join(asked, "term").select(
         "query_id", "pos", "term", "df", idf(F.col("df"), index.n).alias("idf")
     )
 
 
-def _joined_scores(index: KeywordIndex, terms: DataFrame, scope: Scope | None, small: bool) -> DataFrame:
+def _joined_scores(index: KeywordIndex, terms: DataFrame, n_terms: int, scope: Scope | None) -> DataFrame:
     """(query_id, chunk_no, raw) of every scoring pair, as a join of query terms and postings."""
     postings = index.postings
-    if small:
-        words = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        if len(words) <= PUSHED_TERMS:
-            postings = postings.filter(F.col("term").isin(words))
-        terms = F.broadcast(terms)
+    if n_terms <= PUSHED_TERMS:
+        words = {r["term"] for r in terms.select("term").collect()}
+        postings = postings.filter(F.col("term").isin(sorted(words)))
     by = PAIR + (["doc_id"] if scope and scope.active else [])
     part = F.col("idf") * term_part(F.col("tf"), F.col("dl"), index.avgdl)
     scores = postings.join(terms.select("query_id", "term", "idf"), "term").groupBy(*by).agg(F.sum(part).alias("raw"))
@@ -108,7 +107,7 @@ def _bm25_matrix(avgdl: float, scoped: bool):
 
 
 def _scanned_scores(
-    index: KeywordIndex, queries: DataFrame, terms: DataFrame, max_depth: int, scope: Scope | None
+    index: KeywordIndex, queries: DataFrame, terms: DataFrame, n_terms: int, max_depth: int, scope: Scope | None
 ) -> DataFrame:
     """(query_id, chunk_no, raw) of the pairs near the top of each query, from one scan of the corpus per query block."""
     scoped = bool(scope and scope.active)
@@ -122,7 +121,7 @@ def _scanned_scores(
         scored_in_tasks(
             rows, block, _bm25_matrix(index.avgdl, scoped), ["chunk_no"], max_depth, PHRASE_BOOST + SLACK, id_type
         )
-        for block in query_blocks(asked)
+        for block in query_blocks(asked, n_terms * TERM_BYTES)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -137,10 +136,11 @@ def _kth(scores: DataFrame, queries: DataFrame, max_depth: int, score: str = "ra
     )
 
 
-def _with_depth(queries: DataFrame, depth: int) -> tuple[DataFrame, int]:
+def with_depth(queries: DataFrame, depth: int, max_depth: int | None) -> tuple[DataFrame, int]:
+    """Queries with a depth each, and the largest depth."""
     if "depth" not in queries.columns:
         return queries.withColumn("depth", F.lit(depth)), depth
-    return queries, queries.agg(F.max("depth")).first()[0] or depth
+    return queries, max_depth or queries.agg(F.max("depth")).first()[0] or depth
 
 
 def keyword_search(
@@ -149,26 +149,26 @@ def keyword_search(
     depth: int = 10,
     scope: Scope | None = None,
     joined: bool | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Top hits per query: query_id, rank, doc_id, seq, page_no, content, raw, score, matched.
 
     `queries` needs query_id and text, and may give its own `depth`. Chunk text is fetched last,
     for the few pairs that a phrase boost could still lift into the result.
     """
-    queries, max_depth = _with_depth(queries, depth)
+    queries, max_depth = with_depth(queries, depth, max_depth)
     terms = written(query_terms(index, queries), "query-terms")
-    small = fits_broadcast(terms)
+    total = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
     if joined is None:
-        joined = (terms.agg(F.sum("df")).first()[0] or 0) <= JOINED_PAIRS
+        joined = total["pairs"] <= JOINED_PAIRS
     if joined:
-        scored = _joined_scores(index, terms, scope, small)
+        scored = _joined_scores(index, terms, total["n"], scope)
     else:
-        scored = _scanned_scores(index, queries, terms, max_depth, scope)
+        scored = _scanned_scores(index, queries, terms, total["n"], max_depth, scope)
     scored = written(scored, "scored")
-    hint = F.broadcast if small else (lambda df: df)  # a row per query is less than its terms
 
     shortlist = (
-        scored.join(hint(_kth(scored, queries, max_depth)), "query_id", "left")
+        scored.join(_kth(scored, queries, max_depth), "query_id", "left")
         .filter(F.col("raw") + PHRASE_BOOST >= F.coalesce("floor", F.lit(0.0)))
         .select(*PAIR, "raw")
     )
@@ -178,7 +178,7 @@ def keyword_search(
         .agg(wanted.alias("asked"))
         .join(queries.select("query_id", "depth", flat(F.col("text")).alias("phrase")), "query_id")
     )
-    shortlist = broadcast_if_small(written(shortlist.join(hint(per_query), "query_id"), "shortlist"))
+    shortlist = written(shortlist.join(per_query, "query_id"), "shortlist")
     said = (F.length("phrase") >= PHRASE_MIN) & F.contains(flat(F.col("content")), F.col("phrase"))
     found = (
         index.corpus.join(shortlist, "chunk_no")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.classify import SCAN_CHARS, classify
 from ..functions.text import clean_tags, index_tokens, null_if_blank, query_tokens, rounded, size_text
-from .tables import broadcast_if_small, row_top
+from .tables import row_top
 
 # --- fixed values ---
 FACETS = ("model", "kind", "category", "tag")
@@ -108,7 +108,7 @@ def meta_line() -> Column:
 
 def _edit(docs: DataFrame, ids: DataFrame, column: str, value: Column) -> DataFrame:
     """Set one column on the documents listed in `ids`; the others pass unchanged."""
-    marked = docs.join(broadcast_if_small(ids.select("doc_id").distinct()).withColumn("_hit", F.lit(True)), "doc_id", "left")
+    marked = docs.join(ids.select("doc_id").distinct().withColumn("_hit", F.lit(True)), "doc_id", "left")
     return marked.withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column))).select(*docs.columns)
 
 
@@ -188,7 +188,7 @@ def name_search(docs: DataFrame, queries: DataFrame, limit: int = GLOBAL_LIMIT)
     asked = asked.select("query_id", F.size("all").alias("n_terms"), F.explode("all").alias("token"))
     named = docs.select("doc_id", "created_at", F.explode(F.array_distinct(index_tokens(F.col("name")))).alias("token"))
     hits = (
-        named.join(broadcast_if_small(asked), "token")
+        named.join(asked, "token")
         .groupBy("query_id", "doc_id", "created_at", "n_terms")
         .agg(F.count("*").alias("n_hits"))
         .withColumn("score", F.col("n_hits") / F.col("n_terms") * NAME_COVERAGE + F.col("n_hits") * NAME_HIT)

@@ -5,8 +5,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_case
-from .tables import broadcast_if_small
-
 ANY = "*"
 SCOPE_COLUMNS = ("only_pinned", "scope_category", "scope_tags")
 
@@ -61,8 +59,7 @@ def resolve_scope(queries: DataFrame, docs: DataFrame) -> DataFrame:
     outside its scope.
     """
     keys = ["pin_key", "category_key", "tag_key"]
-    wanted = broadcast_if_small(_wanted_keys(queries))
-    return _facet_keys(docs.select("doc_id", "pinned", "category", "tags")).join(wanted, keys).select(
+    return _facet_keys(docs.select("doc_id", "pinned", "category", "tags")).join(_wanted_keys(queries), keys).select(
         "query_id", "doc_id"
     ).distinct()
 
@@ -101,14 +98,11 @@ def scoped_counts(queries: DataFrame, docs: DataFrame, counts: DataFrame) -> Dat
 class Scope:
     """Filters (query_id, doc_id) rows by looking attributes up, without listing query-document pairs."""
 
-    def __init__(self, queries: DataFrame, docs: DataFrame):
+    def __init__(self, queries: DataFrame, docs: DataFrame, active: bool | None = None):
         scoped = with_scope(queries)
-        self.active = not scoped.filter(restricted()).isEmpty()
+        self.active = not scoped.filter(restricted()).isEmpty() if active is None else active
         self.queries = scoped.select("query_id", *SCOPE_COLUMNS)
         self.docs = docs.select("doc_id", "pinned", "category", "tags")
-        if self.active:
-            self.queries = broadcast_if_small(self.queries)
-            self.docs = broadcast_if_small(self.docs)
 
     def attach(self, rows: DataFrame) -> DataFrame:
         """Rows with the pinned, category and tags of their document."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, rounded
 from .blocks import ScopeMask, query_blocks, scored_in_tasks
-from .keyword import _with_depth, score_order
+from .keyword import score_order, with_depth
 from .scope import SCOPE_COLUMNS, Scope, with_scope
 from .tables import row_top
 
@@ -119,7 +119,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def semantic_search(
-    vectors: DataFrame, chunks: DataFrame, queries: DataFrame, depth: int = 10, scope: Scope | None = None
+    vectors: DataFrame,
+    chunks: DataFrame,
+    queries: DataFrame,
+    depth: int = 10,
+    scope: Scope | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Best positive cosines per query: query_id, rank, doc_id, seq, page_no, content, score.
 
@@ -127,7 +132,7 @@ def semantic_search(
     binds without exception. Query vectors are sent to the tasks in blocks of checked size, each
     task returns the top of its rows, and chunk text is joined after the final cut.
     """
-    queries, max_depth = _with_depth(queries, depth)
+    queries, max_depth = with_depth(queries, depth, max_depth)
     scoped = bool(scope and scope.active)
     keys = chunks.select("doc_id", "seq")
     rows = vectors.select("doc_id", F.col("seq").cast("int").alias("seq"), "vec").join(keys, ["doc_id", "seq"], "left_semi")
@@ -136,11 +141,12 @@ def semantic_search(
         rows = scope.attach(rows)
         asked = asked.join(with_scope(queries).select("query_id", *SCOPE_COLUMNS), "query_id")
     id_type = queries.schema["query_id"].dataType.simpleString()
+    size = asked.agg(F.sum(F.size("query_vec") * 8 + 64)).first()[0] or 0
     near = reduce(
         DataFrame.unionByName,
         [
             scored_in_tasks(rows, block, _cosine_matrix(scoped), ["doc_id", "seq"], max_depth, TIES, id_type)
-            for block in query_blocks(asked)
+            for block in query_blocks(asked, size)
         ],
     )
     top = row_top(near, ["query_id"], score_order("raw"), max_depth)

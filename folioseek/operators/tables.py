@@ -1,4 +1,4 @@
-"""Keyed tables: upsert, cascading delete, first-seen dedupe, scratch tables and size-checked broadcast."""
+"""Keyed tables: upsert, cascading delete, first-seen dedupe, and scratch tables."""
 from __future__ import annotations
 
 import uuid
@@ -6,10 +6,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,37 +17,15 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet in the scratch folder and read it back.
 
-    This cuts the plan at a place that is used several times and outlives lost executors.
+    This cuts the plan at a place that is used several times and outlives lost executors. It is also
+    the size check for broadcasts: the table's real size is known when the next join is planned, so
+    no join here carries a broadcast hint for data that could grow.
     """
     path = f"{scratch_dir(df.sparkSession)}/folioseek/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _width(field) -> Column:
-    c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
-    if kind in ("string", "binary"):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-    if kind == "array<string>":
-        sized = F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
-        return F.coalesce(sized, F.lit(0)) + 16
-    if kind.startswith("array"):
-        return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
-    return F.lit(8)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure `df` (never more than `max_rows` + 1 rows of it) against the broadcast bound."""
-    width = sum((_width(f) for f in df.schema.fields), F.lit(0))
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("b")).first()
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, **bounds) -> DataFrame:
-    """Hint a broadcast only for a measured size; otherwise the join shuffles, with AQE splitting skew."""
-    return F.broadcast(df) if fits_broadcast(df, **bounds) else df
-
-
 def latest(updates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row per key in `order`. An aggregate, so a hot key combines map-side."""
     rest = [c for c in updates.columns if c not in keys]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import classify
 from ..functions.text import fingerprint, rounded
 from ..operators.chunk import chunk_documents
-from ..operators.tables import broadcast_if_small, written
+from ..operators.tables import written
 
 # --- fixed values ---
 SYNC_TAG, SYNC_SOURCE = "NAS", "nas"
@@ -33,7 +33,7 @@ def first_copies(files: DataFrame, library: DataFrame | None, order: list[Column
     # A hash may belong to very many copies; the groups are joined back with AQE's skew handling.
     copy = F.coalesce("known", F.lit(False)) | (F.col("seen") != F.col("first"))
     copies = keyed.join(first, "hash").filter(copy).select("doc_id", F.lit(False).alias("_new"))
-    return files.join(broadcast_if_small(copies), "doc_id", "left").withColumn(
+    return files.join(written(copies, "copies"), "doc_id", "left").withColumn(
         "is_new", F.coalesce("_new", F.lit(True))
     ).drop("_new")
 

@@ -4,10 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fuse import candidate_depth, effective_top_k, final_hits, fuse, pinned_rows, ranked_lists
+from ..operators.fuse import (
+    candidate_depth,
+    effective_top_k,
+    final_hits,
+    fuse,
+    pinned_budget,
+    pinned_rows,
+    ranked_lists,
+)
 from ..operators.index import KeywordIndex
 from ..operators.keyword import keyword_search
-from ..operators.scope import Scope
+from ..operators.scope import Scope, restricted, with_scope
 from ..operators.semantic import semantic_search
 from ..operators.tables import written
 from ..functions.text import blank
@@ -26,14 +34,19 @@ def hybrid_retrieve(
     `docs`: doc_id, pinned, category, tags. Without vectors the keyword lists answer alone.
     """
     top_k = F.col("top_k") if "top_k" in queries.columns else F.lit(0)
-    queries = queries.withColumn("top_k", effective_top_k(F.coalesce(top_k, F.lit(0)), compliance))
-    queries = queries.withColumn("depth", candidate_depth(F.col("top_k")))
+    queries = with_scope(queries).withColumn("top_k", effective_top_k(F.coalesce(top_k, F.lit(0)), compliance))
+    queries = written(queries.withColumn("depth", candidate_depth(F.col("top_k"))), "queries")
+    facts = queries.agg(
+        F.max("depth").alias("depth"),
+        F.max(pinned_budget(F.col("top_k"))).alias("budget"),
+        F.coalesce(F.max(restricted()), F.lit(False)).alias("restricted"),
+    ).first()
     asking = queries.filter(~blank(F.col("text")))
-    scope = Scope(queries, docs)
-    keyword_hits = keyword_search(index, asking, scope=scope)
-    semantic_hits = None
+    scope = Scope(queries, docs, active=facts["restricted"])
+    found = keyword_search(index, asking, scope=scope, max_depth=facts["depth"])
     chunks = index.corpus.select("doc_id", "seq", "page_no", "content")
+    near = None
     if vectors is not None:
-        semantic_hits = semantic_search(vectors, chunks, asking, scope=scope)
-    fused = written(fuse(ranked_lists(keyword_hits, semantic_hits)), "fused")
-    return final_hits(queries, fused, pinned_rows(chunks, docs, queries))
+        near = semantic_search(vectors, chunks, asking, scope=scope, max_depth=facts["depth"])
+    fused = written(fuse(ranked_lists(found, near)), "fused")
+    return final_hits(queries, fused, pinned_rows(chunks, docs, queries, facts["budget"] or 0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.quality import flow_quality, paged_quality, service_quality
+from ..functions.quality import flow_quality, paged_quality, printable_share, service_quality
 from ..functions.text import compat_folded, trimmed
 
 # --- fixed values ---
@@ -81,10 +81,12 @@ def routed(files: DataFrame, make_extractor: Callable[[], Extractor] | None = No
     else:
         got = _extracted(make_extractor)(F.when(binary, F.col("content")), name)
     rows = files.withColumn("got", got).withColumn("body", compat_folded(F.coalesce(trimmed(F.col("got.text")), F.lit(""))))
+    rows = rows.withColumn("share", printable_share(F.col("body")))
     plain = F.when(~too_large & ~binary & ~name.rlike(OLD_WORD), plain_text(F.col("content")))
 
     body, pages = F.col("body"), F.coalesce(F.col("got.pages"), F.lit(0))
-    paged, flow = paged_quality(body, pages), flow_quality(body)
+    share = F.col("share")
+    paged, flow = paged_quality(body, pages, share), flow_quality(body, share)
     served = F.lit(by_service) & (F.length(body) >= SERVICE_MIN_CHARS)
     size_mb = F.format_string("%.1f", F.col("size") / 1048576.0)
     usable = F.when(served, True).when(name.rlike(PAGED), paged["has_text"]).otherwise(flow["has_text"])
