@@ -1 +1,6 @@
 """Registered queries over the given tables and the SQL that states them for DuckDB."""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -365,7 +365,7 @@ SQL: dict[str, str] = {
     "W6_share_of_best": "SELECT query_id, max(score) AS best, min(score) AS least, count(*) AS n FROM f_order GROUP BY query_id",
     "R10_hybrid": f"SELECT {SHOWN} FROM h_final",
     "T4_compliance_hits": f"SELECT {SHOWN} FROM g_final",
-    "R11_name_search": f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, n_hits, {r6('score')} AS score FROM name_ranked WHERE rank <= 30",
+    "R11_name_search": f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, {r6('score')} AS score FROM name_ranked WHERE rank <= 30",
     "R13_case_text": "SELECT case_id, content FROM casetexts",
     "R14_context": f"""SELECT a.query_id, coalesce(c.context, '{X.EMPTY_CONTEXT}') || coalesce(chr(10) || chr(10) || '{X.ATTACHMENTS_HEAD.strip()}' || chr(10) || '《' || r.name || '》' || chr(10) || r.text, '') AS context,
         coalesce(n_used, 0) AS n_used, coalesce(n_cut, 0) AS n_cut FROM asked a LEFT JOIN h_context c USING (query_id) LEFT JOIN raw r ON r.number = a.query_id AND r.pinned""",

@@ -1,7 +1,8 @@
 """Scoring a block of queries against Arrow batches of rows inside tasks.
 
 Spark partitions the rows and merges the winners; a task multiplies its batch with the query block
-and returns only what can still be among the best of each query. Pairs never leave the task.
+and returns at most `depth` rows per query and slice. Pairs never leave the task, so a term that
+most rows hold, or a value that a third of the rows repeat, adds work but no rows to shuffle.
 """
 from __future__ import annotations
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 CELLS = 4_000_000  # scores held at a time: queries x rows
 BLOCK_BYTES = 32 << 20  # of queries sent to every task
 
+# (batch, floor per query) -> queries x rows
+Score = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
+
 
 def query_blocks(queries: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> Iterator[DataFrame]:
     """The queries cut by hash of their id into parts within the block size; `size` is their measured total."""
@@ -28,28 +32,66 @@ def query_blocks(queries: DataFrame, size: int, block_bytes: int = BLOCK_BYTES)
         yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
 
 
-def row_slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+def row_slices(batch: pa.RecordBatch, n_queries: int, order: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each in the order that decides between equal scores."""
     step = max(1, min(2048, CELLS // max(n_queries, 1)))
     for start in range(0, batch.num_rows, step):
-        yield batch.slice(start, step)
+        part = batch.slice(start, step)
+        yield part.take(pc.sort_indices(part.select([c for c, _ in order]), sort_keys=order))
+
 
+def round9(scores: np.ndarray) -> np.ndarray:
+    """The value that ranks a score; the same rounding as in the final order."""
+    return np.floor(scores * 1e9 + 0.5)
 
-def near_top(scores: np.ndarray, depth: int, floor: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of positive scores within `margin` of the query's depth-th best so far.
 
-    The depth-th best of any part of the rows is at most the final one, so nothing that belongs in
-    the result is left out; `floor` carries the bound from batch to batch.
+def best_of(scores: np.ndarray, depth: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of positive scores that can be among the best `depth`; columns come in tie order.
+
+    `floor` carries each query's depth-th best over the rows seen so far. That is at most the final
+    one, so nothing that belongs in the result is left out; of the rows equal to it the first ones do.
     """
+    ranked = round9(scores)
     if scores.shape[1] >= depth:
-        np.maximum(floor, np.partition(scores, -depth, axis=1)[:, -depth], out=floor)
-    return np.nonzero((scores > 0) & (scores >= (floor - margin)[:, None]))
+        np.maximum(floor, np.partition(ranked, -depth, axis=1)[:, -depth], out=floor)
+    tied = (ranked == floor[:, None]) & (scores > 0)
+    return np.nonzero((ranked > floor[:, None]) | (tied & (np.cumsum(tied, axis=1) <= depth)))
+
+
+class TermBlock:
+    """Terms of a block of queries, ready to be counted in token lists."""
+
+    def __init__(self, lists: pa.ListArray):
+        """`lists` holds each query's terms as structs of term and weight; a term weighs the same in all queries."""
+        owner = np.asarray(pc.list_parent_indices(lists))
+        flat = pc.list_flatten(lists)
+        words = pc.struct_field(flat, "term").dictionary_encode()
+        code = np.asarray(words.indices)
+        self.n_queries, self.vocabulary = len(lists), words.dictionary
+        self.weight = np.zeros(len(self.vocabulary))
+        self.weight[code] = np.asarray(pc.struct_field(flat, "weight"))
+        self.asked_by = owner[np.argsort(code, kind="stable")]
+        self.times = np.bincount(code, minlength=len(self.vocabulary))
+        self.start = np.cumsum(self.times) - self.times
+
+    def scores(self, tokens: pa.ListArray, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Sum of weight x part(row, count) over the terms a query and a row share."""
+        n, v = len(tokens), max(len(self.vocabulary), 1)
+        found = np.asarray(pc.fill_null(pc.index_in(pc.list_flatten(tokens), value_set=self.vocabulary), -1))
+        row = np.asarray(pc.list_parent_indices(tokens))[found >= 0]
+        cell, count = np.unique(row * v + found[found >= 0], return_counts=True)
+        row, word = np.divmod(cell, v)
+        value = self.weight[word] * part(row, count)
+        times = self.times[word]
+        before = np.cumsum(times) - times
+        query = self.asked_by[np.repeat(self.start[word] - before, times) + np.arange(times.sum())]
+        at = query * n + np.repeat(row, times)
+        return np.bincount(at, np.repeat(value, times), self.n_queries * n).reshape(self.n_queries, n)
 
 
 class ScopeMask:
     """Per-query visibility of rows that carry pinned, category and tags."""
 
-    COLUMNS = ("pinned", "category", "tags")
-
     def __init__(self, queries: pa.Table):
         only = queries["only_pinned"].to_pylist()
         category = queries["scope_category"].to_pylist()
@@ -84,32 +126,28 @@ class ScopeMask:
 def scored_in_tasks(
     rows: DataFrame,
     block: DataFrame,
-    scorer: Callable[[pa.Table], Callable[[pa.RecordBatch], np.ndarray]],
+    scorer: Callable[[pa.Table], Score],
     keep: list[str],
     depth: int,
-    margin: float,
-    id_type: str,
+    order: list[tuple[str, str]],
 ) -> DataFrame:
-    """(query_id, *keep, raw) near the top of each query of one block.
+    """(query_id, *keep, raw) of the best rows of each query of one block, from each slice of rows.
 
-    `scorer(block)` runs once per task and gives a function from a batch to a queries x rows matrix;
-    `block` has one row per query and comes from `query_blocks`.
+    `scorer(block)` runs once per task. `block` has one row per query and comes from `query_blocks`.
+    `order` names the columns, and directions, that decide between equal scores.
     """
-    spark = rows.sparkSession
-    table = block.toArrow()
-    shared = spark.sparkContext.broadcast(table)
-    fields = [rows.schema[c] for c in keep]
-    schema = f"query_id {id_type}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", raw double"
+    shared = rows.sparkSession.sparkContext.broadcast(block.toArrow())
+    kinds = [block.schema["query_id"], *(rows.schema[c] for c in keep)]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", raw double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         ids = queries["query_id"].combine_chunks()
-        score = scorer(queries)
-        floor = np.zeros(len(ids))
+        score, floor = scorer(queries), np.zeros(len(ids))
         for batch in batches:
-            for part in row_slices(batch, len(ids)):
-                matrix = score(part)
-                q, r = near_top(matrix, depth, floor, margin)
+            for part in row_slices(batch, len(ids), order):
+                matrix = score(part, floor)
+                q, r = best_of(matrix, depth, floor)
                 at = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(q)), *(part.column(c).take(at) for c in keep), pa.array(matrix[q, r])],

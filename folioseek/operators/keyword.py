@@ -1,23 +1,23 @@
 """BM25 for a table of queries over a keyword index, with whole-phrase boost; exact top k.
 
-Two ways to the same scores. Where the query terms have few postings in all, the terms are joined
-with the postings. A common term occurs in most chunks, and that join would emit queries x chunks
-rows; beyond a measured number of pairs the chunks are scored in their own tasks instead, and only
-those near the top of a query leave the task.
+Two ways to the same hits. Where the query terms have few postings in all, terms and postings are
+joined. A common term occurs in most chunks, and that join would emit queries x chunks rows; beyond
+a measured number of pairs the chunks are scored in their own tasks instead, and only the best of
+each task leave it.
 """
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import CASE_ID_PREFIX, is_case
-from ..functions.text import flat, query_tokens, rounded
-from .blocks import ScopeMask, query_blocks, scored_in_tasks
+from ..functions.labels import is_case
+from ..functions.text import FULL_WIDTH, HALF_WIDTH, HAN, flat, query_tokens, rounded
+from .blocks import ScopeMask, TermBlock, query_blocks, scored_in_tasks
 from .index import KeywordIndex, idf, term_part
 from .scope import Scope
 from .tables import row_top, written
@@ -64,41 +64,31 @@ def _joined_scores(index: KeywordIndex, terms: DataFrame, n_terms: int, scope: S
     return (scope.keep(scores) if scope else scores).select(*PAIR, "raw")
 
 
-def _bm25_matrix(avgdl: float, scoped: bool):
-    """Scorer for `scored_in_tasks`: a sparse product of chunk term weights and query terms."""
+def _bm25_matrix(avgdl: float, max_depth: int, scoped: bool):
+    """Scorer for `scored_in_tasks`: BM25, then the phrase boost where it can matter."""
+    width = str.maketrans(FULL_WIDTH, HALF_WIDTH)
+    other = re.compile(f"[^0-9a-z{HAN}]+")
 
     def prepare(queries: pa.Table):
-        lists = queries["terms"].combine_chunks()
-        owner = np.asarray(pc.list_parent_indices(lists))
-        flat = pc.list_flatten(lists)
-        words = pc.struct_field(flat, "term").dictionary_encode()
-        code = np.asarray(words.indices)
-        vocabulary = words.dictionary
-        weight = np.zeros(len(vocabulary))
-        weight[code] = np.asarray(pc.struct_field(flat, "idf"))
-        order = np.argsort(code, kind="stable")
-        asked_by, per_word = owner[order], np.bincount(code, minlength=len(vocabulary))
-        start = np.concatenate(([0], np.cumsum(per_word)))[:-1]
-        n_queries = len(queries)
+        terms = TermBlock(queries["terms"].combine_chunks())
+        phrases = queries["phrase"].to_pylist()
         mask = ScopeMask(queries) if scoped else None
 
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            n = batch.num_rows
-            tokens = batch.column("tokens")
-            found = np.asarray(pc.fill_null(pc.index_in(pc.list_flatten(tokens), value_set=vocabulary), -1))
-            row = np.asarray(pc.list_parent_indices(tokens))[found >= 0]
-            cell, tf = np.unique(row * len(vocabulary) + found[found >= 0], return_counts=True)
-            row, word = np.divmod(cell, max(len(vocabulary), 1))
-            dl = np.asarray(batch.column("dl"))[row]
-            value = weight[word] * term_part(tf, dl, avgdl)
-            times = per_word[word]
-            first = np.repeat(start[word] - np.concatenate(([0], np.cumsum(times)))[:-1], times)
-            query = asked_by[first + np.arange(times.sum())]
-            at = query * n + np.repeat(row, times)
-            scores = np.bincount(at, np.repeat(value, times), n_queries * n).reshape(n_queries, n)
+        def score(batch: pa.RecordBatch, floor: np.ndarray) -> np.ndarray:
+            dl = np.asarray(batch.column("dl"))
+            scores = terms.scores(batch.column("tokens"), lambda row, tf: term_part(tf, dl[row], avgdl))
             if mask:
-                exempt = np.asarray(pc.starts_with(batch.column("doc_id"), CASE_ID_PREFIX))
-                mask.apply(scores, batch, exempt)
+                mask.apply(scores, batch, np.asarray(batch.column("is_case")))
+            least = floor / 1e9
+            if batch.num_rows >= max_depth:
+                least = np.maximum(least, np.partition(scores, -max_depth, axis=1)[:, -max_depth])
+            near = (scores > 0) & (scores + PHRASE_BOOST + SLACK >= least[:, None])
+            near[[len(p) < PHRASE_MIN for p in phrases]] = False
+            for r in np.nonzero(near.any(axis=0))[0]:
+                text = other.sub("", batch.column("content")[r].as_py().lower().translate(width))
+                for q in np.nonzero(near[:, r])[0]:
+                    if phrases[q] in text:
+                        scores[q, r] += PHRASE_BOOST
             return scores
 
         return score
@@ -106,26 +96,46 @@ def _bm25_matrix(avgdl: float, scoped: bool):
     return prepare
 
 
-def _scanned_scores(
+def _scanned_best(
     index: KeywordIndex, queries: DataFrame, terms: DataFrame, n_terms: int, max_depth: int, scope: Scope | None
 ) -> DataFrame:
-    """(query_id, chunk_no, raw) of the pairs near the top of each query, from one scan of the corpus per query block."""
+    """(query_id, chunk_no, doc_id, seq, raw): the best of each slice, from one scan of the corpus per query block."""
     scoped = bool(scope and scope.active)
-    rows = index.corpus.select("chunk_no", "doc_id", "dl", "tokens")
-    rows = scope.attach(rows) if scoped else rows.drop("doc_id")
-    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    rows = index.corpus.select("chunk_no", "doc_id", "seq", "dl", "tokens", "content", is_case(F.col("doc_id")).alias("is_case"))
+    packed = F.collect_list(F.struct("term", F.col("idf").alias("weight")))
+    asked = terms.groupBy("query_id").agg(packed.alias("terms"))
+    asked = asked.join(queries.select("query_id", flat(F.col("text")).alias("phrase")), "query_id")
     if scoped:
-        asked = asked.join(scope.queries, "query_id")
-    id_type = queries.schema["query_id"].dataType.simpleString()
+        rows, asked = scope.attach(rows), asked.join(scope.queries, "query_id")
+    scorer = _bm25_matrix(index.avgdl, max_depth, scoped)
+    order = [("is_case", "ascending"), ("doc_id", "ascending"), ("seq", "ascending")]
     parts = [
-        scored_in_tasks(
-            rows, block, _bm25_matrix(index.avgdl, scoped), ["chunk_no"], max_depth, PHRASE_BOOST + SLACK, id_type
-        )
+        scored_in_tasks(rows, block, scorer, ["chunk_no", "doc_id", "seq"], max_depth, order)
         for block in query_blocks(asked, n_terms * TERM_BYTES)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _joined_best(
+    index: KeywordIndex, queries: DataFrame, terms: DataFrame, n_terms: int, max_depth: int, scope: Scope | None
+) -> DataFrame:
+    """The same from all scoring pairs: those that a boost could lift into the result are tested for the phrase."""
+    scored = written(_joined_scores(index, terms, n_terms, scope), "scored")
+    phrase = queries.select("query_id", flat(F.col("text")).alias("phrase"))
+    shortlist = (
+        scored.join(_kth(scored, queries, max_depth), "query_id", "left")
+        .filter(F.col("raw") + PHRASE_BOOST >= F.coalesce("floor", F.lit(0.0)))
+        .join(phrase, "query_id")
+        .select(*PAIR, "raw", "phrase")
+    )
+    said = (F.length("phrase") >= PHRASE_MIN) & F.contains(flat(F.col("content")), F.col("phrase"))
+    return (
+        index.corpus.select("chunk_no", "doc_id", "seq", "content")
+        .join(written(shortlist, "shortlist"), "chunk_no")
+        .select(*PAIR, "doc_id", "seq", (F.col("raw") + F.when(said, PHRASE_BOOST).otherwise(0.0)).alias("raw"))
+    )
+
+
 def _kth(scores: DataFrame, queries: DataFrame, max_depth: int, score: str = "raw") -> DataFrame:
     """(query_id, floor): the score of each query's last place, 0 while places are free."""
     top = row_top(scores, ["query_id"], [F.col(score).desc()], max_depth)
@@ -153,48 +163,33 @@ def keyword_search(
 ) -> DataFrame:
     """Top hits per query: query_id, rank, doc_id, seq, page_no, content, raw, score, matched.
 
-    `queries` needs query_id and text, and may give its own `depth`. Chunk text is fetched last,
-    for the few pairs that a phrase boost could still lift into the result.
+    `queries` needs query_id and text, and may give its own `depth`. Chunk text is joined to the
+    final places only.
     """
     queries, max_depth = with_depth(queries, depth, max_depth)
     terms = written(query_terms(index, queries), "query-terms")
     total = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
     if joined is None:
         joined = total["pairs"] <= JOINED_PAIRS
-    if joined:
-        scored = _joined_scores(index, terms, total["n"], scope)
-    else:
-        scored = _scanned_scores(index, queries, terms, total["n"], max_depth, scope)
-    scored = written(scored, "scored")
+    best = (_joined_best if joined else _scanned_best)(index, queries, terms, total["n"], max_depth, scope)
+    top = row_top(best, ["query_id"], score_order("raw"), max_depth).join(queries.select("query_id", "depth"), "query_id")
+    top = written(top.filter(F.col("rank") <= F.col("depth")).drop("depth", "doc_id", "seq"), "top")
 
-    shortlist = (
-        scored.join(_kth(scored, queries, max_depth), "query_id", "left")
-        .filter(F.col("raw") + PHRASE_BOOST >= F.coalesce("floor", F.lit(0.0)))
-        .select(*PAIR, "raw")
-    )
     wanted = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("weight"), "pos", "term")))
-    per_query = (
-        terms.groupBy("query_id")
-        .agg(wanted.alias("asked"))
-        .join(queries.select("query_id", "depth", flat(F.col("text")).alias("phrase")), "query_id")
-    )
-    shortlist = written(shortlist.join(per_query, "query_id"), "shortlist")
-    said = (F.length("phrase") >= PHRASE_MIN) & F.contains(flat(F.col("content")), F.col("phrase"))
-    found = (
-        index.corpus.join(shortlist, "chunk_no")
-        .withColumn("raw", F.col("raw") + F.when(said, PHRASE_BOOST).otherwise(0.0))
-        .drop("chunk_no", "dl", "phrase")
-    )
-    top = row_top(found, ["query_id"], score_order("raw"), max_depth).filter(F.col("rank") <= F.col("depth"))
+    asked = terms.groupBy("query_id").agg(wanted.alias("asked"))
     present = F.filter("asked", lambda a: F.array_contains(F.col("tokens"), a["term"]))
-    return top.select(
-        "query_id",
-        "rank",
-        "doc_id",
-        "seq",
-        "page_no",
-        "content",
-        "raw",
-        display_score(F.col("raw")).alias("score"),
-        F.slice(F.transform(present, lambda a: a["term"]), 1, MATCHED_SHOWN).alias("matched"),
+    return (
+        index.corpus.join(top, "chunk_no")
+        .join(asked, "query_id")
+        .select(
+            "query_id",
+            "rank",
+            "doc_id",
+            "seq",
+            "page_no",
+            "content",
+            "raw",
+            display_score(F.col("raw")).alias("score"),
+            F.slice(F.transform(present, lambda a: a["term"]), 1, MATCHED_SHOWN).alias("matched"),
+        )
     )

@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, rounded
+from ..functions.labels import is_case
+from ..functions.text import blank
 from .blocks import ScopeMask, query_blocks, scored_in_tasks
 from .keyword import score_order, with_depth
 from .scope import SCOPE_COLUMNS, Scope, with_scope
@@ -23,7 +24,7 @@ EMBED_BATCH = 32
 # --- end of fixed values ---
 
 Embedder = Callable[[list[str]], list[list[float]]]
-TIES = 1e-8  # similarities closer than this are ordered by id, so all of them are kept until then
+ORDER = [("is_case", "ascending"), ("doc_id", "ascending"), ("seq", "ascending")]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -94,7 +95,7 @@ def _cosine_matrix(scoped: bool):
             by_dim[dim] = at, _unit(np.array([vectors[i] for i in at], dtype="float64"))
         mask = ScopeMask(queries) if scoped else None
 
-        def score(batch: pa.RecordBatch) -> np.ndarray:
+        def score(batch: pa.RecordBatch, floor: np.ndarray) -> np.ndarray:
             n = batch.num_rows
             scores = np.zeros((len(vectors), n))
             lists = batch.column("vec")
@@ -136,16 +137,16 @@ def semantic_search(
     scoped = bool(scope and scope.active)
     keys = chunks.select("doc_id", "seq")
     rows = vectors.select("doc_id", F.col("seq").cast("int").alias("seq"), "vec").join(keys, ["doc_id", "seq"], "left_semi")
+    rows = rows.withColumn("is_case", is_case(F.col("doc_id")))
     asked = queries.filter(F.size("query_vec") > 0).select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
     if scoped:
         rows = scope.attach(rows)
         asked = asked.join(with_scope(queries).select("query_id", *SCOPE_COLUMNS), "query_id")
-    id_type = queries.schema["query_id"].dataType.simpleString()
     size = asked.agg(F.sum(F.size("query_vec") * 8 + 64)).first()[0] or 0
     near = reduce(
         DataFrame.unionByName,
         [
-            scored_in_tasks(rows, block, _cosine_matrix(scoped), ["doc_id", "seq"], max_depth, TIES, id_type)
+            scored_in_tasks(rows, block, _cosine_matrix(scoped), ["doc_id", "seq"], max_depth, ORDER)
             for block in query_blocks(asked, size)
         ],
     )
