@@ -29,7 +29,7 @@ MATCHED_SHOWN = 6
 # --- end of fixed values ---
 
 PAIR = ["query_id", "chunk_no"]
-JOINED_PAIRS = 2_000_000  # up to this many (query, posting) pairs are joined as rows
+JOINED_SHARE = 0.25  # terms and postings are joined up to this many pairs per chunk of the corpus
 PUSHED_TERMS = 1000  # up to this many terms become a scan filter on the term-sorted files
 TERM_BYTES = 64  # room for one query term in a query block
 SLACK = 1e-6  # room for float addition order when scores are compared with a bound
@@ -170,7 +170,7 @@ def keyword_search(
     terms = written(query_terms(index, queries), "query-terms")
     total = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
     if joined is None:
-        joined = total["pairs"] <= JOINED_PAIRS
+        joined = total["pairs"] <= JOINED_SHARE * index.n
     best = (_joined_best if joined else _scanned_best)(index, queries, terms, total["n"], max_depth, scope)
     top = row_top(best, ["query_id"], score_order("raw"), max_depth).join(queries.select("query_id", "depth"), "query_id")
     top = written(top.filter(F.col("rank") <= F.col("depth")).drop("depth", "doc_id", "seq"), "top")

@@ -75,7 +75,7 @@ def scoped_counts(queries: DataFrame, docs: DataFrame, counts: DataFrame) -> Dat
         .join(counts, "doc_id")
         .groupBy(F.coalesce("pinned", F.lit(False)).alias("pinned"), "category", F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"))
         .agg(F.sum("n").alias("n"))
-        .withColumn("doc_id", F.xxhash64("pinned", "category", "tags"))
+        .withColumn("doc_id", F.to_json(F.struct("pinned", "category", "tags")))
     )
     inside = (
         resolve_scope(queries, signed)

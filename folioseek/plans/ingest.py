@@ -20,22 +20,17 @@ NO_TEXT_NOTE = "未能提取到文本"
 def first_copies(files: DataFrame, library: DataFrame | None, order: list[Column]) -> DataFrame:
     """Files whose content is new: `is_new` is false for copies of the library or of an earlier file.
 
-    Only (hash, key) rows are grouped, and the copies found, not the texts, are joined back. A file
-    without text has no hash; it is kept and never compared. `files` needs doc_id and hash.
+    `files` needs doc_id and hash. A file without text has no hash; it is kept and never compared.
+    Only (hash, doc_id) rows are grouped, and a content with very many copies combines map-side; all
+    joins are on unique keys. The copies found, not the texts, are joined back.
     """
-    keyed = files.filter(F.col("hash").isNotNull()).select("hash", "doc_id", F.struct(*order, "doc_id").alias("seen"))
-    first = keyed.groupBy("hash").agg(F.min("seen").alias("first"))
+    keyed = files.filter(F.col("hash").isNotNull()).select("hash", "doc_id", *order)
+    first = keyed.groupBy("hash").agg(F.min_by("doc_id", F.struct(*order, "doc_id")).alias("doc_id"))
     if library is not None:
-        known = library.filter(F.col("hash").isNotNull()).select("hash").distinct().withColumn("known", F.lit(True))
-        first = first.join(known, "hash", "left")
-    else:
-        first = first.withColumn("known", F.lit(None).cast("boolean"))
-    # A hash may belong to very many copies; the groups are joined back with AQE's skew handling.
-    copy = F.coalesce("known", F.lit(False)) | (F.col("seen") != F.col("first"))
-    copies = keyed.join(first, "hash").filter(copy).select("doc_id", F.lit(False).alias("_new"))
-    return files.join(written(copies, "copies"), "doc_id", "left").withColumn(
-        "is_new", F.coalesce("_new", F.lit(True))
-    ).drop("_new")
+        first = first.join(library.filter(F.col("hash").isNotNull()).select("hash").distinct(), "hash", "left_anti")
+    copies = keyed.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti")
+    marked = written(copies.withColumn("_new", F.lit(False)), "copies")
+    return files.join(marked, "doc_id", "left").withColumn("is_new", F.coalesce("_new", F.lit(True))).drop("_new")
 
 
 @dataclass
