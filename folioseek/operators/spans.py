@@ -17,26 +17,27 @@ GRID = 4  # grid cells per reach
 
 
 def _bands(spans: DataFrame) -> DataFrame:
-    """Spans with `band`: spans of different bands can never share a row, and a band is whole in reading order.
+    """(doc_id, page, band, members): spans of different bands can never share a row.
 
     A span reaches from its middle by the largest row reach of the page, or by the spread of span
     heights if that is more (then top edges order like middles across a gap). Reaches are laid on a
-    grid; an empty grid cell between two spans separates them. Only distinct cells are put in order
-    per page, so a page holding most of the spans is still cut into many groups.
+    grid, and reaches that touch form a band, whole in reading order. Only the distinct reaches of a
+    page are put in order, so a page holding most of the spans is still cut into many groups.
     """
     half = F.col("mid") - F.col("y0")
     reach = F.greatest(F.max("size") * ROW_REACH, F.max(half) - F.min(half), F.lit(1e-6))
-    on_grid = spans.join(spans.groupBy(*PAGE).agg(reach.alias("reach")), PAGE)
     cell = F.col("reach") / GRID
     first, last = F.floor(F.col("mid") / cell), F.floor((F.col("mid") + F.col("reach")) / cell)
-    on_grid = on_grid.withColumns({"first": first, "last": last}).drop("reach")
-    cells = on_grid.select(*PAGE, F.explode(F.sequence("first", "last")).alias("first")).distinct()
-    order = Window.partitionBy(*PAGE).orderBy("first")
-    gap = F.col("first") - F.lag("first").over(order) > 1
-    bands = cells.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).select(
-        *PAGE, "first", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("band")
-    )
-    return on_grid.join(bands, [*PAGE, "first"]).drop("first", "last")
+    keys = [*PAGE, "first", "last"]
+    on_grid = spans.join(spans.groupBy(*PAGE).agg(reach.alias("reach")), PAGE).withColumns({"first": first, "last": last})
+    above = Window.partitionBy(*PAGE).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.coalesce(F.col("first") - F.max("last").over(above) > 1, F.lit(True))
+    upto = Window.partitionBy(*PAGE).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
+    bands = on_grid.select(*keys).distinct().withColumn("gap", gap.cast("int"))
+    bands = bands.select(*keys, F.sum("gap").over(upto).alias("band"))
+    member = F.struct("y0", "x0", "mid", "size", "x1", "y1", "text")
+    together = on_grid.groupBy(*keys).agg(F.collect_list(member).alias("members")).join(bands, keys)
+    return together.groupBy(*PAGE, "band").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
 
 
 def _rows_of_band(members: Column) -> Column:
@@ -64,37 +65,40 @@ def _rows_of_band(members: Column) -> Column:
     return F.aggregate(members, start, step, lambda acc: acc["rows"])
 
 
-def span_rows(spans: DataFrame) -> DataFrame:
-    """Non-blank spans with their (band, row) on the page."""
+def _numbered(spans: DataFrame) -> DataFrame:
+    """Bands with the row number of each of their non-blank spans."""
     size = F.coalesce("size", F.lit(DEFAULT_SIZE))
     solid = spans.filter(~blank(F.col("text"))).withColumns({"size": size, "mid": (F.col("y0") + F.col("y1")) / 2})
-    member = F.struct("y0", "x0", "mid", "size", "x1", "y1", "text")
-    bands = _bands(solid).groupBy(*PAGE, "band").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    numbered = bands.select(
-        *PAGE, "band", F.explode(F.arrays_zip("members", _rows_of_band(F.col("members")).alias("rows"))).alias("m")
-    )
-    return numbered.select(*PAGE, "band", F.col("m.rows").alias("row"), "m.members.*")
+    return _bands(solid).withColumn("rows", _rows_of_band(F.col("members")))
+
+
+def span_rows(spans: DataFrame) -> DataFrame:
+    """Non-blank spans with their (band, row) on the page."""
+    pairs = _numbered(spans).select(*PAGE, "band", F.explode(F.arrays_zip("members", "rows")).alias("m"))
+    return pairs.select(*PAGE, "band", F.col("m.rows").alias("row"), "m.members.*")
 
 
 def _line_text(members: Column) -> Column:
     """Spans of one row from left to right; a wide gap becomes one blank."""
     height = F.array_max(F.transform(members, lambda s: s["y1"] - s["y0"]))
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("end"))
 
-    def step(acc: Column, s: Column) -> Column:
-        wide = F.coalesce(s["x0"] - acc["end"] > height * WORD_GAP, F.lit(False))
-        blank_needed = wide & (acc["text"] != "") & ~acc["text"].endswith(" ")
-        text = F.concat(acc["text"], F.when(blank_needed, " ").otherwise(""), s["text"])
-        return F.struct(text.alias("text"), s["x1"].alias("end"))
+    def piece(s: Column, i: Column) -> Column:
+        before = F.get(members, i - 1)
+        wide = (s["x0"] - before["x1"] > height * WORD_GAP) & ~before["text"].endswith(" ")
+        return F.concat(F.when((i > 0) & wide, " ").otherwise(""), s["text"])
 
-    return trimmed(F.aggregate(members, start, step, lambda acc: acc["text"]))
+    return trimmed(F.array_join(F.transform(members, piece), ""))
 
 
 def span_lines(spans: DataFrame) -> DataFrame:
     """(doc_id, page, band, row, line): table rows stay in one line; (band, row) orders a page."""
-    member = F.struct("x0", "y0", "x1", "y1", "text")
-    rows = span_rows(spans).groupBy(*PAGE, "band", "row").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    return rows.select(*PAGE, "band", "row", _line_text(F.col("members")).alias("line")).filter(F.col("line") != "")
+    pairs = F.arrays_zip("members", "rows")
+    of_row = lambda r: F.transform(F.filter(pairs, lambda p: p["rows"] == r), lambda p: p["members"])
+    across = lambda m: F.struct(m["x0"], m["y0"], m["x1"], m["y1"], m["text"])
+    line = F.transform(F.sequence(F.lit(1), F.array_max("rows")), lambda r: F.array_sort(F.transform(of_row(r), across)))
+    rows = _numbered(spans).select(*PAGE, "band", F.posexplode(line).alias("at", "members"))
+    lines = rows.select(*PAGE, "band", (F.col("at") + 1).alias("row"), _line_text(F.col("members")).alias("line"))
+    return lines.filter(F.col("line") != "")
 
 
 def document_texts(lines: DataFrame) -> DataFrame:
