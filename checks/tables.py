@@ -15,6 +15,7 @@ from folioseek.functions.text import fingerprint
 from folioseek.operators.cases import library_corpus
 from folioseek.operators.chunk import chunk_documents
 from folioseek.operators.index import KeywordIndex, scratch_index
+from folioseek.operators.tables import spread
 from folioseek.session import ensure_scratch
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -24,12 +25,6 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that is one small file; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def minutes(n: Column) -> Column:
     return F.timestamp_seconds(F.lit(EPOCH) + n * 60)
 

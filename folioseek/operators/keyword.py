@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_case
-from ..functions.text import FULL_WIDTH, HALF_WIDTH, HAN, flat, query_tokens, rounded
+from ..functions.text import FULL_WIDTH, HALF_WIDTH, HAN, flat, index_tokens, query_tokens, rounded
 from .blocks import ScopeMask, TermBlock, query_blocks, scored_in_tasks
 from .index import KeywordIndex, idf, term_part
 from .scope import Scope
@@ -177,10 +177,13 @@ def keyword_search(
 
     wanted = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("weight"), "pos", "term")))
     asked = terms.groupBy("query_id").agg(wanted.alias("asked"))
-    present = F.filter("asked", lambda a: F.array_contains(F.col("tokens"), a["term"]))
+    # The few final texts are tokenised again, which spares reading the token column of the corpus.
+    present = F.filter("asked", lambda a: F.array_contains(F.col("held"), a["term"]))
     return (
-        index.corpus.join(top, "chunk_no")
+        index.corpus.select("chunk_no", "doc_id", "seq", "page_no", "content")
+        .join(top, "chunk_no")
         .join(asked, "query_id")
+        .withColumn("held", index_tokens(F.col("content")))
         .select(
             "query_id",
             "rank",

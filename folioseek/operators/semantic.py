@@ -16,7 +16,7 @@ from ..functions.text import blank
 from .blocks import ScopeMask, query_blocks, scored_in_tasks
 from .keyword import score_order, with_depth
 from .scope import SCOPE_COLUMNS, Scope, with_scope
-from .tables import row_top
+from .tables import row_top, written
 
 # --- fixed values ---
 EMBED_MAX_CHARS = 1000  # longer texts are cut by the embedding service
@@ -152,6 +152,7 @@ def semantic_search(
     )
     top = row_top(near, ["query_id"], score_order("raw"), max_depth)
     top = top.join(queries.select("query_id", "depth"), "query_id").filter(F.col("rank") <= F.col("depth"))
+    top = written(top.drop("depth"), "near")  # its size lets the text join leave the corpus where it is
     text = chunks.select("doc_id", "seq", "page_no", "content")
     return top.join(text, ["doc_id", "seq"]).select(
         "query_id", "rank", "doc_id", "seq", "page_no", "content", F.col("raw").alias("score")

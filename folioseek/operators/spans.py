@@ -40,65 +40,72 @@ def _bands(spans: DataFrame) -> DataFrame:
     return together.groupBy(*PAGE, "band").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
 
 
-def _rows_of_band(members: Column) -> Column:
-    """Row number of each span of a band, in top-edge order.
+def _row_starts(members: Column) -> Column:
+    """Where the rows of a band begin among its spans in top-edge order.
 
     A span joins the current row when its middle lies within reach of the row's first span; the
     reach grows with the largest font of the row. The anchor depends on what came before, so this
     is a fold over the band.
     """
+    none = F.array().cast("array<int>")
     start = F.struct(
-        F.lit(0.0).alias("anchor"), F.lit(DEFAULT_SIZE).alias("size"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows")
+        F.lit(0.0).alias("anchor"), F.lit(DEFAULT_SIZE).alias("size"), F.lit(0).alias("at"), none.alias("starts")
     )
 
     def step(acc: Column, s: Column) -> Column:
         near = F.abs(s["mid"] - acc["anchor"]) <= F.greatest(s["size"], acc["size"]) * ROW_REACH
-        joins = (acc["row"] > 0) & near
-        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        joins = (acc["at"] > 0) & near
+        at = acc["at"] + 1
         return F.struct(
             F.when(joins, acc["anchor"]).otherwise(s["mid"]).alias("anchor"),
             F.when(joins, F.greatest(acc["size"], s["size"])).otherwise(s["size"]).alias("size"),
-            row.alias("row"),
-            F.concat(acc["rows"], F.array(row)).alias("rows"),
+            at.alias("at"),
+            F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(at))).alias("starts"),
         )
 
-    return F.aggregate(members, start, step, lambda acc: acc["rows"])
+    return F.aggregate(members, start, step, lambda acc: acc["starts"])
 
 
-def _numbered(spans: DataFrame) -> DataFrame:
-    """Bands with the row number of each of their non-blank spans."""
+def _banded_rows(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, band, row, members): the non-blank spans row by row."""
     size = F.coalesce("size", F.lit(DEFAULT_SIZE))
     solid = spans.filter(~blank(F.col("text"))).withColumns({"size": size, "mid": (F.col("y0") + F.col("y1")) / 2})
-    return _bands(solid).withColumn("rows", _rows_of_band(F.col("members")))
+    begun = _bands(solid).withColumn("starts", _row_starts(F.col("members")))
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("members") + 1)
+    rows = F.transform("starts", lambda s, i: F.slice("members", s, end(i) - s))
+    return begun.select(*PAGE, "band", F.posexplode(rows).alias("at", "members")).select(
+        *PAGE, "band", (F.col("at") + 1).alias("row"), "members"
+    )
 
 
 def span_rows(spans: DataFrame) -> DataFrame:
     """Non-blank spans with their (band, row) on the page."""
-    pairs = _numbered(spans).select(*PAGE, "band", F.explode(F.arrays_zip("members", "rows")).alias("m"))
-    return pairs.select(*PAGE, "band", F.col("m.rows").alias("row"), "m.members.*")
+    return _banded_rows(spans).select(*PAGE, "band", "row", F.explode("members").alias("m")).select(*PAGE, "band", "row", "m.*")
 
 
-def _line_text(members: Column) -> Column:
-    """Spans of one row from left to right; a wide gap becomes one blank."""
-    height = F.array_max(F.transform(members, lambda s: s["y1"] - s["y0"]))
+def _line_text(members: Column, height: Column) -> Column:
+    """Spans of one row, already from left to right; a wide gap becomes one blank."""
+    before = F.concat(F.array(F.get(members, F.lit(0))), F.slice(members, 1, F.size(members) - 1))
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.get(members, i - 1)
-        wide = (s["x0"] - before["x1"] > height * WORD_GAP) & ~before["text"].endswith(" ")
-        return F.concat(F.when((i > 0) & wide, " ").otherwise(""), s["text"])
+    def piece(s: Column, b: Column) -> Column:
+        wide = (s["x0"] - b["x1"] > height * WORD_GAP) & ~b["text"].endswith(" ")
+        return F.concat(F.when(wide, " ").otherwise(""), s["text"])
 
-    return trimmed(F.array_join(F.transform(members, piece), ""))
+    return trimmed(F.array_join(F.zip_with(members, before, piece), ""))
 
 
 def span_lines(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, band, row, line): table rows stay in one line; (band, row) orders a page."""
-    pairs = F.arrays_zip("members", "rows")
-    of_row = lambda r: F.transform(F.filter(pairs, lambda p: p["rows"] == r), lambda p: p["members"])
-    across = lambda m: F.struct(m["x0"], m["y0"], m["x1"], m["y1"], m["text"])
-    line = F.transform(F.sequence(F.lit(1), F.array_max("rows")), lambda r: F.array_sort(F.transform(of_row(r), across)))
-    rows = _numbered(spans).select(*PAGE, "band", F.posexplode(line).alias("at", "members"))
-    lines = rows.select(*PAGE, "band", (F.col("at") + 1).alias("row"), _line_text(F.col("members")).alias("line"))
-    return lines.filter(F.col("line") != "")
+    """(doc_id, page, band, row, line): table rows stay in one line; (band, row) orders a page.
+
+    Rows are ordered and measured before they are unpacked, so that both are plain columns where
+    the text is put together, not expressions evaluated again for every span.
+    """
+    across = F.array_sort(F.transform("members", lambda m: F.struct(m["x0"], m["y0"], m["x1"], m["y1"], m["text"])))
+    height = F.array_max(F.transform("members", lambda m: m["y1"] - m["y0"]))
+    measured = F.explode(F.array(F.struct(across.alias("members"), height.alias("height"))))
+    rows = _banded_rows(spans).select(*PAGE, "band", "row", measured.alias("m"))
+    line = _line_text(F.col("m.members"), F.col("m.height"))
+    return rows.select(*PAGE, "band", "row", line.alias("line")).filter(F.col("line") != "")
 
 
 def document_texts(lines: DataFrame) -> DataFrame:

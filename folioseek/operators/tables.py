@@ -26,6 +26,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; an input of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(updates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row per key in `order`. An aggregate, so a hot key combines map-side."""
     rest = [c for c in updates.columns if c not in keys]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import scratch_dir
+from ..operators.tables import scratch_dir, spread
 from ..plans.ingest import sync_files
 from ..sources.files import Extractor, routed, with_names
 
@@ -30,7 +30,7 @@ def add_batch(files: DataFrame, batch_id: int, table: str, make_extractor: Calla
     """Dedupe, label, chunk and store one batch. A repeated batch replaces its own partition."""
     spark = files.sparkSession
     parsed = (
-        routed(with_names(files), make_extractor)
+        routed(with_names(spread(files)), make_extractor)
         .withColumn("doc_id", F.sha2("path", 256))
         .withColumn("created_at", F.col("modificationTime"))
     )
