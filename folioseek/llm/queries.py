@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import bpe, decontaminate, jaccard, lines, token_store
-from folioseek.llm.common import given
+from folioseek.llm import bpe, decontaminate, html_text, jaccard, lines, quality, shards, surrogates, token_store, toxicity
+from folioseek.llm.common import Scratch, crc_mod, given
 from folioseek.operators.tables import scratch_dir
 from folioseek.session import ensure_scratch
 
 TOKENIZER = "word_bpe_49k.json"
+#: The key of the registered queries; a deployment passes its own.
+SURROGATE_KEY = b"folioseek surrogates"
+TOXIC_FROM, GOOD_FROM = 0.3, 0.5
 
 
 def tokenizer_path() -> str:
@@ -34,11 +37,34 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learnt from."""
+    return given(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 4) != 2)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, toxicity_labels(spark, sf_dir))
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int")
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = given(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_main_text(pages)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_encode(docs, tokenizer_path(), results=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan_benchmark(docs, given(spark, sf_dir, "benchmark"))
@@ -56,7 +82,25 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(given(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    statistics = Scratch(spark, "quality").table(quality.document_statistics(docs), "statistics", lasting=True)
+    labels = given(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1)
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    predicted = (F.col("score") >= GOOD_FROM).cast("int")
+    scored = quality.score(statistics, quality.train(statistics, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.balanced_shards(given(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_frequency, op2_token_store, op5_bpe, op7_decontaminate, op8_jaccard)
+    f.__name__: f
+    for f in (
+        op1_line_frequency, op2_token_store, op3_toxicity, op4_html_text, op5_bpe,
+        op6_surrogates, op7_decontaminate, op8_jaccard, op9_quality, op10_shards,
+    )
 }
 SQL: dict[str, str] = {}
