@@ -25,6 +25,8 @@ from folioseek.llm.common import Scratch, arrow_schema
 
 #: Movers of one pair of shards are accepted by parts of this many hash ranges.
 RANGES = 16
+#: A shard with less than one part in FULL of its room left is nearly full.
+FULL = 20
 TASK_ROWS = 200_000
 
 
@@ -64,8 +66,8 @@ def propagated(scratch: Scratch, parts: DataFrame, capacity: list[int], rounds:
         room = [max(0, c - loads.get(s, 0)) for s, c in enumerate(capacity)]
         state = spark.createDataFrame([(s, capacity[s], room[s]) for s in range(n)], "shard int, capacity long, room long")
         ranked = parts.join(F.broadcast(state), "shard")
-        # a part with most of a full shard stays where it is and is no goal
-        settled = (F.col("room") == 0) & (F.col("n") * 2 > F.col("capacity"))
+        # a part with most of a nearly full shard stays where it is and is no goal
+        settled = (F.col("room") * FULL <= F.col("capacity")) & (F.col("n") * 2 > F.col("capacity"))
         live = ranked.where(~settled).select("hub", "shard", "n")
         weight = F.struct("n", F.xxhash64("hub", "shard").alias("chance"), "shard")
         goals = live.groupBy("hub").agg(F.max(weight).alias("goal")).select("hub", F.col("goal.shard").alias("goal"))
@@ -95,7 +97,15 @@ def quotas(wanted: list[tuple[int, int, int, int]], room: list[int]) -> list[tup
     into: dict[int, int] = {}
     for (_, g), b in beyond.items():
         into[g] = into.get(g, 0) + b
-    left = {p: f - beyond[p] + (min(beyond[p], room[p[1]] * beyond[p] // into[p[1]]) if beyond[p] else 0) for p, f in flow.items()}
+    share = {p: min(b, room[p[1]] * b // into[p[1]]) if b else 0 for p, b in beyond.items()}
+    spare = dict(enumerate(room))
+    for p, given in share.items():
+        spare[p[1]] -= given
+    for p, b in beyond.items():  # what rounding left
+        more = min(b - share[p], max(0, spare[p[1]]))
+        share[p] += more
+        spare[p[1]] -= more
+    left = {p: f - beyond[p] + share[p] for p, f in flow.items()}
     out = []
     for s, g, r, n in wanted:
         take = min(n, left[s, g])

@@ -2,7 +2,7 @@ import pytest
 
 from folioseek.llm.html_text import extract_main_text, main_text
 
-LONG = "It was the day of the week on which all of them had to be there, and so they were, as it is with such things when they are to be done by all."
+LONG = "It was the day of the week on which all of them had to be there, and so they were, as it is with such things when they are to be done by all of us in the time that is left for it."
 PAGE = f"""<!doctype html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site"><h1>Site</h1><a href="/">Home</a></header><nav><ul><li><a href=x>One</a><li>Two</ul></nav>
 <div id=cookie-notice>{LONG}</div><!-- <p>{LONG}</p> --><div class="content"><h2>The &lt;title&gt;</h2>
