@@ -189,8 +189,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
         last = next(d for d in "0123456789" if luhn(body + d)) if luhn(value) else str(draw.below(10))
         return body + last
     if kind.startswith("number:"):
-        first = str(1 + draw.below(9)) if value[0] != "0" else "0"
-        return first + "".join(str(draw.below(10)) for _ in value[1:])
+        kept = 1 if kind.endswith("+") and value[0] in "17" and len(value) == 11 else 0  # a country code of one digit
+        first = str(1 + draw.below(9)) if value[kept] != "0" else "0"
+        return value[:kept] + first + "".join(str(draw.below(10)) for _ in value[kept + 1 :])
     if kind == "iban":
         body = same_classes(value[4:], draw)
         number = int("".join(str(int(c, 36)) for c in body + value[:2] + "00"))

@@ -2,17 +2,18 @@
 
 The unit that is classified is a fragment: a word without the marks around it (letters that stand for letters, as 1 for i
 and @ for a, read as such), a row of single letters written apart, or, for longer strings, windows of
-MAX_LETTERS letters. The kernel compares two fragments by their common subsequences of three letters, each
-weighed by DECAY for every letter that it spans, so inserted and left-out characters cost a little and no more.
+MAX_LETTERS letters; the ends of a word count as letters. The kernel compares two fragments by their common subsequences
+of ORDER letters, each weighed by DECAY for every letter that it spans, so inserted and left-out characters cost a
+little and no more. Vectors are divided by the length that a fragment of as many different letters has.
 
 Training, from documents with labels:
 
-1. Sentences get labels from their documents. Word starts and letter groups that stand in toxic documents far more often than
-   chance allows (log-likelihood, against the number of groups seen) mark a word as insulting; words that
-   never do so are the other class.
+1. Of copies and near copies one document stays. Sentences get labels from their documents: word starts and letter groups that
+   stand in toxic documents far more often than chance allows (log-likelihood, against the number of groups
+   seen) mark a word as insulting. Words without them are the other class, at last those that the machine confuses most.
 2. Landmarks are fragments of both classes, chosen apart from each other. K(x, L) K(L, L)^-1/2 gives each
    fragment coordinates, on which a linear squared-hinge machine is fitted.
-3. As the kernel is a sum over triples of letters, the machine is folded into one weight per triple: the
+3. As the kernel is a sum over subsequences, the machine is folded into one weight per subsequence: the
    score of a fragment is the same number with or without folding, and needs no landmark afterwards.
 4. A logistic curve on a document's two best fragments and their number gives its score, 0 to 1.
 
@@ -27,6 +28,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -35,109 +37,119 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.llm.common import Memo, arrow_schema, text_slices, with_columns
+from folioseek.llm.common import Memo, Scratch, arrow_schema, text_slices, with_columns
+from folioseek.llm.jaccard import WordHashes, shingle_sets
 
 DECAY = 0.6
-MAX_LETTERS = 14
+ORDER = 4  # letters of a subsequence
+MAX_LETTERS = 12
 MIN_LETTERS = 3
-LETTERS = 64  # classes of letters: a to z, others by code point
+START, END = "\x02", "\x03"  # the ends of a word
+LETTERS = 40  # classes of letters: a to z, the ends, others by code point
+FEATURES = LETTERS**ORDER
 GROUP = 5  # letters of a group
 
 #: Characters that are written for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 INNER = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
-NO_LETTER = regex.compile(r"\P{L}+")
+NO_LETTER, LETTER = regex.compile(r"\P{L}+"), regex.compile(r"\p{L}")
+DRAWN_OUT = regex.compile(r"(\p{L})\1{2,}")
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 APART = regex.compile(rb"(?<![^\s])(?:[A-Za-z][\s.\-_*]+){2,}[A-Za-z](?![^\s])")
 
 
 def letters_of(run: bytes) -> str:
-    """The letters of a run without ASCII white space, in lower case, lookalikes read as letters."""
+    """The letters of a run without ASCII white space, in lower case, lookalikes read as letters, drawn-out letters once."""
     run = run.strip(MARKS)
     if run.isalpha():  # ASCII letters only
-        return run.decode().lower()
-    if m := INNER.search(run.decode("utf-8", "replace")):
+        word = run.decode().lower()
+    elif m := INNER.search(run.decode("utf-8", "replace")):
         word = m.group().lower()
-        return word if word.isalpha() else NO_LETTER.sub("", word.translate(LOOKALIKES)) if regex.search(r"\p{L}", word) else ""
-    return ""
+        if not word.isalpha():
+            word = NO_LETTER.sub("", word.translate(LOOKALIKES)) if LETTER.search(word) else ""
+    else:
+        return ""
+    return DRAWN_OUT.sub(r"\1", word)
 
 
 def fragments(word: str) -> list[str]:
-    """The word, or its windows."""
-    if len(word) <= MAX_LETTERS:
-        return [word] if len(word) >= MIN_LETTERS else []
+    """The word with its ends, or its windows."""
+    if len(word) < MIN_LETTERS:
+        return []
+    word = f"{START}{word}{END}"
+    if len(word) <= MAX_LETTERS + 2:
+        return [word]
     step = MAX_LETTERS // 2
     return [word[i : i + MAX_LETTERS] for i in range(0, len(word) - MAX_LETTERS + step, step)]
 
 
 def coded(words: list[str]) -> np.ndarray:
     """Words of one length as rows of letter classes."""
-    points = np.array([list(map(ord, w)) for w in words], np.int64)
-    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % (LETTERS - 27))
-
-
-def triples(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (words x triples) and the weight of each place in a word of this length."""
-    places = list(combinations(range(rows.shape[1]), 3))
-    i, j, k = (np.array(x) for x in zip(*places))
-    return (rows[:, i] * LETTERS + rows[:, j]) * LETTERS + rows[:, k], DECAY ** (k - i + 1).astype(float)
-
-
-def feature_norms(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Length of each row's vector; a triple that occurs at several places adds up first."""
-    order = np.argsort(features, axis=1, kind="stable")
-    f, w = np.take_along_axis(features, order, 1), weights[order]
-    total = np.cumsum(w, axis=1)
-    last = np.ones(f.shape, bool)
-    last[:, :-1] = f[:, 1:] != f[:, :-1]
-    out = np.zeros(len(f))
-    row, at = np.nonzero(last)
-    ends = total[row, at]
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    sums = ends - np.where(first, 0.0, np.concatenate([[0.0], ends[:-1]]))
-    np.add.at(out, row, sums**2)
-    return np.sqrt(out)
-
-
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    points = np.array([list(map(ord, w)) for w in words], np.int32)
+    small = np.where(points < 32, 25 + points, 29 + points % (LETTERS - 29))  # the ends are 27 and 28
+    return np.where((points >= 97) & (points <= 122), points - 96, small)
+
+
+@cache
+def places(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences in a fragment of this length, and their weights; the squares add up to 1."""
+    at = np.array(list(combinations(range(length), ORDER)), np.int32).T
+    weights = DECAY ** (at[-1] - at[0] + 1).astype(np.float64)
+    return at, (weights / np.sqrt((weights**2).sum())).astype(np.float32)
+
+
+def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers (words x subsequences), and the weight of each place."""
+    at, weights = places(rows.shape[1])
+    number = rows[:, at[0]]
+    for k in range(1, ORDER):
+        number = number * LETTERS + rows[:, at[k]]
+    return number, weights
+
+
+def by_length(words: list[str], most: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of one length at a time, at most `most`, with their places in the list."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
     for at in groups.values():
-        yield np.array(at), [words[i] for i in at]
+        for i in range(0, len(at), most):
+            yield np.array(at[i : i + most]), [words[j] for j in at[i : i + most]]
 
 
 def vectors(words: list[str]) -> list[dict[int, float]]:
-    """The normalised vectors of a few words, as dictionaries."""
+    """The vectors of a few words, as dictionaries."""
     out: list[dict[int, float]] = [{}] * len(words)
-    for at, same in by_length(words):
-        features, weights = triples(coded(same))
-        norms = feature_norms(features, weights)
-        for i, row, norm in zip(at, features, norms):
+    for at, same in by_length(words, 512):
+        features, weights = subsequences(coded(same))
+        for i, row in zip(at, features):
             v: dict[int, float] = defaultdict(float)
-            for f, w in zip(row.tolist(), weights):
-                v[f] += w / norm
+            for f, w in zip(row.tolist(), weights.tolist()):
+                v[f] += w
             out[i] = dict(v)
     return out
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values, words x landmarks."""
-    dense = np.zeros((LETTERS**3, len(landmarks)), np.float32)
-    for j, v in enumerate(vectors(landmarks)):
-        dense[list(v), j] = list(v.values())
+    """Kernel values, words x landmarks."""
+    sparse = vectors(landmarks)
+    known = np.unique(np.array([f for v in sparse for f in v], np.int64))
+    dense = np.zeros((len(known) + 1, len(landmarks)), np.float32)  # the last row is for all other features
+    for j, v in enumerate(sparse):
+        dense[np.searchsorted(known, list(v)), j] = list(v.values())
     out = np.zeros((len(words), len(landmarks)))
-    for at, same in by_length(words):
-        for a in range(0, len(at), 512):
-            features, weights = triples(coded(same[a : a + 512]))
-            values = np.einsum("npl,p->nl", dense[features], weights)
-            out[at[a : a + 512]] = values / feature_norms(features, weights)[:, None]
+    for at, same in by_length(words, 64):
+        features, weights = subsequences(coded(same))
+        row = np.searchsorted(known, features)
+        row[row == len(known)] = 0
+        row[known[row] != features] = len(known)
+        out[at] = np.einsum("npl,p->nl", dense[row], weights)
     return out
 
 
 @dataclass
 class Machine:
-    """The folded machine (weight per triple, offset) and the curve of documents."""
+    """The folded machine (weight per subsequence, offset) and the curve of documents."""
 
     weights: np.ndarray
     offset: float
@@ -145,10 +157,9 @@ class Machine:
 
     def scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
-        for at, same in by_length(words):
-            for a in range(0, len(at), 4096):
-                features, weights = triples(coded(same[a : a + 4096]))
-                out[at[a : a + 4096]] = (self.weights[features] @ weights) / feature_norms(features, weights)
+        for at, same in by_length(words, 1024):
+            features, weights = subsequences(coded(same))
+            out[at] = self.weights[features] @ weights
         return out + self.offset
 
     def document(self, found: np.ndarray) -> np.ndarray:
@@ -157,7 +168,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-NEVER = Machine(np.zeros(LETTERS**3), -1.0, np.array([-30.0, 0, 0, 0]))
+NEVER = Machine(np.zeros(FEATURES, np.float32), -1.0, np.array([-30.0, 0, 0, 0]))
 LEAST = -2.0  # the score of no fragment
 
 
@@ -190,24 +201,22 @@ def runs_of(text: bytes | None) -> list[bytes]:
 
 
 def document_parts(texts: list[bytes | None], scores: _Scores) -> np.ndarray:
-    """(best, second best of another word, number of insulting words) of each text."""
+    """(best, second best, number of insulting words) of each text; an insult that is said twice is also second."""
     out = np.empty((len(texts), 3))
     step = scores.limit // 4
     for i, text in enumerate(texts):
-        runs = set(runs_of(text))
-        if len(runs) > step:  # a long text in parts, as the memo is bounded
-            runs = list(runs)
-            values = []
-            for a in range(0, len(runs), step):
-                scores.learn(runs[a : a + step])
-                values += [scores[r] for r in runs[a : a + step]]
-        else:
-            if not scores.keys() >= runs:
-                scores.learn(list(runs))
-            values = [scores[r] for r in runs]
-        values.sort(reverse=True)
-        values += [LEAST, LEAST]
-        out[i] = max(values[0], LEAST), max(values[1], LEAST), sum(v > 0 for v in values[:64])
+        said = runs_of(text)
+        runs = list(set(said))
+        values = []
+        for a in range(0, len(runs), step):  # a long text in parts, as the memo is bounded
+            part = runs[a : a + step]
+            if not scores.keys() >= set(part):
+                scores.learn(part)
+            values += [scores[r] for r in part]
+        top = sorted(zip(values, runs), reverse=True)[:64]
+        times = [said.count(r) if v > 0 else 1 for v, r in top[:8]] + [1] * len(top[8:])
+        ranked = [v for (v, _), n in zip(top, times) for _ in range(min(n, 2))] + [LEAST, LEAST]
+        out[i] = max(ranked[0], LEAST), max(ranked[1], LEAST), sum(n for (v, _), n in zip(top, times) if v > 0)
     return out
 
 
@@ -292,7 +301,9 @@ def train(
     label: str = "toxic",
     max_documents: int = 30_000,
     max_words: int = 6_000,
-    n_landmarks: int = 192,
+    max_groups: int = 1_000,
+    n_landmarks: int = 256,
+    mining_rounds: int = 3,
 ) -> Machine:
     """The machine from the labelled documents; `labels` holds only rows that may be learnt from."""
     sample = sample_of_labels(labels, key, label, max_documents)
@@ -300,46 +311,85 @@ def train(
     positives = sum(chosen.values())
     if not 0 < positives < len(chosen):
         return NEVER
-    spark = docs.sparkSession
-    # at most max_documents pairs of numbers
-    small = spark.createDataFrame(list(chosen.items()), "key long, label long")
-    known = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(F.broadcast(small), "key")
-    groups = letter_groups(known, "text").where("n >= 3").cache()
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    chosen = one_of_each(picked(source, chosen), chosen)
+    positives = sum(chosen.values())
+    if not 0 < positives < len(chosen):
+        return NEVER
+    known = picked(source, chosen)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    groups = scratch.table(letter_groups(known, "text"), "groups")
     rate = positives / len(chosen)
     total = groups.count()
     t, n = F.col("toxic"), F.col("n")
     share = t / n
     part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
     gain = n * (part(share, F.lit(rate)) + part(1 - share, F.lit(1 - rate)))
-    marked = groups.where((share > 0.5 + rate / 2) & (gain > math.log(max(total, 2)) + 2))
-    marked = [r["gram"] for r in marked.orderBy(gain.desc(), "gram").limit(max_words).toLocalIterator()]
+    marked = groups.where((n >= 3) & (share > 0.5 + rate / 2) & (gain > math.log(max(total, 2)) + 2))
+    marked = [r["gram"] for r in marked.orderBy(gain.desc(), "gram").limit(max_groups).toLocalIterator()]
     if not marked:
-        groups.unpersist()
+        scratch.drop()
         return NEVER
     words = groups.where(F.col("gram").startswith(" ") & F.col("gram").endswith(" "))
-    starts = tuple(g for g in marked if g[0] == " " and g[-1] != " ")
-    inside = [g for g in marked if g[0] != " "]
-    whole = {g for g in marked if g[0] == g[-1] == " "}
-    hit = F.col("gram").isin(list(whole)) if whole else F.lit(False)
-    for s in [*starts, *inside]:
-        hit = hit | F.contains("gram", F.lit(s)) if len(starts) + len(inside) <= 200 else hit
-    if len(starts) + len(inside) > 200:
-        pattern = "|".join(regex.escape(g) for g in [*starts, *inside])
-        hit = hit | F.col("gram").rlike(pattern)
-    spoken = [r["gram"].strip() for r in words.where(hit & (share > 0.5)).orderBy(F.col("toxic").desc(), "gram").limit(max_words).toLocalIterator()]
-    common = words.where(~hit & (share < min(0.9, rate * 2 + 0.05)))
-    clean = [r["gram"].strip() for r in common.orderBy(F.col("n").desc(), "gram").limit(max_words).toLocalIterator()]
-    clean += [r["gram"].strip() for r in common.orderBy(F.xxhash64("gram"), "gram").limit(max_words).toLocalIterator()]
-    groups.unpersist()
+    hit = F.col("gram").rlike("|".join(regex.escape(g) for g in marked))
+    spoken = words.where(hit & (share > 0.5)).orderBy(t.desc(), "gram").limit(max_words)
+    spoken = [r["gram"].strip() for r in spoken.toLocalIterator()]
+    innocent = scratch.table(words.where(~hit & (share <= rate)).select("gram", "n"), "innocent")
+    clean = [r["gram"].strip() for r in innocent.orderBy(n.desc(), "gram").limit(max_words // 2).toLocalIterator()]
+    clean += [r["gram"].strip() for r in innocent.orderBy(F.xxhash64("gram"), "gram").limit(max_words // 2).toLocalIterator()]
     machine = fit_words(spoken, clean, n_landmarks)
+    for _ in range(mining_rounds):  # words of clean texts that look most like insults
+        scored = _scored_words(innocent, machine).orderBy(F.col("score").desc(), "gram").limit(max_words // 4)
+        clean += [r["gram"].strip() for r in scored.toLocalIterator()]
+        machine = fit_words(spoken, list(dict.fromkeys(clean)), n_landmarks)
     parts = document_features(known, machine, "text").select("label", "best", "second", "number")
-    rows = np.array([tuple(r) for r in parts.toLocalIterator()])  # at most max_documents rows
-    y = rows[:, 0]
+    rows = np.array(sorted(tuple(r) for r in parts.toLocalIterator()))  # at most max_documents rows
+    scratch.drop()
     features = np.column_stack([rows[:, 1], rows[:, 2], np.log1p(rows[:, 3])])
-    machine.curve = fitted(features, y, np.ones(len(y)), 0.1, "logistic")
+    machine.curve = fitted(features, rows[:, 0], np.ones(len(rows)), 0.1, "logistic")
     return machine
 
 
+def picked(docs: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """The chosen documents with their label; the choice is bounded by its caller."""
+    small = docs.sparkSession.createDataFrame(list(chosen.items()), "key long, label long")
+    return docs.join(F.broadcast(small), "key")
+
+
+def one_of_each(docs: DataFrame, chosen: dict[int, int]) -> dict[int, int]:
+    """The choice without most of the copies and near copies: of documents with the same least shingle one stays.
+
+    A copied toxic text would make all its words look toxic.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch, texts in text_slices(batches, "text"):
+            least = [int(s[0]) - (1 << 63) if len(s) else i for i, s in enumerate(shingle_sets(texts, memo))]
+            keys = batch.column(batch.schema.get_field_index("key"))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(least, pa.int64())], names=["key", "least"])
+
+    stays = docs.mapInArrow(task, "key long, least long").groupBy("least").agg(F.min("key").alias("key"))
+    return {r["key"]: chosen[r["key"]] for r in stays.toLocalIterator()}
+
+
+def _scored_words(words: DataFrame, machine: Machine) -> DataFrame:
+    """(gram, score) of words written as letter groups."""
+    sent = words.sparkSession.sparkContext.broadcast(machine)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(sent.value)
+        for batch in batches:
+            grams = batch.column(0).to_pylist()
+            for i in range(0, len(grams), 50_000):
+                runs = [g.strip().encode() for g in grams[i : i + 50_000]]
+                scores.learn(runs)
+                columns = [pa.array(grams[i : i + 50_000], pa.string()), pa.array([scores[r] for r in runs], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "score"])
+
+    return words.select("gram").mapInArrow(task, "gram string, score double")
+
+
 def fit_words(spoken: list[str], clean: list[str], n_landmarks: int) -> Machine:
     """The machine of words; its curve is still to be fitted."""
     positive = sorted({f for w in spoken for f in fragments(w)})
@@ -357,9 +407,9 @@ def fit_words(spoken: list[str], clean: list[str], n_landmarks: int) -> Machine:
     half = (axes[:, good] / np.sqrt(values[good])) @ axes[:, good].T
     w = fitted(kernel(words, landmarks) @ half, y, weight, 0.05, "hinge")
     beta = half @ w[1:]
-    folded = np.zeros(LETTERS**3)
+    folded = np.zeros(FEATURES, np.float32)
     for b, v in zip(beta, vectors(landmarks)):
-        folded[list(v)] += b * np.array(list(v.values()))
+        folded[list(v)] += b * np.array(list(v.values()), np.float32)
     return Machine(folded, float(w[0]), np.zeros(4))
 
 

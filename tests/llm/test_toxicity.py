@@ -5,40 +5,40 @@ import pytest
 from helpers import odd_frame, prose
 
 from folioseek.llm import toxicity
-from folioseek.llm.toxicity import DECAY, Machine, fit_words, kernel, letters_of, runs_of, score, train
+from folioseek.llm.toxicity import DECAY, ORDER, Machine, fit_words, fragments, kernel, letters_of, runs_of, score, train
 
 INSULTS = "dumkopf wretch blighter varlet".split()
 
 
 def slow_kernel(s, t):
-    """The sum over pairs of equal subsequences of three letters."""
+    """The sum over pairs of equal subsequences, each divided by the length for as many different letters."""
     from itertools import combinations
 
     def features(w):
-        out = {}
-        for i, j, k in combinations(range(len(w)), 3):
-            f = w[i] + w[j] + w[k]
-            out[f] = out.get(f, 0) + DECAY ** (k - i + 1)
-        return out
+        out, square = {}, 0
+        for at in combinations(range(len(w)), ORDER):
+            f, weight = tuple(w[i] for i in at), DECAY ** (at[-1] - at[0] + 1)
+            out[f] = out.get(f, 0) + weight
+            square += weight**2
+        return {f: v / np.sqrt(square) for f, v in out.items()}
 
     a, b = features(s), features(t)
-    dot = lambda x, y: sum(v * y.get(f, 0) for f, v in x.items())
-    return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
+    return sum(v * b.get(f, 0) for f, v in a.items())
 
 
 def test_kernel_by_its_definition():
-    words = ["idiot", "idxiot", "banana", "aaa", "strasse", "xyz"]
+    words = ["idiot", "idxiot", "banana", "aaaa", "strasse", "\x02xyz\x03"]
     got = kernel(words, words)
-    assert np.allclose(got, [[slow_kernel(a, b) for b in words] for a in words])
+    assert np.allclose(got, [[slow_kernel(a, b) for b in words] for a in words], atol=1e-5)
 
 
 def test_folded_machine_scores_as_the_kernel():
     clean = ["house", "tree", "window", "street", "garden", "wretched"]
     machine = fit_words(INSULTS, clean, 8)
-    probe = ["wretch", "wre-tch".replace("-", ""), "windowsill", "blightxer"]
-    assert machine.scores(INSULTS).min() > 0 > machine.scores(clean[:5]).max()
-    assert machine.scores(["vharlet", "dumxkopf", "blghter"]).min() > machine.scores(["mountain", "river"]).max()
-    assert np.allclose(machine.scores(probe), [machine.scores([p])[0] for p in probe])
+    score = lambda *words: machine.scores([f for w in words for f in fragments(w)])
+    assert score(*INSULTS).min() > 0 > score(*clean[:5]).max()
+    assert score("vharlet", "dumxkopf", "blghter").min() > score("mountain", "river").max()
+    assert [len(f) for f in fragments("x" * 30)] == [12, 12, 12, 12, 8] and fragments("ab") == []
 
 
 def test_letters():
@@ -96,5 +96,5 @@ def test_long_texts_are_read_whole():
     machine.curve = np.array([-2.0, 1, 1, 1])
     scores = toxicity._Scores(machine, limit=40)
     text = " ".join(f"house{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(500)) + " wretch"
-    assert toxicity.document_parts([text.encode()], scores)[0, 0] == pytest.approx(machine.scores(["wretch"])[0])
+    assert toxicity.document_parts([text.encode()], scores)[0, 0] == pytest.approx(machine.scores(fragments("wretch"))[0])
     assert isinstance(machine, Machine)
