@@ -1,4 +1,4 @@
-"""Product model and document kind from a file name and the opening of the text."""
+"""Product model and document kind from a file name and the text."""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .text import SPACE
 
 # --- fixed values ---
-SCAN_CHARS = 3000  # the rule looks at covers and page heads only
+SCAN_CHARS = 3000  # the opening that the system we match looks at; here only where a caller asks for it
 MODEL_MIN_HITS = 2
 # Standards and formats that look like a model number.
 MODEL_BLOCK = ("ISO", "GB", "GBU", "ASTM", "DIN", "JIS", "EN", "IEC", "HTTP", "WWW", "PDF")
@@ -25,16 +25,20 @@ _MODEL = rf"(?<![A-Za-z0-9_])[A-Z]{{2,4}}[-_{SPACE}]?\d{{3,5}}[A-Z]?(?![A-Za-z0-
 _BLOCKED = rf"^(?:{'|'.join(MODEL_BLOCK)})[-_{SPACE}]?\d"
 
 
-def model_hits(text: Column) -> Column:
+def _opening(text: Column, scan_chars: int | None) -> Column:
+    return text if scan_chars is None else F.substring(text, 1, scan_chars)
+
+
+def model_hits(text: Column, scan_chars: int | None = None) -> Column:
     """Normalised model numbers in order of appearance, repeats kept."""
-    found = F.regexp_extract_all(F.substring(text, 1, SCAN_CHARS), F.lit(_MODEL), F.lit(0))
+    found = F.regexp_extract_all(_opening(text, scan_chars), F.lit(_MODEL), F.lit(0))
     wanted = F.filter(found, lambda m: ~m.rlike(_BLOCKED))
     return F.transform(wanted, lambda m: F.regexp_replace(m, rf"[-_{SPACE}]", ""))
 
 
-def pick_model(text: Column, min_hits: int = MODEL_MIN_HITS) -> Column:
+def pick_model(text: Column, min_hits: int = MODEL_MIN_HITS, scan_chars: int | None = None) -> Column:
     """Most frequent model number, the earliest one on a tie, null below `min_hits`."""
-    hits = model_hits(text)
+    hits = model_hits(text, scan_chars)
     ranked = F.transform(
         F.array_distinct(hits),
         lambda k: F.struct(
@@ -54,10 +58,11 @@ def _kind_in(text: Column) -> Column:
     return kind
 
 
-def pick_kind(name: Column, text: Column) -> Column:
-    return F.coalesce(_kind_in(name), _kind_in(F.substring(text, 1, SCAN_CHARS)))
+def pick_kind(name: Column, text: Column, scan_chars: int | None = None) -> Column:
+    return F.coalesce(_kind_in(name), _kind_in(_opening(text, scan_chars)))
 
 
-def classify(name: Column, text: Column) -> tuple[Column, Column]:
-    """(model, kind): the file name decides, the text fills in."""
-    return F.coalesce(pick_model(name, 1), pick_model(text)), pick_kind(name, text)
+def classify(name: Column, text: Column, scan_chars: int | None = None) -> tuple[Column, Column]:
+    """(model, kind): the file name decides, the text fills in; the whole text, or its first `scan_chars` characters."""
+    model = F.coalesce(pick_model(name, 1, scan_chars), pick_model(text, scan_chars=scan_chars))
+    return model, pick_kind(name, text, scan_chars)

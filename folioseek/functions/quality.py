@@ -20,10 +20,22 @@ def printable_share(text: Column) -> Column:
     return F.when(n > 0, 1 - F.length(F.regexp_replace(text, f"{PRINTABLE}++", "")) / n).otherwise(0.0)
 
 
+def _binary_rounded(x: Column) -> Column:
+    """A share (0 to 1) to 2 decimals by its binary value, as the parsing service rounds.
+
+    Half-way marks are compared as doubles. Where a value is the double nearest to a mark, the mark's own
+    rounding decides; there are a hundred marks, and Python rounds by the binary value.
+    """
+    marks = F.array(*(F.lit(round((2 * j + 1) / 200, 2)) for j in range(101)))
+    j = F.floor(x * 100).cast("int")
+    mark = (2 * j + 1) / 200.0
+    return F.when(x > mark, (j + 1) / 100.0).when(x < mark, j / 100.0).otherwise(F.get(marks, j))
+
+
 def service_quality(text: Column, pages: Column) -> Column:
     """Density rule of the parsing service: characters per page, 0 when empty."""
     per_page = F.length(text) / F.greatest(pages, F.lit(1))
-    dense = F.round(F.least(F.lit(1.0), 0.88 + per_page / 20000), 2)
+    dense = _binary_rounded(F.least(F.lit(1.0), 0.88 + per_page / 20000))
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).when(per_page < 60, 0.3).otherwise(dense)
     )

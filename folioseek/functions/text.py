@@ -115,11 +115,11 @@ def compat_folded(c: Column) -> Column:
     return F.translate(c, _COMPAT_FROM, _COMPAT_TO)
 
 
-def fingerprint(c: Column, side: int | None = FINGERPRINT_SIDE) -> Column:
-    """Content fingerprint `sha256-length`.
+def fingerprint(c: Column, side: int | None = None) -> Column:
+    """Content fingerprint `sha256-length` of the whole text.
 
-    By the rule of the system we match, long texts are fingerprinted on their first and last `side`
-    characters plus the length; `side=None` fingerprints the whole text.
+    With `side` (FINGERPRINT_SIDE in the system we match), texts longer than both sides are fingerprinted on their
+    first and last `side` characters plus the length, and texts that differ only between them count as copies.
     """
     sample = c
     if side is not None:

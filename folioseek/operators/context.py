@@ -138,21 +138,28 @@ def _citation_label(n: Column, name: Column) -> Column:
     return F.coalesce(F.regexp_replace(name, r"(?i)\.[a-z0-9]+\z", ""), F.concat(F.lit("来源"), n))
 
 
+def _names_of_quotes(quoted: DataFrame) -> DataFrame:
+    """(msg_id, n, doc_name), one per number: of repeated numbers the least name."""
+    return quoted.groupBy("msg_id", F.col("n").cast("int").alias("n")).agg(F.min("doc_name").alias("doc_name"))
+
+
 def citations(answers: DataFrame, quoted: DataFrame) -> DataFrame:
-    """(msg_id, at, n, label) for each [来源N] in answers (msg_id, text); `quoted` is (msg_id, n, doc_name)."""
+    """(msg_id, at, n, label) for each [来源N] in answers (msg_id, text); `quoted` is (msg_id, n, doc_name).
+
+    Answers come from a model: a number of any length is a citation; n is null beyond the integers, and the label shows it.
+    """
     found = answers.select(
-        "msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(CITATION), F.lit(1))).alias("at", "n")
-    ).withColumn("n", F.col("n").cast("int"))
-    return found.join(quoted.select("msg_id", "n", "doc_name"), ["msg_id", "n"], "left").select(
-        "msg_id", "at", "n", _citation_label(F.col("n").cast("string"), F.col("doc_name")).alias("label")
+        "msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(CITATION), F.lit(1))).alias("at", "digits")
+    ).withColumn("n", F.expr("try_cast(digits AS int)"))
+    return found.join(_names_of_quotes(quoted), ["msg_id", "n"], "left").select(
+        "msg_id", "at", "n", _citation_label(F.col("digits"), F.col("doc_name")).alias("label")
     )
 
 
 def rendered_answers(answers: DataFrame, quoted: DataFrame) -> DataFrame:
     """Answers with each citation replaced by the name of its document. Quotes per answer are few."""
-    names = quoted.groupBy("msg_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("n").cast("int"), "doc_name"))).alias("names")
-    )
+    named = _names_of_quotes(quoted).filter(F.col("n").isNotNull())
+    names = named.groupBy("msg_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "doc_name"))).alias("names"))
     pieces = F.regexp_extract_all("text", F.lit(rf"(?s){CITATION}|.+?(?={CITATION}|\z)"), F.lit(0))
 
     def shown(piece: Column) -> Column:

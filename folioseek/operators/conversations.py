@@ -72,10 +72,11 @@ def answered_questions(turns: DataFrame) -> DataFrame:
     )
 
 
-def case_drafts(answered: DataFrame, quoted: DataFrame | None = None) -> DataFrame:
+def case_drafts(answered: DataFrame, quoted: DataFrame | None = None, advice_chars: int | None = None) -> DataFrame:
     """Drafts for case records from answered questions, with the documents the answer quoted.
 
-    `quoted` is (conv_id, turn, doc_id, kind); cases among the quotes are not documents.
+    `quoted` is (conv_id, turn, doc_id, kind); cases among the quotes are not documents. The advice is the whole
+    answer, or cut to `advice_chars` (ADVICE_CHARS in the system we match).
     """
     q = trimmed(_asked(F.col("question")))
     advice = trimmed(F.coalesce("answer", F.lit("")))
@@ -84,7 +85,7 @@ def case_drafts(answered: DataFrame, quoted: DataFrame | None = None) -> DataFra
         "turn",
         F.when(q == "", NO_QUESTION).otherwise(clipped(q, DRAFT_TITLE_CHARS)).alias("title"),
         q.alias("problem"),
-        clipped(advice, ADVICE_CHARS).alias("ai_advice"),
+        (advice if advice_chars is None else clipped(advice, advice_chars)).alias("ai_advice"),
     )
     if quoted is None:
         return drafts

@@ -10,7 +10,7 @@ from ..functions.text import rounded
 # --- fixed values ---
 RRF_K = 60
 CASE_WEIGHT, DOC_WEIGHT = 2.5, 1.0
-KEY_CHARS = 80  # hits of one document with the same opening are one hit
+KEY_CHARS = 80  # the opening that names a hit in the system we match; here only where a caller asks for it
 DEFAULT_TOP_K, COMPLIANCE_TOP_K = 8, 12
 LIST_ORDER = {"case": 1, "keyword": 2, "semantic": 3}
 # --- end of fixed values ---
@@ -30,8 +30,11 @@ def pinned_budget(top_k: Column) -> Column:
     return F.greatest(F.ceil(top_k / 3).cast("int"), F.lit(2))
 
 
-def hit_key() -> Column:
-    return F.concat_ws("::", "doc_id", F.substring(F.coalesce("content", F.lit("")), 1, KEY_CHARS))
+def hit_key(key_chars: int | None = None) -> Column:
+    """What makes two hits one: document and position, or document and the first `key_chars` of the content."""
+    if key_chars is None:
+        return F.concat_ws("::", "doc_id", "seq")
+    return F.concat_ws("::", "doc_id", F.substring(F.coalesce("content", F.lit("")), 1, key_chars))
 
 
 def ranked_lists(keyword_hits: DataFrame, semantic_hits: DataFrame | None = None) -> DataFrame:
@@ -54,14 +57,14 @@ def ranked_lists(keyword_hits: DataFrame, semantic_hits: DataFrame | None = None
     )
 
 
-def fuse(lists: DataFrame) -> DataFrame:
+def fuse(lists: DataFrame, key_chars: int | None = None) -> DataFrame:
     """One row per hit key: sum of weight / (60 + rank), the lists it came from, and the first hit seen.
 
     Adds `rrf`, `score` (share of the query's best, 3 decimals), `sources` and `place`.
     """
     seen = F.struct("list_no", "rank")
     fused = (
-        lists.withColumn("hit", hit_key())
+        lists.withColumn("hit", hit_key(key_chars))
         .groupBy("query_id", "hit")
         .agg(
             F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("rrf"),
@@ -82,7 +85,9 @@ def fuse(lists: DataFrame) -> DataFrame:
     )
 
 
-def pinned_rows(chunks: DataFrame, docs: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+def pinned_rows(
+    chunks: DataFrame, docs: DataFrame, queries: DataFrame, most: int | None = None, key_chars: int | None = None
+) -> DataFrame:
     """The first chunks of the pinned documents, up to each query's budget: query_id, doc_id, seq, page_no, content, place.
 
     The opening of the pinned chunks is the same for all queries: it is taken once, to the largest
@@ -99,7 +104,7 @@ def pinned_rows(chunks: DataFrame, docs: DataFrame, queries: DataFrame, most: in
     ).select("query_id", "place", "row.*")
     once = Window.partitionBy("query_id", "hit").orderBy("place")
     return (
-        taken.withColumn("hit", hit_key()).withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
+        taken.withColumn("hit", hit_key(key_chars)).withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
     )
 
 

@@ -67,32 +67,44 @@ def labelled(files: DataFrame, category: str | None) -> DataFrame:
     )
 
 
+def _marked(parsed: DataFrame, library: DataFrame | None, order: list[Column]) -> DataFrame:
+    """Parsed files with hash and is_new. Texts are written once: they are deduplicated, labelled and chunked from there."""
+    return first_copies(written(parsed.withColumn("hash", fingerprint(F.col("text"))), "parsed"), library, order)
+
+
+def _failures(files: DataFrame) -> DataFrame:
+    reason = F.concat("name", F.lit("："), F.coalesce("note", F.lit(NO_TEXT_NOTE)))
+    return files.filter(F.col("text").isNull()).select("doc_id", "name", reason.alias("reason"))
+
+
 def import_files(
     parsed: DataFrame, library: DataFrame | None, order: list[Column], category: str | None = None
 ) -> Import:
     """One import pass over routed files (sources.files.routed plus doc_id and created_at).
 
-    `library` holds the hashes already there. The parsed texts are written once, because they are
-    deduplicated, labelled and chunked from there.
+    `library` holds the hashes already there.
     """
-    hashed = written(parsed.withColumn("hash", fingerprint(F.col("text"))), "parsed")
-    marked = first_copies(hashed, library, order)
+    marked = _marked(parsed, library, order)
     fresh = marked.filter("is_new")
-    failures = fresh.filter(F.col("text").isNull()).select(
-        "doc_id", "name", F.concat("name", F.lit("："), F.coalesce("note", F.lit(NO_TEXT_NOTE))).alias("reason")
-    )
     counts = marked.agg(
         F.count_if(F.col("is_new")).alias("added"),
         F.count_if(~F.col("is_new")).alias("skipped"),
         F.count_if(F.col("is_new") & F.col("text").isNull()).alias("failed"),
     )
-    return Import(labelled(fresh, category), chunk_documents(fresh), failures, counts)
+    return Import(labelled(fresh, category), chunk_documents(fresh), _failures(fresh), counts)
 
 
 def sync_files(
     parsed: DataFrame, library: DataFrame | None, order: list[Column], category: str | None = None
 ) -> Import:
-    """Folder sync: as an import, but files without text are left out and documents are tagged."""
-    done = import_files(parsed.filter(F.col("text").isNotNull()), library, order, category)
-    tagged = done.documents.withColumns({"tags": F.array(F.lit(SYNC_TAG)), "source": F.lit(SYNC_SOURCE)})
-    return Import(tagged, done.chunks, done.failures, done.counts.drop("failed"))
+    """Folder sync: as an import, but files without text are not added; they are reported and counted. Documents are tagged."""
+    marked = _marked(parsed, library, order)
+    readable = F.col("text").isNotNull()
+    fresh = marked.filter(F.col("is_new") & readable)
+    counts = marked.agg(
+        F.count_if(F.col("is_new") & readable).alias("added"),
+        F.count_if(~F.col("is_new")).alias("skipped"),
+        F.count_if(~readable).alias("unreadable"),
+    )
+    tagged = labelled(fresh, category).withColumns({"tags": F.array(F.lit(SYNC_TAG)), "source": F.lit(SYNC_SOURCE)})
+    return Import(tagged, chunk_documents(fresh), _failures(marked), counts)

@@ -14,7 +14,7 @@ from ..functions.text import compat_folded, trimmed
 # --- fixed values ---
 TYPE_OF = {"pdf": "pdf", "doc": "word", "docx": "word", "md": "md", "markdown": "md"}
 OTHER_TYPE = "txt"
-MAX_BYTES = 48 * 1024 * 1024
+MAX_BYTES = 48 * 1024 * 1024  # the limit of the system we match; here only where a caller asks for it
 PLAIN = r"(?i)\.(?:txt|md|markdown)\z"
 OLD_WORD, WORD, PAGED = r"(?i)\.doc\z", r"(?i)\.docx\z", r"(?i)\.pdf\z"
 NOTE_TOO_LARGE = ("文件过大（", " MB），为避免手机内存不足已跳过解析。")
@@ -65,15 +65,20 @@ def _extracted(make_extractor: Callable[[], Extractor]):
     return extract
 
 
-def routed(files: DataFrame, make_extractor: Callable[[], Extractor] | None = None, by_service: bool = False) -> DataFrame:
+def routed(
+    files: DataFrame,
+    make_extractor: Callable[[], Extractor] | None = None,
+    by_service: bool = False,
+    max_bytes: int | None = None,
+) -> DataFrame:
     """Files with text, source (nas/local/none), quality, pages and note.
 
     Plain files are decoded here. PDF and DOCX bytes go to the caller's extractor; `by_service` says
     it is the high-quality parsing service, whose paged texts are scored by their density. One pass:
-    only bytes that need the extractor are sent to it.
+    only bytes that need the extractor are sent to it. Files above `max_bytes`, if given, get a note instead of a text.
     """
     name = F.col("name")
-    too_large = F.col("size") > MAX_BYTES
+    too_large = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     binary = ~too_large & (name.rlike(WORD) | name.rlike(PAGED))
     if make_extractor is None:
         none = F.lit(None)

@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 
+from folioseek.functions.text import fingerprint
 from folioseek.operators.library import reclassified, stale_categories
 from folioseek.plans.ingest import first_copies, import_files, sync_files
-from folioseek.sources.files import file_type, read_files, routed
-from folioseek.streaming.sync import add_batch, sync_folder
+from folioseek.sources.files import MAX_BYTES, file_type, read_files, routed
+from folioseek.streaming.sync import add_batch, finished, sync_folder, synced
 
 
 def extractor():
@@ -44,9 +45,10 @@ def test_routes(spark, tmp_path):
     assert served["b.PDF"].source == "nas" and served["b.PDF"].quality >= 0.88
 
 
-def test_too_large_is_skipped(spark):
+def test_size_limit_is_an_argument(spark):
     files = spark.createDataFrame([("big.pdf", 49 * 1024 * 1024, bytearray(b"x"))], "name string, size bigint, content binary")
-    row = routed(files, extractor).first()
+    assert routed(files.withColumn("content", F.lit(BODY)), extractor).first().text is not None
+    row = routed(files, extractor, max_bytes=MAX_BYTES).first()
     assert row.text is None and row.note == "文件过大（49.0 MB），为避免手机内存不足已跳过解析。"
 
 
@@ -66,7 +68,8 @@ def test_import_pass(spark, tmp_path):
     assert done.counts.first().asDict() == {"added": 4, "skipped": 1, "failed": 2}
     assert {r.reason for r in done.failures.collect()} == {"c.pdf：未检测到文本层，可能是扫描件（需要 OCR）", "d.pdf：未检测到文本层，可能是扫描件（需要 OCR）"}
     again = sync_files(parsed(spark, tmp_path / "in"), done.documents, [F.col("name")])
-    assert again.counts.first().asDict() == {"added": 0, "skipped": 3}
+    assert again.counts.first().asDict() == {"added": 0, "skipped": 3, "unreadable": 2}
+    assert {r.name for r in again.failures.collect()} == {"c.pdf", "d.pdf"}
     fresh = sync_files(parsed(spark, tmp_path / "in"), None, [F.col("name")])
     assert all(r.tags == ["NAS"] and r.source == "nas" for r in fresh.documents.collect())
 
@@ -82,33 +85,66 @@ def test_reclassify_modes(spark):
     docs = spark.createDataFrame([("a", "x.pdf", "OLD1", None), ("b", "CY1578.pdf", None, "spec")], "doc_id string, name string, model string, kind string")
     chunks = spark.createDataFrame([("a", 0, "HY5192 COA"), ("a", 1, "HY5192"), ("a", 2, "z" * 4000), ("a", 3, "CY999 CY999 CY999")], "doc_id string, seq int, content string")
     view = lambda df: {r.doc_id: (r.model, r.kind) for r in df.collect()}
-    assert view(reclassified(docs, chunks)) == {"a": ("HY5192", "report"), "b": ("CY1578", "spec")}
+    assert view(reclassified(docs, chunks)) == {"a": ("CY999", "report"), "b": ("CY1578", "spec")}
+    assert view(reclassified(docs, chunks, scan_chars=3000)) == {"a": ("HY5192", "report"), "b": ("CY1578", "spec")}
     assert view(reclassified(docs, chunks, fill_only=True)) == {"a": ("OLD1", "report"), "b": ("CY1578", "spec")}
     listed = spark.createDataFrame([("A",)], "category string")
     stale = docs.withColumn("category", F.when(F.col("doc_id") == "a", "B").otherwise("A"))
     assert [r.doc_id for r in stale_categories(stale, listed).collect()] == ["a"]
 
 
+def test_texts_that_differ_in_the_middle_are_different(spark):
+    side = "x" * 60_000
+    rows = [(name, side + middle * 20_000 + side, at) for name, middle, at in (("a", "m", 1), ("b", "n", 2), ("c", "m", 3))]
+    files = spark.createDataFrame(rows, "doc_id string, text string, at int")
+    hashed = files.withColumn("hash", fingerprint(F.col("text")))
+    assert {r.doc_id for r in first_copies(hashed, None, [F.col("at")]).filter("is_new").collect()} == {"a", "b"}
+    sampled = files.withColumn("hash", fingerprint(F.col("text"), 60_000))
+    assert {r.doc_id for r in first_copies(sampled, None, [F.col("at")]).filter("is_new").collect()} == {"a"}
+
+
+def names_in(spark, table):
+    return sorted(r.name for r in synced(spark, table, "documents").collect())
+
+
 def test_stream_sync(spark, tmp_path):
     folder, table, mark = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "mark")
     sync = lambda m: sync_folder(spark, str(folder), table, m, make_extractor=extractor).awaitTermination()
-    names = lambda: sorted(r.name for r in spark.read.parquet(f"{table}/documents").collect())
     write_files(folder, a__txt=BODY, b__txt=b"second text", c__md=b" ")
     sync(mark)
-    assert names() == ["a.txt", "b.txt"]
+    assert names_in(spark, table) == ["a.txt", "b.txt"]
+    assert [r.unreadable for r in finished(spark, table).collect()] == [1]
+    assert [r.name for r in synced(spark, table, "unreadable").collect()] == ["c.md"]
     sync(mark)
     write_files(folder, d__txt=BODY, e__txt=b"third text")
     sync(mark)
-    assert names() == ["a.txt", "b.txt", "e.txt"]
-    sync(str(tmp_path / "other"))
-    assert names() == ["a.txt", "b.txt", "e.txt"]
-    assert {r.doc_id for r in spark.read.parquet(f"{table}/chunks").collect()} == {r.doc_id for r in spark.read.parquet(f"{table}/documents").collect()}
+    assert names_in(spark, table) == ["a.txt", "b.txt", "e.txt"]
+    sync(str(tmp_path / "other"))  # a lost checkpoint reads all files again and adds nothing
+    assert names_in(spark, table) == ["a.txt", "b.txt", "e.txt"]
+    assert spark.read.parquet(f"{table}/documents").count() == 3
+    chunked = {r.doc_id for r in synced(spark, table, "chunks").collect()}
+    assert chunked == {r.doc_id for r in synced(spark, table, "documents").collect()}
+
+
+def test_two_folders_in_one_table(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for turn in range(2):
+        for name in ("one", "two"):
+            write_files(tmp_path / name, **{f"{name}{i}__txt": f"text {name} {i}".encode() for i in range(3)})
+            checkpoint = str(tmp_path / f"mark-{name}")
+            sync_folder(spark, str(tmp_path / name), table, checkpoint, make_extractor=extractor).awaitTermination()
+        assert names_in(spark, table) == [f"{n}{i}.txt" for n in ("one", "two") for i in range(3)]
+        assert spark.read.parquet(f"{table}/documents").count() == 6
 
 
-def test_a_batch_written_twice_is_written_once(spark, tmp_path):
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
     write_files(tmp_path / "in", a__txt=BODY, b__txt=b"second text")
     files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
     table = str(tmp_path / "table")
     for _ in range(2):
-        add_batch(files, 7, table, extractor, None)
-        assert spark.read.parquet(f"{table}/documents").count() == 2
+        add_batch(files, 7, table, "sync", extractor)
+        assert names_in(spark, table) == ["a.txt", "b.txt"]
+    add_batch(files.limit(0), 7, table, "sync", extractor)
+    assert names_in(spark, table) == []
+    add_batch(files, 7, table, "another", extractor)
+    assert names_in(spark, table) == ["a.txt", "b.txt"]

@@ -44,12 +44,11 @@ def test_split_tags(value):
     assert value(lambda c: text.split_tags(c, on_space=False), "a b，c、 ,c") == ["a b", "c"]
 
 
-def test_fingerprint_samples_only_long_texts(value):
+def test_fingerprint_samples_only_where_asked(value):
     middle = lambda ch: "a" * 60_000 + ch * 10 + "b" * 60_000
-    same = value(text.fingerprint, middle("x"))
-    assert same == value(text.fingerprint, middle("y"))
-    whole = lambda c: text.fingerprint(c, side=None)
-    assert value(whole, middle("x")) != value(whole, middle("y"))
+    sampled = lambda c: text.fingerprint(c, side=text.FINGERPRINT_SIDE)
+    assert value(sampled, middle("x")) == value(sampled, middle("y"))
+    assert value(text.fingerprint, middle("x")) != value(text.fingerprint, middle("y"))
     assert value(text.fingerprint, "ab") != value(text.fingerprint, "ba")
     assert value(text.fingerprint, "") is None
 
@@ -89,8 +88,10 @@ def test_classify(value, name, body, model, kind):
     assert tuple(value(lambda n, t: F.struct(*classify(n, t)), name, body)) == (model, kind)
 
 
-def test_model_scan_stops_at_the_opening(value):
-    assert value(pick_model, "x" * 3000 + " CY1578 CY1578") is None
+def test_model_scan_reads_whole_texts_unless_asked(value):
+    late = "x" * 3000 + " CY1578 CY1578"
+    assert value(pick_model, late) == "CY1578"
+    assert value(lambda c: pick_model(c, scan_chars=3000), late) is None
 
 
 @pytest.mark.parametrize(
@@ -121,3 +122,9 @@ def test_quality(value):
     low = value(lambda c: quality.paged_quality(c, F.lit(1)), "x" * 10)
     assert not low["has_text"] and low["note"] == quality.NOTE_NO_TEXT_LAYER
     assert value(quality.flow_quality, "正文内容足够长的一段文字")["quality"] == 1.0
+
+
+def test_service_quality_rounds_the_binary_value(spark):
+    n = spark.range(60, 2500).select("id", quality.service_quality(F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit(1)).alias("q"))
+    for r in n.collect():
+        assert r.q == round(min(1.0, 0.88 + r.id / 20000), 2), r.id
