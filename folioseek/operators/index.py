@@ -1,9 +1,12 @@
 """Keyword index as ordinary tables, built once and queried many times.
 
-corpus     chunk_no, doc_id, seq, page_no, content, tokens, dl   one row per chunk or case
-postings   term, chunk_no, doc_id, tf, dl                        all terms of a chunk in one file, sorted by term
-terms      term, df                                              vocabulary, sorted by term
-size       n, avgdl                                              two numbers about the whole corpus
+corpus     chunk_no, block, at, doc_id, seq, page_no, content, tokens, dl   one row per chunk or case
+postings   block, lists (term, at, tf), chunks                             one row per BLOCK chunks: their inverted lists
+terms      term, df                                                        vocabulary, sorted by term
+size       n, avgdl                                                        two numbers about the whole corpus
+
+A row of postings also holds the chunks themselves, so that a search reads nothing else, and a row is never
+cut by the splits of a file. `at` is the place of a chunk in its block.
 """
 from __future__ import annotations
 
@@ -20,8 +23,13 @@ K1 = 1.2  # term frequency saturation
 B = 0.75  # length normalisation
 # --- end of fixed values ---
 
-CORPUS = "chunk_no bigint, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
-POSTINGS = "term string, chunk_no bigint, doc_id string, tf int, dl int"
+BLOCK = 256  # chunks whose postings lie together; a power of 2
+CHUNK = "at int, doc_id string, seq int, page_no int, dl int, content string"
+CORPUS = "chunk_no bigint, block bigint, at int, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
+POSTINGS = (
+    "block bigint, lists array<struct<term:string,at:array<int>,tf:array<int>>>, "
+    f"chunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>"
+)
 TERMS = "term string, df bigint"
 
 
@@ -47,8 +55,8 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     """Index (doc_id, seq, content, page_no) under `path`.
 
     The corpus is tokenised once; the later writes read only the columns they need of the one
-    before. Postings are spread by chunk, not by term: a term found in most chunks is cut over all
-    files, and the scores of a chunk add up inside the task that reads its file. `chunk_no` is
+    before. Postings are spread by block, not by term: a term found in most chunks is cut over all
+    files, and the scores of a chunk add up inside the task that reads its block. `chunk_no` is
     fixed by the corpus write, and everything else derives from the written corpus.
     """
     spark = rows.sparkSession
@@ -56,31 +64,45 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     if not unique_keys:
         rows = first_seen(rows, ["doc_id", "seq"], [F.col("content")])
     body = F.coalesce("content", F.lit(""))
-    corpus = rows.select(
-        F.monotonically_increasing_id().alias("chunk_no"), "*", index_tokens(body).alias("tokens")
-    ).withColumn("dl", F.greatest(F.size("tokens"), F.lit(1)))
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus = rows.select(F.monotonically_increasing_id().alias("chunk_no"), "*", index_tokens(body).alias("tokens"))
+    corpus = corpus.withColumns(
+        {
+            "dl": F.greatest(F.size("tokens"), F.lit(1)),
+            "block": F.floor(F.col("chunk_no") / BLOCK),
+            "at": (F.col("chunk_no") % BLOCK).cast("int"),
+        }
+    )
+    names = [c.split()[0] for c in CORPUS.split(", ")]
+    corpus.select(*names).write.mode("overwrite").parquet(f"{path}/corpus")
     corpus = spark.read.schema(CORPUS).parquet(f"{path}/corpus")
 
     corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl")).write.mode(
         "overwrite"
     ).parquet(f"{path}/size")
 
-    # One shuffle, of token arrays; the count and the sort happen inside the resulting partitions.
+    # One shuffle, of chunks; counts, lists and blocks are made inside the resulting partitions.
+    chunk = F.struct("at", "doc_id", "seq", "page_no", "dl", "content")
+    spread = corpus.repartition("block").select(
+        "block", "at", chunk.alias("chunk"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")
+    )
+    counted = spread.select("block", "at", "term", F.when(F.col("term") == "", F.col("chunk")).alias("chunk"))
+    counted = counted.groupBy("block", "term", "at").agg(F.count("*").cast("int").alias("tf"), F.first("chunk").alias("chunk"))
+    lists = counted.groupBy("block", "term").agg(
+        F.array_sort(F.collect_list(F.struct("at", "tf"))).alias("uses"), F.array_sort(F.collect_list("chunk")).alias("chunks")
+    )
+    one = F.struct("term", F.transform("uses", lambda u: u["at"]).alias("at"), F.transform("uses", lambda u: u["tf"]).alias("tf"))
     (
-        corpus.select("chunk_no", "doc_id", "dl", "tokens")
-        .repartition("chunk_no")
-        .select("chunk_no", "doc_id", "dl", F.explode("tokens").alias("term"))
-        .groupBy("term", "chunk_no", "doc_id", "dl")
-        .agg(F.count("*").cast("int").alias("tf"))
-        .sortWithinPartitions("term", "chunk_no")
+        lists.select("block", F.when(F.col("term") != "", one).alias("list"), F.when(F.col("term") == "", F.col("chunks")).alias("chunks"))
+        .groupBy("block")
+        .agg(F.array_sort(F.collect_list("list")).alias("lists"), F.first("chunks", ignorenulls=True).alias("chunks"))
         .write.mode("overwrite")
         .parquet(f"{path}/postings")
     )
     postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     (
-        postings.groupBy("term")
-        .agg(F.count("*").alias("df"))
+        postings.select(F.explode("lists").alias("l"))
+        .groupBy("l.term")
+        .agg(F.sum(F.size("l.at")).alias("df"))
         .sortWithinPartitions("term")
         .write.mode("overwrite")
         .parquet(f"{path}/terms")
@@ -99,6 +121,13 @@ def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     )
 
 
+def occurrences(index: KeywordIndex) -> DataFrame:
+    """(term, chunk_no, tf): the postings one by one."""
+    lists = index.postings.select("block", F.explode("lists").alias("l"))
+    lists = lists.select("block", "l.term", F.explode(F.arrays_zip("l.at", "l.tf")).alias("u"))
+    return lists.select("term", (F.col("block") * BLOCK + F.col("u.at")).alias("chunk_no"), F.col("u.tf").alias("tf"))
+
+
 def scratch_index(rows: DataFrame, label: str, **options) -> KeywordIndex:
     """An index in the scratch folder, for one run."""
     import uuid

@@ -1,23 +1,22 @@
 """BM25 for a table of queries over a keyword index, with whole-phrase boost; exact top k.
 
-Two ways to the same hits. Where the query terms have few postings in all, terms and postings are
-joined. A common term occurs in most chunks, and that join would emit queries x chunks rows; beyond
-a measured number of pairs the chunks are scored in their own tasks instead, and only the best of
-each task leave it.
+A search reads the postings of its terms and the chunks beside them, block by block, once for each block of
+queries. Scores add up inside the task that holds the block; only the best hits of each task leave it, with their text.
 """
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import is_case
+from ..functions.labels import CASE_ID_PREFIX, is_case
 from ..functions.text import FULL_WIDTH, HALF_WIDTH, HAN, flat, index_tokens, query_tokens, rounded
-from .blocks import ScopeMask, TermBlock, query_blocks, scored_in_tasks
+from .blocks import ScopeMask, Scores, scored_in_tasks
 from .index import KeywordIndex, idf, term_part
 from .scope import Scope
 from .tables import row_top, written
@@ -28,10 +27,9 @@ PHRASE_MIN = 2  # characters a query needs, once flattened, to count as a phrase
 MATCHED_SHOWN = 6
 # --- end of fixed values ---
 
-PAIR = ["query_id", "chunk_no"]
-JOINED_SHARE = 0.25  # terms and postings are joined up to this many pairs per chunk of the corpus
-PUSHED_TERMS = 1000  # up to this many terms become a scan filter on the term-sorted files
-TERM_BYTES = 64  # room for one query term in a query block
+KEPT = {"doc_id": "string", "seq": "int", "page_no": "int", "content": "string"}
+ORDER = [("is_case", "ascending"), ("doc_id", "ascending"), ("seq", "ascending")]
+BATCH_BLOCKS = 32  # blocks of postings in memory at a time
 SLACK = 1e-6  # room for float addition order when scores are compared with a bound
 
 
@@ -52,98 +50,83 @@ def query_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     )
 
 
-def _joined_scores(index: KeywordIndex, terms: DataFrame, n_terms: int, scope: Scope | None) -> DataFrame:
-    """(query_id, chunk_no, raw) of every scoring pair, as a join of query terms and postings."""
-    postings = index.postings
-    if n_terms <= PUSHED_TERMS:
-        words = {r["term"] for r in terms.select("term").collect()}
-        postings = postings.filter(F.col("term").isin(sorted(words)))
-    by = PAIR + (["doc_id"] if scope and scope.active else [])
-    part = F.col("idf") * term_part(F.col("tf"), F.col("dl"), index.avgdl)
-    scores = postings.join(terms.select("query_id", "term", "idf"), "term").groupBy(*by).agg(F.sum(part).alias("raw"))
-    return (scope.keep(scores) if scope else scores).select(*PAIR, "raw")
-
-
-def _bm25_matrix(avgdl: float, max_depth: int, scoped: bool):
-    """Scorer for `scored_in_tasks`: BM25, then the phrase boost where it can matter."""
+def _phrase_scores(scores: np.ndarray, contents: pa.Array, phrases: list[str], floor: np.ndarray, depth: int) -> None:
+    """Add the boost where a whole phrase is in the text; only where it can lift a hit into the result."""
     width = str.maketrans(FULL_WIDTH, HALF_WIDTH)
     other = re.compile(f"[^0-9a-z{HAN}]+")
-
-    def prepare(queries: pa.Table):
-        terms = TermBlock(queries["terms"].combine_chunks())
+    least = floor / 1e9
+    if scores.shape[1] >= depth:
+        least = np.maximum(least, np.partition(scores, -depth, axis=1)[:, -depth])
+    near = (scores > 0) & (scores + PHRASE_BOOST + SLACK >= least[:, None])
+    near[[len(p) < PHRASE_MIN for p in phrases]] = False
+    for r in np.nonzero(near.any(axis=0))[0]:
+        text = other.sub("", (contents[r].as_py() or "").lower().translate(width))
+        for q in np.nonzero(near[:, r])[0]:
+            if phrases[q] in text:
+                scores[q, r] += PHRASE_BOOST
+
+
+def _bm25(avgdl: float, depth: int, scoped: bool):
+    """Scorer for `scored_in_tasks` over rows of postings: BM25, scope, then the phrase boost."""
+
+    def prepare(queries: pa.Table) -> Scores:
+        asked_by: dict[str, tuple[list[int], float]] = {}
+        for q, terms in enumerate(queries["terms"].to_pylist()):
+            for t in terms:
+                asked_by.setdefault(t["term"], ([], t["weight"]))[0].append(q)
+        vocabulary = pa.array(list(asked_by), pa.string())
+        weighed = list(asked_by.values())
         phrases = queries["phrase"].to_pylist()
         mask = ScopeMask(queries) if scoped else None
 
-        def score(batch: pa.RecordBatch, floor: np.ndarray) -> np.ndarray:
-            dl = np.asarray(batch.column("dl"))
-            scores = terms.scores(batch.column("tokens"), lambda row, tf: term_part(tf, dl[row], avgdl))
-            if mask:
-                mask.apply(scores, batch, np.asarray(batch.column("is_case")))
-            least = floor / 1e9
-            if batch.num_rows >= max_depth:
-                least = np.maximum(least, np.partition(scores, -max_depth, axis=1)[:, -max_depth])
-            near = (scores > 0) & (scores + PHRASE_BOOST + SLACK >= least[:, None])
-            near[[len(p) < PHRASE_MIN for p in phrases]] = False
-            for r in np.nonzero(near.any(axis=0))[0]:
-                text = other.sub("", batch.column("content")[r].as_py().lower().translate(width))
-                for q in np.nonzero(near[:, r])[0]:
-                    if phrases[q] in text:
-                        scores[q, r] += PHRASE_BOOST
-            return scores
-
-        return score
+        def run(batches: Iterator[pa.RecordBatch], floor: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+            for batch in batches:
+                column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                for i in range(batch.num_rows):
+                    chunks, lists = _chunk_rows(column["chunks"][i].values), column["lists"][i].values
+                    scores, dl = np.zeros((len(phrases), chunks.num_rows)), np.asarray(chunks.column("dl"))
+                    # chunks are in order of their places, but a block may have gaps
+                    places = np.asarray(chunks.column("at"))
+                    known = pc.index_in(lists.field("term"), value_set=vocabulary) if lists is not None else pa.array([], pa.int32())
+                    for j in np.flatnonzero(np.asarray(known.is_valid())):
+                        by, weight = weighed[known[j].as_py()]
+                        at = np.searchsorted(places, np.asarray(lists.field("at")[j].values))
+                        tf = np.asarray(lists.field("tf")[j].values)
+                        scores[np.ix_(by, at)] += weight * term_part(tf, dl[at], avgdl)
+                    if mask:
+                        facets = column["facets"][i].as_py() or []
+                        mask.apply(scores, _with_facets(chunks, facets), np.asarray(chunks.column("is_case")))
+                    _phrase_scores(scores, chunks.column("content"), phrases, floor, depth)
+                    yield chunks, scores
+
+        return run
 
     return prepare
 
 
-def _scanned_best(
-    index: KeywordIndex, queries: DataFrame, terms: DataFrame, n_terms: int, max_depth: int, scope: Scope | None
-) -> DataFrame:
-    """(query_id, chunk_no, doc_id, seq, raw): the best of each slice, from one scan of the corpus per query block."""
-    scoped = bool(scope and scope.active)
-    rows = index.corpus.select("chunk_no", "doc_id", "seq", "dl", "tokens", "content", is_case(F.col("doc_id")).alias("is_case"))
-    packed = F.collect_list(F.struct("term", F.col("idf").alias("weight")))
-    asked = terms.groupBy("query_id").agg(packed.alias("terms"))
-    asked = asked.join(queries.select("query_id", flat(F.col("text")).alias("phrase")), "query_id")
-    if scoped:
-        rows, asked = scope.attach(rows), asked.join(scope.queries, "query_id")
-    scorer = _bm25_matrix(index.avgdl, max_depth, scoped)
-    order = [("is_case", "ascending"), ("doc_id", "ascending"), ("seq", "ascending")]
-    parts = [
-        scored_in_tasks(rows, block, scorer, ["chunk_no", "doc_id", "seq"], max_depth, order)
-        for block in query_blocks(asked, n_terms * TERM_BYTES)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _joined_best(
-    index: KeywordIndex, queries: DataFrame, terms: DataFrame, n_terms: int, max_depth: int, scope: Scope | None
-) -> DataFrame:
-    """The same from all scoring pairs: those that a boost could lift into the result are tested for the phrase."""
-    scored = written(_joined_scores(index, terms, n_terms, scope), "scored")
-    phrase = queries.select("query_id", flat(F.col("text")).alias("phrase"))
-    shortlist = (
-        scored.join(_kth(scored, queries, max_depth), "query_id", "left")
-        .filter(F.col("raw") + PHRASE_BOOST >= F.coalesce("floor", F.lit(0.0)))
-        .join(phrase, "query_id")
-        .select(*PAIR, "raw", "phrase")
-    )
-    said = (F.length("phrase") >= PHRASE_MIN) & F.contains(flat(F.col("content")), F.col("phrase"))
-    return (
-        index.corpus.select("chunk_no", "doc_id", "seq", "content")
-        .join(written(shortlist, "shortlist"), "chunk_no")
-        .select(*PAIR, "doc_id", "seq", (F.col("raw") + F.when(said, PHRASE_BOOST).otherwise(0.0)).alias("raw"))
-    )
+def _chunk_rows(chunks: pa.StructArray) -> pa.RecordBatch:
+    rows = pa.RecordBatch.from_struct_array(chunks)
+    case = pc.starts_with(pc.fill_null(rows.column(rows.schema.get_field_index("doc_id")), ""), CASE_ID_PREFIX)
+    return rows.append_column("is_case", case)
 
 
-def _kth(scores: DataFrame, queries: DataFrame, max_depth: int, score: str = "raw") -> DataFrame:
-    """(query_id, floor): the score of each query's last place, 0 while places are free."""
-    top = row_top(scores, ["query_id"], [F.col(score).desc()], max_depth)
-    return (
-        top.join(queries.select("query_id", "depth"), "query_id")
-        .filter(F.col("rank") == F.col("depth"))
-        .select("query_id", (F.col(score) - SLACK).alias("floor"))
-    )
+def _with_facets(chunks: pa.RecordBatch, facets: list[dict]) -> pa.RecordBatch:
+    """The chunks with pinned, category and tags of their documents."""
+    of = {f["doc_id"]: f for f in facets}
+    mine = [of.get(d) for d in chunks.column(chunks.schema.get_field_index("doc_id")).to_pylist()]
+    kinds = {"pinned": pa.bool_(), "category": pa.string(), "tags": pa.list_(pa.string())}
+    for name, kind in kinds.items():
+        chunks = chunks.append_column(name, pa.array([f and f[name] for f in mine], kind))
+    return chunks
+
+
+def _postings_of(index: KeywordIndex, scope: Scope | None) -> DataFrame:
+    """The postings, with the facets of the block's documents where a scope is asked for."""
+    if scope is None:
+        return index.postings
+    seen = scope.docs.select("doc_id", F.struct("doc_id", "pinned", "category", "tags").alias("facet"))
+    facets = index.corpus.select("block", "doc_id").distinct().join(seen, "doc_id").groupBy("block")
+    return index.postings.join(facets.agg(F.collect_list("facet").alias("facets")), "block", "left")
 
 
 def with_depth(queries: DataFrame, depth: int, max_depth: int | None) -> tuple[DataFrame, int]:
@@ -158,31 +141,30 @@ def keyword_search(
     queries: DataFrame,
     depth: int = 10,
     scope: Scope | None = None,
-    joined: bool | None = None,
     max_depth: int | None = None,
 ) -> DataFrame:
     """Top hits per query: query_id, rank, doc_id, seq, page_no, content, raw, score, matched.
 
-    `queries` needs query_id and text, and may give its own `depth`. Chunk text is joined to the
-    final places only.
+    `queries` needs query_id and text, and may give its own `depth`.
     """
     queries, max_depth = with_depth(queries, depth, max_depth)
+    scope = scope if scope and scope.active else None
     terms = written(query_terms(index, queries), "query-terms")
-    total = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
-    if joined is None:
-        joined = total["pairs"] <= JOINED_SHARE * index.n
-    best = (_joined_best if joined else _scanned_best)(index, queries, terms, total["n"], max_depth, scope)
+    packed = F.collect_list(F.struct("term", F.col("idf").alias("weight")))
+    asked = terms.groupBy("query_id").agg(packed.alias("terms"))
+    asked = asked.join(queries.select("query_id", flat(F.col("text")).alias("phrase")), "query_id")
+    if scope:
+        asked = asked.join(scope.queries, "query_id")
+    scorer = _bm25(index.avgdl, max_depth, scope is not None)
+    best = scored_in_tasks(_postings_of(index, scope), asked, scorer, KEPT, max_depth, ORDER, BATCH_BLOCKS)
     top = row_top(best, ["query_id"], score_order("raw"), max_depth).join(queries.select("query_id", "depth"), "query_id")
-    top = written(top.filter(F.col("rank") <= F.col("depth")).drop("depth", "doc_id", "seq"), "top")
 
     wanted = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("weight"), "pos", "term")))
-    asked = terms.groupBy("query_id").agg(wanted.alias("asked"))
-    # The few final texts are tokenised again, which spares reading the token column of the corpus.
+    known = terms.groupBy("query_id").agg(wanted.alias("asked"))
     present = F.filter("asked", lambda a: F.array_contains(F.col("held"), a["term"]))
     return (
-        index.corpus.select("chunk_no", "doc_id", "seq", "page_no", "content")
-        .join(top, "chunk_no")
-        .join(asked, "query_id")
+        top.filter(F.col("rank") <= F.col("depth"))
+        .join(known, "query_id")
         .withColumn("held", index_tokens(F.col("content")))
         .select(
             "query_id",

@@ -1,7 +1,6 @@
 """The document library: listings, facets, bulk edits, reclassification, name search."""
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.classify import SCAN_CHARS, classify
+from ..functions.classify import classify
 from ..functions.text import clean_tags, index_tokens, null_if_blank, query_tokens, rounded, size_text
-from .blocks import TermBlock, query_blocks, scored_in_tasks
-from .keyword import TERM_BYTES
+from .blocks import Scores, TermBlock, scored_in_tasks, sliced
 from .tables import row_top
 
 # --- fixed values ---
@@ -164,22 +162,21 @@ def valid_category(name: str | None, categories: list[str]) -> str | None:
     return name if name in categories else None
 
 
-def reclassified(docs: DataFrame, chunks: DataFrame, fill_only: bool = False) -> DataFrame:
-    """Model and kind again from the stored chunks.
+def reclassified(docs: DataFrame, chunks: DataFrame, fill_only: bool = False, scan_chars: int | None = None) -> DataFrame:
+    """Model and kind again from the stored chunks: their whole text, or its first `scan_chars` characters.
 
-    `fill_only` keeps labels that are set; otherwise a new label wins and an old one stays where
-    nothing was found. Only the opening chunks that the rule reads are joined together.
+    `fill_only` keeps labels that are set; otherwise a new label wins and an old one stays where nothing was found.
+    With `scan_chars`, chunks too far behind to be part of the opening are left out before any shuffle: a chunk adds
+    at least two characters to the text, and positions have no gaps.
     """
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
-    opening = (
-        chunks.select("doc_id", "seq", "content", start.alias("start"))
-        .filter(F.col("start") <= SCAN_CHARS)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("parts"))
-        .select("doc_id", F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("_text"))
+    read = chunks.select("doc_id", "seq", "content")
+    if scan_chars is not None:
+        read = read.filter(F.col("seq") <= scan_chars // 2)
+    parts = F.array_sort(F.collect_list(F.struct("seq", "content")))
+    opening = read.groupBy("doc_id").agg(parts.alias("parts")).select(
+        "doc_id", F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("_text")
     )
-    model, kind = classify(F.col("name"), F.coalesce("_text", F.lit("")))
+    model, kind = classify(F.col("name"), F.coalesce("_text", F.lit("")), scan_chars)
     found = docs.join(opening, "doc_id", "left").withColumns({"_model": model, "_kind": kind})
     first, second = ("", "_") if fill_only else ("_", "")
     return found.withColumns(
@@ -189,7 +186,7 @@ def reclassified(docs: DataFrame, chunks: DataFrame, fill_only: bool = False) ->
 
 # ---- search over names, and over everything
 
-def _name_matrix(queries: pa.Table):
+def _name_scores(queries: pa.Table) -> Scores:
     terms = TermBlock(queries["terms"].combine_chunks())
     asked = np.asarray(pc.list_value_length(queries["terms"].combine_chunks()))[:, None]
 
@@ -197,7 +194,7 @@ def _name_matrix(queries: pa.Table):
         hits = terms.scores(batch.column("tokens"), lambda row, count: np.ones(len(row)))
         return hits / asked * NAME_COVERAGE + hits * NAME_HIT
 
-    return score
+    return sliced(score, len(queries))
 
 
 def name_search(docs: DataFrame, queries: DataFrame, limit: int = GLOBAL_LIMIT) -> DataFrame:
@@ -207,14 +204,10 @@ def name_search(docs: DataFrame, queries: DataFrame, limit: int = GLOBAL_LIMIT)
     """
     weighted = F.transform(query_tokens(F.col("text")), lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("weight")))
     asked = queries.select("query_id", weighted.alias("terms")).filter(F.size("terms") > 0)
-    size = asked.agg(F.sum(F.size("terms") * TERM_BYTES)).first()[0] or 0
     rows = docs.select("doc_id", "created_at", index_tokens(F.col("name")).alias("tokens"))
     order = [("created_at", "descending"), ("doc_id", "ascending")]
-    parts = [
-        scored_in_tasks(rows, block, _name_matrix, ["doc_id", "created_at"], limit, order)
-        for block in query_blocks(asked, size)
-    ]
-    found = reduce(DataFrame.unionByName, parts).withColumnRenamed("raw", "score")
+    keep = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "created_at")}
+    found = scored_in_tasks(rows, asked, _name_scores, keep, limit, order).withColumnRenamed("raw", "score")
     best = [rounded(F.col("score"), 9).desc(), F.col("created_at").desc(), F.col("doc_id")]
     return row_top(found, ["query_id"], best, limit)
 

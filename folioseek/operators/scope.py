@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_case
+from .tables import written
+
 ANY = "*"
 SCOPE_COLUMNS = ("only_pinned", "scope_category", "scope_tags")
 
@@ -31,7 +33,7 @@ def restricted() -> Column:
 
 
 def _facet_keys(docs: DataFrame) -> DataFrame:
-    """Every (pin, category, tag) key a document answers to; ANY stands for an absent condition."""
+    """Every (pin, category, tag) key a row with facets answers to; ANY stands for an absent condition."""
     pin = F.when(F.coalesce("pinned", F.lit(False)), F.array(F.lit(ANY), F.lit("p"))).otherwise(F.array(F.lit(ANY)))
     category = F.array_compact(F.array(F.lit(ANY), F.concat(F.lit("="), F.col("category"))))
     own = F.transform(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: F.concat(F.lit("="), t))
@@ -52,37 +54,36 @@ def _wanted_keys(queries: DataFrame) -> DataFrame:
     )
 
 
-def resolve_scope(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id) for restricted queries; a query without rows here may see nothing.
+def signatures(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(signature, pinned, category, tags, n): the distinct facets with their documents, or the sum of `counts.n` over them.
 
-    The three conditions become one equi-join on a facet key, so a query never meets documents
-    outside its scope.
+    Documents are added up here once; everything after works on signatures, of which there are as many as
+    combinations of labels in use.
     """
-    keys = ["pin_key", "category_key", "tag_key"]
-    return _facet_keys(docs.select("doc_id", "pinned", "category", "tags")).join(_wanted_keys(queries), keys).select(
-        "query_id", "doc_id"
-    ).distinct()
+    own = F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))))
+    facets = docs.select("doc_id", F.coalesce("pinned", F.lit(False)).alias("pinned"), "category", own.alias("tags"))
+    each = F.lit(1)
+    if counts is not None:
+        facets, each = facets.join(counts, "doc_id"), F.col("n")
+    added = facets.groupBy("pinned", "category", "tags").agg(F.sum(each).alias("n"))
+    return added.select(F.to_json(F.struct("pinned", "category", "tags")).alias("signature"), "*")
 
 
-def scoped_counts(queries: DataFrame, docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(query_id, n): sum of `counts.n` per document over each query's scope; all documents if unrestricted.
+def resolve_scope(queries: DataFrame, signed: DataFrame) -> DataFrame:
+    """(query_id, signature, n) of the signatures that a restricted query sees; a query without rows here sees nothing.
 
-    Documents are first added up by facet signature, so the join sees signatures, not documents.
+    The three conditions become one equi-join on a facet key. Documents behind a signature are not listed: a
+    document's own facets tell whether a query sees it (`Scope`).
     """
-    facets = ["pinned", "category", "tags"]
-    signed = (
-        docs.select("doc_id", *facets)
-        .join(counts, "doc_id")
-        .groupBy(F.coalesce("pinned", F.lit(False)).alias("pinned"), "category", F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"))
-        .agg(F.sum("n").alias("n"))
-        .withColumn("doc_id", F.to_json(F.struct("pinned", "category", "tags")))
-    )
-    inside = (
-        resolve_scope(queries, signed)
-        .join(signed.select("doc_id", "n"), "doc_id")
-        .groupBy("query_id")
-        .agg(F.sum("n").alias("n_inside"))
-    )
+    keys = ["pin_key", "category_key", "tag_key"]
+    met = _facet_keys(signed).join(_wanted_keys(queries), keys)
+    return met.select("query_id", "signature", "n").distinct()
+
+
+def scoped_counts(queries: DataFrame, docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, n): sum of `counts.n` per document over each query's scope; all documents if unrestricted."""
+    signed = written(signatures(docs, counts), "signatures")
+    inside = resolve_scope(queries, signed).groupBy("query_id").agg(F.sum("n").alias("n_inside"))
     total = signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return (
         with_scope(queries)

@@ -13,28 +13,53 @@ DEFAULT_SIZE = 10.0
 # --- end of fixed values ---
 
 PAGE = ["doc_id", "page"]
-GRID = 4  # grid cells per reach
+STRIP = 6.0  # height of a strip of a page, in mean font sizes of the page
+CELLS = 4096  # cells that are put in order together
+
+
+def _reaches(spans: DataFrame) -> DataFrame:
+    """Spans with `first` and `last`: the cells of the page from their middle to as far down as their row may go.
+
+    A row goes from its first span as far as its largest font reaches, and a span can only share a row with spans
+    near it. So each span counts, with its size and height, for the strips around it, and reaches as far as the most
+    that counts for its own strip; a heading widens the reach of its neighbours and of nothing else. Spans
+    whose reaches do not meet are in different rows, and in the same order by top edge as by middle.
+    """
+    half = F.col("mid") - F.col("y0")
+    far = F.greatest(F.col("size") * ROW_REACH, half, F.lit(0.0))
+    unit = spans.groupBy(*PAGE).agg(F.greatest(F.avg("size"), F.lit(1e-6)).alias("unit"))
+    placed = spans.join(unit, PAGE).withColumn("far", far)
+    strip = lambda y: F.floor(y / (F.col("unit") * STRIP))
+    around = F.sequence(strip(F.col("mid") - F.col("far") * 2), strip(F.col("mid") + F.col("far") * 2))
+    counted = placed.select(*PAGE, F.explode(around).alias("strip"), "far").groupBy(*PAGE, "strip").agg(F.max("far").alias("reach"))
+    cell = F.col("unit") / 8
+    return (
+        placed.withColumn("strip", strip(F.col("mid")))
+        .join(counted, [*PAGE, "strip"])
+        .withColumns({"first": F.floor(F.col("mid") / cell), "last": F.floor((F.col("mid") + F.col("reach")) / cell)})
+    )
 
 
 def _bands(spans: DataFrame) -> DataFrame:
     """(doc_id, page, band, members): spans of different bands can never share a row.
 
-    A span reaches from its middle by the largest row reach of the page, or by the spread of span
-    heights if that is more (then top edges order like middles across a gap). Reaches are laid on a
-    grid, and reaches that touch form a band, whole in reading order. Only the distinct reaches of a
-    page are put in order, so a page holding most of the spans is still cut into many groups.
+    Reaches that touch form a band, whole in reading order. Only the distinct reaches are put in order, in ranges of
+    cells with what the ranges above carry into them, so that no page is ordered by one task.
     """
-    half = F.col("mid") - F.col("y0")
-    reach = F.greatest(F.max("size") * ROW_REACH, F.max(half) - F.min(half), F.lit(1e-6))
-    cell = F.col("reach") / GRID
-    first, last = F.floor(F.col("mid") / cell), F.floor((F.col("mid") + F.col("reach")) / cell)
     keys = [*PAGE, "first", "last"]
-    on_grid = spans.join(spans.groupBy(*PAGE).agg(reach.alias("reach")), PAGE).withColumns({"first": first, "last": last})
-    above = Window.partitionBy(*PAGE).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.coalesce(F.col("first") - F.max("last").over(above) > 1, F.lit(True))
-    upto = Window.partitionBy(*PAGE).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
-    bands = on_grid.select(*keys).distinct().withColumn("gap", gap.cast("int"))
-    bands = bands.select(*keys, F.sum("gap").over(upto).alias("band"))
+    on_grid = _reaches(spans)
+    distinct = on_grid.select(*keys).distinct().withColumn("range", F.floor(F.col("first") / CELLS))
+    ends = distinct.groupBy(*PAGE, "range").agg(F.max("last").alias("end"))
+    ranges_above = Window.partitionBy(*PAGE).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*PAGE, "range", F.max("end").over(ranges_above).alias("carried"))
+    above = Window.partitionBy(*PAGE, "range").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    upto = above.rowsBetween(Window.unboundedPreceding, 0)
+    met = F.greatest(F.col("carried"), F.max("last").over(above))
+    marked = distinct.join(ends, [*PAGE, "range"]).withColumn("gap", F.coalesce(F.col("first") - met > 1, F.lit(True)).cast("int"))
+    local = marked.withColumn("here", F.sum("gap").over(upto))
+    begun = marked.groupBy(*PAGE, "range").agg(F.sum("gap").alias("gaps"))
+    begun = begun.select(*PAGE, "range", F.coalesce(F.sum("gaps").over(ranges_above), F.lit(0)).alias("before"))
+    bands = local.join(begun, [*PAGE, "range"]).select(*keys, (F.col("before") + F.col("here")).alias("band"))
     member = F.struct("y0", "x0", "mid", "size", "x1", "y1", "text")
     together = on_grid.groupBy(*keys).agg(F.collect_list(member).alias("members")).join(bands, keys)
     return together.groupBy(*PAGE, "band").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))

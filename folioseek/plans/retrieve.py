@@ -16,7 +16,7 @@ from ..operators.fuse import (
 from ..operators.index import KeywordIndex
 from ..operators.keyword import keyword_search
 from ..operators.scope import Scope, restricted, with_scope
-from ..operators.semantic import semantic_search
+from ..operators.semantic import semantic_search, vector_rows
 from ..operators.tables import written
 from ..functions.text import blank
 
@@ -31,7 +31,8 @@ def hybrid_retrieve(
     """Final hits per query: query_id, rank, doc_id, seq, page_no, content, score, pinned, sources, kind, case_id.
 
     `queries`: query_id, text, and optionally top_k, query_vec, only_pinned, scope_category, scope_tags.
-    `docs`: doc_id, pinned, category, tags. Without vectors the keyword lists answer alone.
+    `docs`: doc_id, pinned, category, tags. `vectors`: doc_id, seq, vec, or better `vector_rows` made beforehand.
+    Without vectors the keyword lists answer alone.
     """
     top_k = F.col("top_k") if "top_k" in queries.columns else F.lit(0)
     queries = with_scope(queries).withColumn("top_k", effective_top_k(F.coalesce(top_k, F.lit(0)), compliance))
@@ -47,6 +48,7 @@ def hybrid_retrieve(
     chunks = index.corpus.select("doc_id", "seq", "page_no", "content")
     near = None
     if vectors is not None:
-        near = semantic_search(vectors, chunks, asking, scope=scope, max_depth=facts["depth"])
+        held = vectors if "content" in vectors.columns else vector_rows(vectors, chunks)
+        near = semantic_search(held, asking, scope=scope, max_depth=facts["depth"])
     fused = written(fuse(ranked_lists(found, near)), "fused")
     return final_hits(queries, fused, pinned_rows(chunks, docs, queries, facts["budget"] or 0))

@@ -50,7 +50,9 @@ def test_titles_history_drafts(spark):
     assert [h.role for h in history] == ["assistant", "user", "assistant", "user", "assistant"] and history[3].content == "（见本条附件）"
     drafts = {r.turn: r for r in cv.case_drafts(cv.answered_questions(t)).collect()}
     assert drafts[0].title == "（未填写问题）" and drafts[5].title == "（未填写问题）"
-    assert drafts[2].problem == "树脂的混合粘度在二十五度时是多少" and len(drafts[2].ai_advice) == 1201
+    assert drafts[2].problem == "树脂的混合粘度在二十五度时是多少" and len(drafts[2].ai_advice) == 1300
+    cut = {r.turn: r for r in cv.case_drafts(cv.answered_questions(t), advice_chars=cv.ADVICE_CHARS).collect()}
+    assert len(cut[2].ai_advice) == 1201
 
 
 def test_nearest_question_across_blocks(spark, monkeypatch):
@@ -170,3 +172,21 @@ def test_access(spark):
     assert left.count() == 2 and sorted(r.id for r in owned.collect()) == ["4", "5"]
     head = spark.createDataFrame([("Bearer  abc ",), ("bearer x",), ("Basic x",), (None,)], "h string")
     assert [r.t for r in head.select(access.bearer_token(F.col("h")).alias("t")).collect()] == ["abc", "x", None, None]
+
+
+def test_one_heading_does_not_join_lines(spark):
+    lines = [("d", 1, 0.0, 14.0 * i, 50.0, 14.0 * i + 12, 12.0, "w") for i in range(200)]
+    heading = [("d", 1, 0.0, 14.0 * 200 + 40, 90.0, 14.0 * 200 + 70, 30.0, "H")]
+    got = sp.span_rows(spark.createDataFrame(lines + heading, SPAN))
+    assert got.select("band").distinct().count() >= 195
+
+
+def test_one_giant_page(spark, monkeypatch):
+    """Ranges of cells give the same rows as one range."""
+    rng = random.Random(4)
+    spans = [("d", 1, float(i % 5), 9.0 * (i // 5) + rng.random() * 4, 1.0, 9.0 * (i // 5) + 8 + rng.random(), rng.choice([8.0, 9.0, 14.0]), "w") for i in range(4000)]
+    df = spark.createDataFrame(spans, SPAN)
+    view = lambda: [tuple(r) for r in sp.span_rows(df).select("band", "row", "y0", "x0").orderBy("band", "row", "y0", "x0").collect()]
+    whole = view()
+    monkeypatch.setattr(sp, "CELLS", 16)
+    assert view() == whole and len({r[:2] for r in whole}) > 300

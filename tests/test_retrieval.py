@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from folioseek.functions.text import index_tokens, query_tokens
 from folioseek.operators import blocks
 from folioseek.operators import context as cx
-from folioseek.operators import keyword as kw
 from folioseek.operators.cases import case_names, library_corpus
 from folioseek.operators.fuse import fuse
-from folioseek.operators.index import build_index, scratch_index
+from folioseek.operators import index as ix
+from folioseek.operators.index import build_index, occurrences, scratch_index
 from folioseek.operators.keyword import keyword_search
 from folioseek.operators.library import search_all
-from folioseek.operators.scope import Scope, resolve_scope, scoped_counts
-from folioseek.operators.semantic import cosine, embed_corpus, embedding_stats, semantic_search
+from folioseek.operators.scope import Scope, resolve_scope, scoped_counts, signatures
+from folioseek.operators.semantic import cosine, embed_corpus, embedding_stats, semantic_search, vector_rows
 from folioseek.plans.retrieve import hybrid_retrieve
 
 CHUNKS = [
@@ -63,7 +63,7 @@ def test_pinned_rows_come_first_and_are_extra(spark, index):
     assert any("弯曲强度" in h.content and not h.pinned for h in hits)
 
 
-def test_scope(spark, index):
+def test_scope_of_hybrid(spark, index):
     only_d2 = rows(hybrid_retrieve(index, docs(spark), ask(spark, "粘度 固化剂", tags=["d2"])))
     assert only_d2 and {h.doc_id for h in only_d2} == {"d2"}
     assert rows(hybrid_retrieve(index, docs(spark), ask(spark, "粘度", tags=["none"]))) == []
@@ -159,60 +159,110 @@ def brute_bm25(spark, made, asked, depth):
     return out
 
 
-@pytest.mark.parametrize("joined", [True, False])
-def test_bm25_equals_brute_force(spark, joined):
+def as_frames(spark, made, asked):
+    cdf = spark.createDataFrame(made, "doc_id string, seq int, content string").withColumn("page_no", F.lit(1))
+    return cdf, spark.createDataFrame(asked, "query_id int, text string")
+
+
+def test_bm25_equals_brute_force(spark):
     made, asked = library(spark)
     want = brute_bm25(spark, made, asked, 7)
-    cdf = spark.createDataFrame(made, "doc_id string, seq int, content string").withColumn("page_no", F.lit(1))
-    qdf = spark.createDataFrame(asked, "query_id int, text string")
+    cdf, qdf = as_frames(spark, made, asked)
     for parts in (1, 5):
         index = scratch_index(cdf.repartition(parts), "brute")
         got = {q: [] for q, _ in asked}
-        for r in rows(keyword_search(index, qdf, 7, joined=joined)):
+        for r in rows(keyword_search(index, qdf, 7)):
             got[r.query_id].append(((r.doc_id, r.seq), round(r.raw, 6)))
         assert got == want
 
 
+def test_postings_hold_every_token_once(spark, monkeypatch):
+    made, asked = library(spark)
+    cdf, _ = as_frames(spark, made, asked)
+    monkeypatch.setattr(ix, "BLOCK", 16)
+    index = scratch_index(cdf.repartition(3), "lists")
+    got = Counter({(r.chunk_no, r.term): r.tf for r in occurrences(index).collect()})
+    want = Counter((r.chunk_no, t) for r in index.corpus.collect() for t in r.tokens)
+    assert got == want
+    assert sum(len(r.chunks) for r in index.postings.collect()) == len(made)
+
+
+@pytest.mark.parametrize("step, batch", [(1, 1), (7, 3), (2048, 10_000)])
+def test_tasks_emit_at_most_depth_rows_per_query(spark, monkeypatch, step, batch):
+    """Whatever the size of slices and batches, equal scores included."""
+    rng = random.Random(8)
+    vecs = [(f"d{i}", 0, [float(rng.randint(-1, 1)) for _ in range(3)], "t", 1) for i in range(400)]
+    held = spark.createDataFrame(vecs, "doc_id string, seq int, vec array<float>, content string, page_no int").repartition(4)
+    asked = [(i, "t", [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(20)]
+    qdf = spark.createDataFrame(asked, "query_id int, text string, query_vec array<float>")
+    want = [tuple(r) for r in rows(semantic_search(held, qdf, 6))]
+    emitted = []
+    inner = blocks.written
+    monkeypatch.setattr(blocks, "written", lambda df, label: emitted.append((label, inner(df, label))) or emitted[-1][1])
+    monkeypatch.setattr(blocks, "CELLS", step * len(asked))
+    with blocks.arrow_rows(spark, batch):
+        assert [tuple(r) for r in rows(semantic_search(held, qdf, 6))] == want
+    near = [df for label, df in emitted if label == "near"]
+    assert len(near) == 1 and near[0].count() <= len(asked) * 6 * 4
+
+
 def test_query_blocks_change_nothing(spark, monkeypatch):
     made, asked = library(spark)
-    cdf = spark.createDataFrame(made, "doc_id string, seq int, content string").withColumn("page_no", F.lit(1))
-    qdf = spark.createDataFrame(asked, "query_id int, text string")
+    cdf, qdf = as_frames(spark, made, asked)
     index = scratch_index(cdf, "blocks")
-    view = lambda df: [(r.query_id, r.rank, r.doc_id, r.seq) for r in rows(df)]
-    whole = view(keyword_search(index, qdf, 5, joined=False))
-    monkeypatch.setattr(kw, "query_blocks", lambda q, size: list(blocks.query_blocks(q, size, block_bytes=size // 4)))
-    monkeypatch.setattr(blocks, "CELLS", 64)
-    assert view(keyword_search(index, qdf, 5, joined=False)) == whole
+    view = lambda df: [(r.query_id, r.rank, r.doc_id, r.seq, r.matched) for r in rows(df)]
+    whole = view(keyword_search(index, qdf, 5))
+    monkeypatch.setattr(blocks, "BLOCK_QUERIES", 4)
+    cut = blocks.query_blocks
+    monkeypatch.setattr(blocks, "query_blocks", lambda q: cut(q, 500, 4))
+    assert view(keyword_search(index, qdf, 5)) == whole
 
 
 def test_shuffled_joins_give_the_same(spark):
     """Beyond the broadcast bound every join still works as a shuffle."""
     made, asked = library(spark)
-    cdf = spark.createDataFrame(made, "doc_id string, seq int, content string").withColumn("page_no", F.lit(1))
-    qdf = spark.createDataFrame(asked, "query_id int, text string")
+    cdf, qdf = as_frames(spark, made, asked)
     index = scratch_index(cdf, "smj")
     view = lambda df: [(r.query_id, r.rank, r.doc_id, r.seq, r.matched) for r in rows(df)]
-    small = view(keyword_search(index, qdf, 5, joined=True))
+    small = view(keyword_search(index, qdf, 5))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert view(keyword_search(index, qdf, 5, joined=True)) == small
+        assert view(keyword_search(index, qdf, 5)) == small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-@pytest.mark.parametrize("joined", [True, False])
-def test_scope_in_both_ways_of_scoring(spark, index, joined):
+def test_a_search_reads_postings_and_not_the_corpus(spark, monkeypatch):
+    made, asked = library(spark)
+    cdf, qdf = as_frames(spark, made, asked)
+    index = scratch_index(cdf, "plan")
+    plans = []
+    inner = blocks.written
+
+    def spied(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return inner(df, label)
+
+    monkeypatch.setattr(blocks, "written", spied)
+    hits = keyword_search(index, qdf, 5)
+    plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
+    read = " ".join(plans)
+    assert len(hits.collect()) > 0 and "lists#" in read and "tokens#" not in read
+
+
+def test_scope(spark, index):
     asked = spark.createDataFrame(
         [("a", "固化剂 粘度 混合", False, None, None), ("b", "固化剂 粘度 混合", False, "c-d1", None), ("c", "固化剂 粘度 混合", True, None, None), ("d", "固化剂 粘度 混合", False, None, ["d2", "x"])],
         "query_id string, text string, only_pinned boolean, scope_category string, scope_tags array<string>",
     )
     library_docs = docs(spark, ["d2"])
-    hits = rows(keyword_search(index, asked, 10, Scope(asked, library_docs), joined=joined))
+    hits = rows(keyword_search(index, asked, 10, Scope(asked, library_docs)))
     seen = {q: {h.doc_id for h in hits if h.query_id == q} for q in "abcd"}
     assert seen == {"a": {"d1", "d2"}, "b": {"d1"}, "c": {"d2"}, "d": {"d2"}}
-    pairs = {tuple(r) for r in resolve_scope(asked, library_docs).collect()}
-    assert pairs == {("b", "d1"), ("c", "d2"), ("d", "d2")}
+    signed = signatures(library_docs.unionByName(library_docs.filter("doc_id = 'd2'").withColumn("doc_id", F.lit("d3"))))
+    met = {(r.query_id, "c-d1" in r.signature, r.n) for r in resolve_scope(asked, signed).collect()}
+    assert met == {("b", True, 1), ("c", False, 2), ("d", False, 2)}
     counts = spark.createDataFrame([("d1", 3), ("d2", 2)], "doc_id string, n bigint")
     assert {tuple(r) for r in scoped_counts(asked, library_docs, counts).collect()} == {("a", 5), ("b", 3), ("c", 2), ("d", 2)}
 
@@ -223,7 +273,7 @@ def test_repeated_keys_are_indexed_once(spark, tmp_path):
     assert (index.n, index.avgdl) == (2, 1.5)
 
 
-def test_fusion_merges_same_openings(spark):
+def test_fusion_merges_the_same_hit(spark):
     text = "x" * 80
     lists = [
         ("q", "case", 1, 2.5, 1, "case:c", 0, "c"),
@@ -233,7 +283,12 @@ def test_fusion_merges_same_openings(spark):
         ("q", "semantic", 3, 1.0, 2, "e", 0, "e"),
     ]
     df = spark.createDataFrame(lists, "query_id string, list string, list_no int, weight double, rank int, doc_id string, seq int, content string")
-    got = fuse(df.withColumn("page_no", F.lit(None).cast("int"))).orderBy("place").collect()
+    df = df.withColumn("page_no", F.lit(None).cast("int"))
+    apart = fuse(df).orderBy("place").collect()
+    assert [(r.doc_id, r.seq, r.sources) for r in apart] == [
+        ("case:c", 0, ["case"]), ("d", 1, ["keyword", "semantic"]), ("d", 0, ["keyword"]), ("e", 0, ["semantic"])
+    ]
+    got = fuse(df, key_chars=80).orderBy("place").collect()
     assert [(r.doc_id, r.seq, r.sources) for r in got] == [("d", 0, ["keyword", "semantic"]), ("case:c", 0, ["case"]), ("e", 0, ["semantic"])]
     assert got[0].score == 1.0 and math.isclose(got[0].rrf, 2 / 61 + 1 / 62)
 
@@ -251,7 +306,7 @@ def test_semantic_equals_brute_force(spark):
     chunks = vdf.select("doc_id", "seq", F.lit("t").alias("content"), F.lit(1).alias("page_no"))
     asked = [(i, "t", [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(9)]
     got = {i: [] for i, _, _ in asked}
-    for r in rows(semantic_search(vdf.repartition(4), chunks, spark.createDataFrame(asked, "query_id int, text string, query_vec array<float>"), 6)):
+    for r in rows(semantic_search(vector_rows(vdf.repartition(4), chunks), spark.createDataFrame(asked, "query_id int, text string, query_vec array<float>"), 6)):
         got[r.query_id].append(r.doc_id)
 
     def cos(a, b):
@@ -278,6 +333,14 @@ def test_embedding_run(spark, chunks):
     with pytest.raises(Exception, match="sizes differ"):
         embed_corpus(chunks.coalesce(1), uneven, "m").collect()
 
+    def by_task():
+        from pyspark import TaskContext
+
+        return lambda texts: [[1.0] * (TaskContext.get().partitionId() % 2 + 1) for _ in texts]
+
+    with pytest.raises(ValueError, match="sizes differ"):
+        embed_corpus(chunks.repartition(4, "seq"), by_task, "m")
+
 
 def test_search_all(spark, chunks, index):
     library_docs = docs(spark).withColumns({"type": F.lit("pdf"), "created_at": F.current_timestamp()})
@@ -306,3 +369,7 @@ def test_citations(spark):
     quoted = spark.createDataFrame([("m", 1, "CY1578.pdf")], "msg_id string, n int, doc_name string")
     assert cx.rendered_answers(answers, quoted).first().text == "见CY1578和来源3。"
     assert [(r.n, r.label) for r in cx.citations(answers, quoted).orderBy("at").collect()] == [(1, "CY1578"), (3, "来源3")]
+    wild = spark.createDataFrame([("w", "[来源99999999999]和[来源1]")], "msg_id string, text string")
+    twice = spark.createDataFrame([("w", 1, "B.pdf"), ("w", 1, "A.pdf")], "msg_id string, n int, doc_name string")
+    assert cx.rendered_answers(wild, twice).first().text == "来源99999999999和A"
+    assert [(r.n, r.label) for r in cx.citations(wild, twice).orderBy("at").collect()] == [(None, "来源99999999999"), (1, "A")]
