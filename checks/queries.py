@@ -28,16 +28,16 @@ from folioseek.operators.fuse import (
     pinned_rows,
     ranked_lists,
 )
-from folioseek.operators.index import corpus_fingerprint, idf
+from folioseek.operators.index import corpus_fingerprint, idf, occurrences
 from folioseek.operators.keyword import keyword_search, query_terms
-from folioseek.operators.scope import Scope, resolve_scope, scoped_counts
-from folioseek.operators.semantic import cosine, embed_corpus, embedding_coverage, embedding_stats, semantic_search
+from folioseek.operators.scope import Scope, resolve_scope, scoped_counts, signatures
+from folioseek.operators.semantic import cosine, embed_corpus, embedding_coverage, embedding_stats, semantic_search, vector_rows
 from folioseek.operators.tables import delete_cascade, first_seen, scratch_dir, upsert, with_name, written
 from folioseek.plans.ingest import first_copies, import_files, sync_files
 from folioseek.plans.retrieve import hybrid_retrieve
 from folioseek.session import ensure_scratch
 from folioseek.sources.files import file_type, routed
-from folioseek.streaming.sync import sync_stream
+from folioseek.streaming.sync import sync_stream, synced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,7 +182,8 @@ def _(spark, d):
 
 @query("F5_resolve_scope")
 def _(spark, d):
-    return resolve_scope(t.scoped_queries(spark, d), t.light_documents(spark, d))
+    seen = resolve_scope(t.scoped_queries(spark, d), signatures(t.light_documents(spark, d)))
+    return seen.groupBy("query_id").agg(F.count("*").alias("signatures"), F.sum("n").alias("documents"))
 
 
 @query("F6_library_filter")
@@ -285,14 +286,18 @@ def _(spark, d):
 def _(spark, d):
     ix = t.index(spark, d, with_cases=False)
     terms = written(query_terms(ix, t.queries(spark, d)), "terms")
-    found = ix.postings.join(F.broadcast(terms), "term").groupBy("query_id", "term")
+    found = occurrences(ix).join(terms, "term").groupBy("query_id", "term")
     return found.agg(F.count("*").alias("chunks"), F.sum("tf").alias("uses"), F.max("tf").alias("most"))
 
 
 @query("J6_same_size_vectors")
 def _(spark, d):
-    q = t.vector_queries(spark, d)
-    hits = semantic_search(t.vectors(spark, d), t.vectors(spark, d).select("doc_id", "seq", F.lit(None).cast("int").alias("page_no"), F.lit("").alias("content")), q, 5)
+    """Vectors and query vectors of two sizes: every third number has half a vector."""
+    short = lambda c, n: F.when(F.col(n) % 3 == 0, F.slice(c, 1, 32)).otherwise(F.col(c))
+    q = t.vector_queries(spark, d).withColumn("query_vec", short("query_vec", "query_id"))
+    v = t.vectors(spark, d).withColumn("number", F.col("doc_id").cast("long")).withColumn("vec", short("vec", "number"))
+    keys = v.select("doc_id", "seq", F.lit(None).cast("int").alias("page_no"), F.lit("").alias("content"))
+    hits = semantic_search(vector_rows(v, keys), q, 5)
     return hits.select("query_id", "rank", "doc_id", r6("score").alias("score"))
 
 
@@ -329,7 +334,7 @@ def _(spark, d):
 @query("A1_index_terms")
 def _(spark, d):
     ix = t.index(spark, d)
-    tf = ix.postings.groupBy("term").agg(F.sum("tf").alias("uses"))
+    tf = occurrences(ix).groupBy("term").agg(F.sum("tf").alias("uses"))
     return ix.terms.join(tf, "term").select("term", "df", "uses", r6(idf(F.col("df"), ix.n)).alias("idf"))
 
 
@@ -570,9 +575,8 @@ def _(spark, d):
 
 @query("R4_phrase_boost")
 def _(spark, d):
-    """The first line of each passage as the query: most are found word for word somewhere."""
-    first = t.queries(spark, d).withColumn("text", F.regexp_extract("text", r"^([^.!?\n]*)", 1))
-    hits = keyword_search(t.index(spark, d, with_cases=False), first, 5)
+    """Whole passages as queries: those that a document quotes are found word for word."""
+    hits = keyword_search(t.index(spark, d, with_cases=False), t.queries(spark, d), 5)
     return hits.select("query_id", "rank", "doc_id", "seq", r6("raw").alias("raw"))
 
 
@@ -597,15 +601,13 @@ def _(spark, d):
 @query("R8_semantic_search")
 def _(spark, d):
     ix, docs, asked = t.index(spark, d), t.light_documents(spark, d), t.scoped_queries(spark, d)
-    chunks = ix.corpus.select("doc_id", "seq", "page_no", "content")
-    hits = semantic_search(t.vectors(spark, d), chunks, asked, 10, Scope(asked, docs))
+    hits = semantic_search(vector_rows(t.vectors(spark, d), ix.corpus), asked, 10, Scope(asked, docs))
     return hits.select("query_id", "rank", "doc_id", "seq", r6("score").alias("score"))
 
 
 def hit_lists(spark, d):
     ix, asked = t.index(spark, d), t.vector_queries(spark, d)
-    chunks = ix.corpus.select("doc_id", "seq", "page_no", "content")
-    return ranked_lists(keyword_search(ix, asked, 24), semantic_search(t.vectors(spark, d), chunks, asked, 24))
+    return ranked_lists(keyword_search(ix, asked, 24), semantic_search(vector_rows(t.vectors(spark, d), ix.corpus), asked, 24))
 
 
 @query("R9_rrf")
@@ -646,7 +648,7 @@ def _(spark, d):
 
 @query("R11_name_search")
 def _(spark, d):
-    asked = t.queries(spark, d).withColumn("text", F.concat_ws(" ", F.concat(F.lit("src"), "query_id"), F.lit("FR"), F.lit("pdf"), F.concat(F.lit("de-"), F.col("query_id"))))
+    asked = t.queries(spark, d).withColumn("text", F.concat_ws(" ", F.concat(F.lit("src"), "query_id"), F.lit("FR"), F.lit("pdf"), F.concat(F.lit("de-"), F.col("query_id")), "text"))
     hits = library.name_search(t.light_documents(spark, d), asked)
     return hits.select("query_id", "rank", "doc_id", r6("score").alias("score"))
 
@@ -784,7 +786,10 @@ def _(spark, d):
 
 @query("N10_prompt")
 def _(spark, d):
-    return t.queries(spark, d).select("query_id", cp.compliance_prompt(F.col("text"), F.lit("-")).alias("prompt"))
+    """Compliance hits as context, the passage as requirement."""
+    asked = t.queries(spark, d)
+    contexts = cx.build_context(hybrid(spark, d, compliance=True), asked)
+    return asked.join(contexts, "query_id").select("query_id", cp.compliance_prompt(F.col("text"), F.col("context")).alias("prompt"))
 
 
 @query("N11_chat_history")
@@ -843,7 +848,7 @@ def _(spark, d):
 
 @query("D2_repeated_sync")
 def _(spark, d):
-    """The documents as a stream of files, synced by two independent runs: the second adds nothing."""
+    """English and other documents as two streams of files into one table, each with a checkpoint, then both again with new ones."""
     table = f"{scratch_dir(spark)}/folioseek/synced-{uuid.uuid4().hex}"
     schema = t.given(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
@@ -853,11 +858,16 @@ def _(spark, d):
         t.minutes(F.col("doc_id")).alias("modificationTime"),
         F.octet_length("text").cast("long").alias("length"),
         F.encode("text", "UTF-8").alias("content"),
+        "lang",
     )
+    parts = (files.filter("lang = 'en'").drop("lang"), files.filter("lang <> 'en'").drop("lang"))
+    rows = {}
     for run in ("first", "second"):
-        sync_stream(files, table, f"{table}/{run}").awaitTermination()
-    docs = spark.read.parquet(f"{table}/documents")
-    chunks = spark.read.parquet(f"{table}/chunks")
-    return docs.agg(F.count("*").alias("documents"), F.count_distinct("hash").alias("contents")).withColumn(
-        "chunks", chunks.agg(F.count("*").alias("n")).scalar()
+        for n, part in enumerate(parts):
+            sync_stream(part, table, f"{table}/marks-of-{run}-{n}").awaitTermination()
+        rows[run] = spark.read.parquet(f"{table}/documents").count()
+    docs, chunks = synced(spark, table, "documents"), synced(spark, table, "chunks")
+    counts = docs.agg(F.count("*").alias("documents"), F.count_distinct("hash").alias("contents"))
+    return counts.withColumns(
+        {"chunks": chunks.agg(F.count("*").alias("n")).scalar(), "added_again": F.lit(rows["second"] - rows["first"]).cast("long")}
     )

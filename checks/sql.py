@@ -6,14 +6,7 @@ from __future__ import annotations
 
 import re
 
-from folioseek.functions import labels as L
-from folioseek.functions import quality as Q
-from folioseek.functions.classify import KIND_RULES, MODEL_BLOCK
-from folioseek.operators import cases as C
-from folioseek.operators import compliance as P
-from folioseek.operators import context as X
-from folioseek.operators import conversations as V
-from folioseek.operators import library as B
+from checks.fixed import KIND_RULES, MODEL_BLOCK, B, C, L, P, Q, V, X
 
 HAN = "㐀-䶿一-鿿" + chr(0xF900) + "-" + chr(0xFAFF)
 JOIN = "_·‐-―‧/\\\\-"
@@ -49,8 +42,7 @@ def flat(text: str) -> str:
 def kind_of(x: str) -> str:
     arms = []
     for kind, pattern in KIND_RULES:
-        p = pattern.replace("{s}", r"\s").replace("(?![A-Za-z0-9_])", r"\b")
-        arms.append(f"WHEN regexp_matches({x}, '{p}', 'i') THEN '{kind}'")
+        arms.append(f"WHEN regexp_matches({x}, '{pattern}', 'i') THEN '{kind}'")
     return f"CASE {' '.join(arms)} END"
 
 
@@ -61,7 +53,7 @@ def model_of(cte: str, column: str, least: int) -> str:
         SELECT doc_id, model, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(nth)) AS rn, count(*) AS n FROM (
             SELECT doc_id, regexp_replace(m, '[-\\s_]', '', 'g') AS model, nth FROM (
                 SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS nth
-                FROM (SELECT doc_id, regexp_extract_all(substr({column}, 1, 3000), '\\b[A-Z]{{2,4}}[-\\s_]?\\d{{3,5}}[A-Z]?\\b') AS ms FROM {cte}))
+                FROM (SELECT doc_id, regexp_extract_all({column}, '\\b[A-Z]{{2,4}}[-\\s_]?\\d{{3,5}}[A-Z]?\\b') AS ms FROM {cte}))
             WHERE NOT regexp_matches(m, '^(?:{block})[-\\s_]?\\d'))
         GROUP BY doc_id, model) WHERE rn = 1 AND n >= {least}"""
 
@@ -78,11 +70,10 @@ CTE: dict[str, str] = {
         CAST(strlen(d.text) AS BIGINT) AS size, {TS} + to_minutes(d.doc_id) AS created_at,
         d.lang, d.source, l.quality, l.toxic, d.text
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
-    "hashes": """SELECT doc_id, CASE WHEN length(text) = 0 THEN NULL WHEN length(text) > 120000 THEN sha256(left(text, 60000) || right(text, 60000)) || '-' || length(text)
-        ELSE sha256(text) || '-' || length(text) END AS hash FROM raw""",
+    "hashes": "SELECT doc_id, CASE WHEN length(text) > 0 THEN sha256(text) || '-' || length(text) END AS hash FROM raw",
     "name_models": model_of("raw", "name", 1),
     "text_models": model_of("raw", "text", 2),
-    "labelled": f"""SELECT r.*, coalesce(n.model, x.model) AS model, coalesce({kind_of('r.name')}, {kind_of('substr(r.text, 1, 3000)')}) AS kind
+    "labelled": f"""SELECT r.*, coalesce(n.model, x.model) AS model, coalesce({kind_of('r.name')}, {kind_of('r.text')}) AS kind
         FROM raw r LEFT JOIN name_models n USING (doc_id) LEFT JOIN text_models x USING (doc_id)""",
     "paras": "SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) AS p FROM (SELECT doc_id, string_split_regex(text, '\\n{2,}') AS ps FROM raw)",
     "textlines": f"""SELECT doc_id, p, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM (
@@ -121,7 +112,7 @@ CTE: dict[str, str] = {
     "scoped": """SELECT item_id AS query_id, text, length(text) < 150 AS only_pinned, CASE WHEN length(text) > 280 THEN 'reviewed' END AS scope_category,
         CASE WHEN contains(text, 'the') THEN ['en', 'fr'] END AS scope_tags FROM benchmark""",
     "vecs": "SELECT CAST(vec_id AS VARCHAR) AS doc_id, 0 AS seq, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings",
-    "turns": "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'ai' ELSE role END AS role, text FROM conversations WHERE role <> 'system'",
+    "turns": "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'ai' ELSE role END AS role, text FROM conversations",
     "quoted": """SELECT a.conv_id, a.turn, a.conv_id || '-' || a.turn AS msg_id, q.n, r.doc_id, r.name AS doc_name, r.text FROM turns a
         CROSS JOIN (VALUES (1), (2)) q(n) JOIN raw r ON r.number = CASE q.n WHEN 1 THEN a.conv_id ELSE a.conv_id + a.turn END WHERE a.role = 'ai'""",
     "people": f"""SELECT c_custkey AS id, c_name AS username, CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' ELSE 'user' END AS role, c_acctbal < 0 AS disabled,
@@ -183,6 +174,10 @@ CTE["ks_scored"] = """SELECT * FROM k_scored s WHERE starts_with(doc_id, 'case:'
 CTE["ks_ranked"] = ranked("k_", "ks_scored")
 CTE["sims"] = """SELECT q.item_id AS query_id, v.doc_id, v.seq, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), v.vec) AS raw
     FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id CROSS JOIN vecs v"""
+SHORT = "CASE WHEN {n} % 3 = 0 THEN CAST({v} AS DOUBLE[])[1:32] ELSE CAST({v} AS DOUBLE[]) END"
+CTE["mixed_sims"] = f"""SELECT query_id, doc_id, seq, list_cosine_similarity(a, b) AS raw FROM (
+    SELECT q.item_id AS query_id, v.doc_id, v.seq, {SHORT.format(n='q.item_id', v='e.embedding')} AS a, {SHORT.format(n='CAST(v.doc_id AS BIGINT)', v='v.vec')} AS b
+    FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id CROSS JOIN vecs v WHERE (q.item_id % 3 = 0) = (CAST(v.doc_id AS BIGINT) % 3 = 0))"""
 CTE["chunk_sims"] = "SELECT s.* FROM sims s SEMI JOIN corpus c ON c.doc_id = s.doc_id AND c.seq = s.seq WHERE raw > 0"
 CTE["v_ranked"] = ranked("v_", "chunk_sims")
 CTE["vs_ranked"] = ranked("v_", "(SELECT s.* FROM chunk_sims s JOIN visible v ON v.query_id = s.query_id AND v.doc_id = s.doc_id)")
@@ -194,7 +189,7 @@ def fusion(prefix: str, keyword: str, semantic: str, depth: str) -> dict[str, st
         f"{p}lists": f"""SELECT query_id, doc_id, seq, CASE WHEN starts_with(doc_id, 'case:') THEN 1 ELSE 2 END AS list_no, rank FROM {keyword} WHERE rank <= {depth}
             UNION ALL SELECT query_id, doc_id, seq, 3, rank FROM {semantic} WHERE rank <= {depth}""",
         f"{p}placed": f"SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id, list_no ORDER BY rank) AS rank FROM {p}lists",
-        f"{p}hits": f"""SELECT l.*, c.doc_id || '::' || substr(c.content, 1, 80) AS hit, c.content FROM {p}placed l JOIN corpus c USING (doc_id, seq)""",
+        f"{p}hits": f"""SELECT l.*, c.doc_id || '::' || c.seq AS hit, c.content FROM {p}placed l JOIN corpus c USING (doc_id, seq)""",
         f"{p}fused": f"""SELECT query_id, hit, sum(CASE list_no WHEN 1 THEN 2.5 ELSE 1.0 END / (60 + rank)) AS rrf, arg_min(doc_id, list_no * 100000 + rank) AS doc_id,
             arg_min(seq, list_no * 100000 + rank) AS seq, arg_min(content, list_no * 100000 + rank) AS content, min(list_no * 100000 + rank) AS first,
             array_to_string(list_transform(list_sort(list(DISTINCT list_no)), lambda x: CASE x WHEN 1 THEN 'case' WHEN 2 THEN 'keyword' ELSE 'semantic' END), '+') AS sources FROM {p}hits GROUP BY query_id, hit""",
@@ -205,7 +200,7 @@ def fusion(prefix: str, keyword: str, semantic: str, depth: str) -> dict[str, st
 def final(prefix: str, top_k: int) -> dict[str, str]:
     p, budget = prefix, max(2, -(-top_k // 3))
     return {
-        f"{p}pins": f"""SELECT *, doc_id || '::' || substr(content, 1, 80) AS hit, row_number() OVER (ORDER BY doc_id, seq) AS place FROM corpus SEMI JOIN (SELECT doc_id FROM raw WHERE pinned) USING (doc_id) ORDER BY doc_id, seq LIMIT {budget}""",
+        f"{p}pins": f"""SELECT *, doc_id || '::' || seq AS hit, row_number() OVER (ORDER BY doc_id, seq) AS place FROM corpus SEMI JOIN (SELECT doc_id FROM raw WHERE pinned) USING (doc_id) ORDER BY doc_id, seq LIMIT {budget}""",
         f"{p}pinned": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY place) AS nth FROM {p}pins) WHERE nth = 1",
         f"{p}all": f"""SELECT a.query_id, p.hit, p.doc_id, p.seq, p.content, 1.0 AS score, 'pinned' AS sources, p.place, true AS pinned FROM asked a CROSS JOIN {p}pinned p
             UNION ALL SELECT query_id, hit, doc_id, seq, content, score, sources, place, false FROM {p}order o WHERE hit NOT IN (SELECT hit FROM {p}pinned)""",
@@ -221,8 +216,9 @@ CTE |= fusion("h_", "ks_ranked", "vs_ranked", "24") | final("h_", 8)
 CTE |= fusion("g_", "ks_ranked", "vs_ranked", "36") | final("g_", 12)
 SHOWN = "query_id, CAST(rank AS INT) AS rank, doc_id, doc_name, seq, score, pinned, sources, kind, case_id, outcome"
 
-CTE["h_blocks"] = f"""SELECT query_id, rank, '[来源' || rank || '] ' || CASE WHEN kind = 'case' THEN '【' || {case_map('outcome', L.CASE_SOURCE, "''")} || '】' || substr(doc_name, {len(L.CASE_NAME_PREFIX) + 1})
-    ELSE '《' || doc_name || '》' || CASE WHEN pinned THEN '{X.PINNED_MARK}' ELSE '' END END || chr(10) || content AS block FROM h_final"""
+BLOCKS = f"""SELECT query_id, rank, '[来源' || rank || '] ' || CASE WHEN kind = 'case' THEN '【' || {case_map('outcome', L.CASE_SOURCE, "''")} || '】' || substr(doc_name, {len(L.CASE_NAME_PREFIX) + 1})
+    ELSE '《' || doc_name || '》' || CASE WHEN pinned THEN '{X.PINNED_MARK}' ELSE '' END END || chr(10) || content AS block FROM """
+CTE["h_blocks"], CTE["g_blocks"] = BLOCKS + "h_final", BLOCKS + "g_final"
 CTE["w_blocks"] = """SELECT environment AS query_id, rank, '[来源' || rank || '] 《' || title || '》' || chr(10) || final_fix AS block FROM (
     SELECT *, row_number() OVER (PARTITION BY environment ORDER BY length(final_fix), case_id) AS rank FROM cases)"""
 
@@ -236,6 +232,7 @@ def context(blocks: str) -> str:
 
 
 CTE["h_context"] = context("h_blocks")
+CTE["g_context"] = context("g_blocks")
 CTE["w_context"] = context("w_blocks")
 CTE["answered"] = """SELECT conv_id, turn, (SELECT arg_max(u.text, u.turn) FROM turns u WHERE u.conv_id = a.conv_id AND u.turn < a.turn AND u.role = 'user') AS question, text AS answer FROM turns a WHERE role = 'ai'"""
 CTE["copies"] = "SELECT r.doc_id, r.name, r.category, hash, row_number() OVER (PARTITION BY hash ORDER BY r.created_at, r.doc_id) AS nth FROM raw r JOIN hashes USING (doc_id)"
@@ -250,7 +247,7 @@ SQL: dict[str, str] = {
     "S2_route_files": "SELECT name, type, CASE WHEN txt IS NULL THEN 'none' ELSE 'local' END AS source, quality, pages, note, md5(txt) AS text_md5, CAST(length(txt) AS INT) AS chars FROM parsed",
     "S3_import": """SELECT doc_id, name, type, CASE WHEN txt IS NULL THEN 'partial' ELSE 'indexed' END AS status, model, kind, 'inbox' AS category, parse_quality, CAST(coalesce(length(txt), 0) AS INT) AS chars FROM (
         SELECT l.*, txt, p.quality AS parse_quality, row_number() OVER (PARTITION BY coalesce(sha256(txt), l.doc_id) ORDER BY l.number) AS nth FROM labelled l JOIN parsed p USING (doc_id)) WHERE nth = 1""",
-    "S4_folder_sync": """SELECT count(*) FILTER (WHERE isnew) AS added, count(*) FILTER (WHERE NOT isnew) AS skipped FROM (
+    "S4_folder_sync": """SELECT count(*) FILTER (WHERE isnew) AS added, count(*) FILTER (WHERE NOT isnew) AS skipped, (SELECT count(*) FROM parsed WHERE txt IS NULL) AS unreadable FROM (
         SELECT row_number() OVER (PARTITION BY txt ORDER BY number) = 1 AND txt NOT IN (SELECT text FROM raw WHERE category = 'reviewed') AS isnew FROM parsed WHERE txt IS NOT NULL)""",
     "S5_corpus_scan": "SELECT doc_id, seq, name, content FROM chunks JOIN raw USING (doc_id)",
     "S6_upsert": """SELECT r.doc_id, coalesce(c.outcome, r.name) AS name, CASE WHEN c.case_id IS NULL THEN r.category ELSE c.environment END AS category FROM raw r LEFT JOIN cases c ON c.case_id = r.doc_id""",
@@ -261,7 +258,7 @@ SQL: dict[str, str] = {
     "S9_compliance_markdown": f"""SELECT reply_id, '{P.MARKDOWN_HEAD}' || chr(10) || string_agg('| ' || replace(item, '|', '\\|') || ' | ' || required || ' | ' || actual || ' | ' || {case_map('verdict', L.VERDICT_LABEL, "''")} || ' | ' || source || ' |', chr(10) ORDER BY n)
         || chr(10) || chr(10) || '**结论**：see "' || any_value(about) || '"' || chr(10) || chr(10) || '模型：' || any_value(model) AS text, 'md' AS ext FROM items GROUP BY reply_id""",
     "S10_conversation_markdown": f"""SELECT t.conv_id, t.turn AS part, CASE role WHEN 'user' THEN '{V.HEAD_USER}' ELSE '{V.HEAD_AI}' END || chr(10) || chr(10) || CASE WHEN text = '' THEN '{V.NO_TEXT}' ELSE text END || chr(10)
-        || coalesce(chr(10) || '引用来源：' || chr(10) || q.lines || chr(10), '') AS markdown FROM turns t LEFT JOIN (
+        || coalesce(chr(10) || '引用来源：' || chr(10) || q.lines || chr(10), '') AS markdown FROM (SELECT * FROM turns WHERE role IN ('user', 'ai')) t LEFT JOIN (
             SELECT conv_id, turn, string_agg('- [' || n || '] 《' || doc_name || '》：' || substr(text, 1, 160), chr(10) ORDER BY n) AS lines FROM quoted GROUP BY ALL) q USING (conv_id, turn)
         UNION ALL SELECT conv_id, -1, '# ' || CASE WHEN coalesce(q, '') = '' THEN '{V.NEW_TITLE}' WHEN length(q) > 14 THEN substr(q, 1, 14) || '…' ELSE q END || chr(10)
         FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS q FROM turns GROUP BY conv_id)""",
@@ -275,7 +272,8 @@ SQL: dict[str, str] = {
     "F3_pick_kind": "SELECT doc_id, kind FROM labelled",
     "F4_reclassify": """SELECT r.doc_id, coalesce(l.model, r.category) AS model, coalesce(l.kind, CASE WHEN r.pinned THEN 'other' END) AS kind,
         coalesce(r.category, l.model) AS model_filled, coalesce(CASE WHEN r.pinned THEN 'other' END, l.kind) AS kind_filled FROM raw r JOIN relabelled l USING (doc_id)""",
-    "F5_resolve_scope": "SELECT v.query_id, v.doc_id FROM visible v JOIN scoped s USING (query_id) WHERE only_pinned OR scope_category IS NOT NULL OR scope_tags IS NOT NULL",
+    "F5_resolve_scope": """SELECT query_id, count(DISTINCT (r.pinned, r.category, r.lang, r.source)) AS signatures, count(*) AS documents FROM visible v JOIN scoped s USING (query_id) JOIN raw r USING (doc_id)
+        WHERE only_pinned OR scope_category IS NOT NULL OR scope_tags IS NOT NULL GROUP BY query_id""",
     "F6_library_filter": "SELECT doc_id, name, pinned, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM labelled WHERE list_contains(tags, 'fr') OR model = 'fr'",
     "F7_case_gate": "SELECT case_id, outcome FROM cases WHERE verified AND final_fix <> ''",
     "F8_case_list": """SELECT case_id, title FROM cases WHERE outcome = 'fail' AND contains(lower(concat_ws(' ', title, nullif(problem, ''), root_cause, final_fix, product, environment, notes, array_to_string(tags, ' '))), 'the')""",
@@ -287,7 +285,7 @@ SQL: dict[str, str] = {
         CASE WHEN pinned THEN 'kept' WHEN category = 'draft' THEN array_to_string(list_concat(tags, CASE WHEN lang = 'en' THEN ['new'] ELSE ['en', 'new'] END), ',') ELSE array_to_string(tags, ',') END AS tags FROM raw""",
     "F12_rename_category": """SELECT CASE category WHEN 'draft' THEN 'attic' ELSE category END AS category, count(*) AS n, CASE WHEN category = 'draft' THEN count(*) END AS stale FROM raw GROUP BY category""",
     "F13_service_quality": """SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0 WHEN length(text) / greatest(ceil(length(text) / 900), 1) < 60 THEN 0.3
-        ELSE """ + r6("round(least(1.0, 0.88 + length(text) / greatest(ceil(length(text) / 900), 1) / 20000), 2)") + """ END AS quality FROM raw""",
+        ELSE """ + r6("CAST(printf('%.2f', least(1.0, 0.88 + length(text) / greatest(ceil(length(text) / 900), 1) / 20000)) AS DOUBLE)") + """ END AS quality FROM raw""",
     "F14_local_quality": f"""SELECT doc_id, CASE WHEN n > 0 THEN {r6('least(1.0, ratio) * least(1.0, n / pages / 200)', 2)} ELSE 0.0 END AS quality, n >= 20 AND n / pages >= 10 AS has_text,
         CASE WHEN NOT (n >= 20 AND n / pages >= 10) THEN '{Q.NOTE_NO_TEXT_LAYER}' WHEN least(1.0, ratio) * least(1.0, n / pages / 200) < 0.4 THEN '{Q.NOTE_LOW_QUALITY}' END AS note,
         CASE WHEN n >= 10 THEN {r6('least(1.0, ratio)', 2)} ELSE 0.0 END AS flow_quality
@@ -300,7 +298,7 @@ SQL: dict[str, str] = {
     "J3_restrict_ids": "SELECT doc_id, seq, content FROM chunks WHERE doc_id IN (SELECT doc_id FROM raw WHERE pinned)",
     "J4_known_hashes": "SELECT doc_id FROM copies WHERE category IS NULL AND (hash IS NULL OR hash NOT IN (SELECT hash FROM copies WHERE category = 'reviewed' AND hash IS NOT NULL))",
     "J5_query_postings": "SELECT query_id, term, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS uses, CAST(max(tf) AS INT) AS most FROM b_qt JOIN b_tf USING (term) GROUP BY ALL",
-    "J6_same_size_vectors": f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, {r6('raw')} AS score FROM ({ranked('', 'sims')}) WHERE rank <= 5 AND raw > 0",
+    "J6_same_size_vectors": f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, {r6('raw')} AS score FROM ({ranked('', 'mixed_sims')}) WHERE rank <= 5 AND raw > 0",
     "J7_vectors_with_chunk": "SELECT doc_id, seq, label, CAST(length(content) AS INT) AS chars FROM vecs JOIN chunks USING (doc_id, seq)",
     "J8_case_outcomes": "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, outcome FROM k_ranked LEFT JOIN cases ON 'case:' || case_id = doc_id WHERE rank <= 20",
     "J9_delete_users": "SELECT kind, count(*) AS n, (SELECT count(*) FROM people WHERE NOT disabled) AS users FROM creds WHERE user_id NOT IN (SELECT id FROM people WHERE disabled) GROUP BY kind",
@@ -338,7 +336,7 @@ SQL: dict[str, str] = {
     "T2_depth": """SELECT query_id, k AS top_k, greatest(3 * k, 20) AS depth, greatest(2, CAST(ceil(k / 3) AS INT)) AS pinned
         FROM (SELECT query_id, CASE WHEN length(text) / 20 > 0 THEN CAST(floor(length(text) / 20) AS INT) ELSE 8 END AS k FROM asked)""",
     "T3_pinned_chunks": """SELECT query_id, CAST(place - 1 AS INT) AS place, doc_id, seq FROM (
-        SELECT query_id, doc_id, seq, place, row_number() OVER (PARTITION BY query_id, doc_id, substr(content, 1, 80) ORDER BY place) AS nth FROM (
+        SELECT query_id, doc_id, seq, place, row_number() OVER (PARTITION BY query_id, doc_id, seq ORDER BY place) AS nth FROM (
             SELECT query_id, greatest(2, CAST(ceil(CAST(floor(length(text) / 20) AS INT) / 3) AS INT)) AS budget FROM asked) a
         JOIN (SELECT c.*, row_number() OVER (ORDER BY doc_id, seq) AS place FROM chunks c JOIN raw r USING (doc_id) WHERE r.pinned) p ON p.place <= a.budget) WHERE nth = 1""",
     "T5_cases_by_time": "SELECT case_id, strftime(coalesce(occurred_at, created_at), '%Y-%m-%d %H:%M:%S') AS at FROM cases",
@@ -352,7 +350,7 @@ SQL: dict[str, str] = {
     "R1_tokens": "SELECT doc_id, seq, CAST(sum(tf) AS BIGINT) AS n, count(*) AS kinds, CAST(sum(tf * length(term)) AS BIGINT) AS chars, max(term) AS last FROM k_tf GROUP BY doc_id, seq",
     "R2_flatten": f"SELECT doc_id, md5({flat('text')}) AS flat FROM raw",
     "R3_idf": f"SELECT query_id, term, df, {r6('idf')} AS idf FROM b_qt JOIN b_df USING (term)",
-    "R4_phrase_boost": f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, seq, {r6('raw')} AS raw FROM p_ranked WHERE rank <= 5",
+    "R4_phrase_boost": f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, seq, {r6('raw')} AS raw FROM b_ranked WHERE rank <= 5",
     "R6_keyword_search": f"""SELECT s.query_id, CAST(s.rank AS INT) AS rank, s.doc_id, s.seq, coalesce(n.name, '{L.DELETED_NAME}') AS name, s.score, m.matched FROM ks_ranked s LEFT JOIN names n USING (doc_id)
         JOIN (SELECT query_id, doc_id, seq, string_agg(term, ' ' ORDER BY idf DESC, pos) FILTER (WHERE nth <= 6) AS matched FROM (
             SELECT s.query_id, s.doc_id, s.seq, t.term, d.idf, t.pos, row_number() OVER (PARTITION BY s.query_id, s.doc_id, s.seq ORDER BY d.idf DESC, t.pos) AS nth
@@ -378,7 +376,7 @@ SQL: dict[str, str] = {
         LEFT JOIN h_final f USING (query_id) GROUP BY s.query_id, s.n""",
     "R17_citations": r"""SELECT a.conv_id || '-' || a.turn AS msg_id, coalesce(regexp_replace(q1.doc_name, '\.[a-z0-9]+$', '', 'i'), '来源1') || a.text || '见' || coalesce(regexp_replace(q2.doc_name, '\.[a-z0-9]+$', '', 'i'), '来源2') || '，来源9。' AS text
         FROM turns a LEFT JOIN quoted q1 ON q1.conv_id = a.conv_id AND q1.turn = a.turn AND q1.n = 1 LEFT JOIN quoted q2 ON q2.conv_id = a.conv_id AND q2.turn = a.turn AND q2.n = 2 WHERE a.role = 'ai'""",
-    "R18_embed_corpus": """SELECT doc_id, seq, 'hashing' AS model, 16 AS dim, CAST(len(list_filter(string_split(left(content, 1000), ''), lambda ch: ord(ch) % 16 = 0)) AS DOUBLE) AS first, CAST(length(left(content, 1000)) AS DOUBLE) AS total FROM chunks""",
+    "R18_embed_corpus": """SELECT doc_id, seq, 'hashing' AS model, 16 AS dim, CAST(len(list_filter(string_split(content, ''), lambda ch: ord(ch) % 16 = 0)) AS DOUBLE) AS first, CAST(length(content) AS DOUBLE) AS total FROM chunks""",
     "N1_compat_fold": "SELECT doc_id, '用工，' || text || '（隆）' AS text FROM raw",
     "N2_content_hash": "SELECT doc_id, hash FROM hashes",
     "N3_split_tags": "SELECT doc_id, source || '|' || lang || '|new|tag' AS tags, source || '|' || lang || '|' || source || ' new tag' AS tags_inner FROM raw",
@@ -387,7 +385,7 @@ SQL: dict[str, str] = {
         FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id, p ORDER BY i) AS prev FROM w_lines) GROUP BY doc_id, p) GROUP BY doc_id""",
     "N5_titles": f"""SELECT conv_id, CASE WHEN coalesce(q, '') = '' THEN '{V.NEW_TITLE}' WHEN length(q) > 14 THEN substr(q, 1, 14) || '…' ELSE q END AS title FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS q FROM turns GROUP BY conv_id)""",
     "N6_drafts": f"""SELECT a.conv_id, a.turn, CASE WHEN coalesce(q, '') = '' THEN '{V.NO_QUESTION}' WHEN length(q) > 30 THEN substr(q, 1, 30) || '…' ELSE q END AS title, coalesce(q, '') AS problem,
-        CASE WHEN length(b) > 1200 THEN substr(b, 1, 1200) || '…' ELSE b END AS ai_advice, d.doc_ids FROM (SELECT conv_id, turn, {_strip('question')} AS q, {_strip('answer')} AS b FROM answered) a
+        b AS ai_advice, d.doc_ids FROM (SELECT conv_id, turn, {_strip('question')} AS q, {_strip('answer')} AS b FROM answered) a
         LEFT JOIN (SELECT conv_id, turn, string_agg(DISTINCT doc_id, ',' ORDER BY doc_id) AS doc_ids FROM quoted GROUP BY ALL) d USING (conv_id, turn)""",
     "N7_meta_line": f"""SELECT doc_id, sz AS size, concat_ws(' · ', model, {case_map('kind', L.KIND_LABEL, 'NULL')}, nullif(sz, ''), CASE WHEN length(text) > 0 THEN '{B.SOURCE_LABEL['local']} ' || length(text) || '字' ELSE '{B.SOURCE_NONE}' END) AS line
         FROM (SELECT *, CASE WHEN size = 0 THEN '' WHEN size >= 1048576 THEN printf('%.1f MB', floor(size / 1048576 * 10 + 0.5) / 10) WHEN size >= 1024 THEN CAST(floor(size / 1024 + 0.5) AS BIGINT) || ' KB' ELSE size || ' B' END AS sz FROM labelled)""",
@@ -396,7 +394,7 @@ SQL: dict[str, str] = {
         FROM (SELECT *, lag(x1) OVER (PARTITION BY doc_id, row_no ORDER BY x0) AS lag_x1 FROM spanrows) GROUP BY doc_id, row_no) GROUP BY doc_id""",
     "N9_parse_reply": """SELECT reply_id, model, n, item, required, actual, verdict, source, no_data FROM items
         UNION ALL SELECT reply_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM replies WHERE NOT usable""",
-    "N10_prompt": "SELECT query_id, '" + P.PROMPT_OPEN.replace("'", "''") + "' || text || '" + P.PROMPT_CONTEXT + "' || '-' || '" + P.PROMPT_CLOSE + "' AS prompt FROM asked",
+    "N10_prompt": "SELECT query_id, '" + P.PROMPT_OPEN.replace("'", "''") + "' || text || '" + P.PROMPT_CONTEXT + f"' || coalesce(context, '{X.EMPTY_CONTEXT}') || '" + P.PROMPT_CLOSE + "' AS prompt FROM asked LEFT JOIN g_context USING (query_id)",
     "N11_chat_history": f"""SELECT conv_id, turn, CASE role WHEN 'ai' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN {_strip('text')} = '' THEN '{V.SEE_ATTACHMENT}' ELSE text END AS content
         FROM turns WHERE role IN ('user', 'ai') AND NOT (role = 'ai' AND starts_with(text, '{V.ERROR_MARK}'))""",
     "L1_case_labels": f"""SELECT case_id, {case_map('outcome', L.CASE_HEADER, "''")} AS header, {case_map('outcome', L.CASE_SOURCE, "''")} AS source,
@@ -409,21 +407,17 @@ SQL: dict[str, str] = {
         FROM creds c LEFT JOIN (SELECT * FROM people WHERE NOT disabled) p ON p.id = c.user_id WHERE kind = 'api'""",
     "D1_dedupe": """SELECT doc_id, hash IS NULL OR (hash NOT IN (SELECT hash FROM copies WHERE category = 'reviewed' AND hash IS NOT NULL) AND nth = 1) AS is_new
         FROM (SELECT doc_id, hash, row_number() OVER (PARTITION BY hash ORDER BY created_at, doc_id) AS nth FROM raw JOIN hashes USING (doc_id) WHERE category IS NULL)""",
-    "D2_repeated_sync": """SELECT count(*) AS documents, count(DISTINCT hash) AS contents, (SELECT count(*) FROM chunks WHERE doc_id IN (SELECT doc_id FROM copies WHERE nth = 1)) AS chunks FROM copies WHERE nth = 1""",
+    "D2_repeated_sync": """SELECT count(*) AS documents, count(DISTINCT hash) AS contents, (SELECT count(*) FROM chunks WHERE doc_id IN (SELECT doc_id FROM copies WHERE nth = 1)) AS chunks, CAST(0 AS BIGINT) AS added_again FROM copies WHERE nth = 1""",
 }
 
-# The opening sentence of each passage as the query, and names with codes, for R4, R11 and R12.
-CTE["firsts"] = r"SELECT item_id AS query_id, regexp_extract(text, '^([^.!?\n]*)', 1) AS text FROM benchmark"
-CTE |= ranking("chunks", "firsts", "p_")
-CTE["p_ranked"] = ranked("p_", "p_scored")
+# Names with codes, for R11 and R12.
 CTE["caps"] = """SELECT doc_id, upper(lang) || ' ' || doc_id || ' ' || upper(source) || ' QX- QX-' || doc_id || ' QX' || doc_id || chr(10) || upper(text) AS code FROM raw"""
 CTE["cap_models"] = model_of("caps", "code", 2)
-CTE["openings"] = """SELECT doc_id, string_agg(content, chr(10) ORDER BY seq) AS opening FROM (
-    SELECT *, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM chunks) WHERE start <= 3000 GROUP BY doc_id"""
+CTE["openings"] = "SELECT doc_id, string_agg(content, chr(10) ORDER BY seq) AS opening FROM chunks GROUP BY doc_id"
 CTE["opening_models"] = model_of("openings", "opening", 2)
-CTE["relabelled"] = f"""SELECT r.doc_id, coalesce(n.model, x.model) AS model, coalesce({kind_of('r.name')}, {kind_of("substr(coalesce(o.opening, ''), 1, 3000)")}) AS kind
+CTE["relabelled"] = f"""SELECT r.doc_id, coalesce(n.model, x.model) AS model, coalesce({kind_of('r.name')}, {kind_of("coalesce(o.opening, '')")}) AS kind
     FROM raw r LEFT JOIN openings o USING (doc_id) LEFT JOIN name_models n USING (doc_id) LEFT JOIN opening_models x USING (doc_id)"""
-CTE["coded"] = "SELECT item_id AS query_id, concat_ws(' ', 'src' || item_id, 'FR', 'pdf', 'de-' || item_id) AS text FROM benchmark"
+CTE["coded"] = "SELECT item_id AS query_id, concat_ws(' ', 'src' || item_id, 'FR', 'pdf', 'de-' || item_id, text) AS text FROM benchmark"
 CTE["long_asked"] = "SELECT item_id AS query_id, 'src1 en ' || text AS text FROM benchmark"
 
 

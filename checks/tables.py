@@ -158,7 +158,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("role") == "assistant", "ai").otherwise(F.col("role"))
-    return given(spark, sf_dir, "conversations").filter(F.col("role") != "system").select("conv_id", "turn", role.alias("role"), "text")
+    return given(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"), "text")
 
 
 def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,12 +254,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_INDEXES: dict[tuple[str, str, bool], KeywordIndex] = {}
+_INDEXES: dict[tuple, KeywordIndex] = {}
 
 
 def index(spark: SparkSession, sf_dir: str, with_cases: bool = True) -> KeywordIndex:
-    """The keyword index over chunks (and cases), built once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, with_cases)
+    """The keyword index over chunks (and cases), built once per session and state of the tables' files."""
+    tables = [given(spark, sf_dir, n) for n in ("documents", "labels")]
+    changed = [t.agg(F.max("_metadata.file_modification_time"), F.count("*")).first() for t in tables]
+    key = (spark.sparkContext.applicationId, sf_dir, with_cases, *changed)
     if key not in _INDEXES:
         ensure_scratch(spark)
         rows = chunks(spark, sf_dir)
