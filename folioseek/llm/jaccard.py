@@ -1,22 +1,22 @@
 """Operator 8: all links of Jaccard similarity >= 80 % on 5-word shingles, under several global token orders.
 
 A document is the set of its distinct shingles (64-bit hashes of 5 words; A-Z as a-z; words are runs without ASCII
-white space; with fewer than 5 words, all of them are one shingle). Equal sets are one *node*. If two sets of
-n and m shingles are similar enough, then, whatever the global order of shingles, they share one among the first
-n - ceil(0.8 n) + 1 of the one and the first m - ceil(0.8 m) + 1 of the other. The orders used here agree
-on classes and differ within them:
+white space; with fewer than 5 words, all of them are one shingle). Equal sets are one *node*. Sets of n and
+m shingles that link share at least o = ceil(4 (n + m) / 9), so that, whatever the global order of shingles, they share one
+among the first n - o + 1 of the one and the first m - o + 1 of the other. The orders used here agree on classes
+and differ within them:
 
 * class 0, shingles that only one document has; 1, others; 2, common ones; in each class by another hash per order.
-  Classes come from a count of shingles into bitmaps of fixed size, and a wrong class only costs
-  time: an order is an order. A document with a whole prefix in class 0 can have no partner.
+  Classes come from a count of shingles into bitmaps of fixed size, and too high a class only costs time: an
+  order is an order. A document with a whole prefix in class 0 can have no partner.
 * candidates come from an index on the prefix of the first order (class 0 left out), and must share a prefix
   shingle under each further order too, before the whole sets are compared.
 
-Large groups never become all pairs. In each round a node is compared with one leader: of all leaders
-of its index lists, the one that it shares most prefix shingles with; links join components. Further rounds
-choose other leaders, from components that the node is not in, until rounds join nothing. What is
-left, nodes of different components on one list, is then compared pair by pair, but for pairs compared before, so
-that no link between components is lost and the components are exact.
+Large groups never become all pairs. In each turn a node is compared with one leader: of the leaders
+of its index lists, the one that it shares most lists with; links join components. A list is led by a
+node with few shingles of its own, which an original is to its near copies, and by others in later turns. When a turn
+joins few of its pairs, the rest, nodes of different components on one list, is compared pair by pair, but for
+pairs compared before, so that no link between components is lost and the components are exact.
 
 Null and empty texts have the empty set: n_shingles 0, linked with nothing. Repeated rows are copies:
 one node. Repeated document ids are separate rows; null ids are ignored as component ids while
@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 from folioseek.llm.common import Memo, Scratch, arrow_schema, text_slices
 
 SHINGLE = 5
-#: Bits of the two bitmaps (shared, common); they hold the top bits of a shingle's hash.
+#: Bits of the two bitmaps (shared, common): 16 MB each, whatever the input.
 BITMAP_BITS = 27
-#: Bitmaps cover the shingles whose first byte is below this share of 256; others count as shared.
-COVERED = 128
 COMMON_DOCS = 32
-SLICES = 64  # parts of the covered range that are counted on their own
+SLICES = 64  # ranges of hashes that are counted on their own
+HELD = 2_000_000  # shingles that a task holds before it hands their counts on
 #: Pairs of one leader that are compared beside one repeat of its set.
 LEADER_PAIRS = 256
+#: A turn that joins less than this share of its pairs is the last.
+WORTH_A_TURN = 0.1
 ORDERS = (0, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+FACTORS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)
 
 
 class WordHashes(Memo):
@@ -59,25 +61,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = []
-    step = memo.limit // 2
-    for i in range(0, len(words), step):
-        part = words[i : i + step]
-        memo.room(len(part))
-        parts.append(np.fromiter(map(memo.__getitem__, part), np.uint64, len(part)))
-    h = np.concatenate(parts)
-    width = min(SHINGLE, len(h))
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
     n = len(h) - width + 1
-    out = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(width):
-            out = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : i + n])
-    return np.unique(out)
+        out = h[:n] * np.uint64(FACTORS[0])
+        for i in range(1, width):
+            out += h[i : i + n] * np.uint64(FACTORS[i])
+        return mixed(out + np.uint64(width))
+
+
+def shingle_sets(texts: list[bytes | None], memo: WordHashes) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; words and windows are hashed for all texts at once."""
+    split = [t.lower().split() if t else [] for t in texts]
+    sizes = list(map(len, split))
+    h = np.empty(sum(sizes), np.uint64)
+    at = 0
+    for words in split:
+        for i in range(0, len(words), memo.limit // 2):
+            part = words[i : i + memo.limit // 2]
+            memo.room(len(part))
+            h[at : at + len(part)] = np.fromiter(map(memo.__getitem__, part), np.uint64, len(part))
+            at += len(part)
+    full = windows(h, SHINGLE) if len(h) >= SHINGLE else h[:0]
+    out, at = [], 0
+    for n in sizes:
+        s = full[at : at + n - SHINGLE + 1].copy() if n >= SHINGLE else windows(h[at : at + n], n) if n else h[:0]
+        if len(s) > 1:
+            s.sort()
+            s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+        out.append(s)
+        at += n
+    return out
 
 
 def node_of(s: np.ndarray) -> int:
@@ -86,6 +101,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def prefix_size(n: int) -> int:
+    """Places of the longest prefix that a partner of any size can ask for."""
     return n - (8 * n + 9) // 10 + 1
 
 
@@ -96,78 +112,77 @@ class Classes:
         self.shared, self.common = shared, common
 
     def of(self, s: np.ndarray) -> np.ndarray:
-        out = np.ones(len(s), np.uint64)
-        low = np.flatnonzero(s < np.uint64(COVERED << 56))
-        at = (s[low] >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-        bit = np.uint8(1) << (at & 7).astype(np.uint8)
-        out[low] = ((self.shared[at >> 3] & bit) > 0).astype(np.uint64) + ((self.common[at >> 3] & bit) > 0)
-        return out
-
-    def prefix(self, s: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-        """The prefix under one order without class 0; empty if class 0 fills it."""
+        at = (s >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+        bit, at = np.uint8(1) << (at & 7).astype(np.uint8), at >> 3
+        return ((self.shared[at] & bit) > 0).astype(np.uint64) + ((self.common[at] & bit) > 0)
+
+    @staticmethod
+    def prefix(s: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+        """The prefix under one order from the first shingle beyond class 0 on, in order."""
         rank = s if not order else mixed(s ^ np.uint64(order))
         key = (classes << np.uint64(62)) | (rank >> np.uint64(2))
         k = prefix_size(len(s))
         chosen = np.argpartition(key, k - 1)[:k] if k < len(s) else np.arange(len(s))
+        chosen = chosen[np.argsort(key[chosen])]
         return s[chosen[classes[chosen] > 0]]
 
 
-def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of documents (row, key, n, node) and of counts (slice, shingles: top 32 bits in the covered range)."""
-    ddl = f"row long, key {docs.schema[key].dataType.simpleString()}, n int, node long, slice int, counted binary"
-    schema = arrow_schema(ddl)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+def packed(x: np.ndarray, low: int) -> bytes:
+    """Sorted 32-bit values from `low` on as 16-bit steps; 65535 is a step without a value."""
+    steps = np.diff(x.astype(np.int64), prepend=low)
+    skips = steps // 65535
+    at = np.arange(len(x)) + np.cumsum(skips)
+    out = np.full(int(at[-1]) + 1 if len(x) else 0, 65535, np.uint16)
+    out[at] = steps % 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes, low: int) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint16)
+    return (np.cumsum(steps, dtype=np.int64) + low)[steps != 65535]
+
+
+def _counted(docs: DataFrame, text: str) -> DataFrame:
+    """(slice, counted): the top 32 bits of the shingles of all documents, once per task and node, by ranges."""
+    schema = arrow_schema("slice int, counted binary")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHashes(), Memo(200_000)
-        held, size = [], 0
+        memo, seen, held = WordHashes(), Memo(200_000), []
 
-        def counts() -> pa.RecordBatch:
+        def parts() -> pa.RecordBatch:
             x = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            edges = np.searchsorted(x, np.arange(SLICES + 1, dtype=np.uint64) * (COVERED << 24) // SLICES)
-            parts = [(i, x[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            n = len(parts)
-            nulls = [pa.nulls(n, f.type) for f in schema][:4]
-            return pa.RecordBatch.from_arrays(
-                [*nulls, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], schema=schema
-            )
+            lows = [(i << 32) // SLICES for i in range(SLICES + 1)]
+            edges = np.searchsorted(x, lows)
+            cut = [(i, packed(x[a:b], lows[i])) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([c[k] for c in cut], schema[k].type) for k in range(2)], schema=schema)
 
-        for batch, texts in text_slices(batches, "text"):
-            sizes, nodes = [], []
-            for t in texts:
-                s = shingles(t, memo)
-                sizes.append(len(s)), nodes.append(node_of(s))
+        for _, texts in text_slices(batches, "text"):
+            for s in shingle_sets(texts, memo):
+                node = node_of(s)
                 seen.room(1)
-                if nodes[-1] not in seen:  # copies would make every shingle of theirs look shared
-                    seen[nodes[-1]] = True
-                    held.append((s[: np.searchsorted(s, np.uint64(COVERED << 56))] >> np.uint64(32)).astype(np.uint32))
-                    size += len(held[-1])
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(schema[1].type), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema
-            )
-            if size > 4_000_000:
-                yield counts()
-                held, size = [], 0
-        yield counts()
+                if node not in seen:  # copies would make all their shingles look shared
+                    seen[node] = True
+                    held.append((s >> np.uint64(32)).astype(np.uint32))
+            if sum(map(len, held)) > HELD:
+                yield parts()
+                held.clear()
+        if held:
+            yield parts()
 
-    return rows.mapInArrow(task, ddl)
+    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(task, "slice int, counted binary")
 
 
 def _bitmaps(counted: DataFrame) -> Classes:
     """Bitmaps of the shingles in two documents or more, and in COMMON_DOCS or more; of fixed size whatever the input."""
-    size = (COVERED << (BITMAP_BITS - 8)) // SLICES // 8  # bytes of a slice's bitmap
+    size = (1 << BITMAP_BITS) // SLICES // 8  # bytes of a slice's bitmap
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, lo, parts in _by_slice(batches):
-            x = np.sort(np.concatenate(parts))
-            bits = []
+        for i, x in _by_slice(batches):
+            low, bits = (i << 32) // SLICES, []
             for least in (2, COMMON_DOCS):
                 many = x[least - 1 :][x[least - 1 :] == x[: len(x) - least + 1]] if len(x) >= least else x[:0]
-                at = np.unique((many.astype(np.uint64) - np.uint64(lo)) >> np.uint64(32 - BITMAP_BITS)).astype(np.int64)
                 flags = np.zeros(size * 8, bool)
-                flags[at] = True
+                flags[(many - low) >> (32 - BITMAP_BITS)] = True
                 bits.append(np.packbits(flags, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([b], pa.binary()) for b in bits)], names=["slice", "shared", "common"])
 
@@ -179,45 +194,52 @@ def _bitmaps(counted: DataFrame) -> Classes:
     return Classes(*whole)
 
 
-def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The sorted values of each slice."""
     now, parts = None, []
     for batch in batches:
         for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if i != now and parts:
-                yield now, now * (COVERED << 24) // SLICES, parts
+                yield now, np.sort(np.concatenate(parts))
                 parts = []
             now = i
-            parts.append(np.frombuffer(blob, np.uint32))
+            parts.append(unpacked(blob, (i << 32) // SLICES))
     if parts:
-        yield now, now * (COVERED << 24) // SLICES, parts
+        yield now, np.sort(np.concatenate(parts))
+
+
+FOUND = "n0 int, own double, prefix array<long>, further array<binary>, shingles binary"
 
 
-def _candidates(docs: DataFrame, text: str, classes: Classes) -> DataFrame:
-    """Per document that may have partners: node, n, prefix of the first order, packed further prefixes, packed set."""
-    ddl = "node long, n int, prefix array<long>, further array<binary>, shingles binary"
-    schema = arrow_schema(ddl)
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+def _scanned(docs: DataFrame, key: str, text: str, classes: Classes) -> DataFrame:
+    """Per document: key, n, node; where it may have partners and is the first of its node in the task also FOUND.
+
+    n0: shingles of class 0 before the prefixes; own: their share; prefix, further: the prefixes in order; shingles: the set.
+    """
+    ddl = f"key {docs.schema[key].dataType.simpleString()}, n int, node long, {FOUND}"
+    schema, sent = arrow_schema(ddl), docs.sparkSession.sparkContext.broadcast(classes)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, classes = WordHashes(), Memo(200_000), sent.value
-        for _, texts in text_slices(batches, "text"):
-            rows = []
-            for t in texts:
-                s = shingles(t, memo)
-                if not len(s):
-                    continue
-                of = classes.of(s)
-                first = classes.prefix(s, of, ORDERS[0])
-                node = node_of(s)
+        for batch, texts in text_slices(batches, "text"):
+            found = []
+            for s in shingle_sets(texts, memo):
+                node, extra = node_of(s), (None,) * 5
                 seen.room(1)
-                if len(first) and node not in seen:
+                if len(s) and node not in seen:
                     seen[node] = True
-                    more = [np.sort(classes.prefix(s, of, o)).tobytes() for o in ORDERS[1:]]
-                    rows.append((node, len(s), first.view(np.int64), more, s.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    of = classes.of(s)
+                    first = classes.prefix(s, of, ORDERS[0])
+                    if len(first):
+                        n0 = int((of == 0).sum())
+                        more = [classes.prefix(s, of, o).tobytes() for o in ORDERS[1:]]
+                        extra = (n0, n0 / len(s), first.view(np.int64), more, s.tobytes())
+                found.append((len(s), node, *extra))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*found), list(schema)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), *columns], schema=schema)
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(task, ddl)
+    return rows.mapInArrow(task, ddl)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,37 +250,38 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     loads = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_PAIRS).cast("int").alias("repeats"))
     dealt = pairs.join(loads, "leader").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("repeats")).cast("int"))
-    left = dealt.join(sets, "node").select("node", "leader", "salt", F.col("further").alias("fa"), F.col("shingles").alias("sa"))
+    columns = ("n0", "further", "shingles")
+    left = dealt.join(sets, "node").select("node", "leader", "salt", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = loads.join(sets.withColumnRenamed("node", "leader"), "leader").select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("salt"), F.col("further").alias("fb"), F.col("shingles").alias("sb")
+        "leader", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_b") for c in columns)
     )
-    both = left.join(right, ["leader", "salt"]).select("node", "leader", "fa", "fb", "sa", "sb")
+    both = left.join(right, ["leader", "salt"]).select("node", "leader", *(f"{c}_{x}" for x in "ab" for c in columns))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for fa, fb, sa, sb in zip(*(batch.column(i) for i in range(2, 6))):
-                keep.append(linked(fa.as_py(), fb.as_py(), sa.as_py(), sb.as_py()))
+            keep = [linked(a[:3], a[3:]) for a in zip(*([x.as_py() for x in batch.column(i)] for i in range(2, 8)))]
             ends = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "leader"])
             yield ends.filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(task, "node long, leader long")
 
 
-def linked(fa: list[bytes], fb: list[bytes], sa: bytes, sb: bytes) -> bool:
-    """A common shingle in each further prefix, and the similarity itself."""
-    for x, y in zip(fa, fb):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+def linked(a: tuple[int, list[bytes], bytes], b: tuple[int, list[bytes], bytes]) -> bool:
+    """Of (n0, further prefixes, set): a common shingle in each further prefix, and the similarity itself."""
+    n, m = len(a[2]) // 8, len(b[2]) // 8
+    least = -(-4 * (n + m) // 9)
+    for x, y in zip(a[1], b[1]):
+        x, y = np.frombuffer(x, np.uint64)[: max(0, n - least + 1 - a[0])], np.frombuffer(y, np.uint64)[: max(0, m - least + 1 - b[0])]
         if not len(np.intersect1d(x, y, assume_unique=True)):
             return False
-    sa, sb = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-    common = len(np.intersect1d(sa, sb, assume_unique=True))
-    return 100 * common >= 80 * (len(sa) + len(sb) - common)
+    common = len(np.intersect1d(np.frombuffer(a[2], np.uint64), np.frombuffer(b[2], np.uint64), assume_unique=True))
+    return 100 * common >= 80 * (n + m - common)
 
 
-def fits(n: Column, m: Column) -> Column:
-    """Sets of such sizes can link."""
-    return (n * 5 >= m * 4) & (m * 5 >= n * 4)
+def fits(n: str, m: str, at: str, other: str) -> Column:
+    """Sizes n and m can link, and the shared shingle is early enough in both (places `at` and `other`)."""
+    least = F.ceil((F.col(n) + F.col(m)) * 4 / 9)
+    return (F.col(at) <= F.col(n) - least) & (F.col(other) <= F.col(m) - least)
 
 
 def components(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -299,40 +322,37 @@ def components(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFra
     return scratch.table(out, "labels")
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 12) -> DataFrame:
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", turns: int = 12) -> DataFrame:
     """Per row of `docs`: `key`, n_shingles, component_id (smallest key reachable by links)."""
     spark: SparkSession = docs.sparkSession
     scratch, early = Scratch(spark, "jaccard"), Scratch(spark, "jaccard")
-    scan = early.table(_scan(docs, key, text), "scan")
-    members = scratch.table(scan.where("row is not null").select("key", "n", "node"), "members", lasting=True)
-    classes = _bitmaps(scan.where("slice is not null").select("slice", "counted"))
-    early.drop()
-    found = early.table(_candidates(docs, text, classes), "found")
-    index = found.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("shingle"))
-    index = early.table(index, "index")
+    scan = early.table(_scanned(docs, key, text, _bitmaps(_counted(docs, text))), "scan")
+    members = scratch.table(scan.select("key", "n", "node"), "members", lasting=True)
+    found = scan.where("prefix is not null")
+    index = found.select("node", "n", "n0", "own", "prefix").dropDuplicates(["node"])
+    index = index.select("node", "n", "own", "n0", F.posexplode("prefix").alias("at", "shingle"))
+    index = early.table(index.withColumn("at", F.col("at") + F.col("n0")).drop("n0"), "index")
     lists = index.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
     index = scratch.table(index.join(lists, "shingle"), "index")
-    nodes = index.select("node").distinct()
-    labels = scratch.table(nodes.select("node", F.col("node").alias("comp")), "labels")
+    labels = scratch.table(index.select("node", F.col("node").alias("comp")).distinct(), "labels")
     sets = found.join(labels.select("node"), "node", "left_semi").groupBy("node")
-    sets = scratch.table(sets.agg(F.first(F.struct("further", "shingles")).alias("s")).select("node", "s.*"), "sets")
+    sets = scratch.table(sets.agg(F.first(F.struct("n0", "further", "shingles")).alias("s")).select("node", "s.*"), "sets")
     early.drop()
     tried: DataFrame | None = None
-    idle = 0
-    for turn in range(rounds):
-        open_lists = _open(scratch, index, labels)
-        if not open_lists.limit(1).count():
+    for turn in range(turns):
+        rows = _open(scratch, index, labels)
+        pairs = scratch.table(_leader_pairs(rows, tried, turn), "pairs")
+        asked = pairs.count()
+        if not asked:
             break
-        pairs = scratch.table(_leader_pairs(open_lists, tried, turn), "pairs")
         links = scratch.table(_similar(pairs, sets), "links")
         tried = pairs if tried is None else scratch.table(tried.union(pairs), "tried")
-        idle = 0 if links.limit(1).count() else idle + 1
-        labels = components(scratch, labels, links)
-        if idle == 2:
+        joined = links.count()
+        labels = components(scratch, labels, links) if joined else labels
+        if joined < asked * WORTH_A_TURN:
             break
-    open_lists = _open(scratch, index, labels)
-    if open_lists.limit(1).count():
-        rest = scratch.table(_rest(open_lists, tried), "rest")
+    rest = scratch.table(_rest(_open(scratch, index, labels), tried), "rest")
+    if rest.limit(1).count():
         labels = components(scratch, labels, scratch.table(_similar(rest, sets), "links"))
     labels = scratch.table(labels, "final", lasting=True)
     scratch.drop()
@@ -345,28 +365,33 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _open(scratch: Scratch, index: DataFrame, labels: DataFrame) -> DataFrame:
-    """(shingle, node, n, comp) of the index lists that still hold more than one component."""
+    """The rows of the index lists that still hold more than one component, with comp."""
     rows = index.join(labels, "node")
     several = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    return scratch.table(rows.join(several, "shingle").select("shingle", "node", "n", "comp"), "open")
+    return scratch.table(rows.join(several, "shingle").select("shingle", "node", "n", "own", "at", "comp"), "open")
 
 
-def size_class(n: Column) -> Column:
+def size_step(n: Column) -> Column:
     """Steps of 1.25: sizes that can link are in the same or in neighbouring steps."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
 
 
+def beside(step: Column) -> Column:
+    return F.explode(F.array(step - 1, step, step + 1)).alias("step")
+
+
 def _leader_pairs(rows: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
     """For each node at most one leader (node, leader), of another component: the one that it shares most lists with.
 
-    A list has one leader per size step, the node of least hash, which differs from turn to turn.
+    A list has one leader per size step: first the node with the least share of shingles of its own, then others.
     """
-    rows = rows.withColumn("step", size_class(F.col("n")))
+    rows = rows.withColumn("step", size_step(F.col("n")))
     chance = F.xxhash64("node", F.lit(turn))
-    first = rows.groupBy("shingle", "step").agg(F.min(F.struct(chance.alias("chance"), "node", "n", "comp")).alias("l"))
-    leaders = first.select("shingle", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"),
-                           F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.comp").alias("leader_comp"))
-    pairs = rows.join(leaders, ["shingle", "step"]).where((F.col("comp") != F.col("leader_comp")) & fits(F.col("n"), F.col("m")))
+    weight = F.struct("own", chance.alias("chance")) if turn == 0 else F.struct(chance.alias("chance"))
+    first = rows.groupBy("shingle", "step").agg(F.min_by(F.struct("node", "n", "at", "comp"), weight).alias("l"))
+    leaders = first.select("shingle", beside(F.col("step")), F.col("l.node").alias("leader"), F.col("l.n").alias("m"),
+                           F.col("l.at").alias("place"), F.col("l.comp").alias("leader_comp"))
+    pairs = rows.join(leaders, ["shingle", "step"]).where((F.col("comp") != F.col("leader_comp")) & fits("n", "m", "at", "place"))
     counts = pairs.groupBy("node", "leader").agg(F.count("*").alias("shared"))
     counts = counts if tried is None else _without(counts, tried)
     best = counts.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("p"))
@@ -380,12 +405,19 @@ def _without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def _rest(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """All pairs of different components on one list, but for those compared before."""
-    step = size_class(F.col("n"))
-    left = rows.select("shingle", "node", "n", "comp", step.alias("step"))
-    right = rows.select("shingle", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("comp").alias("leader_comp"),
-                        F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    other = (F.col("node") < F.col("leader")) & (F.col("comp") != F.col("leader_comp")) & fits(F.col("n"), F.col("m"))
+    """All pairs of different components on one list, but for those compared before.
+
+    Most of a long list is one component by now. Its other members are joined with all; it is not joined with itself.
+    """
+    shares = rows.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
+    largest = shares.groupBy("shingle").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    rows = rows.join(largest, "shingle")
+    step = size_step(F.col("n"))
+    left = rows.where("comp <> largest").select("shingle", "node", "n", "at", "comp", step.alias("step"))
+    right = rows.select("shingle", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("at").alias("place"),
+                        F.col("comp").alias("leader_comp"), "largest", beside(step))
+    once = (F.col("leader_comp") == F.col("largest")) | (F.col("node") < F.col("leader"))
+    other = once & (F.col("comp") != F.col("leader_comp")) & fits("n", "m", "at", "place")
     pairs = left.join(right, ["shingle", "step"]).where(other).select("node", "leader").distinct()
     return pairs if tried is None else _without(pairs, tried)
 
