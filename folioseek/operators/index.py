@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
-from .tables import first_seen, scratch_dir
+from .tables import first_seen, scratch_path
 
 # --- fixed values ---
 K1 = 1.2  # term frequency saturation
@@ -130,10 +130,7 @@ def occurrences(index: KeywordIndex) -> DataFrame:
 
 def scratch_index(rows: DataFrame, label: str, **options) -> KeywordIndex:
     """An index in the scratch folder, for one run."""
-    import uuid
-
-    path = f"{scratch_dir(rows.sparkSession)}/folioseek/index-{label}-{uuid.uuid4().hex}"
-    return build_index(rows, path, **options)
+    return build_index(rows, scratch_path(rows.sparkSession, f"index-{label}"), **options)
 
 
 def corpus_fingerprint(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -14,6 +19,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder for one scratch table, deleted with the innermost `scratch` scope."""
+    path = f"{scratch_dir(spark)}/folioseek/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are deleted at the end: what reads them has to be stored or gathered inside."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet in the scratch folder and read it back.
 
@@ -21,7 +49,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     the size check for broadcasts: the table's real size is known when the next join is planned, so
     no join here carries a broadcast hint for data that could grow.
     """
-    path = f"{scratch_dir(df.sparkSession)}/folioseek/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

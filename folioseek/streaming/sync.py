@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import spread
+from ..operators.tables import scratch, spread
 from ..plans.ingest import sync_files
 from ..sources.files import Extractor, routed, with_names
 
@@ -83,6 +83,18 @@ def add_batch(
     category: str | None = None,
 ) -> None:
     """Dedupe, label, chunk and store one batch, then mark it. A repeated batch replaces what it added before."""
+    with scratch(files.sparkSession):
+        _add_batch(files, batch_id, table, sync_id, make_extractor, category)
+
+
+def _add_batch(
+    files: DataFrame,
+    batch_id: int,
+    table: str,
+    sync_id: str,
+    make_extractor: Callable[[], Extractor] | None,
+    category: str | None,
+) -> None:
     spark = files.sparkSession
     parsed = (
         routed(with_names(spread(files)), make_extractor)
