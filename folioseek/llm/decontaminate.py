@@ -97,7 +97,7 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: in
     n = max(1, 2 * math.ceil(size / block_bytes) if size > block_bytes else 1)
     for block in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block) if n > 1 else rows
-        yield [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.toLocalIterator()]
+        yield [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
 
 
 def scan_benchmark(

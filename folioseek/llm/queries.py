@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioseek.llm import bpe, decontaminate, html_text, jaccard, lines, quality, shards, surrogates, token_store, toxicity
 from folioseek.llm.common import Scratch, crc_mod, given
+from folioseek.llm.sql import SQL  # noqa: F401
 from folioseek.operators.tables import scratch_dir
 from folioseek.session import ensure_scratch
 
@@ -103,4 +104,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_surrogates, op7_decontaminate, op8_jaccard, op9_quality, op10_shards,
     )
 }
-SQL: dict[str, str] = {}

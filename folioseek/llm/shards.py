@@ -49,7 +49,7 @@ def numbered(scratch: Scratch, rows: DataFrame, order: list[str], n_rows: int, t
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     table = scratch.table(dealt.mapInArrow(task, ddl), "numbered")
     total, starts = 0, []
-    for r in table.groupBy("part").count().orderBy("part").toLocalIterator():  # one row per range
+    for r in table.groupBy("part").count().orderBy("part").collect():  # one row per range
         starts.append((r["part"], total))
         total += r["count"]
     starts = rows.sparkSession.createDataFrame(starts, "part int, start long")

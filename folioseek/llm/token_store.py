@@ -158,7 +158,7 @@ class _LibraryRuns(Memo):
 
     def learn(self, runs: list[bytes]) -> None:
         self.room(min(len(runs), self.limit // 2))
-        new = list(set(runs).difference(self))
+        new = [r for r in set(runs) if r not in self]
         found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in new], add_special_tokens=False)
         self.update(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in found)))
 
@@ -311,7 +311,7 @@ def find_keys(store: TokenStore, keys: DataFrame) -> DataFrame:
     """(key, shard, first, count) of the keys in column `key`, by the index; unknown keys have count 0."""
     spark, folder, n = keys.sparkSession, store.folder, store.n_buckets
     # one row per index file: at most one per `bucket_keys` keys
-    files = spark.sparkContext.broadcast({r["bucket"]: r["file"] for r in store.index.toLocalIterator()})
+    files = spark.sparkContext.broadcast({r["bucket"]: r["file"] for r in store.index.collect()})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)
@@ -343,7 +343,7 @@ def read_tokens(store: TokenStore, found: DataFrame) -> DataFrame:
     """
     spark, folder, width = found.sparkSession, store.folder, store.width
     at, bases = 0, {}
-    for r in store.shards.orderBy("shard").toLocalIterator():  # one row per shard file
+    for r in store.shards.orderBy("shard").collect():  # one row per shard file
         bases[r["shard"]] = (at, r["ids_file"], r["off_file"])
         at += r["n_ids"]
     files = spark.sparkContext.broadcast(bases)
