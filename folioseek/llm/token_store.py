@@ -19,10 +19,13 @@ writes files of its own name and only the manifest of committed tasks names them
 """
 from __future__ import annotations
 
+import json
 import math
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioseek.llm.bpe import EARLY, byte_letters
 from folioseek.llm.common import Memo, Scratch, text_slices
 
 MAGIC = b"MPHIDX1\n"
+#: The splitting pattern that PIECES states for plain runs.
+KNOWN_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The key that stands for null; it is no document id.
 NULL_KEY = -(1 << 63)
 #: Bits per remaining key in each level of the hash.
@@ -144,8 +150,18 @@ def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return store, path.rstrip("/")
 
 
+#: Runs of these characters (ASCII and Latin letters that no normal form changes) can be cut here as the tokenizer cuts them.
+LATIN = "\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PLAIN = re.compile(rf"[!-;=-~{LATIN}]+")  # no "<", which special tokens begin with
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+PIECES = re.compile(rf"{ENDINGS}|[a-z\u00aa\u00b5\u00ba\u00c0-\uffff]+|[0-9]|[^a-z0-9\u00aa\u00b5\u00ba\u00c0-\uffff]+")
+
+
 class _LibraryRuns(Memo):
-    """run of text -> its ids as raw bytes, from the tokenizers library; runs have no ASCII white space."""
+    """run of text -> its ids as raw bytes, from the tokenizers library; runs have no ASCII white space.
+
+    The pieces of a plain run go straight to the library's model; all other runs through its whole chain.
+    """
 
     def __init__(self, path: str, dtype: str, limit: int):
         super().__init__(limit)
@@ -154,13 +170,36 @@ class _LibraryRuns(Memo):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = dtype
+        self.tokenize = self.tokenizer.model.tokenize
+        self.dtype, self.code = dtype, "H" if dtype == "<u2" else "I"
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            cuts = json.load(f)["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex", "")
+        self.plain = cuts == KNOWN_CUTS  # another file's runs all go through the chain
+        self.letters = byte_letters()
 
     def learn(self, runs: list[bytes]) -> None:
         self.room(min(len(runs), self.limit // 2))
-        new = [r for r in set(runs) if r not in self]
-        found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in new], add_special_tokens=False)
-        self.update(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in found)))
+        rest = []
+        for run in set(runs):
+            if run in self:
+                continue
+            text = run.decode("utf-8", "replace")
+            if self.plain and PLAIN.fullmatch(text):
+                self[run] = b"".join(map(self.piece, PIECES.findall(text.lower())))
+            else:
+                rest.append((run, text))
+        found = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
+        self.update((run, array(self.code, e.ids).tobytes()) for (run, _), e in zip(rest, found))
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
+            mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            self.pieces[piece] = ids = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
+        return ids
 
 
 @dataclass
@@ -191,12 +230,13 @@ def write_tokens(
     end_id: int = 1,
     shard_bytes: int = 32 << 20,
     bucket_keys: int = 200_000,
-    memo_runs: int = 250_000,
+    memo_runs: int = 400_000,
 ) -> TokenStore:
     """Encode every whole text and write shards of about `shard_bytes` of text, then the index.
 
     Texts are encoded run by run (runs between ASCII white space): the tokenizer's normaliser and
-    pattern never join characters over white space, so a text's ids are those of its runs in turn.
+    pattern never join characters over white space, so a text's ids are those of its runs in turn. The memo's bound
+    is of runs per task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
@@ -221,7 +261,8 @@ def write_tokens(
         for batch, texts in text_slices(batches, "text"):
             if out is None:
                 out = fs.open_output_stream(f"{path}/{names[0]}")
-            split = [(t or b"").split() for t in texts]
+            # A-Z in small letters at once, unless special tokens or combining marks may be there
+            split = [(t if any(x in t for x in EARLY) else t.lower()).split() if t else [] for t in texts]
             flat = [r for s in split for r in s]
             for i in range(0, len(flat), memo_runs // 4):
                 runs.learn(flat[i : i + memo_runs // 4])
