@@ -39,6 +39,7 @@ SHINGLE = 5
 BITMAP_BITS = 27
 COMMON_DOCS = 32
 SLICES = 64  # ranges of hashes that are counted on their own
+NODE_BITS = 24  # of the bitmap of nodes, 2 MB
 HELD = 2_000_000  # shingles that a task holds before it hands their counts on
 #: Pairs of one leader that are compared beside one repeat of its set.
 LEADER_PAIRS = 256
@@ -188,7 +189,7 @@ def _bitmaps(counted: DataFrame) -> Classes:
 
     dealt = counted.repartition(SLICES, "slice").sortWithinPartitions("slice")
     whole = [np.zeros(SLICES * size, np.uint8) for _ in range(2)]
-    for r in dealt.mapInArrow(task, "slice int, shared binary, common binary").toLocalIterator():
+    for r in dealt.mapInArrow(task, "slice int, shared binary, common binary").collect():
         for bitmap, name in zip(whole, ("shared", "common")):
             bitmap[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r[name], np.uint8)
     return Classes(*whole)
@@ -242,6 +243,35 @@ def _scanned(docs: DataFrame, key: str, text: str, classes: Classes) -> DataFram
     return rows.mapInArrow(task, ddl)
 
 
+def _holding(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Most rows of `found` that are not of `nodes` left out, by a bitmap of fixed size, before the rest is joined."""
+    size = (1 << NODE_BITS) // SLICES
+
+    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
+            for i in np.unique(at // size):
+                flags.setdefault(int(i), np.zeros(size, bool))[at[at // size == i] - i * size] = True
+        bits = [np.packbits(x, bitorder="little").tobytes() for x in flags.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int32()), pa.array(bits, pa.binary())], names=["slice", "bits"])
+
+    of = F.shiftrightunsigned("node", 64 - NODE_BITS) / size
+    dealt = nodes.select("node", F.floor(of).cast("int").alias("slice")).repartition(SLICES, "slice").select("node")
+    whole = np.zeros((1 << NODE_BITS) // 8, np.uint8)
+    for r in dealt.mapInArrow(bitmap, "slice int, bits binary").collect():
+        whole[r["slice"] * size // 8 : (r["slice"] + 1) * size // 8] |= np.frombuffer(r["bits"], np.uint8)
+    sent = found.sparkSession.sparkContext.broadcast(whole)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return found.mapInArrow(keep, found.schema)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (node, leader) that link: further orders first, then the whole sets.
 
@@ -335,7 +365,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lists = index.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
     index = scratch.table(index.join(lists, "shingle"), "index")
     labels = scratch.table(index.select("node", F.col("node").alias("comp")).distinct(), "labels")
-    sets = found.join(labels.select("node"), "node", "left_semi").groupBy("node")
+    held = _holding(found.select("node", "n0", "further", "shingles"), labels.select("node"))
+    sets = held.join(labels.select("node"), "node", "left_semi").groupBy("node")
     sets = scratch.table(sets.agg(F.first(F.struct("n0", "further", "shingles")).alias("s")).select("node", "s.*"), "sets")
     early.drop()
     tried: DataFrame | None = None
