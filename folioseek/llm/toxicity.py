@@ -3,12 +3,12 @@
 The unit that is classified is a fragment: a word without the marks around it (letters that stand for letters, as 1 for i
 and @ for a, read as such), a row of single letters written apart, or, for longer strings, windows of
 MAX_LETTERS letters; the ends of a word count as letters. The kernel compares two fragments by their common subsequences
-of ORDER letters, each weighed by DECAY for every letter that it spans, so inserted and left-out characters cost a
-little and no more. Vectors are divided by the length that a fragment of as many different letters has.
+of ORDER letters within SPAN, each weighed by DECAY for every letter that it spans, so inserted and left-out characters
+cost a little and no more. Vectors are divided by the length that a fragment of as many different letters has.
 
 Training, from documents with labels:
 
-1. Of copies and near copies one document stays. Sentences get labels from their documents: word starts and letter groups that
+1. Of copies and near copies one document stays. Sentences get labels from their documents: words and word starts that
    stand in toxic documents far more often than chance allows (log-likelihood, against the number of groups
    seen) mark a word as insulting. Words without them are the other class, at last those that the machine confuses most.
 2. Landmarks are fragments of both classes, chosen apart from each other. K(x, L) K(L, L)^-1/2 gives each
@@ -25,6 +25,7 @@ in the labels count once (toxic if any is); null labels are not used.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,20 +42,24 @@ from folioseek.llm.common import Memo, Scratch, arrow_schema, text_slices, with_
 from folioseek.llm.jaccard import WordHashes, shingle_sets
 
 DECAY = 0.6
-ORDER = 4  # letters of a subsequence
+ORDER, SPAN = 4, 7  # letters of a subsequence, and letters that it spans at most
 MAX_LETTERS = 12
 MIN_LETTERS = 3
 START, END = "\x02", "\x03"  # the ends of a word
 LETTERS = 40  # classes of letters: a to z, the ends, others by code point
 FEATURES = LETTERS**ORDER
-GROUP = 5  # letters of a group
+COLUMNS = 64  # landmarks whose vectors are held as a table at a time
+GROUP = 5  # letters of the start of a word
 
 #: Characters that are written for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 INNER = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 NO_LETTER, LETTER = regex.compile(r"\P{L}+"), regex.compile(r"\p{L}")
-DRAWN_OUT = regex.compile(r"(\p{L})\1{2,}")
+DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Lengths of runs as bytes, to find rows of single letters.
+SHORT = defaultdict(lambda: 2, {1: 1})
+ONES = b"\x01\x01\x01"
 APART = regex.compile(rb"(?<![^\s])(?:[A-Za-z][\s.\-_*]+){2,}[A-Za-z](?![^\s])")
 
 
@@ -93,7 +98,8 @@ def coded(words: list[str]) -> np.ndarray:
 @cache
 def places(length: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of all subsequences in a fragment of this length, and their weights; the squares add up to 1."""
-    at = np.array(list(combinations(range(length), ORDER)), np.int32).T
+    near = [c for c in combinations(range(length), ORDER) if c[-1] - c[0] < SPAN]
+    at = np.array(near, np.int32).T
     weights = DECAY ** (at[-1] - at[0] + 1).astype(np.float64)
     return at, (weights / np.sqrt((weights**2).sum())).astype(np.float32)
 
@@ -131,19 +137,24 @@ def vectors(words: list[str]) -> list[dict[int, float]]:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values, words x landmarks."""
-    sparse = vectors(landmarks)
+    """Kernel values, words x landmarks, for COLUMNS landmarks at a time."""
+    out = np.zeros((len(words), len(landmarks)))
+    for j in range(0, len(landmarks), COLUMNS):
+        out[:, j : j + COLUMNS] = _kernel(words, vectors(landmarks[j : j + COLUMNS]))
+    return out
+
+
+def _kernel(words: list[str], sparse: list[dict[int, float]]) -> np.ndarray:
     known = np.unique(np.array([f for v in sparse for f in v], np.int64))
-    dense = np.zeros((len(known) + 1, len(landmarks)), np.float32)  # the last row is for all other features
+    row_of = np.full(FEATURES, len(known), np.int32)  # the last row is for all other features
+    row_of[known] = np.arange(len(known))
+    dense = np.zeros((len(known) + 1, len(sparse)), np.float32)
     for j, v in enumerate(sparse):
-        dense[np.searchsorted(known, list(v)), j] = list(v.values())
-    out = np.zeros((len(words), len(landmarks)))
-    for at, same in by_length(words, 64):
+        dense[row_of[list(v)], j] = list(v.values())
+    out = np.zeros((len(words), len(sparse)))
+    for at, same in by_length(words, 128):
         features, weights = subsequences(coded(same))
-        row = np.searchsorted(known, features)
-        row[row == len(known)] = 0
-        row[known[row] != features] = len(known)
-        out[at] = np.einsum("npl,p->nl", dense[row], weights)
+        out[at] = np.matmul(weights, dense[row_of[features]])
     return out
 
 
@@ -181,7 +192,7 @@ class _Scores(Memo):
 
     def learn(self, runs: list[bytes]) -> None:
         self.room(min(len(runs), self.limit // 2))
-        new = list(set(runs).difference(self))
+        new = [r for r in set(runs) if r not in self]
         parts, owner = [], []
         for i, run in enumerate(new):
             for f in fragments(letters_of(run)):
@@ -196,30 +207,66 @@ def runs_of(text: bytes | None) -> list[bytes]:
     """Runs of a text in lower case (A-Z), and the rows of letters written apart as runs of their own."""
     if not text:
         return []
-    extra = [b"".join(m.split()) for m in APART.findall(text)]
-    return [*text.lower().split(), *(x.lower() for x in extra)]
+    runs = text.lower().split()
+    if ONES in bytes(map(SHORT.__getitem__, map(len, runs))):
+        runs += [b"".join(m.split()).lower() for m in APART.findall(text)]
+    return runs
 
 
 def document_parts(texts: list[bytes | None], scores: _Scores) -> np.ndarray:
     """(best, second best, number of insulting words) of each text; an insult that is said twice is also second."""
-    out = np.empty((len(texts), 3))
+    out = np.full((len(texts), 3), LEAST)
+    out[:, 2] = 0
     step = scores.limit // 4
+    waiting: list[tuple[int, list[bytes], list[bytes]]] = []
+    unknown: set[bytes] = set()
+
+    def finish() -> None:
+        if unknown:
+            scores.learn(list(unknown))  # words of many texts at once
+            unknown.clear()
+        for i, said, runs in waiting:
+            out[i] = _parts_of(said, _values(runs, scores, step), runs)
+        waiting.clear()
+
     for i, text in enumerate(texts):
         said = runs_of(text)
         runs = list(set(said))
-        values = []
-        for a in range(0, len(runs), step):  # a long text in parts, as the memo is bounded
-            part = runs[a : a + step]
-            if not scores.keys() >= set(part):
-                scores.learn(part)
-            values += [scores[r] for r in part]
-        top = sorted(zip(values, runs), reverse=True)[:64]
-        times = [said.count(r) if v > 0 else 1 for v, r in top[:8]] + [1] * len(top[8:])
-        ranked = [v for (v, _), n in zip(top, times) for _ in range(min(n, 2))] + [LEAST, LEAST]
-        out[i] = max(ranked[0], LEAST), max(ranked[1], LEAST), sum(n for (v, _), n in zip(top, times) if v > 0)
+        if not runs:
+            continue
+        new = [r for r in runs if r not in scores]
+        if len(unknown) + len(new) > step:
+            finish()
+        waiting.append((i, said, runs))
+        unknown.update(new[:step])
+    finish()
     return out
 
 
+def _values(runs: list[bytes], scores: _Scores, step: int) -> np.ndarray:
+    values = np.empty(len(runs))
+    for a in range(0, len(runs), step):  # a long text in parts, as the memo is bounded
+        part = runs[a : a + step]
+        try:
+            values[a : a + step] = list(map(scores.__getitem__, part))
+        except KeyError:
+            scores.learn(part)
+            values[a : a + step] = list(map(scores.__getitem__, part))
+    return values
+
+
+def _parts_of(said: list[bytes], values: np.ndarray, runs: list[bytes]) -> tuple[float, float, float]:
+    first = int(values.argmax())
+    best = values[first]
+    values[first] = LEAST
+    second, number = values.max(), 0
+    if best > 0:
+        times = said.count(runs[first])
+        second = best if times > 1 else second
+        number = times + sum(said.count(runs[j]) for j in np.flatnonzero(values > 0)[:64])
+    return max(best, LEAST), max(second, LEAST), number
+
+
 def sample_of_labels(labels: DataFrame, key: str, label: str, limit: int) -> DataFrame:
     """At most `limit` labelled keys, of least hash: (key, label)."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -228,7 +275,7 @@ def sample_of_labels(labels: DataFrame, key: str, label: str, limit: int) -> Dat
 
 
 def letter_groups(docs: DataFrame, text: str) -> DataFrame:
-    """(group, label, n): distinct words and letter groups of words, with the labelled documents that hold them."""
+    """(gram, toxic, n): distinct words and starts of words, with the labelled documents that hold them."""
     schema = arrow_schema("gram string, toxic long, n long")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +291,6 @@ def letter_groups(docs: DataFrame, text: str) -> DataFrame:
                 for word in {letters_of(r) for r in set(runs_of(t))}:
                     if len(word) >= MIN_LETTERS:
                         grams.add(f" {word} ")
-                        grams.update(word[i : i + GROUP] for i in range(len(word) - GROUP + 1))
                         grams.add(f" {word[:GROUP]}")
                 for g in grams:
                     c = counts.setdefault(g, [0, 0])
@@ -261,14 +307,15 @@ def letter_groups(docs: DataFrame, text: str) -> DataFrame:
 
 
 def farthest(words: list[str], n: int) -> list[str]:
-    """Up to n words, each the one least like those before it."""
+    """Up to n of some 600 of the words, evenly chosen, each the one least like those before it."""
     if len(words) <= n:
         return words
-    chosen = [0]
-    near = kernel(words, [words[0]])[:, 0]
-    while len(chosen) < n:
+    words = words[:: max(1, len(words) // 600)]
+    alike = kernel(words, words)
+    chosen, near = [0], alike[:, 0]
+    while len(chosen) < min(n, len(words)):
         chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, kernel(words, [words[chosen[-1]]])[:, 0])
+        near = np.maximum(near, alike[:, chosen[-1]])
     return [words[i] for i in chosen]
 
 
@@ -299,15 +346,15 @@ def train(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_documents: int = 30_000,
+    max_documents: int = 15_000,
     max_words: int = 6_000,
     max_groups: int = 1_000,
     n_landmarks: int = 256,
-    mining_rounds: int = 3,
+    mining_rounds: int = 2,
 ) -> Machine:
     """The machine from the labelled documents; `labels` holds only rows that may be learnt from."""
     sample = sample_of_labels(labels, key, label, max_documents)
-    chosen = {r["key"]: r["label"] for r in sample.toLocalIterator()}
+    chosen = {r["key"]: r["label"] for r in sample.collect()}
     positives = sum(chosen.values())
     if not 0 < positives < len(chosen):
         return NEVER
@@ -326,24 +373,24 @@ def train(
     part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
     gain = n * (part(share, F.lit(rate)) + part(1 - share, F.lit(1 - rate)))
     marked = groups.where((n >= 3) & (share > 0.5 + rate / 2) & (gain > math.log(max(total, 2)) + 2))
-    marked = [r["gram"] for r in marked.orderBy(gain.desc(), "gram").limit(max_groups).toLocalIterator()]
+    marked = [r["gram"] for r in marked.orderBy(gain.desc(), "gram").limit(max_groups).collect()]
     if not marked:
         scratch.drop()
         return NEVER
     words = groups.where(F.col("gram").startswith(" ") & F.col("gram").endswith(" "))
     hit = F.col("gram").rlike("|".join(regex.escape(g) for g in marked))
     spoken = words.where(hit & (share > 0.5)).orderBy(t.desc(), "gram").limit(max_words)
-    spoken = [r["gram"].strip() for r in spoken.toLocalIterator()]
+    spoken = [r["gram"].strip() for r in spoken.collect()]
     innocent = scratch.table(words.where(~hit & (share <= rate)).select("gram", "n"), "innocent")
-    clean = [r["gram"].strip() for r in innocent.orderBy(n.desc(), "gram").limit(max_words // 2).toLocalIterator()]
-    clean += [r["gram"].strip() for r in innocent.orderBy(F.xxhash64("gram"), "gram").limit(max_words // 2).toLocalIterator()]
+    clean = [r["gram"].strip() for r in innocent.orderBy(n.desc(), "gram").limit(max_words // 2).collect()]
+    clean += [r["gram"].strip() for r in innocent.orderBy(F.xxhash64("gram"), "gram").limit(max_words // 2).collect()]
     machine = fit_words(spoken, clean, n_landmarks)
     for _ in range(mining_rounds):  # words of clean texts that look most like insults
         scored = _scored_words(innocent, machine).orderBy(F.col("score").desc(), "gram").limit(max_words // 4)
-        clean += [r["gram"].strip() for r in scored.toLocalIterator()]
+        clean += [r["gram"].strip() for r in scored.collect()]
         machine = fit_words(spoken, list(dict.fromkeys(clean)), n_landmarks)
     parts = document_features(known, machine, "text").select("label", "best", "second", "number")
-    rows = np.array(sorted(tuple(r) for r in parts.toLocalIterator()))  # at most max_documents rows
+    rows = np.array(sorted(tuple(r) for r in parts.collect()))  # at most max_documents rows
     scratch.drop()
     features = np.column_stack([rows[:, 1], rows[:, 2], np.log1p(rows[:, 3])])
     machine.curve = fitted(features, rows[:, 0], np.ones(len(rows)), 0.1, "logistic")
@@ -370,7 +417,7 @@ def one_of_each(docs: DataFrame, chosen: dict[int, int]) -> dict[int, int]:
             yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(least, pa.int64())], names=["key", "least"])
 
     stays = docs.mapInArrow(task, "key long, least long").groupBy("least").agg(F.min("key").alias("key"))
-    return {r["key"]: chosen[r["key"]] for r in stays.toLocalIterator()}
+    return {r["key"]: chosen[r["key"]] for r in stays.collect()}  # a part of the choice
 
 
 def _scored_words(words: DataFrame, machine: Machine) -> DataFrame:

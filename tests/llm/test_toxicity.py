@@ -5,7 +5,7 @@ import pytest
 from helpers import odd_frame, prose
 
 from folioseek.llm import toxicity
-from folioseek.llm.toxicity import DECAY, ORDER, Machine, fit_words, fragments, kernel, letters_of, runs_of, score, train
+from folioseek.llm.toxicity import DECAY, ORDER, SPAN, Machine, fit_words, fragments, kernel, letters_of, runs_of, score, train
 
 INSULTS = "dumkopf wretch blighter varlet".split()
 
@@ -17,6 +17,8 @@ def slow_kernel(s, t):
     def features(w):
         out, square = {}, 0
         for at in combinations(range(len(w)), ORDER):
+            if at[-1] - at[0] >= SPAN:
+                continue
             f, weight = tuple(w[i] for i in at), DECAY ** (at[-1] - at[0] + 1)
             out[f] = out.get(f, 0) + weight
             square += weight**2
