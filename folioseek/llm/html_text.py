@@ -2,10 +2,12 @@
 
 A page is cut into blocks at block-level tags. Blocks inside elements that are never part of an article
 (navigation, page header and footer, sidebars, forms, scripts, adverts, comments and the like, known by tag, role, class or
-id) are out. The first pass judges the others by length, link density and stop-word density: good, nearly good, short
-or bad; inside an article or main element, where prose may have few stop words, running text without links is good.
-In the second pass short and nearly good blocks inherit the label of the nearest decided neighbours, on a page that
-has an article only of those inside it.
+id) are out. The first pass judges all others by length, link density and stop-word density: good, nearly good, short
+or bad. In the second pass short and nearly good blocks inherit the label of the nearest decided neighbours.
+
+Article and main elements are a prior, and only where they hold at least half of the good and nearly good text: running
+text inside, which may have few stop words, is then nearly good at least, blocks inside inherit from blocks inside, and
+blocks outside are kept where good text stands outside too, and inherit from one another. Elsewhere they decide nothing.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one newline. One
 <br> is a space, two are the end of a block. Null and empty pages, and pages without a good block, give the
@@ -94,7 +96,7 @@ def shut_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Elements that hold nothing of an article."""
     if tag in OUT or (tag == "header" and not inside):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
@@ -102,6 +104,8 @@ def shut_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in OUT_ROLES:
         return True
+    if tag == "main":  # a page has one, and its class says how it is laid out
+        return False
     return named_out(attributes.get("class", "")) or named_out(attributes.get("id", ""))
 
 
@@ -208,22 +212,29 @@ class Reader:
         return self.blocks
 
 
-def first_pass(block: Block, has_article: bool) -> str:
+def first_pass(block: Block) -> str:
     size = len(block.text)
     links = block.linked / size
-    if links > (ARTICLE_LINKS if block.inside else LINKS) or has_article and not block.inside:
+    if links > LINKS:
         return BAD
-    words = [w.lower() for w in WORD.findall(block.text)]
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if block.inside and has_article:
-        return GOOD if size >= SHORT else BRIEF
     if size < SHORT:
         return BAD if links else BRIEF
+    words = [w.lower() for w in WORD.findall(block.text)]
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stops >= STOP_HIGH:
         return GOOD if size > LONG else NEAR
     return NEAR if stops >= STOP_LOW else BAD
 
 
+def within_article(block: Block) -> str:
+    """The label of the first pass, raised by the prior of the article."""
+    if block.linked / len(block.text) > ARTICLE_LINKS:
+        return BAD
+    if len(block.text) < SHORT:
+        return BRIEF
+    return GOOD if block.label == GOOD else NEAR
+
+
 def second_pass(blocks: list[Block]) -> None:
     """Undecided blocks inherit from the nearest decided ones; between a good and a bad one, only nearly good ones are good."""
     if not any(b.label in (GOOD, BAD) for b in blocks):
@@ -251,14 +262,24 @@ def second_pass(blocks: list[Block]) -> None:
             b.label = after[i] if b.heading else GOOD if b.label == NEAR else BAD
 
 
+def prose_size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks if b.label in (GOOD, NEAR))
+
+
 def main_text(page: str | None) -> str:
     blocks = Reader().read(page or "")
-    has_article = any(b.inside for b in blocks)
+    inner, outer = [b for b in blocks if b.inside], [b for b in blocks if not b.inside]
     for b in blocks:
-        b.label = first_pass(b, has_article)
-    if has_article:
-        second_pass(inner := [b for b in blocks if b.inside])
-        blocks = inner
+        b.label = first_pass(b)
+    if inner and prose_size(inner) >= prose_size(outer):
+        for b in inner:
+            b.label = within_article(b)
+        second_pass(inner)
+        if any(b.label == GOOD for b in outer):
+            second_pass(outer)
+        else:
+            for b in outer:
+                b.label = BAD
     else:
         second_pass(blocks)
     return "\n".join(b.text for b in blocks if b.label == GOOD)

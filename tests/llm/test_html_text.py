@@ -22,6 +22,20 @@ def test_rules_within_an_article():
     assert main_text(symbols) == ("xx%%% yy$$$ | zz### " * 20).strip()
 
 
+def test_an_article_is_a_prior_only():
+    body, card = f"<div><p>{LONG} {LONG}</p><p>Brief.</p><p>{LONG} {LONG} End.</p></div>", "<article><a href=x>Teaser</a></article>"
+    want = [f"{LONG} {LONG}", "Brief.", f"{LONG} {LONG} End."]
+    assert main_text(body + card).split("\n") == want  # the text lies outside of the only article
+    assert main_text(f"{body}<article class=related><p>{LONG} {LONG} {LONG} {LONG} {LONG}</p></article>").split("\n") == want
+    assert main_text(f'{body}<article hidden><p>{LONG} {LONG}</p></article>').split("\n") == want
+    article = f"<article><p>{LONG} {LONG} {LONG}</p></article>"
+    assert main_text(f"<div>Brief.</div>{article}<div>Brief.</div>") == f"{LONG} {LONG} {LONG}"
+    assert main_text(f"{article}<div>{LONG} {LONG}</div>").split("\n") == [f"{LONG} {LONG} {LONG}", f"{LONG} {LONG}"]
+    symbols, link = "xx%%% yy$$$ | zz### " * 10, "<p><a href=x>Some link of the list</a></p>"
+    assert main_text(f"<article><p>{LONG} {LONG}</p>{link}<p>{symbols}</p>{link}</article>") == f"{LONG} {LONG}"  # stop words are looked at
+    assert main_text(f'<main class="sidebar-left"><p>{LONG} {LONG}</p></main>') == f"{LONG} {LONG}"
+
+
 def test_short_blocks_inherit():
     links = "<p><a href=x>Some link of the list</a></p>"
     assert main_text(f"<p>{LONG} {LONG}</p><p>Brief.</p><p>{LONG} {LONG}</p>").split("\n")[1] == "Brief."
