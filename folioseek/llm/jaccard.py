@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm.common import Memo, Scratch, arrow_schema, text_slices
+from folioseek.llm.common import Memo, Scratch, arrow_schema, text_slices, with_columns
 
 SHINGLE = 5
 #: Bits of the two bitmaps (shared, common): 16 MB each, whatever the input.
@@ -354,6 +354,16 @@ def components(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFra
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", turns: int = 12) -> DataFrame:
     """Per row of `docs`: `key`, n_shingles, component_id (smallest key reachable by links)."""
+    rows = _row_components(docs, key, text, turns)
+    some = rows.where("n > 0")
+    smallest = some.groupBy("comp").agg(F.min("key").alias("component_id"))
+    out = some.join(smallest, "comp").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    empty = rows.where("n = 0").select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("key").alias("component_id"))
+    return out.union(empty)
+
+
+def _row_components(docs: DataFrame, key: str, text: str, turns: int = 12) -> DataFrame:
+    """Per row of `docs`: key, n, node, and comp, a node of the row's component (for rows without words, their own)."""
     spark: SparkSession = docs.sparkSession
     scratch, early = Scratch(spark, "jaccard"), Scratch(spark, "jaccard")
     scan = early.table(_scanned(docs, key, text, _bitmaps(_counted(docs, text))), "scan")
@@ -387,12 +397,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         labels = components(scratch, labels, scratch.table(_similar(rest, sets), "links"))
     labels = scratch.table(labels, "final", lasting=True)
     scratch.drop()
-    linked_rows = members.where("n > 0").join(labels, "node", "left")
-    rows = linked_rows.select("key", "n", F.coalesce("comp", "node").alias("comp"))
-    smallest = rows.groupBy("comp").agg(F.min("key").alias("component_id"))
-    out = rows.join(smallest, "comp").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = members.where("n = 0").select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("key").alias("component_id"))
-    return out.union(empty)
+    return members.join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
 
 
 def _open(scratch: Scratch, index: DataFrame, labels: DataFrame) -> DataFrame:
@@ -453,19 +458,39 @@ def _rest(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
     return pairs if tried is None else _without(pairs, tried)
 
 
+def _with_nodes(docs: DataFrame, text: str, to: str) -> DataFrame:
+    """`docs` with the node of each row's text as column `to`."""
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{to} long"])
+    schema = arrow_schema(ddl)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch, texts in text_slices(batches, text):
+            yield with_columns(batch, schema, {to: [node_of(s) for s in shingle_sets(texts, memo)]})
+
+    return docs.mapInArrow(task, ddl)
+
+
 def first_of_each_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component (its smallest key), whole and with the columns of `docs`.
+    """One row of each component (of its smallest key, then its least node), whole and with the columns of `docs`.
 
-    Rows that repeat a key are one document: one of them stays. Documents without words are kept, and
-    so are rows with a null key, which nothing can name.
+    Rows that repeat a key are judged by their own texts: a row goes only where another row of its own component stays.
+    Of rows with equal key and equal set one stays, also of those without words. Rows with a null key, which nothing can name, are kept.
     """
     scratch = Scratch(docs.sparkSession, "first")
-    found = similar_components(docs, key, text).where(F.col(key).isNotNull())
-    drop = F.max((F.col(key) != F.col("component_id")).cast("int"))
-    keys = scratch.table(found.groupBy(F.col(key).alias("__key__")).agg(drop.alias("drop"), F.count("*").alias("rows")), "keys", lasting=True)
-    kept = docs.join(keys.where("drop = 1").select("__key__"), F.col(key) == F.col("__key__"), "left_anti")
-    repeated = keys.where("drop = 0 and rows > 1").select("__key__")
+    found = scratch.table(_row_components(docs, key, text).where("key is not null"), "found", lasting=True)
+    first = found.where("n > 0").groupBy("comp").agg(F.min(F.struct("key", "node")).alias("first"))
+    judged = found.where("n > 0").join(first, "comp").select("key", "node", (F.struct("key", "node") == F.col("first")).alias("stays"))
+    judged = judged.union(found.where("n = 0").select("key", "node", F.lit(True).alias("stays")))
+    keys = judged.groupBy(F.col("key").alias("__key__")).agg(F.max("stays").alias("some"), F.count("*").alias("rows"))
+    keys = scratch.table(keys, "keys", lasting=True)
+    same_key = F.col(key) == F.col("__key__")
+    repeated = keys.where("some and rows > 1").select("__key__")
     if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, F.col(key) == F.col("__key__"), "left_semi").dropDuplicates([key])
-    return kept.join(repeated, F.col(key) == F.col("__key__"), "left_anti").unionByName(once)
+        return docs.join(keys.where("not some").select("__key__"), same_key, "left_anti")
+    staying = judged.where("stays").select(F.col("key").alias("__key__"), F.col("node").alias("__node__")).distinct()
+    staying = scratch.table(staying.join(repeated, "__key__", "left_semi"), "staying", lasting=True)
+    same = _with_nodes(docs.join(repeated, same_key, "left_semi"), text, "__row_node__")
+    once = same.join(staying, same_key & (F.col("__row_node__") == F.col("__node__")), "left_semi").dropDuplicates([key, "__row_node__"])
+    kept = docs.join(keys.where("not some or rows > 1").select("__key__"), same_key, "left_anti")
+    return kept.unionByName(once.drop("__row_node__"))

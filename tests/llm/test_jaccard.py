@@ -94,3 +94,14 @@ def test_odd_rows_and_empty_table(spark):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()) == [
         (False, 0), (True, 1), (True, 2), (True, 3), (True, 4), (True, 6), (True, 8), (True, 9)
     ]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    texts = [(1, a), (2, a + " end"), (2, b), (2, c), (2, c), (3, b), (4, d), (4, e), (4, ""), (4, None), (5, None), (None, a)]
+    frame = spark.createDataFrame([(k, t, "s", 1, "z") for k, t in texts], ODD_SCHEMA).repartition(4)
+    got = [(r["doc_id"], r["text"] or "") for r in first_of_each_component(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (2, c), (4, d), (4, e), (4, ""), (5, ""), (None, a)], key=str)
+    swapped = spark.createDataFrame([(k, t, "s", 1, "z") for k, t in [(1, a), (1, b), (0, b)]], ODD_SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in first_of_each_component(swapped).collect()) == [(0, b), (1, a)]
