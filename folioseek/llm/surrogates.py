@@ -1,9 +1,15 @@
 """Operator 6: personal data replaced by keyed, type-consistent surrogates.
 
 Found are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card and account numbers, social security numbers,
-secrets (access keys, hex and named tokens, passwords) and names behind a title. An entity consists of units: the local
+secrets (access keys, hex and named tokens, passwords) and names behind a title, with every further capitalised mention of
+their parts in the same document. An entity consists of units: the local
 part and the domain of an address, the digits of a number, each part of a name. Every distinct unit of the whole input gets one
-surrogate, so equal entities stay equal and different ones different everywhere:
+surrogate, so equal units stay equal and different ones different everywhere. The parts of names are one kind per script: a word
+has one surrogate, whatever its titles and places, drawn as a given name of one gender or as a family name, as most mentions have it.
+
+Not found: names that stand behind no title in their document, parts of a hyphenated name on their own, and later mentions in small letters
+or, where the part is also a common word ("Will"), at the start of a sentence. A local part ends at letters of scripts
+without spaces between words (Chinese, Japanese, Thai, and Hangul), unless such a letter stands directly before the @.
 
 * A surrogate is drawn by HMAC from the secret key, the unit and the number of the attempt, in the unit's own form: letters for
   letters, digits for digits, octets for octets, given names of the same gender and script, Luhn and IBAN check digits kept valid.
@@ -20,13 +26,15 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.llm.common import Scratch, arrow_schema, text_slices, with_columns
+from folioseek.llm.html_text import STOP_WORDS
 
 MAX_ATTEMPTS = 60
 #: Attempts after which a unit may grow by a letter or digit, as the forms of its length may be used up.
@@ -59,9 +67,26 @@ NAME_PART = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))+"
 TITLE_GENDER = {t.lower(): g for g, titles in TITLES.items() for t in titles}
 DOMAIN = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 
+
+
+def _spaced_letters() -> str:
+    """Letters and marks beyond ASCII of the scripts that put spaces between words, as ranges of a character class."""
+    blocks = ((0x80, 0xE00), (0xF00, 0x1000), (0x10A0, 0x1100), (0x1200, 0x1780), (0x1800, 0x1950), (0x1AB0, 0x2000), (0x2C00, 0x2E00), (0xA640, 0xA6A0), (0xA720, 0xA800))
+    fits = [c for lo, hi in blocks for c in range(lo, hi) if chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M"]
+    first = [c for i, c in enumerate(fits) if not i or fits[i - 1] != c - 1]
+    last = [c for i, c in enumerate(fits) if i + 1 == len(fits) or fits[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
+
+
+SPACED = _spaced_letters()
+UNSPACED = rf"[^\W\dA-Za-z_{SPACED}]"
+
 #: In the order of precedence where matches overlap.
 PATTERNS = {
-    "email": re.compile(rf"(?P<local>[A-Za-z0-9._%+\-]+)@(?P<domain>{DOMAIN})"),
+    "email": re.compile(
+        rf"(?P<local>[A-Za-z0-9._%+\-{SPACED}]+"
+        rf"|(?:(?<![\w.%+\-])|(?<!{UNSPACED})(?={UNSPACED}))[\w.%+\-]*{UNSPACED})@(?P<domain>{DOMAIN})"
+    ),
     "password": re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b)[\"']?\s*[:=]\s*[\"']?(?P<secret>[^\s\"',;]{6,})"),
     "key": re.compile(r"(?<![A-Za-z0-9])(?P<secret>AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_\-]{20,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
@@ -77,6 +102,10 @@ NEEDED = {
     "email": re.compile(r"@"),
     "password": re.compile(r"(?i:passw|pwd|secret|token|key)"),
 }
+#: Kinds of the parts of names.
+NAMES = ("given:", "family:")
+LETTERS = re.compile(r"[^\W\d_]+")
+MENTION = re.compile(rf"(?<!\w){NAME_PART}(?!\w)")
 DIGIT = re.compile(r"[0-9]")
 HEX = re.compile(r"[0-9A-Fa-f]{2}:|[0-9A-Fa-f]{32}|AKIA|ASIA|sk-|gh[pousr]_")
 
@@ -89,11 +118,61 @@ def found_in(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in PATTERNS.items():
         if not (NEEDED[kind].search(text) if kind in NEEDED else rare or kind == "name"):
             continue
-        for m in pattern.finditer(text):
+        for m in titled(text) if kind == "name" else pattern.finditer(text):
             units = units_of(kind, m)
+            if kind == "name":  # the match may run into what follows the name
+                units = [u for u in units if not any(a < u[1] and u[0] < b for a, b, _ in taken)]
+                taken += [(u[0], u[1], [u]) for u in units]
+                continue
             if units and not any(a < m.end() and m.start() < b for a, b, _ in taken):
                 taken.append((m.start(), m.end(), units))
-    return sorted(u for _, _, units in taken for u in units)
+    units = sorted(u for _, _, units in taken for u in units)
+    again = names_again(text, units)
+    return sorted(units + again) if again else units
+
+
+def titled(text: str) -> Iterator[re.Match]:
+    """Titles with what may be a name; words behind the name are searched again, as they may be a title."""
+    at = 0
+    while m := PATTERNS["name"].search(text, at):
+        yield m
+        units = units_of("name", m)
+        at = units[-1][1] if units else m.end("title")
+
+
+def names_again(text: str, units: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the parts of the names among `units`: capitalised whole words outside of all units."""
+    kinds: dict[str, str] = {}
+    for _, _, kind, value in units:
+        if kind.startswith(NAMES) and (value not in kinds or kind.startswith("given:")):
+            kinds[value] = kind
+    if not kinds:
+        return []
+    out, ahead = [], 0
+
+    def add(start: int, end: int) -> bool:
+        value = text[start:end].lower()
+        if value not in kinds or not text[start].isupper():
+            return False
+        if value not in STOP_WORDS or not re.search(r"(?:[.!?:;\n\"“„»¿¡]\s*|\A\s*)\Z", text[max(0, start - 20) : start]):
+            out.append((start, end, kinds[value], value))
+        return True
+
+    for m in MENTION.finditer(text):
+        while ahead < len(units) and units[ahead][1] <= m.start():
+            ahead += 1
+        if ahead < len(units) and units[ahead][0] < m.end() or add(*m.span()):
+            continue
+        if len(m[0]) > (whole := len(own_name(m[0]))) and add(m.start(), m.start() + whole):
+            continue
+        for part in LETTERS.finditer(text, *m.span()) if "-" in m[0] or "'" in m[0] or "’" in m[0] else ():
+            add(*part.span())
+    return out
+
+
+def own_name(word: str) -> str:
+    """A name without the 's of its owner."""
+    return word[:-2] if len(word) > 3 and word[-2:].lower() in ("'s", "’s") else word
 
 
 def units_of(kind: str, m: re.Match) -> list[tuple[int, int, str, str]]:
@@ -104,10 +183,12 @@ def units_of(kind: str, m: re.Match) -> list[tuple[int, int, str, str]]:
         gender = TITLE_GENDER[m["title"].lower()]
         words, out, at = m["name"].split(" "), [], m.start("name")
         upper = []
-        for w in words:  # a name ends at the first word in small letters
-            if not w[0].isupper():
+        for w in words:  # a name ends at the first word in small letters and at another title
+            if not w[0].isupper() or w.lower() in TITLE_GENDER:
+                break
+            upper.append(own_name(w))
+            if len(upper[-1]) < len(w):
                 break
-            upper.append(w)
         for i, w in enumerate(upper):
             script = "cyrillic" if "Ѐ" <= w[0] <= "ӿ" else "latin"
             type_ = f"family:{script}" if i == len(upper) - 1 else f"given:{gender}:{script}"
@@ -258,11 +339,36 @@ def _detected(docs: DataFrame, text: str, holding: bool) -> DataFrame:
     return docs.mapInArrow(task, ddl)
 
 
+def space_of(kind: str) -> Column:
+    """The kinds within which values and surrogates are one to one: parts of names are one kind per script."""
+    c = F.col(kind)
+    return F.when(c.startswith(NAMES[0]) | c.startswith(NAMES[1]), F.concat(F.lit("name:"), F.substring_index(c, ":", -1))).otherwise(c)
+
+
+def unit_kinds(mentions: DataFrame) -> DataFrame:
+    """(kind, value): the distinct units; a part of a name has one kind, by the number of its mentions."""
+    counts = mentions.groupBy("kind", "value").agg(F.count("*").alias("n")).withColumn("space", space_of("kind"))
+    is_name = F.col("space").startswith("name:")
+    others = counts.where(~is_name).select("kind", "value")
+
+    def of(prefix: str) -> Column:
+        return F.sum(F.when(F.col("kind").startswith(prefix), F.col("n")).otherwise(0))
+
+    names = counts.where(is_name).groupBy("space", "value").agg(
+        of("given:").alias("given"), of("family:").alias("family"), of("given:f:").alias("f"), of("given:m:").alias("m"))
+    gender = F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n")
+    script = F.substring_index("space", ":", -1)
+    given = (F.col("given") > 0) & (F.col("given") >= F.col("family"))
+    kind = F.when(given, F.concat_ws(":", F.lit("given"), gender, script)).otherwise(F.concat(F.lit("family:"), script))
+    return others.union(names.select(kind, "value"))
+
+
 def surrogate_table(scratch: Scratch, units: DataFrame, key: bytes, draw: Callable[[str, str, bytes, int], str] = surrogate) -> DataFrame:
-    """(kind, value, surrogate) for the distinct (kind, value): one to one within a kind, and never a real value."""
+    """(kind, value, surrogate) for the distinct (kind, value): one to one within a space of kinds, and never a real value of it."""
     ddl = "kind string, value string, surrogate string"
     schema = arrow_schema(ddl)
     real = scratch.table(units.distinct(), "real")
+    taken = real.select(space_of("kind").alias("space"), F.col("value").alias("surrogate"))
     left, done = real, None
     for attempt in range(MAX_ATTEMPTS):
 
@@ -272,12 +378,12 @@ def surrogate_table(scratch: Scratch, units: DataFrame, key: bytes, draw: Callab
                 drawn = pa.array([draw(k, v, key, attempt) for k, v in zip(kinds, values)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string()), drawn], schema=schema)
 
-        drawn = left.select("kind", "value").mapInArrow(task, ddl)
-        won = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
-        won = won.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        drawn = left.select("kind", "value").mapInArrow(task, ddl).withColumn("space", space_of("kind"))
+        won = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("value", "kind")).alias("u"))
+        won = won.join(taken, ["space", "surrogate"], "left_anti")
         if done is not None:
-            won = won.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = scratch.table(won.select("kind", "value", "surrogate"), "won")
+            won = won.join(done.select(space_of("kind").alias("space"), "surrogate"), ["space", "surrogate"], "left_anti")
+        won = scratch.table(won.select("u.kind", "u.value", "surrogate"), "won")
         done = won if done is None else done.union(won)
         left = scratch.table(left.join(won, ["kind", "value"], "left_anti").select("kind", "value"), "left")
         if not left.limit(1).count():
@@ -294,9 +400,10 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
     holding = _detected(docs, text, True).withColumn("__row__", F.monotonically_increasing_id())
     holding = scratch.table(holding, "holding", lasting=True)
     mentions = holding.select("__row__", F.explode("__units__").alias("u")).select("__row__", "u.start", "u.kind", "u.value")
-    table = scratch.table(surrogate_table(scratch, mentions.select("kind", "value"), key), "surrogates", lasting=True)
+    table = surrogate_table(scratch, unit_kinds(mentions), key)
+    table = scratch.table(table.select(space_of("kind").alias("space"), "value", "surrogate"), "surrogates", lasting=True)
     scratch.drop()
-    drawn = mentions.join(table, ["kind", "value"]).groupBy("__row__")
+    drawn = mentions.withColumn("space", space_of("kind")).join(table, ["space", "value"]).groupBy("__row__")
     drawn = drawn.agg(F.map_from_entries(F.collect_list(F.struct("start", "surrogate"))).alias("__drawn__"))
     joined = holding.join(drawn, "__row__").drop("__row__")
     ddl = ", ".join([*_plain(docs), "n_entities long"])

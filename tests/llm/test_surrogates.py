@@ -103,3 +103,34 @@ def test_odd_rows_clashing_names_and_empty_table(spark):
     got = replace_entities(frame, KEY)
     assert got.columns == frame.columns and got.count() == 11
     assert replace_entities(odd_frame(spark, []), KEY).count() == 0
+
+
+def test_later_mentions_of_a_name_and_letters_of_addresses(spark):
+    texts = [
+        "Mrs Anna Miller came. Miller said that ANNA is Miller's. Millers mill, a miller, Anna-Lena",
+        "Dr Anna Miller-Ross, Mrs Anna and Mr Miller",
+        "Mr Will Adam. Will he? No, Will and Adam’s",
+        "to müller.x@a.example.com and Müller.X@a.example.com, u mu\u0308ller@b.example.com",
+        "请联系anna@a.example.com或张三@b.example.com",
+        "Anna without a title stays, and so does Miller",
+    ]
+    frame = spark.createDataFrame([(i, t, "s", 1, "z") for i, t in enumerate(texts)], odd_frame(spark, []).schema).repartition(3)
+    got = {r["doc_id"]: r["text"] for r in replace_entities(frame, KEY).collect()}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. (\w+) said that (\w+) is (\w+)'s\. Millers mill, a miller, (\w+)-Lena", got[0])
+    anna, miller = m[1], m[2]
+    assert m.groups()[2:] == (miller, anna.upper(), miller, anna) and anna.lower() != "anna" and miller != "Miller"
+    m = re.fullmatch(r"Dr (\w+) ([\w-]+), Mrs (\w+) and Mr (\w+)", got[1])
+    assert (m[1], m[3], m[4]) == (anna, anna, miller) and m[2] not in ("Miller-Ross", miller)
+    m = re.fullmatch(r"Mr (\w+) (\w+)\. Will he\? No, (\w+) and (\w+)’s", got[2])
+    assert m[1] == m[3] != "Will" and m[2] == m[4] != "Adam"
+    m = re.fullmatch(r"to ([a-z]{6}\.[a-z])@(\S+) and ([A-Z][a-z]{5}\.[A-Z])@(\S+), u (\S+)@\S+", got[3])
+    assert m and m[1] == m[3].lower() and m[2] == m[4] and "mu" not in m[5] and "ller" not in m[5]
+    assert re.fullmatch(r"请联系[a-z]{4}@[a-z]\.[a-z]{7}\.com[a-z]{3}@[a-z]\.[a-z]{7}\.com", got[4]) and "张三" not in got[4] and "anna" not in got[4]
+    assert got[5] == texts[5]
+
+
+def test_titles_and_addresses_behind_a_name():
+    names = {"Mr and Mrs Lopez": ["Lopez"], "Frau Prof. Dr. Schmidt sagt": ["Schmidt"], "Mrs Anna and Mr Miller": ["Anna", "Miller"]}
+    for text, want in names.items():
+        assert [text[a:b] for a, b, _, _ in found_in(text)] == want
+    assert [u[2].split(":")[0] for u in found_in("Mr Miller anna@x.com")] == ["family", "local", "domain"]
