@@ -263,7 +263,8 @@ def _parts_of(said: list[bytes], values: np.ndarray, runs: list[bytes]) -> tuple
     if best > 0:
         times = said.count(runs[first])
         second = best if times > 1 else second
-        number = times + sum(said.count(runs[j]) for j in np.flatnonzero(values > 0)[:64])
+        insults = {runs[j] for j in np.flatnonzero(values > 0)}
+        number = times + (sum(r in insults for r in said) if insults else 0)
     return max(best, LEAST), max(second, LEAST), number
 
 

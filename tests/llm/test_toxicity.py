@@ -100,3 +100,10 @@ def test_long_texts_are_read_whole():
     text = " ".join(f"house{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(500)) + " wretch"
     assert toxicity.document_parts([text.encode()], scores)[0, 0] == pytest.approx(machine.scores(fragments("wretch"))[0])
     assert isinstance(machine, Machine)
+
+
+def test_all_insulting_words_count():
+    runs = [b"w%d" % i for i in range(200)]
+    values = np.array([1.0 + i if i < 150 else -1.0 for i in range(200)])
+    assert toxicity._parts_of(runs * 3, values.copy(), runs) == (150.0, 150.0, 450)
+    assert toxicity._parts_of(runs, values[::-1].copy(), runs[::-1]) == (150.0, 149.0, 150)
