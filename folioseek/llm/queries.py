@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import bpe, decontaminate, html_text, jaccard, lines, quality, shards, surrogates, token_store, toxicity
+from folioseek.llm import bpe, decontaminate, filter_audit, hard_negatives, html_text, jaccard, lines, quality, shards, simhash, surrogates, token_store, toxicity
 from folioseek.llm.common import Scratch, crc_mod, given
 from folioseek.llm.sql import SQL  # noqa: F401
 from folioseek.operators.tables import scratch_dir
@@ -97,10 +97,25 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.balanced_shards(given(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(given(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = given(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_token_store, op3_toxicity, op4_html_text, op5_bpe,
         op6_surrogates, op7_decontaminate, op8_jaccard, op9_quality, op10_shards,
+        op11_simhash, op12_filter_audit, op13_hard_negatives,
     )
 }

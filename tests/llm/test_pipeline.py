@@ -11,7 +11,7 @@ from folioseek.llm.queries import QUERIES
 def test_stages_and_names():
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "decontamination", "private_data", "tokens"]
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
 
 
 def test_planted_cases(spark, tmp_path):
