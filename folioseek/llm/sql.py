@@ -111,8 +111,8 @@ dots AS (
     SELECT a.r AS anchor, b.r AS r, sum(a.q * b.q) AS score
     FROM whole a JOIN valid v ON v.r = a.r AND v.vec_id % 100 = 0 JOIN whole b ON b.i = a.i AND b.r <> a.r GROUP BY a.r, b.r),
 scored AS (
-    SELECT anchor, x.vec_id AS anchor_id, d.r, y.vec_id, score, x.label = y.label AS same
-    FROM dots d JOIN valid x ON x.r = d.anchor JOIN valid y ON y.r = d.r),
+    SELECT x.r AS anchor, x.vec_id AS anchor_id, y.r, y.vec_id, coalesce(score, 0) AS score, x.label = y.label AS same
+    FROM valid x JOIN valid y ON x.vec_id % 100 = 0 AND y.r <> x.r LEFT JOIN dots d ON d.anchor = x.r AND d.r = y.r),
 positives AS (
     SELECT anchor, anchor_id, r AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
     QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5),
