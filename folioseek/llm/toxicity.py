@@ -8,17 +8,22 @@ cost a little and no more. Vectors are divided by the length that a fragment of
 
 Training, from documents with labels:
 
-1. Of copies and near copies one document stays. Sentences get labels from their documents: words and word starts that
-   stand in toxic documents far more often than chance allows (log-likelihood, against the number of groups
-   seen) mark a word as insulting. Words without them are the other class, at last those that the machine confuses most.
-2. Landmarks are fragments of both classes, chosen apart from each other. K(x, L) K(L, L)^-1/2 gives each
-   fragment coordinates, on which a linear squared-hinge machine is fitted.
-3. As the kernel is a sum over subsequences, the machine is folded into one weight per subsequence: the
+1. Of copies and near copies one document stays; a fifth of the rest is kept for the last step. Words and word starts that
+   stand in toxic documents far more often than chance allows (log-likelihood, against the number of groups seen) mark the
+   first insulting words. Other words of clean documents are the other class.
+2. Landmarks are fragments of both classes, the commonest and others chosen apart from each other. K(x, L) K(L, L)^-1/2 gives each
+   fragment coordinates, on which a linear squared-hinge machine is fitted. A word weighs as much as the documents it stands in.
+3. Sentences get labels: those of clean documents are clean, and of toxic documents those in which the machine finds an insult are toxic.
+   Each sentence is then represented by its witness, the word with the highest score, and the machine is fitted again
+   on the witnesses of both classes, twice: a sentence is clean only if its worst word is.
+4. As the kernel is a sum over subsequences, the machine is folded into one weight per subsequence: the
    score of a fragment is the same number with or without folding, and needs no landmark afterwards.
-4. A logistic curve on a document's two best fragments and their number gives its score, 0 to 1.
+5. A logistic curve on a document's two best fragments and their number gives its score, 0 to 1. It is fitted on the
+   documents kept, both classes of equal weight, and moved so that their balance lies at FROM.
 
-At most `max_documents` labelled documents are used (those of least key hash), which bounds what the driver gathers; counts of
-letter groups are added up by Spark. Scoring reads whole texts. Null and empty texts have no fragments and get
+Bounds of the fit, all parameters: at most `max_documents` labelled documents (those of least key hash, one row per key), `max_words`
+words of each class (of most documents, then of highest score) and `max_groups` marked starts. Counts of letter groups and witnesses are added up by Spark.
+Scoring reads whole texts. Null and empty texts have no fragments and get
 the score of a text without insults. Without labels of both classes all scores are 0. Repeated keys
 in the labels count once (toxic if any is); null labels are not used.
 """
@@ -42,14 +47,16 @@ from folioseek.llm.common import Memo, Scratch, arrow_schema, text_slices, with_
 from folioseek.llm.jaccard import WordHashes, shingle_sets
 
 DECAY = 0.6
-ORDER, SPAN = 4, 7  # letters of a subsequence, and letters that it spans at most
+ORDER, SPAN = 4, 10  # letters of a subsequence, and letters that it spans at most
 MAX_LETTERS = 12
 MIN_LETTERS = 3
 START, END = "\x02", "\x03"  # the ends of a word
 LETTERS = 40  # classes of letters: a to z, the ends, others by code point
 FEATURES = LETTERS**ORDER
 COLUMNS = 64  # landmarks whose vectors are held as a table at a time
-GROUP = 5  # letters of the start of a word
+GROUPS = range(3, 9)  # letters of the starts of words
+FROM = 0.3  # the score at which the curve puts the balance between both classes
+SENTENCE = re.compile(rb"[.!?\n]+")
 
 #: Characters that are written for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -292,7 +299,7 @@ def letter_groups(docs: DataFrame, text: str) -> DataFrame:
                 for word in {letters_of(r) for r in set(runs_of(t))}:
                     if len(word) >= MIN_LETTERS:
                         grams.add(f" {word} ")
-                        grams.add(f" {word[:GROUP]}")
+                        grams.update(f" {word[:k]}" for k in GROUPS if k <= len(word))
                 for g in grams:
                     c = counts.setdefault(g, [0, 0])
                     c[0] += label
@@ -307,17 +314,19 @@ def letter_groups(docs: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
-def farthest(words: list[str], n: int) -> list[str]:
-    """Up to n of some 600 of the words, evenly chosen, each the one least like those before it."""
+def farthest(words: list[str], n: int, first: int) -> list[str]:
+    """Up to n of the words: the `first` ones, then of some 600 of the others, evenly chosen, each the one least like those before it."""
     if len(words) <= n:
         return words
-    words = words[:: max(1, len(words) // 600)]
-    alike = kernel(words, words)
-    chosen, near = [0], alike[:, 0]
-    while len(chosen) < min(n, len(words)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, alike[:, chosen[-1]])
-    return [words[i] for i in chosen]
+    chosen, others = words[: max(1, first)], words[max(1, first) :]
+    others = others[:: max(1, len(others) // 600)]
+    near, alike = kernel(others, chosen).max(axis=1), kernel(others, others)
+    while len(chosen) < n and near.min() < 2:
+        at = int(np.argmin(near))
+        chosen.append(others[at])
+        near = np.maximum(near, alike[:, at])
+        near[at] = 2
+    return chosen
 
 
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, loss: str) -> np.ndarray:
@@ -350,24 +359,42 @@ def train(
     max_documents: int = 15_000,
     max_words: int = 6_000,
     max_groups: int = 1_000,
-    n_landmarks: int = 256,
-    mining_rounds: int = 2,
+    n_landmarks: int = 320,
+    rounds: int = 2,
 ) -> Machine:
     """The machine from the labelled documents; `labels` holds only rows that may be learnt from."""
-    sample = sample_of_labels(labels, key, label, max_documents)
-    chosen = {r["key"]: r["label"] for r in sample.collect()}
-    positives = sum(chosen.values())
-    if not 0 < positives < len(chosen):
-        return NEVER
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    chosen = one_of_each(picked(source, chosen), chosen)
-    positives = sum(chosen.values())
-    if not 0 < positives < len(chosen):
-        return NEVER
-    known = picked(source, chosen)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    groups = scratch.table(letter_groups(known, "text"), "groups")
-    rate = positives / len(chosen)
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    sample = scratch.table(sample_of_labels(labels, key, label, max_documents), "sample")
+    known = scratch.table(one_of_each(picked(source, sample)), "known")
+    fold = F.pmod(F.xxhash64("key", F.lit("curve")), F.lit(5)) == 0
+    told = {(r["kept"], r["label"]): r["count"] for r in known.groupBy(fold.alias("kept"), "label").count().collect()}
+    if min(told.get((True, c), 0) for c in (0, 1)) < 3:  # too few to keep some
+        learnt, kept = known, known
+        told = {(False, c): told.get((False, c), 0) + told.get((True, c), 0) for c in (0, 1)}
+    else:
+        learnt, kept = known.where(~fold), known.where(fold)
+    n, positives = told.get((False, 0), 0) + told.get((False, 1), 0), told.get((False, 1), 0)
+    machine = learnt_words(learnt, positives / n, scratch, max_words, max_groups, n_landmarks, rounds) if 0 < positives < n else NEVER
+    if machine is not NEVER:
+        parts = document_features(kept, machine, "text").select("label", "best", "second", "number")
+        rows = np.array(sorted(tuple(r) for r in parts.collect()))  # at most max_documents rows
+        machine.curve = balanced_curve(np.column_stack([rows[:, 1], rows[:, 2], np.log1p(rows[:, 3])]), rows[:, 0])
+    scratch.drop()
+    return machine
+
+
+def balanced_curve(features: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The logistic curve of both classes at equal weight, with its middle at FROM."""
+    weight = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label == 0).sum())) * len(label)
+    curve = fitted(features, label, weight, 0.1, "logistic")
+    curve[0] += math.log(FROM / (1 - FROM))
+    return curve
+
+
+def learnt_words(docs: DataFrame, rate: float, scratch: Scratch, max_words: int, max_groups: int, n_landmarks: int, rounds: int) -> Machine:
+    """The machine of words of the documents (label, text); its curve is still to be fitted."""
+    groups = scratch.table(letter_groups(docs, "text"), "groups")
     total = groups.count()
     t, n = F.col("toxic"), F.col("n")
     share = t / n
@@ -376,80 +403,96 @@ def train(
     marked = groups.where((n >= 3) & (share > 0.5 + rate / 2) & (gain > math.log(max(total, 2)) + 2))
     marked = [r["gram"] for r in marked.orderBy(gain.desc(), "gram").limit(max_groups).collect()]
     if not marked:
-        scratch.drop()
         return NEVER
-    words = groups.where(F.col("gram").startswith(" ") & F.col("gram").endswith(" "))
+    words = groups.where(F.col("gram").startswith(" ") & F.col("gram").endswith(" ")).withColumn("word", F.trim("gram"))
     hit = F.col("gram").rlike("|".join(regex.escape(g) for g in marked))
-    spoken = words.where(hit & (share > 0.5)).orderBy(t.desc(), "gram").limit(max_words)
-    spoken = [r["gram"].strip() for r in spoken.collect()]
-    innocent = scratch.table(words.where(~hit & (share <= rate)).select("gram", "n"), "innocent")
-    clean = [r["gram"].strip() for r in innocent.orderBy(n.desc(), "gram").limit(max_words // 2).collect()]
-    clean += [r["gram"].strip() for r in innocent.orderBy(F.xxhash64("gram"), "gram").limit(max_words // 2).collect()]
+    first = lambda df, order: {r["word"]: float(r["weight"]) for r in df.orderBy(*order).limit(max_words).collect()}
+    spoken = first(words.where(hit & (share > 0.5)).select("word", t.alias("weight")), [F.col("weight").desc(), "word"])
+    innocent = words.where(~hit & (share <= rate)).select("word", F.lit(1).alias("weight"), n.alias("n"))
+    clean = first(innocent, [F.col("n").desc(), "word"]) | first(innocent, [F.xxhash64("word"), "word"])
     machine = fit_words(spoken, clean, n_landmarks)
-    for _ in range(mining_rounds):  # words of clean texts that look most like insults
-        scored = _scored_words(innocent, machine).orderBy(F.col("score").desc(), "gram").limit(max_words // 4)
-        clean += [r["gram"].strip() for r in scored.collect()]
-        machine = fit_words(spoken, list(dict.fromkeys(clean)), n_landmarks)
-    parts = document_features(known, machine, "text").select("label", "best", "second", "number")
-    rows = np.array(sorted(tuple(r) for r in parts.collect()))  # at most max_documents rows
-    scratch.drop()
-    features = np.column_stack([rows[:, 1], rows[:, 2], np.log1p(rows[:, 3])])
-    machine.curve = fitted(features, rows[:, 0], np.ones(len(rows)), 0.1, "logistic")
+    for _ in range(rounds):
+        seen = scratch.table(witnesses(docs, machine), "witnesses")
+        toxic, all_of_it = F.col("toxic"), F.col("n")
+        spoken = spoken | first(seen.where((toxic >= 2) & (toxic > all_of_it * 0.8)).select("word", toxic.alias("weight")), [F.col("weight").desc(), "word"])
+        worst = seen.where((toxic == 0) & (F.col("score") > -1)).select("word", (1 + F.log(all_of_it)).alias("weight"), "score")
+        clean = clean | {w: c for w, c in first(worst, [F.col("score").desc(), "word"]).items() if w not in spoken}
+        machine = fit_words(spoken, clean, n_landmarks)
     return machine
 
 
-def picked(docs: DataFrame, chosen: dict[int, int]) -> DataFrame:
-    """The chosen documents with their label; the choice is bounded by its caller."""
-    small = docs.sparkSession.createDataFrame(list(chosen.items()), "key long, label long")
-    return docs.join(F.broadcast(small), "key")
+def witnesses(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(word, toxic, n, score): the words with the highest score of labelled sentences, with the numbers of those sentences."""
+    ddl = "word string, toxic long, n long, score double"
+    schema, sent = arrow_schema(ddl), docs.sparkSession.sparkContext.broadcast(machine)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(sent.value)
+        for batch, texts in text_slices(batches, "text"):
+            counts: dict[str, list] = {}
+            for text, label in zip(texts, batch.column(batch.schema.get_field_index("label")).to_pylist()):
+                sentences = [s for s in (list(dict.fromkeys(runs_of(x))) for x in SENTENCE.split(text or b"")) if s]
+                for runs in sentences:
+                    values = _values(runs, scores, scores.limit // 4)
+                    at = int(values.argmax())
+                    word = letters_of(runs[at])
+                    if values[at] > (0 if label else LEAST) and word:  # sentences of toxic documents without an insult have no label
+                        c = counts.setdefault(word, [0, 0, float(values[at])])
+                        c[0] += label
+                        c[1] += 1
+            columns = [list(counts), *(list(c) for c in zip(*counts.values()))] if counts else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    parts = docs.select("label", "text").mapInArrow(task, ddl)
+    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.max("score").alias("score"))
 
 
-def one_of_each(docs: DataFrame, chosen: dict[int, int]) -> dict[int, int]:
-    """The choice without most of the copies and near copies: of documents with the same least shingle one stays.
+def picked(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(key, label, text): the documents of the sample, one row per key (of rows that repeat a key, that of the least text)."""
+    return docs.join(sample, "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without most of the copies and near copies: of documents with the same least shingle one stays.
 
     A copied toxic text would make all its words look toxic.
     """
+    ddl = f"key {docs.schema['key'].dataType.simpleString()}, label int, text binary, least long"
+    schema = arrow_schema(ddl)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch, texts in text_slices(batches, "text"):
-            least = [int(s[0]) - (1 << 63) if len(s) else i for i, s in enumerate(shingle_sets(texts, memo))]
-            keys = batch.column(batch.schema.get_field_index("key"))
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(least, pa.int64())], names=["key", "least"])
-
-    stays = docs.mapInArrow(task, "key long, least long").groupBy("least").agg(F.min("key").alias("key"))
-    return {r["key"]: chosen[r["key"]] for r in stays.collect()}  # a part of the choice
+            least = [int(s[0]) - (1 << 63) if len(s) else None for s in shingle_sets(texts, memo)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(schema[i].type) for i in range(3)), pa.array(least, pa.int64())], schema=schema)
 
+    known = docs.select("key", F.col("label").cast("int").alias("label"), "text").mapInArrow(task, ddl)
+    alike = F.coalesce(F.col("least"), F.xxhash64("key"))
+    return known.groupBy(alike.alias("alike")).agg(F.min(F.struct("key", "label", "text")).alias("d")).select("d.*")
 
-def _scored_words(words: DataFrame, machine: Machine) -> DataFrame:
-    """(gram, score) of words written as letter groups."""
-    sent = words.sparkSession.sparkContext.broadcast(machine)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(sent.value)
-        for batch in batches:
-            grams = batch.column(0).to_pylist()
-            for i in range(0, len(grams), 50_000):
-                runs = [g.strip().encode() for g in grams[i : i + 50_000]]
-                scores.learn(runs)
-                columns = [pa.array(grams[i : i + 50_000], pa.string()), pa.array([scores[r] for r in runs], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "score"])
 
-    return words.select("gram").mapInArrow(task, "gram string, score double")
+def fit_words(spoken: dict[str, float] | list[str], clean: dict[str, float] | list[str], n_landmarks: int) -> Machine:
+    """The machine of words of both classes, with their weights; its curve is still to be fitted."""
 
+    def parts(words: dict[str, float] | list[str]) -> dict[str, float]:
+        words = words if isinstance(words, dict) else dict.fromkeys(words, 1.0)
+        out: dict[str, float] = defaultdict(float)
+        for w, c in words.items():
+            for f in fragments(w):
+                out[f] += c
+        return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
-def fit_words(spoken: list[str], clean: list[str], n_landmarks: int) -> Machine:
-    """The machine of words; its curve is still to be fitted."""
-    positive = sorted({f for w in spoken for f in fragments(w)})
-    negative = sorted({f for w in clean for f in fragments(w)} - set(positive))
+    positive = parts(spoken)
+    negative = {f: c for f, c in parts(clean).items() if f not in positive}
     if not positive or not negative:
         return NEVER
-    landmarks = farthest(positive, n_landmarks * 2 // 3)
-    landmarks += farthest(negative, n_landmarks - len(landmarks))
-    words = positive + negative
+    words = [*positive, *negative]
     y = np.array([1] * len(positive) + [-1] * len(negative))
-    # each class weighs the same
-    weight = np.where(y > 0, len(y) / 2 / len(positive), len(y) / 2 / len(negative)) * (1000 / len(y))
+    weight = np.array([*positive.values(), *negative.values()])
+    for side in (1, -1):  # each class weighs the same
+        weight[y == side] *= 500 / weight[y == side].sum()
+    landmarks = farthest(list(positive), n_landmarks // 2, n_landmarks // 8)
+    landmarks = landmarks + farthest(list(negative), n_landmarks - len(landmarks), n_landmarks // 8)
     values, axes = np.linalg.eigh(kernel(landmarks, landmarks))
     good = values > 1e-4
     half = (axes[:, good] / np.sqrt(values[good])) @ axes[:, good].T
