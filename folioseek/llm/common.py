@@ -1,6 +1,7 @@
 """Shared pieces of the operators: scratch tables, bounded slices of Arrow batches, id splits."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +35,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects their plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.short)

@@ -24,11 +24,12 @@ another id is in the component. An empty table gives an empty result.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,33 +210,33 @@ def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
         yield now, np.sort(np.concatenate(parts))
 
 
-FOUND = "n0 int, own double, prefix array<long>, further array<binary>, shingles binary"
+FOUND = "n0 int, own double, prefix array<long>"
+SET = "node long, n int, n0 int, further array<binary>, shingles binary"
 
 
-def _scanned(docs: DataFrame, key: str, text: str, classes: Classes) -> DataFrame:
+def _scanned(docs: DataFrame, key: str, text: str, classes: Broadcast) -> DataFrame:
     """Per document: key, n, node; where it may have partners and is the first of its node in the task also FOUND.
 
-    n0: shingles of class 0 before the prefixes; own: their share; prefix, further: the prefixes in order; shingles: the set.
+    n0: shingles of class 0 before the prefix; own: their share; prefix: the prefix of the first order, in order.
     """
     ddl = f"key {docs.schema[key].dataType.simpleString()}, n int, node long, {FOUND}"
-    schema, sent = arrow_schema(ddl), docs.sparkSession.sparkContext.broadcast(classes)
+    schema = arrow_schema(ddl)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, classes = WordHashes(), Memo(200_000), sent.value
+        memo, seen = WordHashes(), Memo(200_000)
         for batch, texts in text_slices(batches, "text"):
             found = []
             for s in shingle_sets(texts, memo):
-                node, extra = node_of(s), (None,) * 5
+                node, extra = node_of(s), (None,) * 3
                 seen.room(1)
                 if len(s) and node not in seen:
                     seen[node] = True
-                    of = classes.of(s)
-                    first = classes.prefix(s, of, ORDERS[0])
+                    of = classes.value.of(s)
+                    first = classes.value.prefix(s, of, ORDERS[0])
                     if len(first):
                         n0 = int((of == 0).sum())
-                        more = [classes.prefix(s, of, o).tobytes() for o in ORDERS[1:]]
-                        extra = (n0, n0 / len(s), first.view(np.int64), more, s.tobytes())
+                        extra = (n0, n0 / len(s), first.view(np.int64))
                 found.append((len(s), node, *extra))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*found), list(schema)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), *columns], schema=schema)
@@ -243,14 +244,14 @@ def _scanned(docs: DataFrame, key: str, text: str, classes: Classes) -> DataFram
     return rows.mapInArrow(task, ddl)
 
 
-def _holding(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Most rows of `found` that are not of `nodes` left out, by a bitmap of fixed size, before the rest is joined."""
+def _node_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of the nodes, of fixed size whatever their number."""
     size = (1 << NODE_BITS) // SLICES
 
     def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
+            at = bit_of(batch.column(0).to_numpy())
             for i in np.unique(at // size):
                 flags.setdefault(int(i), np.zeros(size, bool))[at[at // size == i] - i * size] = True
         bits = [np.packbits(x, bitorder="little").tobytes() for x in flags.values()]
@@ -261,51 +262,86 @@ def _holding(found: DataFrame, nodes: DataFrame) -> DataFrame:
     whole = np.zeros((1 << NODE_BITS) // 8, np.uint8)
     for r in dealt.mapInArrow(bitmap, "slice int, bits binary").collect():
         whole[r["slice"] * size // 8 : (r["slice"] + 1) * size // 8] |= np.frombuffer(r["bits"], np.uint8)
-    sent = found.sparkSession.sparkContext.broadcast(whole)
+    return whole
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
-    return found.mapInArrow(keep, found.schema)
+def bit_of(nodes: np.ndarray) -> np.ndarray:
+    return (nodes.view(np.uint64) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (node, leader) that link: further orders first, then the whole sets.
+def _sets(docs: DataFrame, text: str, classes: Broadcast, nodes: DataFrame) -> DataFrame:
+    """SET of the nodes: the further prefixes and the set itself, from a second reading of the texts.
 
-    A leader's set is repeated once per LEADER_PAIRS of its pairs, which are dealt to the repeats, so
+    Sets take as much room as the texts. Only those of nodes that share a list are made, so that none is written in vain.
+    """
+    schema, sent = arrow_schema(SET), docs.sparkSession.sparkContext.broadcast(_node_bits(nodes))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen, bits = WordHashes(), Memo(200_000), sent.value
+        for _, texts in text_slices(batches, "text"):
+            found = []
+            for s in shingle_sets(texts, memo):
+                node = node_of(s)
+                at = int(bit_of(np.array([node], np.int64))[0])
+                if not len(s) or not bits[at >> 3] >> (at & 7) & 1:
+                    continue
+                seen.room(1)
+                if node not in seen:
+                    seen[node] = True
+                    of = classes.value.of(s)
+                    further = [classes.value.prefix(s, of, o).tobytes() for o in ORDERS[1:]]
+                    found.append((node, len(s), int((of == 0).sum()), further, s.tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    made = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(task, SET)
+    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _similar(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (node, leader) that link: further orders first, and the whole sets of the pairs that are left."""
+    near = _checked(pairs, sets, ("n", "n0", "further"), shares_prefixes)
+    return _checked(scratch.table(near, "near"), sets, ("shingles",), linked)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], check: Callable) -> DataFrame:
+    """The pairs whose `columns` of both sides pass the check.
+
+    A leader's row is repeated once per LEADER_PAIRS of its pairs, which are dealt to the repeats, so
     that no task gets all pairs of a leader.
     """
     loads = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_PAIRS).cast("int").alias("repeats"))
     dealt = pairs.join(loads, "leader").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("repeats")).cast("int"))
-    columns = ("n0", "further", "shingles")
     left = dealt.join(sets, "node").select("node", "leader", "salt", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = loads.join(sets.withColumnRenamed("node", "leader"), "leader").select(
         "leader", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_b") for c in columns)
     )
     both = left.join(right, ["leader", "salt"]).select("node", "leader", *(f"{c}_{x}" for x in "ab" for c in columns))
+    k = len(columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(a[:3], a[3:]) for a in zip(*([x.as_py() for x in batch.column(i)] for i in range(2, 8)))]
+            keep = [check(a[:k], a[k:]) for a in zip(*([x.as_py() for x in batch.column(2 + i)] for i in range(2 * k)))]
             ends = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "leader"])
             yield ends.filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(task, "node long, leader long")
 
 
-def linked(a: tuple[int, list[bytes], bytes], b: tuple[int, list[bytes], bytes]) -> bool:
-    """Of (n0, further prefixes, set): a common shingle in each further prefix, and the similarity itself."""
-    n, m = len(a[2]) // 8, len(b[2]) // 8
-    least = -(-4 * (n + m) // 9)
-    for x, y in zip(a[1], b[1]):
-        x, y = np.frombuffer(x, np.uint64)[: max(0, n - least + 1 - a[0])], np.frombuffer(y, np.uint64)[: max(0, m - least + 1 - b[0])]
+def shares_prefixes(a: tuple[int, int, list[bytes]], b: tuple[int, int, list[bytes]]) -> bool:
+    """Of (n, n0, further prefixes): a common shingle in each of them."""
+    least = -(-4 * (a[0] + b[0]) // 9)
+    for x, y in zip(a[2], b[2]):
+        x, y = (np.frombuffer(p, np.uint64)[: max(0, s[0] - least + 1 - s[1])] for p, s in ((x, a), (y, b)))
         if not len(np.intersect1d(x, y, assume_unique=True)):
             return False
-    common = len(np.intersect1d(np.frombuffer(a[2], np.uint64), np.frombuffer(b[2], np.uint64), assume_unique=True))
-    return 100 * common >= 80 * (n + m - common)
+    return True
+
+
+def linked(a: tuple[bytes], b: tuple[bytes]) -> bool:
+    """Of two sets: the similarity itself."""
+    common = len(np.intersect1d(np.frombuffer(a[0], np.uint64), np.frombuffer(b[0], np.uint64), assume_unique=True))
+    return 100 * common >= 80 * ((len(a[0]) + len(b[0])) // 8 - common)
 
 
 def fits(n: str, m: str, at: str, other: str) -> Column:
@@ -366,7 +402,9 @@ def _row_components(docs: DataFrame, key: str, text: str, turns: int = 12) -> Da
     """Per row of `docs`: key, n, node, and comp, a node of the row's component (for rows without words, their own)."""
     spark: SparkSession = docs.sparkSession
     scratch, early = Scratch(spark, "jaccard"), Scratch(spark, "jaccard")
-    scan = early.table(_scanned(docs, key, text, _bitmaps(_counted(docs, text))), "scan")
+    classes = spark.sparkContext.broadcast(_bitmaps(_counted(docs, text)))
+    early.release()
+    scan = early.table(_scanned(docs, key, text, classes), "scan")
     members = scratch.table(scan.select("key", "n", "node"), "members", lasting=True)
     found = scan.where("prefix is not null")
     index = found.select("node", "n", "n0", "own", "prefix").dropDuplicates(["node"])
@@ -375,10 +413,9 @@ def _row_components(docs: DataFrame, key: str, text: str, turns: int = 12) -> Da
     lists = index.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
     index = scratch.table(index.join(lists, "shingle"), "index")
     labels = scratch.table(index.select("node", F.col("node").alias("comp")).distinct(), "labels")
-    held = _holding(found.select("node", "n0", "further", "shingles"), labels.select("node"))
-    sets = held.join(labels.select("node"), "node", "left_semi").groupBy("node")
-    sets = scratch.table(sets.agg(F.first(F.struct("n0", "further", "shingles")).alias("s")).select("node", "s.*"), "sets")
     early.drop()
+    early.release()
+    sets = scratch.table(_sets(docs, text, classes, labels.select("node")), "sets")
     tried: DataFrame | None = None
     for turn in range(turns):
         rows = _open(scratch, index, labels)
@@ -386,7 +423,7 @@ def _row_components(docs: DataFrame, key: str, text: str, turns: int = 12) -> Da
         asked = pairs.count()
         if not asked:
             break
-        links = scratch.table(_similar(pairs, sets), "links")
+        links = scratch.table(_similar(scratch, pairs, sets), "links")
         tried = pairs if tried is None else scratch.table(tried.union(pairs), "tried")
         joined = links.count()
         labels = components(scratch, labels, links) if joined else labels
@@ -394,7 +431,7 @@ def _row_components(docs: DataFrame, key: str, text: str, turns: int = 12) -> Da
             break
     rest = scratch.table(_rest(_open(scratch, index, labels), tried), "rest")
     if rest.limit(1).count():
-        labels = components(scratch, labels, scratch.table(_similar(rest, sets), "links"))
+        labels = components(scratch, labels, scratch.table(_similar(scratch, rest, sets), "links"))
     labels = scratch.table(labels, "final", lasting=True)
     scratch.drop()
     return members.join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
