@@ -1,12 +1,14 @@
 """Keyword index as ordinary tables, built once and queried many times.
 
-corpus     chunk_no, block, at, doc_id, seq, page_no, content, tokens, dl   one row per chunk or case
-postings   block, lists (term, at, tf), chunks                             one row per BLOCK chunks: their inverted lists
+corpus     chunk_no, block, at, doc_id, seq, page_no, content, tokens, dl   one row per chunk or case, in the order of equal scores
+postings   part, term, block, at, tf, dl, most                             one row per term and block of BLOCK chunks
 terms      term, df                                                        vocabulary, sorted by term
-size       n, avgdl                                                        two numbers about the whole corpus
+size       n, avgdl, parts                                                 three numbers about the whole corpus
 
-A row of postings also holds the chunks themselves, so that a search reads nothing else, and a row is never
-cut by the splits of a file. `at` is the place of a chunk in its block.
+Postings lie in folders by hash of the term (`part`) and in the order of terms, so a search reads the folders of its
+terms only, and in them the row groups that can hold a term. A term that most chunks have is cut by block over many files. A row
+has all that a score needs: places in the block, counts, lengths, and `most`, the largest BM25 factor in it. Documents come before
+cases and then by id and position, so `chunk_no` alone decides between equal scores.
 """
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import is_case
 from ..functions.text import index_tokens
 from .tables import first_seen, scratch_path
 
@@ -23,13 +26,11 @@ K1 = 1.2  # term frequency saturation
 B = 0.75  # length normalisation
 # --- end of fixed values ---
 
-BLOCK = 256  # chunks whose postings lie together; a power of 2
-CHUNK = "at int, doc_id string, seq int, page_no int, dl int, content string"
+BLOCK = 256  # chunks whose places are counted together; a power of 2
+PART_TOKENS = 20_000_000  # of the corpus per folder of postings, between the two bounds
+LEAST_PARTS, MOST_PARTS = 8, 4096
 CORPUS = "chunk_no bigint, block bigint, at int, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
-POSTINGS = (
-    "block bigint, lists array<struct<term:string,at:array<int>,tf:array<int>>>, "
-    f"chunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>"
-)
+POSTINGS = "term string, block bigint, at array<int>, tf array<int>, dl array<int>, most double, part int"
 TERMS = "term string, df bigint"
 
 
@@ -49,20 +50,21 @@ class KeywordIndex:
     terms: DataFrame
     n: int
     avgdl: float
+    parts: int
 
 
 def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> KeywordIndex:
     """Index (doc_id, seq, content, page_no) under `path`.
 
     The corpus is tokenised once; the later writes read only the columns they need of the one
-    before. Postings are spread by block, not by term: a term found in most chunks is cut over all
-    files, and the scores of a chunk add up inside the task that reads its block. `chunk_no` is
-    fixed by the corpus write, and everything else derives from the written corpus.
+    before. `chunk_no` is fixed by the corpus write, and everything else derives from the written corpus.
     """
     spark = rows.sparkSession
     rows = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), "page_no", "content")
     if not unique_keys:
         rows = first_seen(rows, ["doc_id", "seq"], [F.col("content")])
+    order = [is_case(F.col("doc_id")), F.col("doc_id"), F.col("seq")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     body = F.coalesce("content", F.lit(""))
     corpus = rows.select(F.monotonically_increasing_id().alias("chunk_no"), "*", index_tokens(body).alias("tokens"))
     corpus = corpus.withColumns(
@@ -76,33 +78,27 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     corpus.select(*names).write.mode("overwrite").parquet(f"{path}/corpus")
     corpus = spark.read.schema(CORPUS).parquet(f"{path}/corpus")
 
-    corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl")).write.mode(
+    parts = F.ceil(F.coalesce(F.sum("dl"), F.lit(0)) / PART_TOKENS)
+    parts = F.least(F.greatest(parts, F.lit(LEAST_PARTS)), F.lit(MOST_PARTS)).cast("int")
+    corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), parts.alias("parts")).write.mode(
         "overwrite"
     ).parquet(f"{path}/size")
+    size = spark.read.parquet(f"{path}/size").first()
 
-    # One shuffle, of chunks; counts, lists and blocks are made inside the resulting partitions.
-    chunk = F.struct("at", "doc_id", "seq", "page_no", "dl", "content")
-    spread = corpus.repartition("block").select(
-        "block", "at", chunk.alias("chunk"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")
-    )
-    counted = spread.select("block", "at", "term", F.when(F.col("term") == "", F.col("chunk")).alias("chunk"))
-    counted = counted.groupBy("block", "term", "at").agg(F.count("*").cast("int").alias("tf"), F.first("chunk").alias("chunk"))
-    lists = counted.groupBy("block", "term").agg(
-        F.array_sort(F.collect_list(F.struct("at", "tf"))).alias("uses"), F.array_sort(F.collect_list("chunk")).alias("chunks")
-    )
-    one = F.struct("term", F.transform("uses", lambda u: u["at"]).alias("at"), F.transform("uses", lambda u: u["tf"]).alias("tf"))
-    (
-        lists.select("block", F.when(F.col("term") != "", one).alias("list"), F.when(F.col("term") == "", F.col("chunks")).alias("chunks"))
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list("list")).alias("lists"), F.first("chunks", ignorenulls=True).alias("chunks"))
-        .write.mode("overwrite")
-        .parquet(f"{path}/postings")
-    )
+    # Two shuffles: of tokens by block, in whose partitions all counting is done, and of the counted rows by term.
+    spread = corpus.repartition("block").select("block", "at", "dl", F.explode("tokens").alias("term"))
+    counted = spread.groupBy("block", "term", "at", "dl").agg(F.count("*").cast("int").alias("tf"))
+    lists = counted.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("at", "tf", "dl"))).alias("uses"))
+    column = lambda c: F.transform("uses", lambda u: u[c])
+    most = F.array_max(F.transform("uses", lambda u: term_part(u["tf"], u["dl"], size["avgdl"])))
+    rows = lists.select("term", "block", *(column(c).alias(c) for c in ("at", "tf", "dl")), most.alias("most"))
+    by = ["part", "term", "block"]
+    rows = rows.withColumn("part", part_of(F.col("term"), size["parts"])).repartitionByRange(size["parts"], *by).sortWithinPartitions(*by)
+    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     (
-        postings.select(F.explode("lists").alias("l"))
-        .groupBy("l.term")
-        .agg(F.sum(F.size("l.at")).alias("df"))
+        postings.groupBy("term")
+        .agg(F.sum(F.size("at")).alias("df"))
         .sortWithinPartitions("term")
         .write.mode("overwrite")
         .parquet(f"{path}/terms")
@@ -110,6 +106,11 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     return open_index(spark, path)
 
 
+def part_of(term: Column, parts: int) -> Column:
+    """The folder of a term's postings."""
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
 def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     size = spark.read.parquet(f"{path}/size").first()
     return KeywordIndex(
@@ -118,14 +119,14 @@ def open_index(spark: SparkSession, path: str) -> KeywordIndex:
         terms=spark.read.schema(TERMS).parquet(f"{path}/terms"),
         n=size["n"],
         avgdl=size["avgdl"],
+        parts=size["parts"],
     )
 
 
 def occurrences(index: KeywordIndex) -> DataFrame:
     """(term, chunk_no, tf): the postings one by one."""
-    lists = index.postings.select("block", F.explode("lists").alias("l"))
-    lists = lists.select("block", "l.term", F.explode(F.arrays_zip("l.at", "l.tf")).alias("u"))
-    return lists.select("term", (F.col("block") * BLOCK + F.col("u.at")).alias("chunk_no"), F.col("u.tf").alias("tf"))
+    uses = index.postings.select("block", "term", F.explode(F.arrays_zip("at", "tf")).alias("u"))
+    return uses.select("term", (F.col("block") * BLOCK + F.col("u.at")).alias("chunk_no"), F.col("u.tf").alias("tf"))
 
 
 def scratch_index(rows: DataFrame, label: str, **options) -> KeywordIndex:

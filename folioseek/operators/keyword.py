@@ -1,23 +1,25 @@
 """BM25 for a table of queries over a keyword index, with whole-phrase boost; exact top k.
 
-A search reads the postings of its terms and the chunks beside them, block by block, once for each block of
-queries. Scores add up inside the task that holds the block; only the best hits of each task leave it, with their text.
+A search reads the postings of its terms, no others and no texts: by folder, then by row group. They meet by block of chunks, and
+scores add up inside the task that has the block; blocks whose bounds cannot reach the result are passed over. Keys and scores of the
+best leave the task. As a phrase lifts a hit by a fixed boost, all hits within that boost of a query's last place may
+still win; their texts, and no others, are then looked up in the corpus by number, and the phrase is looked for in them.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import CASE_ID_PREFIX, is_case
-from ..functions.text import FULL_WIDTH, HALF_WIDTH, HAN, flat, index_tokens, query_tokens, rounded
-from .blocks import ScopeMask, Scores, scored_in_tasks
-from .index import KeywordIndex, idf, term_part
+from ..functions.labels import is_case
+from ..functions.text import flat, index_tokens, query_tokens, rounded
+from . import blocks
+from . import index as ix
+from .blocks import ScopeMask, round9
+from .index import KeywordIndex, idf, part_of, term_part
 from .scope import Scope
 from .tables import row_top, written
 
@@ -29,7 +31,8 @@ MATCHED_SHOWN = 6
 
 KEPT = {"doc_id": "string", "seq": "int", "page_no": "int", "content": "string"}
 ORDER = [("is_case", "ascending"), ("doc_id", "ascending"), ("seq", "ascending")]
-BATCH_BLOCKS = 32  # blocks of postings in memory at a time
+HELD_HITS = 200_000  # hits that a task holds before it leaves out those that cannot win
+LISTED = 1000  # terms or blocks that are named in a filter on files; more are joined
 SLACK = 1e-6  # room for float addition order when scores are compared with a bound
 
 
@@ -50,83 +53,153 @@ def query_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     )
 
 
-def _phrase_scores(scores: np.ndarray, contents: pa.Array, phrases: list[str], floor: np.ndarray, depth: int) -> None:
-    """Add the boost where a whole phrase is in the text; only where it can lift a hit into the result."""
-    width = str.maketrans(FULL_WIDTH, HALF_WIDTH)
-    other = re.compile(f"[^0-9a-z{HAN}]+")
-    least = floor / 1e9
-    if scores.shape[1] >= depth:
-        least = np.maximum(least, np.partition(scores, -depth, axis=1)[:, -depth])
-    near = (scores > 0) & (scores + PHRASE_BOOST + SLACK >= least[:, None])
-    near[[len(p) < PHRASE_MIN for p in phrases]] = False
-    for r in np.nonzero(near.any(axis=0))[0]:
-        text = other.sub("", (contents[r].as_py() or "").lower().translate(width))
-        for q in np.nonzero(near[:, r])[0]:
-            if phrases[q] in text:
-                scores[q, r] += PHRASE_BOOST
-
-
-def _bm25(avgdl: float, depth: int, scoped: bool):
-    """Scorer for `scored_in_tasks` over rows of postings: BM25, scope, then the phrase boost."""
-
-    def prepare(queries: pa.Table) -> Scores:
+class _Hits:
+    """Hits of a task: per query the best `depth`, and those that a phrase could lift among them."""
+
+    def __init__(self, boost: np.ndarray, depth: int):
+        self.boost, self.depth = boost, depth
+        self.floor = np.zeros(len(boost))  # a query's depth-th best score so far
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def reach(self, scores: np.ndarray) -> np.ndarray:
+        """Which scores (queries x any) can still get into the result."""
+        return (scores > 0) & (scores + self.boost[:, None] + SLACK >= self.floor[:, None])
+
+    def add(self, scores: np.ndarray, first: int) -> None:
+        query, at = np.nonzero(self.reach(scores))
+        self.parts.append((query, first + at, scores[query, at]))
+        self.n += len(query)
+        if self.n > HELD_HITS:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.parts:
+            return
+        query, chunk, score = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((chunk, -round9(score), query))
+        query, chunk, score = query[order], chunk[order], score[order]
+        start = np.concatenate(([True], query[1:] != query[:-1]))[: len(query)]
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(start, np.arange(len(query)), 0))
+        last = place == self.depth - 1
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
+        liftable = (self.boost[query] > 0) & (score + self.boost[query] + SLACK >= self.floor[query])
+        keep = (place < self.depth) | liftable
+        self.parts, self.n = [(query[keep], chunk[keep], score[keep])], int(keep.sum())
+
+    def batches(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        for query, chunk, score in self.parts:
+            for i in range(0, len(query), 10_000):
+                columns = [ids.take(pa.array(query[i : i + 10_000])), pa.array(chunk[i : i + 10_000]), pa.array(score[i : i + 10_000])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_no", "raw"])
+        self.parts, self.n = [], 0
+
+
+def _scored(rows: DataFrame, asked: pa.Table, index: KeywordIndex, depth: int, scoped: bool, id_type: str) -> DataFrame:
+    """(query_id, chunk_no, raw) from postings in the order of blocks, with the facets of a block in its first row."""
+    shared, avgdl, width = rows.sparkSession.sparkContext.broadcast(asked), index.avgdl, ix.BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
         asked_by: dict[str, tuple[list[int], float]] = {}
         for q, terms in enumerate(queries["terms"].to_pylist()):
             for t in terms:
                 asked_by.setdefault(t["term"], ([], t["weight"]))[0].append(q)
-        vocabulary = pa.array(list(asked_by), pa.string())
-        weighed = list(asked_by.values())
-        phrases = queries["phrase"].to_pylist()
-        mask = ScopeMask(queries) if scoped else None
-
-        def run(batches: Iterator[pa.RecordBatch], floor: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-            for batch in batches:
-                column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                for i in range(batch.num_rows):
-                    chunks, lists = _chunk_rows(column["chunks"][i].values), column["lists"][i].values
-                    scores, dl = np.zeros((len(phrases), chunks.num_rows)), np.asarray(chunks.column("dl"))
-                    # chunks are in order of their places, but a block may have gaps
-                    places = np.asarray(chunks.column("at"))
-                    known = pc.index_in(lists.field("term"), value_set=vocabulary) if lists is not None else pa.array([], pa.int32())
-                    for j in np.flatnonzero(np.asarray(known.is_valid())):
-                        by, weight = weighed[known[j].as_py()]
-                        at = np.searchsorted(places, np.asarray(lists.field("at")[j].values))
-                        tf = np.asarray(lists.field("tf")[j].values)
-                        scores[np.ix_(by, at)] += weight * term_part(tf, dl[at], avgdl)
-                    if mask:
-                        facets = column["facets"][i].as_py() or []
-                        mask.apply(scores, _with_facets(chunks, facets), np.asarray(chunks.column("is_case")))
-                    _phrase_scores(scores, chunks.column("content"), phrases, floor, depth)
-                    yield chunks, scores
-
-        return run
-
-    return prepare
-
-
-def _chunk_rows(chunks: pa.StructArray) -> pa.RecordBatch:
-    rows = pa.RecordBatch.from_struct_array(chunks)
-    case = pc.starts_with(pc.fill_null(rows.column(rows.schema.get_field_index("doc_id")), ""), CASE_ID_PREFIX)
-    return rows.append_column("is_case", case)
-
-
-def _with_facets(chunks: pa.RecordBatch, facets: list[dict]) -> pa.RecordBatch:
-    """The chunks with pinned, category and tags of their documents."""
-    of = {f["doc_id"]: f for f in facets}
-    mine = [of.get(d) for d in chunks.column(chunks.schema.get_field_index("doc_id")).to_pylist()]
+        n = len(queries)
+        boost = np.array([PHRASE_BOOST if len(p) >= PHRASE_MIN else 0.0 for p in queries["phrase"].to_pylist()])
+        ids, mask, hits = queries["query_id"].combine_chunks(), ScopeMask(queries) if scoped else None, _Hits(boost, depth)
+
+        def score(block: int, lists: list[tuple], facets: list[dict] | None) -> None:
+            bound = np.zeros(n)
+            for by, weight, _, _, _, most in lists:
+                bound[by] += weight * most
+            live = hits.reach(bound[:, None])[:, 0]
+            if not live.any():
+                return
+            scores = np.zeros((n, width))
+            for by, weight, at, tf, dl, _ in lists:
+                by = [q for q in by if live[q]]
+                if by:
+                    scores[np.ix_(by, at)] += weight * term_part(tf, dl, avgdl)
+            if mask:
+                mask.apply(scores, *_facet_rows(facets or [], width))
+            hits.add(scores, block * width)
+
+        now, lists, facets = None, [], None
+        for batch in batches:
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            terms, places = column["term"].to_pylist(), column["block"].to_pylist()
+            for i, (term, block) in enumerate(zip(terms, places)):
+                if block != now:
+                    if lists:
+                        score(now, lists, facets)
+                        if hits.n > 2 * HELD_HITS:  # hits that all may win; what they leave behind is the floor
+                            yield from hits.batches(ids)
+                    now, lists, facets = block, [], None
+                if term is None:
+                    facets = column["facets"][i].as_py()
+                elif term in asked_by:
+                    values = (np.asarray(column[c][i].values) for c in ("at", "tf", "dl"))
+                    lists.append((*asked_by[term], *values, column["most"][i].as_py()))
+        if lists:
+            score(now, lists, facets)
+        yield from hits.batches(ids)
+
+    return rows.mapInArrow(run, f"query_id {id_type}, chunk_no bigint, raw double")
+
+
+def _facet_rows(facets: list[dict], width: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The facets of a block's chunks by their places, and which of them are cases."""
+    of: list[dict | None] = [None] * width
+    for f in facets:
+        of[f["at"]] = f
     kinds = {"pinned": pa.bool_(), "category": pa.string(), "tags": pa.list_(pa.string())}
-    for name, kind in kinds.items():
-        chunks = chunks.append_column(name, pa.array([f and f[name] for f in mine], kind))
-    return chunks
-
-
-def _postings_of(index: KeywordIndex, scope: Scope | None) -> DataFrame:
-    """The postings, with the facets of the block's documents where a scope is asked for."""
-    if scope is None:
-        return index.postings
-    seen = scope.docs.select("doc_id", F.struct("doc_id", "pinned", "category", "tags").alias("facet"))
-    facets = index.corpus.select("block", "doc_id").distinct().join(seen, "doc_id").groupBy("block")
-    return index.postings.join(facets.agg(F.collect_list("facet").alias("facets")), "block", "left")
+    rows = pa.RecordBatch.from_arrays([pa.array([f and f[c] for f in of], kind) for c, kind in kinds.items()], names=list(kinds))
+    return rows, np.array([bool(f and f["is_case"]) for f in of])
+
+
+def _facets(index: KeywordIndex, scope: Scope) -> DataFrame:
+    """(block, facets): what the scope looks at, of all chunks of a block; texts are not read."""
+    seen = scope.docs.select("doc_id", "pinned", "category", "tags")
+    rows = index.corpus.select("block", "at", "doc_id").join(seen, "doc_id", "left")
+    facet = F.struct("at", is_case(F.col("doc_id")).alias("is_case"), "pinned", "category", "tags")
+    return rows.groupBy("block").agg(F.collect_list(facet).alias("facets"))
+
+
+def term_postings(index: KeywordIndex, terms: list[str], parts: list[int]) -> DataFrame:
+    """The postings of the terms: of their folders, and there of the row groups that can hold them."""
+    rows = index.postings.where(F.col("part").isin(parts))
+    if len(terms) <= LISTED:
+        return rows.where(F.col("term").isin(terms))
+    named = rows.sparkSession.createDataFrame(pa.table({"term": terms}))
+    return rows.where(F.col("term").between(min(terms), max(terms))).join(F.broadcast(named), "term", "left_semi")  # bounded by the block of queries
+
+
+def near_hits(index: KeywordIndex, asked: DataFrame, depth: int, scope: Scope | None) -> DataFrame:
+    """(query_id, chunk_no, raw): the best hits before the phrase boost, and all that it may lift; one block of queries at a time."""
+    out: DataFrame | None = None
+    facets = None if scope is None else written(_facets(index, scope), "facets")
+    for block in blocks.query_blocks(written(asked, "asked")):
+        queries = block.toArrow()
+        named = {t["term"]: t["part"] for terms in queries["terms"].to_pylist() for t in terms}
+        rows = term_postings(index, sorted(named), sorted(set(named.values()))).select("block", "term", "at", "tf", "dl", "most")
+        if facets is not None:
+            held = rows.select("block").distinct()
+            rows = rows.unionByName(facets.join(held, "block", "left_semi"), allowMissingColumns=True)
+        rows = rows.repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_first())
+        found = blocks.written(_scored(rows, queries, index, depth, scope is not None, asked.schema["query_id"].dataType.simpleString()), "near")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def chunks_of(index: KeywordIndex, keys: DataFrame) -> DataFrame:
+    """`keys` (written, with chunk_no) with doc_id, seq, page_no and content; few blocks are looked up by name, many are joined."""
+    wanted = keys.select(F.floor(F.col("chunk_no") / ix.BLOCK).alias("block")).distinct().limit(LISTED + 1).collect()
+    corpus = index.corpus
+    if len(wanted) <= LISTED:
+        corpus = corpus.where(F.col("block").isin([r["block"] for r in wanted]))
+    return keys.join(corpus.select("chunk_no", "doc_id", "seq", "page_no", "content"), "chunk_no")
 
 
 def with_depth(queries: DataFrame, depth: int, max_depth: int | None) -> tuple[DataFrame, int]:
@@ -150,13 +223,21 @@ def keyword_search(
     queries, max_depth = with_depth(queries, depth, max_depth)
     scope = scope if scope and scope.active else None
     terms = written(query_terms(index, queries), "query-terms")
-    packed = F.collect_list(F.struct("term", F.col("idf").alias("weight")))
-    asked = terms.groupBy("query_id").agg(packed.alias("terms"))
-    asked = asked.join(queries.select("query_id", flat(F.col("text")).alias("phrase")), "query_id")
+    part = part_of(F.col("term"), index.parts).alias("part")
+    packed = F.collect_list(F.struct("term", F.col("idf").alias("weight"), part))
+    phrases = queries.select("query_id", flat(F.col("text")).alias("phrase"))
+    asked = terms.groupBy("query_id").agg(packed.alias("terms")).join(phrases, "query_id")
     if scope:
         asked = asked.join(scope.queries, "query_id")
-    scorer = _bm25(index.avgdl, max_depth, scope is not None)
-    best = scored_in_tasks(_postings_of(index, scope), asked, scorer, KEPT, max_depth, ORDER, BATCH_BLOCKS)
+    near = near_hits(index, asked, max_depth, scope)
+    last = row_top(near, ["query_id"], [rounded(F.col("raw"), 9).desc(), F.col("chunk_no")], max_depth)
+    last = last.where(F.col("rank") == max_depth).select("query_id", F.col("raw").alias("least"))
+    phrase = F.when(F.length("phrase") >= PHRASE_MIN, F.col("phrase"))
+    near = near.join(last, "query_id", "left").join(phrases.select("query_id", phrase.alias("phrase")), "query_id")
+    lift = F.when(F.col("phrase").isNotNull(), PHRASE_BOOST).otherwise(0.0)
+    near = written(near.where(F.col("least").isNull() | (F.col("raw") + lift + SLACK >= F.col("least"))).drop("least"), "candidates")
+    boost = F.when(F.contains(flat(F.coalesce("content", F.lit(""))), F.col("phrase")), PHRASE_BOOST).otherwise(0.0)
+    best = chunks_of(index, near).withColumn("raw", F.col("raw") + boost).drop("phrase")
     top = row_top(best, ["query_id"], score_order("raw"), max_depth).join(queries.select("query_id", "depth"), "query_id")
 
     wanted = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("weight"), "pos", "term")))

@@ -11,6 +11,7 @@ from folioseek.operators import context as cx
 from folioseek.operators.cases import case_names, library_corpus
 from folioseek.operators.fuse import fuse
 from folioseek.operators import index as ix
+from folioseek.operators import keyword
 from folioseek.operators.index import build_index, occurrences, scratch_index
 from folioseek.operators.keyword import keyword_search
 from folioseek.operators.library import search_all
@@ -184,7 +185,11 @@ def test_postings_hold_every_token_once(spark, monkeypatch):
     got = Counter({(r.chunk_no, r.term): r.tf for r in occurrences(index).collect()})
     want = Counter((r.chunk_no, t) for r in index.corpus.collect() for t in r.tokens)
     assert got == want
-    assert sum(len(r.chunks) for r in index.postings.collect()) == len(made)
+    for r in index.postings.collect():
+        factors = [ix.term_part(tf, dl, index.avgdl) for tf, dl in zip(r.tf, r.dl)]
+        assert r.at == sorted(set(r.at)) and r.most == pytest.approx(max(factors))
+    order = [(r.doc_id.startswith("case:"), r.doc_id, r.seq) for r in index.corpus.orderBy("chunk_no").collect()]
+    assert order == sorted(order)
 
 
 @pytest.mark.parametrize("step, batch", [(1, 1), (7, 3), (2048, 10_000)])
@@ -233,22 +238,71 @@ def test_shuffled_joins_give_the_same(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-def test_a_search_reads_postings_and_not_the_corpus(spark, monkeypatch):
+def test_a_rare_term_reads_its_folder_and_no_texts(spark, monkeypatch):
     made, asked = library(spark)
+    made = [*made, ("rare", 0, "w1 zirconium"), ("rare", 1, "w2 Zirconium oxide")]
+    asked = [(1, "zirconium oxide")]
     cdf, qdf = as_frames(spark, made, asked)
+    monkeypatch.setattr(ix, "LEAST_PARTS", 32)
     index = scratch_index(cdf, "plan")
-    plans = []
-    inner = blocks.written
+    everything = len(index.postings.inputFiles())
+    read, plans, inner = [], [], blocks.written
 
     def spied(df, label):
-        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
         return inner(df, label)
 
+    def postings(*args):
+        read.append(inner_postings(*args))
+        return read[-1]
+
+    inner_postings = keyword.term_postings
     monkeypatch.setattr(blocks, "written", spied)
-    hits = keyword_search(index, qdf, 5)
-    plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
-    read = " ".join(plans)
-    assert len(hits.collect()) > 0 and "lists#" in read and "tokens#" not in read
+    monkeypatch.setattr(keyword, "term_postings", postings)
+    got = [((r.doc_id, r.seq), round(r.raw, 6)) for r in rows(keyword_search(index, qdf, 7))]
+    assert got == brute_bm25(spark, made, asked, 7)[1] and len(got) == 2
+    scan = read[0]._jdf.queryExecution().executedPlan()
+    assert index.parts == 32 and everything >= 32
+    assert "PartitionFilters: [part" in scan.toString() and "PushedFilters: [In(term" in scan.toString()
+    read[0].collect()
+    files = scan_files(read[0])
+    assert 1 <= files <= 2 + 2 * everything / 32  # two terms, two folders
+    assert plans and all("content" not in p and "doc_id" not in p for p in plans)
+
+
+def scan_files(df):
+    """Files that the scan of a plan opened."""
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numFiles").value()
+
+
+def test_texts_are_looked_up_by_block(spark, monkeypatch):
+    made, _ = library(spark, 400)
+    cdf, _ = as_frames(spark, made, [])
+    monkeypatch.setattr(ix, "BLOCK", 16)
+    index = scratch_index(cdf.coalesce(1), "lookup")
+    key = index.corpus.orderBy("chunk_no").select("chunk_no").limit(1)
+    few = keyword.chunks_of(index, key)
+    assert few.count() == 1 and "PushedFilters: [In(block" in few._jdf.queryExecution().executedPlan().toString().replace("IsNotNull(block), ", "").replace("EqualTo(block", "In(block")
+    monkeypatch.setattr(keyword, "LISTED", 0)
+    assert keyword.chunks_of(index, key).collect() == few.collect()
+
+
+def test_small_holds_and_many_terms_change_nothing(spark, monkeypatch):
+    made, asked = library(spark)
+    made += [("tie", i, made[5][2]) for i in range(40)]
+    want = brute_bm25(spark, made, asked, 3)
+    cdf, qdf = as_frames(spark, made, asked)
+    monkeypatch.setattr(ix, "BLOCK", 16)
+    index = scratch_index(cdf, "small")
+    monkeypatch.setattr(keyword, "HELD_HITS", 5)
+    monkeypatch.setattr(keyword, "LISTED", 2)
+    got = {q: [] for q, _ in asked}
+    for r in rows(keyword_search(index, qdf, 3)):
+        got[r.query_id].append(((r.doc_id, r.seq), round(r.raw, 6)))
+    assert got == want
 
 
 def test_scope(spark, index):
