@@ -300,8 +300,9 @@ def _sets(docs: DataFrame, text: str, classes: Broadcast, nodes: DataFrame) -> D
 
 def _similar(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (node, leader) that link: further orders first, and the whole sets of the pairs that are left."""
-    near = _checked(pairs, sets, ("n", "n0", "further"), shares_prefixes)
-    return _checked(scratch.table(near, "near"), sets, ("shingles",), linked)
+    near = scratch.table(_checked(pairs, sets, ("n", "n0", "further"), shares_prefixes), "near")
+    scratch.release()
+    return _checked(near, sets, ("shingles",), linked)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], check: Callable) -> DataFrame:
@@ -416,11 +417,13 @@ def _row_components(docs: DataFrame, key: str, text: str, turns: int = 12) -> Da
     early.drop()
     early.release()
     sets = scratch.table(_sets(docs, text, classes, labels.select("node")), "sets")
+    scratch.release()
     tried: DataFrame | None = None
     for turn in range(turns):
         rows = _open(scratch, index, labels)
         pairs = scratch.table(_leader_pairs(rows, tried, turn), "pairs")
         asked = pairs.count()
+        scratch.release()
         if not asked:
             break
         links = scratch.table(_similar(scratch, pairs, sets), "links")

@@ -193,7 +193,7 @@ LEAST = -2.0  # the score of no fragment
 class _Scores(Memo):
     """run -> score of its best fragment."""
 
-    def __init__(self, machine: Machine, limit: int = 300_000):
+    def __init__(self, machine: Machine, limit: int = 200_000):
         super().__init__(limit)
         self.machine = machine
 
@@ -304,9 +304,9 @@ def letter_groups(docs: DataFrame, text: str) -> DataFrame:
                     c = counts.setdefault(g, [0, 0])
                     c[0] += label
                     c[1] += 1
-            if len(counts) > 200_000:
-                yield out()
-                counts.clear()
+                if len(counts) > 100_000:
+                    yield out()
+                    counts.clear()
         if counts:
             yield out()
 
