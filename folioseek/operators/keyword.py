@@ -129,7 +129,9 @@ def _scored(rows: DataFrame, asked: pa.Table, index: KeywordIndex, depth: int, s
         now, lists, facets = None, [], None
         for batch in batches:
             column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            terms, places = column["term"].to_pylist(), column["block"].to_pylist()
+            terms, places, most = (column[c].to_pylist() for c in ("term", "block", "most"))
+            ends = np.asarray(column["at"].offsets)  # the three lists of a row are of one length
+            flat_lists = [(np.asarray(column[c].values), np.asarray(column[c].offsets)[0]) for c in ("at", "tf", "dl")]
             for i, (term, block) in enumerate(zip(terms, places)):
                 if block != now:
                     if lists:
@@ -140,8 +142,8 @@ def _scored(rows: DataFrame, asked: pa.Table, index: KeywordIndex, depth: int, s
                 if term is None:
                     facets = column["facets"][i].as_py()
                 elif term in asked_by:
-                    values = (np.asarray(column[c][i].values) for c in ("at", "tf", "dl"))
-                    lists.append((*asked_by[term], *values, column["most"][i].as_py()))
+                    a, b = ends[i] - ends[0], ends[i + 1] - ends[0]
+                    lists.append((*asked_by[term], *(v[first + a : first + b] for v, first in flat_lists), most[i]))
         if lists:
             score(now, lists, facets)
         yield from hits.batches(ids)

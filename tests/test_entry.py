@@ -24,4 +24,21 @@ def test_entry_without_the_training_data_folder():
 
 
 def test_entry_hides_no_other_missing_module():
-    assert "ModuleNotFoundError" in run(["xxhash"])[1] or "folioseek/llm" not in str(os.listdir(os.path.join(ROOT, "folioseek")))
+    if os.path.isdir(os.path.join(ROOT, "folioseek", "llm")):
+        assert "ModuleNotFoundError" in run(["xxhash"])[1]
+    assert "ModuleNotFoundError" in run(["folioseek.operators.keyword"])[1]
+
+
+def test_bench_has_all_names():
+    import ast
+    import builtins
+
+    sys.path.insert(0, ROOT)
+    import bench
+
+    with open(os.path.join(ROOT, "bench.py")) as f:
+        tree = ast.parse(f.read())
+    bound = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} | {a.arg for a in ast.walk(tree) if isinstance(a, ast.arg)}
+    bound |= {f.name for f in ast.walk(tree) if isinstance(f, ast.FunctionDef)}
+    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
+    assert used <= bound | set(dir(bench)) | set(dir(builtins))
