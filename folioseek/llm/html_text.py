@@ -1,10 +1,17 @@
 """Operator 4: main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside elements that are never part of an article
-(navigation, page header and footer, sidebars, forms, scripts, adverts, comments and the like, known by tag, role, class or
-id) are out. The first pass judges all others by length, link density and stop-word density: good, nearly good, short
+(navigation, page header and footer, scripts, hidden elements, comments, consent and the like, known by tag, role, class or
+id) are out. Forms, and elements whose class or id names a sidebar, widget, notice, advert and so on, are out only
+where the names tell the truth: such an element stays in if it holds more than half of the page's prose, more than twice what
+stands in no such element, and all text of articles but for links: the name then tells how the page is laid out
+(`layout-sidebar`, a page in one form).
+The first pass judges all other blocks by length, link density and stop-word density: good, nearly good, short
 or bad. In the second pass short and nearly good blocks inherit the label of the nearest decided neighbours.
 
+Stop words of four languages are known. On a page without prose by these rules, whose long blocks have next to none of
+them, length and links decide alone; on one of short blocks only, without links, all are kept if there is a heading and a block that ends as a sentence does.
+
 Article and main elements are a prior, and only where they hold at least half of the good and nearly good text: running
 text inside, which may have few stop words, is then nearly good at least, blocks inside inherit from blocks inside, and
 blocks outside are kept where good text stands outside too, and inherit from one another. Elsewhere they decide nothing.
@@ -37,11 +44,12 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUT = frozenset("head nav footer aside form button select menu dialog noscript template svg math object audio video canvas map fieldset".split())
+OUT = frozenset("head nav footer aside button select menu dialog noscript template svg math object audio video canvas map".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+OUT_UNLESS_PROSE = frozenset("form fieldset".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id values, and roles, of what is no part of an article.
 OUT_NAMES = frozenset(
@@ -51,6 +59,8 @@ OUT_NAMES = frozenset(
     "comment comments disqus replies respond share sharing social follow related recommended recommendations trending widget widgets "
     "toolbar skip copyright legal disclaimer search searchbox form".split()
 )
+#: Those of them that are out however much text they hold.
+ALWAYS_OUT = frozenset("comment comments disqus replies respond cookie cookies consent gdpr".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 IN_NAMES = frozenset("article main content post story entry body text".split())
 
@@ -69,6 +79,9 @@ LONG = 200
 LINKS = 0.2  # share of characters in links of a bad block
 ARTICLE_LINKS = 0.5  # the same inside an article
 STOP_LOW, STOP_HIGH = 0.15, 0.3
+STOP_NONE = 0.05  # less than this: text of a language without known stop words
+SENTENCE_END = tuple(".!?\u2026\u3002\uff01\uff1f")
+IN, UNLESS_PROSE, SHUT = 0, 1, 2
 GOOD, NEAR, BRIEF, BAD = "good", "nearly good", "short", "bad"
 
 
@@ -78,35 +91,41 @@ class Block:
     linked: int  # characters inside links
     heading: bool
     inside: bool  # in an article or main element
+    around: int = -1  # the innermost open element that is out unless it holds the prose
     label: str = ""
 
 
-def named_out(value: str) -> bool:
-    """Whether a class or id value names what is no part of an article: `post-comments`, `adBanner`, not `with-sidebar`."""
+def named_out(value: str) -> int:
+    """What a class or id value says: `post-comments`, `adBanner` are no part of an article; `page-with-sidebar` may be."""
+    said = IN
     for name in value.split():
         words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
-        if not words or words[0] in ("has", "with", "no", "without"):
+        layout = next((i for i, w in enumerate(words) if w in ("has", "with", "no", "without")), len(words))
+        words = words[:layout]
+        if not words:
             continue
-        if words[-1] in OUT_NAMES or not IN_NAMES.intersection(words) and OUT_NAMES.intersection(words):
-            return True
-    return False
+        for names, level in ((ALWAYS_OUT, SHUT), (OUT_NAMES, UNLESS_PROSE)):
+            if words[-1] in names or not IN_NAMES.intersection(words) and names.intersection(words):
+                said = max(said, level)
+    return said
 
 
-def shut_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Elements that hold nothing of an article."""
+def shut_out(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """Whether an element holds nothing of an article: IN, UNLESS_PROSE or SHUT."""
     if tag in OUT or (tag == "header" and not inside):
-        return True
+        return SHUT
+    said = UNLESS_PROSE if tag in OUT_UNLESS_PROSE else IN
     if not attributes or tag in ("html", "body"):
-        return False
+        return said
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return SHUT
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "").lower()):
-        return True
+        return SHUT
     if attributes.get("role", "").lower() in OUT_ROLES:
-        return True
+        return SHUT
     if tag == "main":  # a page has one, and its class says how it is laid out
-        return False
-    return named_out(attributes.get("class", "")) or named_out(attributes.get("id", ""))
+        return said
+    return max(said, named_out(attributes.get("class", "")), named_out(attributes.get("id", "")))
 
 
 def attributes_of(raw: str) -> dict[str, str]:
@@ -114,11 +133,13 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 
 class Reader:
-    """Cuts one page into the blocks that are not shut out."""
+    """Cuts one page into the blocks that are not shut out, each with the doubtful element around it."""
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, shuts out, is an article
+        self.stack: list[tuple[str, int, bool]] = []  # tag, shuts out, is an article
+        self.doubtful: list[int] = []  # by element that is out unless it holds the prose: the one around it, or -1
+        self.around = -1
         self.out = self.articles = self.links = 0
         self.text: list[str] = []
         self.linked, self.heading, self.breaks = 0, False, 0
@@ -126,7 +147,7 @@ class Reader:
     def end_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.blocks.append(Block(text, self.linked, self.heading, self.articles > 0))
+            self.blocks.append(Block(text, self.linked, self.heading, self.articles > 0, self.around))
         self.text, self.linked, self.heading, self.breaks = [], 0, False, 0
 
     def words(self, raw: str) -> None:
@@ -156,7 +177,10 @@ class Reader:
         out = shut_out(tag, attributes, self.articles > 0)
         article = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
         self.stack.append((tag, out, article))
-        self.out += out
+        self.out += out == SHUT
+        if out == UNLESS_PROSE:
+            self.doubtful.append(self.around)
+            self.around = len(self.doubtful) - 1
         self.articles += article
         self.links += tag == "a"
         self.heading = self.heading or tag in HEADING
@@ -173,7 +197,9 @@ class Reader:
 
     def pop_to(self, at: int) -> None:
         for tag, out, article in self.stack[at:]:
-            self.out -= out
+            self.out -= out == SHUT
+            if out == UNLESS_PROSE:
+                self.around = self.doubtful[self.around]
             self.articles -= article
             self.links -= tag == "a"
         del self.stack[at:]
@@ -238,8 +264,10 @@ def within_article(block: Block) -> str:
 def second_pass(blocks: list[Block]) -> None:
     """Undecided blocks inherit from the nearest decided ones; between a good and a bad one, only nearly good ones are good."""
     if not any(b.label in (GOOD, BAD) for b in blocks):
+        sentences = all(b.label == BRIEF for b in blocks) and any(b.text.endswith(SENTENCE_END) and not b.heading for b in blocks)
+        sentences = sentences and any(b.heading for b in blocks)
         for b in blocks:
-            b.label = GOOD if b.label == NEAR or b.inside else BAD
+            b.label = GOOD if b.label == NEAR or b.inside or sentences else BAD
         return
     decided = [b.label if b.label in (GOOD, BAD) else None for b in blocks]
     before, last = [], None
@@ -266,11 +294,53 @@ def prose_size(blocks: list[Block]) -> int:
     return sum(len(b.text) for b in blocks if b.label in (GOOD, NEAR))
 
 
+def known_language(blocks: list[Block]) -> bool:
+    """Whether long blocks have some of the known stop words."""
+    words = [w.lower() for b in blocks if len(b.text) >= SHORT for w in WORD.findall(b.text)]
+    return sum(w in STOP_WORDS for w in words) >= len(words) * STOP_NONE
+
+
+def by_length(block: Block) -> str:
+    """The first pass without stop words."""
+    if block.linked > len(block.text) * LINKS or len(block.text) < SHORT:
+        return block.label
+    return GOOD if len(block.text) > LONG else NEAR
+
+
+def not_shut(blocks: list[Block], doubtful: list[int]) -> list[Block]:
+    """The blocks but for those in doubtful elements that do not hold the page's prose."""
+    if not doubtful:
+        return blocks
+    held = [[0, 0] for _ in doubtful]  # prose, and text of articles that is not links
+    whole, free = [0, 0], 0
+    for b in blocks:
+        prose = prose_size([b])
+        running = len(b.text) if b.inside and b.linked <= len(b.text) * ARTICLE_LINKS else 0
+        free += (prose or running) * (b.around < 0)
+        for n in (whole, held[b.around]) if b.around >= 0 else (whole,):
+            n[0] += prose or running
+            n[1] += running
+    for i in range(len(doubtful) - 1, -1, -1):
+        if doubtful[i] >= 0:
+            held[doubtful[i]][0] += held[i][0]
+            held[doubtful[i]][1] += held[i][1]
+    out: list[bool] = []
+    for parent, (prose, running) in zip(doubtful, held):
+        most = 2 * prose > whole[0] and prose > 2 * free and running == whole[1]
+        out.append(parent >= 0 and out[parent] or not most)
+    return [b for b in blocks if b.around < 0 or not out[b.around]]
+
+
 def main_text(page: str | None) -> str:
-    blocks = Reader().read(page or "")
-    inner, outer = [b for b in blocks if b.inside], [b for b in blocks if not b.inside]
+    reader = Reader()
+    blocks = reader.read(page or "")
     for b in blocks:
         b.label = first_pass(b)
+    if not prose_size(blocks) and not known_language(blocks):
+        for b in blocks:
+            b.label = by_length(b)
+    blocks = not_shut(blocks, reader.doubtful)
+    inner, outer = [b for b in blocks if b.inside], [b for b in blocks if not b.inside]
     if inner and prose_size(inner) >= prose_size(outer):
         for b in inner:
             b.label = within_article(b)

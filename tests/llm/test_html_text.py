@@ -43,6 +43,40 @@ def test_short_blocks_inherit():
     assert main_text("<p>Only this.</p>") == "" and main_text("<article><p>Only this.</p></article>") == "Only this."
 
 
+TWO = f"<p>{LONG} {LONG}</p><p>Brief.</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    "start", ["<form id=aspnet>", "<fieldset>", '<div class="elementor-widget text">', '<div class="page-with-sidebar">', '<div class="layout-sidebar">',
+              '<div class="social-science">', '<section id="legal-analysis">', '<div class="entry-content related">', "<div class=widget><form>"]
+)
+def test_names_of_whole_pages(start):
+    """What is named as no part of an article, but holds the page's prose, is the layout; what it names inside stays out."""
+    want = [f"{LONG} {LONG}", "Brief.", LONG]
+    inner = f"<div class=sidebar><p>{LONG}</p></div><div class=comments><p>{LONG} {LONG} {LONG} {LONG} {LONG}</p></div>"
+    for page in (TWO, TWO + inner, f"<article>{TWO}</article>{inner}"):
+        assert main_text(f"<body><p>Site</p>{start}{page}</body>").split("\n")[-3:] == want
+    assert main_text(f"<article>{TWO}</article>{start}{TWO}{TWO}").split("\n") == want or "with-sidebar" in start  # beside an article
+    assert main_text(f"<body>{TWO}{start}{TWO}").split("\n") == want or "with-sidebar" in start  # beside as much of other prose
+
+
+def test_doubtful_elements_deep():
+    assert main_text("<form><div class=widget>" * 10_000 + TWO) == f"{LONG} {LONG}\nBrief.\n{LONG}"
+    page = "".join(f"<div class=widget><p>{LONG}</p>" for _ in range(3_000))
+    assert main_text(page).count(LONG) == 1500  # those inside the half that holds most: a bound on work, linear in the page
+
+
+def test_other_languages_and_brief_pages():
+    russian = "Вчера вечером жители города собрались на площади, чтобы отметить начало весны и послушать музыку. " * 3
+    links = "<p><a href=x>Some link of the list</a></p>"
+    assert main_text(f"{links}<div><h1>Весна</h1><p>{russian}</p><p>Коротко.</p><p>{russian}</p></div>{links}").split("\n") == [
+        "Весна", russian.strip(), "Коротко.", russian.strip()]
+    assert main_text(f"<div class=cookies>{LONG}</div><p>{russian}</p>") == russian.strip()
+    assert main_text("<h1>Closed</h1><p>The shop is closed today.</p>") == "Closed\nThe shop is closed today."
+    assert main_text(f"<div class=ad>{LONG}</div><article><p>Brief.</p></article>") == "Brief."
+    assert main_text("<h1>Closed</h1><p>Home</p>") == "" == main_text(f"<h1>Closed</h1><p>It is closed.</p>{links}")
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<script>", "<!--", "<p title='a>b", "&#0;&#x110000;&nbsp;", "<a></b></a></p></div>", "a < b", "<br><br>"])
 def test_broken_pages(page):
     assert isinstance(main_text(page), str)
