@@ -6,8 +6,10 @@ Every document is scanned whole, window by window of each occurring length; a ha
 the words themselves are compared before a hit counts. A document word inside any occurrence is hit.
 
 The benchmark is a stated set. Its size is measured first: it goes to the tasks in blocks of
-at most `block_bytes` of text, each scanned against all documents in turn in the same stage, so what
-is broadcast at a time has a fixed bound and nothing is dropped. A single item above the bound is a block by itself.
+about `block_bytes` of text, each scanned against all documents in turn. All blocks but the last are scanned in a
+job of their own, whose rows are written, and released before the next is gathered: what the driver and the tasks
+hold at a time has a fixed bound, and nothing is dropped. Items are dealt to blocks by text and id, so that
+many items of one text are parted too. A single item above the bound goes whole.
 
 Null and empty texts have no words and no hits; items without words are never found; equal items
 are named each by its own id, repeated ids once, a null id as "null".
@@ -20,10 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.llm.common import arrow_schema, text_slices, with_columns
+from folioseek.llm.common import Scratch, arrow_schema, text_slices, with_columns
 
 #: Bytes that part words, as spaces; A-Z as a-z; all others as they are.
 WORD_BYTES = bytes(
@@ -88,16 +91,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The items in blocks; each block is gathered and sent on its own."""
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[tuple[list[tuple[str, bytes | None]], bool]]:
+    """The items in blocks, each gathered when it is asked for, and whether it is the last."""
     rows = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("binary").alias("text")
-    )
+    ).distinct()
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, 2 * math.ceil(size / block_bytes) if size > block_bytes else 1)
     for block in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block) if n > 1 else rows
-        yield [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
+        part = rows.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == block) if n > 1 else rows
+        yield [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()], block == n - 1
 
 
 def scan_benchmark(
@@ -111,16 +114,21 @@ def scan_benchmark(
 ) -> DataFrame:
     """`docs` with n_words, hit_spans (merged, in words) and items (sorted as strings) appended."""
     out = docs.select(*(c for c in docs.columns if c not in FOUND)) if text not in FOUND else docs
-    for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
-        out = _scanned(out, block, text, n)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    for block, last in benchmark_blocks(benchmark, item, item_text, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = _scanned(out, sent, text, n)
+        if not last:
+            out = scratch.table(out, "scanned", lasting=True)
+            sent.destroy()
     return out
 
 
-def _scanned(docs: DataFrame, block: list[tuple[str, bytes | None]], text: str, n: int) -> DataFrame:
+def _scanned(docs: DataFrame, sent: Broadcast, text: str, n: int) -> DataFrame:
     before = set(FOUND) <= set(docs.columns)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in FOUND]
     ddl = ", ".join([*kept, *(f"{k} {v}" for k, v in FOUND.items())])
-    schema, sent = arrow_schema(ddl), docs.sparkSession.sparkContext.broadcast(block)
+    schema = arrow_schema(ddl)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(sent.value, n)

@@ -2,13 +2,13 @@
 
 Lines are normalised (A-Z as a-z, digits as 0, white space as one space, trimmed) and hashed to 64 bits. A line is
 counted once per distinct text of a host, so copies of one document do not make its lines frequent.
-A line is frequent where it stands in more than `max_docs` distinct texts of the host and in more than
-`max_share` of them. Frequent lines are removed; a document that keeps less than `min_left` of its
+A line is frequent where it stands in more than `max_docs` distinct texts of the host, however many the host
+has; `max_share` above 0 asks for that share of them too. Frequent lines are removed; a document that keeps less than `min_left` of its
 words is depleted and rejected. Documents that fail the base rules (too few words, too many words in
 repeated 8-word windows) are rejected before that, but still count.
 
 Words are runs without ASCII white space. Null and empty texts have no words and so fail the base rules. A null
-host is a host of its own. Rows are judged one by one, so repeated rows get equal verdicts; empty
+host is a host of its own. Very long texts are read whole, one at a time. Rows are judged one by one, so repeated rows get equal verdicts; empty
 tables give empty results.
 """
 from __future__ import annotations
@@ -126,7 +126,7 @@ def line_report(
     text: str = "text",
     host: str = "source",
     max_docs: int = 10,
-    max_share: float = 0.001,
+    max_share: float = 0.0,
     min_left: float = 0.5,
     min_words: int = 20,
     max_repeat_percent: int = 30,

@@ -7,8 +7,8 @@ arrays (feature, threshold, value; children of node i are 2i + 1 and 2i + 2), an
 trees together, one numpy step per level.
 
 Null and empty texts are rows of zeros and get a score like any other. Without labels of both classes, every score is the
-only class seen, or 0.5 without labels. Repeated keys in the labels count once (their greatest label); null labels
-are not used. Rows are independent; columns of the input other than the text are passed through, except that
+only class seen, or 0.5 without labels. Repeated keys in the labels count once (their greatest label), repeated keys in the documents once too
+(their least row of features); null labels are not used. Empty tables give empty results. Rows are independent; columns of the input other than the text are passed through, except that
 a column named as a feature or as the score is replaced.
 """
 from __future__ import annotations
@@ -165,8 +165,9 @@ def train(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     """The forest from `statistics` rows with labels; `labels` holds only rows that may be learnt from."""
     sample = sample_of_labels(labels, key, label, max_documents)
     known = statistics.select(F.col(key).alias("key"), *FEATURES).join(F.broadcast(sample), "key")
+    known = known.groupBy("key").agg(F.min(F.struct("label", *FEATURES)).alias("row")).select("key", "row.*")
     # at most max_documents rows of numbers, in an order that does not depend on tasks
-    rows = known.select("key", "label", *FEATURES).toPandas().sort_values(["key", *FEATURES])
+    rows = known.toPandas().sort_values(["key", *FEATURES])
     return boost(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float), **options)
 
 

@@ -23,10 +23,8 @@ twice AS (
     SELECT r, count(DISTINCT p) AS n FROM (
         SELECT r, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS times FROM windows) WHERE times > 1)
     GROUP BY r),
-sizes AS (SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source),
 frequent AS (
-    SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM lines GROUP BY source, line) l
-    JOIN sizes s ON s.source IS NOT DISTINCT FROM l.source WHERE l.n > 10 AND l.n > s.n * 0.001),
+    SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT text) > 10),
 gone AS (
     SELECT r, CAST(sum(l.n) AS BIGINT) AS n FROM lines l JOIN frequent f ON f.line = l.line AND f.source IS NOT DISTINCT FROM l.source GROUP BY r),
 repeated AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),

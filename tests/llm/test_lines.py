@@ -79,7 +79,7 @@ def test_lines_are_removed(spark):
     report = line_report(frame, max_docs=3)
     clean = remove_frequent_lines(frame, report)
     assert clean.columns == frame.columns
-    verdicts = {r[0]: r for r in brute(rows, 3, 0.001)}
+    verdicts = {r[0]: r for r in brute(rows, 3, 0.0)}
     after = {r["doc_id"]: len((r["text"] or "").split()) for r in clean.collect()}
     assert set(after) == {k for k, v in verdicts.items() if v[-1]}
     assert all(n == verdicts[k][1] - verdicts[k][7] for k, n in after.items())
@@ -88,5 +88,5 @@ def test_lines_are_removed(spark):
 def test_odd_rows_and_empty_table(spark):
     frame = odd_frame(spark)
     rows = [(r["doc_id"], r["text"], r["source"]) for r in frame.collect()]
-    assert found(line_report(frame)) == sorted(brute(rows, 10, 0.001), key=lambda r: tuple((x is not None, x or 0) for x in r))
+    assert found(line_report(frame)) == sorted(brute(rows, 10, 0.0), key=lambda r: tuple((x is not None, x or 0) for x in r))
     assert line_report(odd_frame(spark, [])).count() == 0
