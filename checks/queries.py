@@ -860,7 +860,7 @@ def _(spark, d):
         F.encode("text", "UTF-8").alias("content"),
         "lang",
     )
-    parts = (files.filter("lang = 'en'").drop("lang"), files.filter("lang <> 'en'").drop("lang"))
+    parts = (files.filter("lang = 'en'").drop("lang"), files.filter("not lang <=> 'en'").drop("lang"))
     rows = {}
     for run in ("first", "second"):
         for n, part in enumerate(parts):
