@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
 import struct
 import uuid
@@ -31,16 +32,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm.bpe import EARLY, byte_letters
-from folioseek.llm.common import Memo, Scratch, text_slices
+from folioseek.llm.bpe import byte_letters
+from folioseek.llm.common import Memo, Scratch
 
 MAGIC = b"MPHIDX1\n"
-#: The splitting pattern that PIECES states for plain runs.
+#: The splitting pattern that `piece_starts` states for plain texts, and its endings behind an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 KNOWN_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The key that stands for null; it is no document id.
 NULL_KEY = -(1 << 63)
@@ -150,18 +153,50 @@ def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return store, path.rstrip("/")
 
 
-#: Runs of these characters (ASCII and Latin letters that no normal form changes) can be cut here as the tokenizer cuts them.
-LATIN = "\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-PLAIN = re.compile(rf"[!-;=-~{LATIN}]+")  # no "<", which special tokens begin with
-ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-PIECES = re.compile(rf"{ENDINGS}|[a-z\u00aa\u00b5\u00ba\u00c0-\uffff]+|[0-9]|[^a-z0-9\u00aa\u00b5\u00ba\u00c0-\uffff]+")
+#: Texts of these characters (ASCII and Latin letters that no normal form changes) can be cut here as the tokenizer cuts them.
+LATIN = "\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = re.compile(rf"[\t-\r !-;=-~{LATIN}]*")  # no "<", which special tokens begin with
+#: What a byte of a plain text in small letters is: white space, part of a letter, a digit, anything else.
+BLANK, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[list(b"\t\n\v\f\r ")] = BLANK
+KIND[ord("a") : ord("z") + 1] = KIND[128:] = LETTER
+KIND[ord("0") : ord("9") + 1] = DIGIT
+#: Bytes of text whose distinct pieces are looked up together (a longer single text goes alone).
+SLICE_BYTES = 8 << 20
 
 
-class _LibraryRuns(Memo):
-    """run of text -> its ids as raw bytes, from the tokenizers library; runs have no ASCII white space.
+def piece_starts(low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which bytes of plain texts in small letters begin a piece; `starts` are the first bytes of the texts.
 
-    The pieces of a plain run go straight to the library's model; all other runs through its whole chain.
+    Pieces are runs of letters, single digits, runs of anything else but white space, and the ENDINGS behind an
+    apostrophe that begins such a run.
     """
+    kind = KIND[low]
+    begin = kind != BLANK
+    solid = begin.copy()
+    begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begin[starts] = solid[starts]
+    edge = np.zeros(len(low) + 3, bool)  # no ending goes on in the next text
+    edge[starts] = edge[len(low) :] = True
+    apostrophe = np.flatnonzero((low == ord("'")) & begin)
+    padded = np.append(low, np.zeros(3, np.uint8))
+    second, third = padded[apostrophe + 1], padded[apostrophe + 2]
+    size = np.zeros(len(apostrophe), np.int64)
+    for ending in ENDINGS:
+        same = (second == ord(ending[0])) & ~edge[apostrophe + 1]
+        if len(ending) == 2:
+            same &= (third == ord(ending[1])) & ~edge[apostrophe + 2]
+        size[same] = len(ending) + 1
+    apostrophe, size = apostrophe[size > 0], size[size > 0]
+    begin[apostrophe + 1] = False
+    after = (apostrophe + size)[apostrophe + size < len(low)]
+    begin[after] = solid[after]
+    return begin
+
+
+class _LibraryPieces(Memo):
+    """piece of text in UTF-8 -> its ids as raw bytes, from the tokenizers library's model."""
 
     def __init__(self, path: str, dtype: str, limit: int):
         super().__init__(limit)
@@ -172,35 +207,94 @@ class _LibraryRuns(Memo):
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
         self.dtype, self.code = dtype, "H" if dtype == "<u2" else "I"
-        self.pieces: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             cuts = json.load(f)["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex", "")
-        self.plain = cuts == KNOWN_CUTS  # another file's runs all go through the chain
+        self.known = cuts == KNOWN_CUTS  # another file's texts all go through the chain
         self.letters = byte_letters()
 
-    def learn(self, runs: list[bytes]) -> None:
-        self.room(min(len(runs), self.limit // 2))
-        rest = []
-        for run in set(runs):
-            if run in self:
-                continue
-            text = run.decode("utf-8", "replace")
-            if self.plain and PLAIN.fullmatch(text):
-                self[run] = b"".join(map(self.piece, PIECES.findall(text.lower())))
-            else:
-                rest.append((run, text))
-        found = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
-        self.update((run, array(self.code, e.ids).tobytes()) for (run, _), e in zip(rest, found))
-
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            self.pieces[piece] = ids = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
+    def __missing__(self, piece: bytes) -> bytes:
+        self.room(1)
+        mapped = piece.decode() if piece.isascii() else "".join([self.letters[b] for b in piece])
+        self[piece] = ids = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
         return ids
 
+    def is_plain(self, text: bytes) -> bool:
+        return self.known and PLAIN.fullmatch(text.decode("utf-8", "replace")) is not None
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts one after the other, and where each text's begin and end."""
+        data, offsets = _bytes_of(texts)
+        if self.is_plain(data.tobytes()):
+            return self._plain(data, offsets)
+        values = texts.to_pylist()
+        odd = {i for i, t in enumerate(values) if t and not self.is_plain(t)}
+        ids, bounds = self._plain(*_bytes_of(pa.array([b"" if i in odd else t for i, t in enumerate(values)], pa.binary())))
+        parts = [self._mixed(values[i]) if i in odd else part for i, part in enumerate(np.split(ids, bounds[1:-1]))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Plain texts: their distinct pieces are looked up once."""
+        low = np.frombuffer(data.tobytes().decode().lower().encode(), np.uint8)  # no letter of these changes its length
+        begin = piece_starts(low, offsets[:-1][offsets[:-1] < offsets[1:]])
+        solid = KIND[low] != BLANK
+        at = np.flatnonzero(begin)
+        place = np.cumsum(solid, dtype=np.int32)
+        bounds = np.append(place[at] - 1, place[-1:]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(low[solid])]).dictionary_encode()
+        found = list(map(self.__getitem__, words.dictionary.to_pylist()))
+        known = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        which = words.indices.to_numpy()
+        counts = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        first = (np.cumsum(sizes) - sizes)[which] - upto[:-1]
+        ids = known[np.repeat(first, counts) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(at, offsets)]
+
+    def _mixed(self, text: bytes) -> np.ndarray:
+        """One text by its runs between ASCII white space: plain runs as above, others through the library's whole chain."""
+        runs = text.split()
+        plain = [self.is_plain(run) for run in runs]
+        other = [run.decode("utf-8", "replace") for run, p in zip(runs, plain) if not p]
+        chain = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        ids, bounds = self._plain(*_bytes_of(pa.array([run if p else b"" for run, p in zip(runs, plain)], pa.binary())))
+        parts = np.split(ids, bounds[1:-1])
+        return np.concatenate([part if p else np.array(next(chain).ids, self.dtype) for part, p in zip(parts, plain)])
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array and its n + 1 offsets in them; nulls are empty."""
+    texts = texts.fill_null(b"").cast(pa.large_binary())
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(buffers[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_BYTES of `column`, or of one row."""
+    for batch in batches:
+        upto = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+_KEPT: dict[tuple, _LibraryPieces] = {}
+
+
+def kept_pieces(path: str, dtype: str, limit: int) -> _LibraryPieces:
+    """The memo of this Python worker: Spark hands workers on from task to task, and pieces learnt once stay known."""
+    file = os.stat(path)
+    key = (path, file.st_mtime_ns, file.st_size, dtype, limit)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = _LibraryPieces(path, dtype, limit)
+    return _KEPT[key]
+
 
 @dataclass
 class TokenStore:
@@ -230,13 +324,13 @@ def write_tokens(
     end_id: int = 1,
     shard_bytes: int = 32 << 20,
     bucket_keys: int = 200_000,
-    memo_runs: int = 400_000,
+    memo_pieces: int = 800_000,
 ) -> TokenStore:
     """Encode every whole text and write shards of about `shard_bytes` of text, then the index.
 
-    Texts are encoded run by run (runs between ASCII white space): the tokenizer's normaliser and
-    pattern never join characters over white space, so a text's ids are those of its runs in turn. The memo's bound
-    is of runs per task.
+    Texts are encoded piece by piece: the tokenizer's normaliser and pattern never join characters over white space,
+    so a text's ids are those of its pieces in turn. A task looks the distinct pieces of SLICE_BYTES of text up at
+    once; the memo's bound is of pieces per Python worker.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
@@ -244,44 +338,32 @@ def write_tokens(
     size = rows.agg(F.sum(F.length("text") + 16).alias("n")).first()["n"] or 0
     n_shards = max(1, math.ceil(size / shard_bytes))
     ordered = rows.repartitionByRange(n_shards, "key").sortWithinPartitions("key", "text")
-    vocabulary = _LibraryRuns(tokenizer_path, "<u4", 16).tokenizer.get_vocab_size()
+    vocabulary = _LibraryPieces(tokenizer_path, "<u4", 16).tokenizer.get_vocab_size()
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     dtype = f"<u{width}"
     store, base = opened(folder)
     store.create_dir(base, recursive=True)
 
     def shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _LibraryRuns(tokenizer_path, dtype, memo_runs)
+        pieces = kept_pieces(tokenizer_path, dtype, memo_pieces)
         shard, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"shard-{shard:07d}-{mark}.{x}" for x in ("ids", "off")]
         fs, path = opened(folder)
-        end, starts, at = np.array([end_id], dtype).tobytes(), [0], 0
+        starts, at = [0], 0
         keys, firsts, counts = [], [], []
         out = None
-        for batch, texts in text_slices(batches, "text"):
+        for batch in _slices(batches, 1):
             if out is None:
                 out = fs.open_output_stream(f"{path}/{names[0]}")
-            # A-Z in small letters at once, unless special tokens or combining marks may be there
-            split = [(t if any(x in t for x in EARLY) else t.lower()).split() if t else [] for t in texts]
-            flat = [r for s in split for r in s]
-            for i in range(0, len(flat), memo_runs // 4):
-                runs.learn(flat[i : i + memo_runs // 4])
-            for words, k in zip(split, batch.column(0).to_pylist()):
-                try:
-                    payload = b"".join(map(runs.__getitem__, words))
-                except KeyError:  # a word left the memo meanwhile
-                    payload = b""
-                    for i in range(0, len(words), memo_runs // 4):
-                        runs.learn(words[i : i + memo_runs // 4])
-                        payload += b"".join(map(runs.__getitem__, words[i : i + memo_runs // 4]))
-                out.write(payload)
-                out.write(end)
-                at += len(payload) // width + 1
+            ids, bounds = pieces.encode(batch.column(1))
+            out.write(np.insert(ids, bounds[1:], end_id).tobytes())
+            starts += (at + bounds[1:] + np.arange(1, len(bounds))).tolist()
+            at = starts[-1]
+            for n, k in enumerate(batch.column(0).to_pylist(), len(starts) - 1 - batch.num_rows):
                 if keys and keys[-1] == k:
                     counts[-1] += 1
                 else:
-                    keys.append(k), firsts.append(len(starts) - 1), counts.append(1)
-                starts.append(at)
+                    keys.append(k), firsts.append(n), counts.append(1)
         if out is None:
             return
         out.close()

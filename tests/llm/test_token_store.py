@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import odd_frame, odd_rows
 from tokenizers import Tokenizer
 
-from folioseek.llm.token_store import IndexFile, PerfectHash, find_keys, index_bytes, key_column, read_tokens, write_tokens
+from folioseek.llm.token_store import IndexFile, _LibraryPieces, PerfectHash, find_keys, index_bytes, key_column, read_tokens, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +33,18 @@ def test_index_file_knows_its_keys_and_no_others():
     assert IndexFile(index_bytes(*[np.zeros(0, np.int64)] * 4)).find(np.array([4]))["count"].tolist() == [0]
 
 
+def test_texts_of_a_slice_are_encoded_as_by_the_library():
+    letters = "abSTrevlLmd'' \t19.-<>éÀŸſß²汉İ\u0301\x85"
+    rnd = random.Random(5)
+    plain = ["".join(rnd.choices(letters[:20], k=rnd.randint(0, 12))) for _ in range(3000)]
+    odd = ["".join(rnd.choices(letters, k=rnd.randint(0, 12))) for _ in range(1000)]
+    library, pieces = Tokenizer.from_file(PATH), _LibraryPieces(PATH, "<u2", 50)
+    for texts in (plain, rnd.sample(plain + odd, 4000), [], [""]):
+        ids, bounds = pieces.encode(pa.array([None, *[t.encode() for t in texts]], pa.binary()).slice(1))
+        found = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def expected(rows):
     library, at, out = Tokenizer.from_file(PATH), 0, []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
@@ -41,7 +54,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 900, "bucket_keys": 3, "memo_runs": 16}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 900, "bucket_keys": 3, "memo_pieces": 16}])
 def test_round_trip_of_odd_rows(spark, tmp_path, options):
     docs = odd_frame(spark)
     store = write_tokens(docs, f"file://{tmp_path}", PATH, **options)
