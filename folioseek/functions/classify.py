@@ -36,6 +36,11 @@ def model_hits(text: Column, scan_chars: int | None = None) -> Column:
     return F.transform(wanted, lambda m: F.regexp_replace(m, rf"[-_{SPACE}]", ""))
 
 
+def most_frequent_first(ranked: Column, min_hits: int) -> Column:
+    """Of structs (n, earliness, model): the model with the most hits, the earliest one on a tie, null below `min_hits`."""
+    return F.when(ranked["n"] >= min_hits, ranked["model"])
+
+
 def pick_model(text: Column, min_hits: int = MODEL_MIN_HITS, scan_chars: int | None = None) -> Column:
     """Most frequent model number, the earliest one on a tie, null below `min_hits`."""
     hits = model_hits(text, scan_chars)
@@ -47,17 +52,65 @@ def pick_model(text: Column, min_hits: int = MODEL_MIN_HITS, scan_chars: int | N
             k.alias("model"),
         ),
     )
-    best = F.array_max(ranked)
-    return F.when(best["n"] >= min_hits, best["model"])
+    return most_frequent_first(F.array_max(ranked), min_hits)
+
+
+def _holds(text: Column, pattern: str) -> Column:
+    return text.rlike("(?i)" + pattern.replace("{s}", f"[{SPACE}]"))
 
 
 def _kind_in(text: Column) -> Column:
+    return first_kind([_holds(text, pattern) for _, pattern in KIND_RULES])
+
+
+def first_kind(found: list[Column]) -> Column:
+    """The first kind whose rule was `found`, rules in their order."""
     kind = F.lit(None).cast("string")
-    for name, pattern in reversed(KIND_RULES):
-        kind = F.when(text.rlike("(?i)" + pattern.replace("{s}", f"[{SPACE}]")), name).otherwise(kind)
+    for (name, _), hit in reversed(list(zip(KIND_RULES, found))):
+        kind = F.when(hit, name).otherwise(kind)
     return kind
 
 
+# ---- texts that come in parts, joined by one line break
+
+EDGE = 40  # characters of a part that a kind pattern can reach into, white space as one blank
+
+
+def part_kinds(text: Column) -> Column:
+    """Which kind rules one part holds by itself. No rule looks behind, and ahead a line break is like the end."""
+    return F.array(*[_holds(text, pattern) for _, pattern in KIND_RULES])
+
+
+def part_edges(text: Column) -> Column:
+    """What the neighbours of a part need of it, as a struct of bounded size.
+
+    `letters` at its end and `digits` at its start make a model number over the line break; `tail`, `head` and `whole`
+    (only where the part is short enough to lie inside a pattern) are for the kind rules, which take white space of any length.
+    """
+    blanks = F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.struct(
+        F.regexp_extract(text, r"(?<![A-Za-z0-9_])[A-Z]{2,4}\z", 0).alias("letters"),
+        F.regexp_extract(text, r"\A\d{3,5}[A-Z]?(?![A-Za-z0-9_])", 0).alias("digits"),
+        F.right(blanks, F.lit(EDGE)).alias("tail"),
+        F.left(blanks, F.lit(EDGE)).alias("head"),
+        (F.length(blanks) <= EDGE).alias("whole"),
+    )
+
+
+def seam_model(before: Column, after: Column) -> Column:
+    """The model number that two neighbours' edges make together, or null."""
+    model = F.concat(before["letters"], after["digits"])
+    return F.when((before["letters"] != "") & (after["digits"] != "") & ~model.rlike(_BLOCKED), model)
+
+
+def seam_kinds(before: Column, after: Column, later: Column) -> Column:
+    """Which kind rules hold over the edge of a part and the next one, or the next two: only alternatives with white space can."""
+    behind = F.when(after["whole"], F.coalesce(later["head"], F.lit(""))).otherwise("")
+    seam = F.concat_ws(" ", before["tail"], after["head"], behind)
+    spaced = ["|".join(x for x in pattern.split("|") if "{s}" in x) for _, pattern in KIND_RULES]
+    return F.array(*[_holds(seam, x) if x else F.lit(False) for x in spaced])
+
+
 def pick_kind(name: Column, text: Column, scan_chars: int | None = None) -> Column:
     return F.coalesce(_kind_in(name), _kind_in(_opening(text, scan_chars)))
 

@@ -9,10 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.classify import classify
+from ..functions.classify import (
+    KIND_RULES,
+    MODEL_MIN_HITS,
+    classify,
+    first_kind,
+    model_hits,
+    most_frequent_first,
+    part_edges,
+    part_kinds,
+    seam_kinds,
+    seam_model,
+)
 from ..functions.text import clean_tags, index_tokens, null_if_blank, query_tokens, rounded, size_text
 from .blocks import Scores, TermBlock, scored_in_tasks, sliced
-from .tables import row_top
+from .tables import row_top, written
 
 # --- fixed values ---
 FACETS = ("model", "kind", "category", "tag")
@@ -162,22 +173,79 @@ def valid_category(name: str | None, categories: list[str]) -> str | None:
     return name if name in categories else None
 
 
+def _opening(chunks: DataFrame, scan_chars: int) -> DataFrame:
+    """The chunks, cut to the first `scan_chars` characters of their document.
+
+    Chunks too far behind are left out before any shuffle: a chunk adds at least two characters to the text, and
+    positions have no gaps. So a document has at most scan_chars / 2 rows in the window.
+    """
+    near = chunks.filter(F.col("seq") <= scan_chars // 2).withColumn("content", F.left("content", F.lit(scan_chars)))
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(scan_chars) - F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
+    return (
+        near.withColumn("room", room.cast("int"))
+        .filter("room > 0")
+        .select("doc_id", "seq", F.expr("left(content, room)").alias("content"))
+    )
+
+
+def chunk_labels(chunks: DataFrame, scan_chars: int | None = None) -> DataFrame:
+    """(doc_id, model, kind) as `classify` finds them in the chunks of a document joined by line breaks.
+
+    No row holds a document, and texts are not shuffled. Each chunk gives its model numbers, the kind rules it holds and its edges;
+    edges meet by (doc_id, seq), hits are counted by (doc_id, model) with map-side sums, so a document of any length is
+    spread over tasks. Positions have no gaps and chunks are not blank, as `chunk_documents` writes them.
+    """
+    read = chunks.select("doc_id", "seq", "content")
+    if scan_chars is not None:
+        read = _opening(read, scan_chars)
+    content = F.col("content")
+    parts = written(
+        read.select("doc_id", "seq", model_hits(content).alias("models"), part_kinds(content).alias("kinds"), part_edges(content).alias("edge")),
+        "parts",
+    )
+    # a part is first, second and third at the seams behind itself, the part before and the one before that
+    places = F.explode(F.array(*[F.struct((F.col("seq") - i).alias("at"), F.lit(i).alias("place")) for i in range(3)])).alias("p")
+    at = [F.max(F.when(F.col("p.place") == i, F.col("edge"))).alias(f"e{i}") for i in range(3)]
+    seams = (
+        parts.select("doc_id", "edge", places)
+        .groupBy("doc_id", F.col("p.at").alias("seq"))
+        .agg(*at)
+        .filter("e0 is not null and e1 is not null")
+        .select(
+            "doc_id",
+            "seq",
+            seam_model(F.col("e0"), F.col("e1")).alias("model"),
+            seam_kinds(F.col("e0"), F.col("e1"), F.col("e2")).alias("kinds"),
+        )
+    )
+    inside = parts.select("doc_id", "seq", F.posexplode("models").alias("place", "model"))
+    across = seams.filter("model is not null").select("doc_id", "seq", F.lit(2**31 - 1).alias("place"), "model")
+    counted = inside.unionByName(across).groupBy("doc_id", "model").agg(
+        F.count("*").alias("n"), F.min(F.struct("seq", "place")).alias("first")
+    )
+    early = F.struct((-F.col("first.seq")).alias("seq"), (-F.col("first.place")).alias("place")).alias("early")
+    ranked = counted.groupBy("doc_id").agg(F.max(F.struct("n", early, "model")).alias("best"))
+    rules = range(len(KIND_RULES))
+    kinds = parts.select("doc_id", "kinds").unionByName(seams.select("doc_id", "kinds"))
+    kinds = kinds.groupBy("doc_id").agg(*[F.bool_or(F.get("kinds", F.lit(i))).alias(f"k{i}") for i in rules])
+    return kinds.join(ranked, "doc_id", "left").select(
+        "doc_id",
+        most_frequent_first(F.col("best"), MODEL_MIN_HITS).alias("model"),
+        first_kind([F.col(f"k{i}") for i in rules]).alias("kind"),
+    )
+
+
 def reclassified(docs: DataFrame, chunks: DataFrame, fill_only: bool = False, scan_chars: int | None = None) -> DataFrame:
     """Model and kind again from the stored chunks: their whole text, or its first `scan_chars` characters.
 
     `fill_only` keeps labels that are set; otherwise a new label wins and an old one stays where nothing was found.
-    With `scan_chars`, chunks too far behind to be part of the opening are left out before any shuffle: a chunk adds
-    at least two characters to the text, and positions have no gaps.
     """
-    read = chunks.select("doc_id", "seq", "content")
-    if scan_chars is not None:
-        read = read.filter(F.col("seq") <= scan_chars // 2)
-    parts = F.array_sort(F.collect_list(F.struct("seq", "content")))
-    opening = read.groupBy("doc_id").agg(parts.alias("parts")).select(
-        "doc_id", F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("_text")
+    by_text = chunk_labels(chunks, scan_chars).select("doc_id", F.col("model").alias("_text_model"), F.col("kind").alias("_text_kind"))
+    name_model, name_kind = classify(F.col("name"), F.lit(""), scan_chars)
+    found = docs.join(by_text, "doc_id", "left").withColumns(
+        {"_model": F.coalesce(name_model, "_text_model"), "_kind": F.coalesce(name_kind, "_text_kind")}
     )
-    model, kind = classify(F.col("name"), F.coalesce("_text", F.lit("")), scan_chars)
-    found = docs.join(opening, "doc_id", "left").withColumns({"_model": model, "_kind": kind})
     first, second = ("", "_") if fill_only else ("_", "")
     return found.withColumns(
         {c: F.coalesce(f"{first}{c}", f"{second}{c}") for c in ("model", "kind")}

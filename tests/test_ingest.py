@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
+from folioseek.functions.classify import classify
 from folioseek.functions.text import fingerprint
-from folioseek.operators.library import reclassified, stale_categories
+from folioseek.operators.library import chunk_labels, reclassified, stale_categories
 from folioseek.plans.ingest import first_copies, import_files, sync_files
 from folioseek.sources.files import MAX_BYTES, file_type, read_files, routed
 from folioseek.streaming.sync import add_batch, finished, sync_folder, synced
@@ -93,6 +96,36 @@ def test_reclassify_modes(spark):
     assert [r.doc_id for r in stale_categories(stale, listed).collect()] == ["a"]
 
 
+def test_labels_of_chunks_are_those_of_the_joined_text(spark):
+    rnd = random.Random(11)
+    words = "AB CDE AB123 CDE1234 123 1234 123F 12345 ISO X x Technical Data Sheet Product Safety Certificate of Analysis Spec TDS".split()
+    gaps = ["", "", " ", "-", "  ", "\n", "\u3000", " " * 60]
+
+    def part(some):
+        text = "".join(rnd.choice(some) + rnd.choice(gaps) for _ in range(rnd.randint(1, 4)))
+        return rnd.choice(["", "", " "]) + text + rnd.choice(["", "", "y" * 50])
+
+    picked = [rnd.sample(words, 4) for _ in range(1500)]  # few words a document, so that hits repeat
+    texts = {f"d{i}": [part(some) for _ in range(rnd.randint(1, 7))] for i, some in enumerate(picked)}
+    rows = [(d, seq, text) for d, parts in texts.items() for seq, text in enumerate(parts)]
+    chunks = spark.createDataFrame(rows, "doc_id string, seq int, content string").repartition(5)
+    whole = spark.createDataFrame([(d, "\n".join(parts)) for d, parts in texts.items()], "doc_id string, text string")
+    for scan in (None, 25):
+        model, kind = classify(F.lit(""), F.col("text"), scan)
+        expected = {tuple(r) for r in whole.select("doc_id", model, kind).collect()}
+        assert {tuple(r) for r in chunk_labels(chunks, scan).collect()} == expected
+        model, kind = classify(F.lit(""), F.regexp_replace("text", "\n", "|"), scan)
+        assert {tuple(r) for r in whole.select("doc_id", model, kind).collect()} != expected  # line breaks decide some
+    assert chunk_labels(chunks.limit(0)).count() == 0
+
+
+def test_labels_do_not_gather_the_texts_of_a_document(spark, tmp_path):
+    path = f"{tmp_path}/chunks"
+    spark.createDataFrame([("a", 0, "AB 123")], "doc_id string, seq int, content string").write.parquet(path)
+    plan = chunk_labels(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "content" not in plan
+
+
 def test_texts_that_differ_in_the_middle_are_different(spark):
     side = "x" * 60_000
     rows = [(name, side + middle * 20_000 + side, at) for name, middle, at in (("a", "m", 1), ("b", "n", 2), ("c", "m", 3))]
