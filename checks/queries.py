@@ -29,10 +29,11 @@ from folioseek.operators.fuse import (
     ranked_lists,
 )
 from folioseek.operators.index import corpus_fingerprint, idf, occurrences
+from folioseek.operators.keyed import create_table, delete_from_table, read_table, upsert_table
 from folioseek.operators.keyword import keyword_search, query_terms
 from folioseek.operators.scope import Scope, resolve_scope, scoped_counts, signatures
 from folioseek.operators.semantic import cosine, embed_corpus, embedding_coverage, embedding_stats, semantic_search, vector_rows
-from folioseek.operators.tables import delete_cascade, first_seen, scratch_dir, upsert, with_name, written
+from folioseek.operators.tables import delete_cascade, first_seen, scratch_dir, scratch_path, upsert, with_name, written
 from folioseek.plans.ingest import first_copies, import_files, sync_files
 from folioseek.plans.retrieve import hybrid_retrieve
 from folioseek.session import ensure_scratch
@@ -127,6 +128,26 @@ def _(spark, d):
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+@query("S6_merge_on_disk")
+def _(spark, d):
+    """The upsert as a new version of a table in buckets."""
+    path = scratch_path(spark, "keyed")
+    base = t.light_documents(spark, d).select("doc_id", "name", "category")
+    edits = t.cases(spark, d).select(F.col("case_id").alias("doc_id"), F.col("outcome").alias("name"), F.col("environment").alias("category"))
+    create_table(base, path, ["doc_id"], 16)
+    upsert_table(path, edits, ["doc_id"])
+    return read_table(spark, path)
+
+
+@query("S7_delete_on_disk")
+def _(spark, d):
+    """Pinned documents leave a table of chunks dealt by document."""
+    path = scratch_path(spark, "keyed")
+    create_table(t.chunks(spark, d).select("doc_id", "seq", "content"), path, ["doc_id"], 16)
+    delete_from_table(path, t.light_documents(spark, d).filter("pinned").select("doc_id"), "doc_id")
+    return read_table(spark, path).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+
+
 @query("S8_compliance_csv")
 def _(spark, d):
     return cp.compliance_export(cp.parse_replies(t.replies(spark, d)), "csv")

@@ -253,6 +253,8 @@ SQL: dict[str, str] = {
     "S6_upsert": """SELECT r.doc_id, coalesce(c.outcome, r.name) AS name, CASE WHEN c.case_id IS NULL THEN r.category ELSE c.environment END AS category FROM raw r LEFT JOIN cases c ON c.case_id = r.doc_id""",
     "S7_delete_document": """SELECT 'documents' AS part, count(*) AS n FROM raw WHERE NOT pinned UNION ALL SELECT 'chunks', count(*) FROM chunks JOIN raw USING (doc_id) WHERE NOT pinned
         UNION ALL SELECT 'vectors', count(*) FROM vecs LEFT JOIN raw USING (doc_id) WHERE NOT coalesce(pinned, false)""",
+    "S6_merge_on_disk": """SELECT r.doc_id, coalesce(c.outcome, r.name) AS name, CASE WHEN c.case_id IS NULL THEN r.category ELSE c.environment END AS category FROM raw r LEFT JOIN cases c ON c.case_id = r.doc_id""",
+    "S7_delete_on_disk": """SELECT doc_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM chunks JOIN raw USING (doc_id) WHERE NOT pinned GROUP BY doc_id""",
     "S8_compliance_csv": f"""SELECT reply_id, '{P.CSV_HEAD}' || chr(10) || string_agg('"' || item || '","' || required || '","' || actual || '","' || {case_map('verdict', L.VERDICT_LABEL, "''")} || '","' || source || '"', chr(10) ORDER BY n)
         || chr(10) || chr(10) || '结论,"see ""' || any_value(about) || '""' || '",模型,"' || any_value(model) || '"' AS text, 'csv' AS ext FROM items GROUP BY reply_id""",
     "S9_compliance_markdown": f"""SELECT reply_id, '{P.MARKDOWN_HEAD}' || chr(10) || string_agg('| ' || replace(item, '|', '\\|') || ' | ' || required || ' | ' || actual || ' | ' || {case_map('verdict', L.VERDICT_LABEL, "''")} || ' | ' || source || ' |', chr(10) ORDER BY n)

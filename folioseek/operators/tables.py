@@ -1,6 +1,7 @@
 """Keyed tables: upsert, cascading delete, first-seen dedupe, and scratch tables."""
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -8,7 +9,15 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SCOPES: list[list[str]] = []
+
+class _Scopes(threading.local):
+    """The open scratch scopes of a thread: streams and writers of other threads have their own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -22,8 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder for one scratch table, deleted with the innermost `scratch` scope."""
     path = f"{scratch_dir(spark)}/folioseek/{label}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     return path
 
 
@@ -31,11 +40,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Scratch tables written inside are deleted at the end: what reads them has to be stored or gathered inside."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    _SCOPES.open.append(paths)
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES.open.remove(paths)
         jvm = spark.sparkContext._jvm
         for path in paths:
             folder = jvm.org.apache.hadoop.fs.Path(path)
