@@ -872,7 +872,8 @@ def _(spark, d):
     """English and other documents as two streams of files into one table, each with a checkpoint, then both again with new ones."""
     table = f"{scratch_dir(spark)}/folioseek/synced-{uuid.uuid4().hex}"
     schema = t.given(spark, d, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # A pattern, as a stream takes a plain path for a folder: the table may be one file or a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/documents.parque[t]")
     name = F.concat(F.lit("/"), "source", F.lit("-"), F.col("doc_id"), F.lit(".txt"))
     files = stream.select(
         name.alias("path"),
