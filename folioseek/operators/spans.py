@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, trimmed
+from .tables import written
 
 # --- fixed values ---
 ROW_REACH = 0.6  # x font size: how far a span's middle may lie from its row's first span
@@ -13,22 +14,25 @@ DEFAULT_SIZE = 10.0
 # --- end of fixed values ---
 
 PAGE = ["doc_id", "page"]
+LEVEL = [*PAGE, "y0", "y1", "size"]  # what decides how far a span reaches: spans of one line share it
 STRIP = 6.0  # height of a strip of a page, in mean font sizes of the page
 CELLS = 4096  # cells that are put in order together
+SLAB = 256.0  # height of the part of a page whose spans are dealt together, in font sizes rounded up to a power of 2
 
 
-def _reaches(spans: DataFrame) -> DataFrame:
-    """Spans with `first` and `last`: the cells of the page from their middle to as far down as their row may go.
+def _reaches(levels: DataFrame) -> DataFrame:
+    """Levels (with the number `n` of their spans) and `first` and `last`: the cells of the page from their middle to as far down as their row may go.
 
     A row goes from its first span as far as its largest font reaches, and a span can only share a row with spans
-    near it. So each span counts, with its size and height, for the strips around it, and reaches as far as the most
+    near it. So each level counts, with its size and height, for the strips around it, and reaches as far as the most
     that counts for its own strip; a heading widens the reach of its neighbours and of nothing else. Spans
     whose reaches do not meet are in different rows, and in the same order by top edge as by middle.
     """
     half = F.col("mid") - F.col("y0")
     far = F.greatest(F.col("size") * ROW_REACH, half, F.lit(0.0))
-    unit = spans.groupBy(*PAGE).agg(F.greatest(F.avg("size"), F.lit(1e-6)).alias("unit"))
-    placed = spans.join(unit, PAGE).withColumn("far", far)
+    mean = F.sum(F.col("size") * F.col("n")) / F.sum("n")
+    unit = levels.groupBy(*PAGE).agg(F.greatest(mean, F.lit(1e-6)).alias("unit"))
+    placed = levels.join(unit, PAGE).withColumn("far", far)
     strip = lambda y: F.floor(y / (F.col("unit") * STRIP))
     around = F.sequence(strip(F.col("mid") - F.col("far") * 2), strip(F.col("mid") + F.col("far") * 2))
     counted = placed.select(*PAGE, F.explode(around).alias("strip"), "far").groupBy(*PAGE, "strip").agg(F.max("far").alias("reach"))
@@ -40,14 +44,22 @@ def _reaches(spans: DataFrame) -> DataFrame:
     )
 
 
+def _slab() -> Column:
+    """The part of the page that a span is dealt to; from the span alone, so that it needs no join."""
+    scale = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("size", F.lit(1e-6)))))
+    return F.floor(F.col("mid") / (scale * SLAB))
+
+
 def _bands(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, band, members): spans of different bands can never share a row.
+    """(doc_id, page, y0, y1, size, slab, band, alone), one row per level: spans of different bands can never share a row.
 
     Reaches that touch form a band, whole in reading order. Only the distinct reaches are put in order, in ranges of
-    cells with what the ranges above carry into them, so that no page is ordered by one task.
+    cells with what the ranges above carry into them, so that no page is ordered by one task. A band is `alone` where
+    one slab holds it whole.
     """
     keys = [*PAGE, "first", "last"]
-    on_grid = _reaches(spans)
+    levels = spans.groupBy(*LEVEL).agg(F.count("*").alias("n")).withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
+    on_grid = written(_reaches(levels).select(*LEVEL, "mid", "first", "last"), "levels")
     distinct = on_grid.select(*keys).distinct().withColumn("range", F.floor(F.col("first") / CELLS))
     ends = distinct.groupBy(*PAGE, "range").agg(F.max("last").alias("end"))
     ranges_above = Window.partitionBy(*PAGE).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,9 +72,29 @@ def _bands(spans: DataFrame) -> DataFrame:
     begun = marked.groupBy(*PAGE, "range").agg(F.sum("gap").alias("gaps"))
     begun = begun.select(*PAGE, "range", F.coalesce(F.sum("gaps").over(ranges_above), F.lit(0)).alias("before"))
     bands = local.join(begun, [*PAGE, "range"]).select(*keys, (F.col("before") + F.col("here")).alias("band"))
+    placed = on_grid.withColumn("slab", _slab()).join(bands, keys)
+    held = placed.groupBy(*PAGE, "band").agg((F.min("slab") == F.max("slab")).alias("alone"))
+    return placed.join(held, [*PAGE, "band"]).select(*LEVEL, "slab", "band", "alone")
+
+
+def _members(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, band, members): the spans of each band in reading order.
+
+    Spans cross the network once, dealt by slab together with the bands of their levels; what lies in a slab is put together there.
+    Only spans of a band that lies in several slabs meet in another shuffle, by band.
+    """
+    bands = written(_bands(spans), "bands")
+    # What a line has in common stands together, which packs better.
+    dealt = spans.select(*LEVEL, _slab().alias("slab"), "x0", "x1", "text").unionByName(bands, allowMissingColumns=True)
+    dealt = dealt.select(*LEVEL, "slab", "band", "alone", "x0", "x1", "text").repartition(*PAGE, "slab").withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
+    level_first = Window.partitionBy(*PAGE, "slab", "y0", "y1", "size").orderBy(F.col("band").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumns({c: F.first(c).over(level_first) for c in ("band", "alone")}).filter("text is not null and band is not null")
     member = F.struct("y0", "x0", "mid", "size", "x1", "y1", "text")
-    together = on_grid.groupBy(*keys).agg(F.collect_list(member).alias("members")).join(bands, keys)
-    return together.groupBy(*PAGE, "band").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
+    gathered = F.array_sort(F.collect_list(member)).alias("members")
+    whole = found.filter("alone").groupBy(*PAGE, "slab", "band").agg(gathered).drop("slab")
+    if bands.filter("not alone").isEmpty():
+        return whole
+    return whole.unionByName(found.filter("not alone").groupBy(*PAGE, "band").agg(gathered))
 
 
 def _row_starts(members: Column) -> Column:
@@ -95,7 +127,7 @@ def _banded_rows(spans: DataFrame) -> DataFrame:
     """(doc_id, page, band, row, members): the non-blank spans row by row."""
     size = F.coalesce("size", F.lit(DEFAULT_SIZE))
     solid = spans.filter(~blank(F.col("text"))).withColumns({"size": size, "mid": (F.col("y0") + F.col("y1")) / 2})
-    begun = _bands(solid).withColumn("starts", _row_starts(F.col("members")))
+    begun = _members(solid).withColumn("starts", _row_starts(F.col("members")))
     end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("members") + 1)
     rows = F.transform("starts", lambda s, i: F.slice("members", s, end(i) - s))
     return begun.select(*PAGE, "band", F.posexplode(rows).alias("at", "members")).select(
