@@ -1,19 +1,25 @@
 """Keyword index as ordinary tables, built once and queried many times.
 
 corpus     chunk_no, block, at, doc_id, seq, page_no, content, tokens, dl   one row per chunk or case, in the order of equal scores
-postings   part, term, block, at, tf, dl, most                             one row per term and block of BLOCK chunks
+postings   part, term, block, at, tf, dl, most                             one row per term and block of BLOCK chunks (two where a task's end cut the block)
 terms      term, df                                                        vocabulary, sorted by term
-size       n, avgdl, parts                                                 three numbers about the whole corpus
+size       n, avgdl, tokens, parts                                         numbers about the whole corpus
 
 Postings lie in folders by hash of the term (`part`) and in the order of terms, so a search reads the folders of its
-terms only, and in them the row groups that can hold a term. A term that most chunks have is cut by block over many files. A row
+terms only, and in them the row groups that can hold a term. A folder has slices by hash of the block, so a term that most chunks have
+is in many files and no task writes more than a bounded number of tokens. A row
 has all that a score needs: places in the block, counts, lengths, and `most`, the largest BM25 factor in it. Documents come before
 cases and then by id and position, so `chunk_no` alone decides between equal scores.
 """
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,10 @@ B = 0.75  # length normalisation
 BLOCK = 256  # chunks whose places are counted together; a power of 2
 PART_TOKENS = 20_000_000  # of the corpus per folder of postings, between the two bounds
 LEAST_PARTS, MOST_PARTS = 8, 4096
+SLICE_TOKENS = 2_500_000  # of the corpus per file of postings
+FIRST_CASE = 1 << 52  # cases are numbered from here, after all documents
 CORPUS = "chunk_no bigint, block bigint, at int, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
+COUNTED = "block bigint, term string, at array<int>, uses array<bigint>"  # on the way: length and count of a use in one number
 POSTINGS = "term string, block bigint, at array<int>, tf array<int>, dl array<int>, most double, part int"
 TERMS = "term string, df bigint"
 
@@ -63,38 +72,39 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     rows = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), "page_no", "content")
     if not unique_keys:
         rows = first_seen(rows, ["doc_id", "seq"], [F.col("content")])
-    order = [is_case(F.col("doc_id")), F.col("doc_id"), F.col("seq")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    body = F.coalesce("content", F.lit(""))
-    corpus = rows.select(F.monotonically_increasing_id().alias("chunk_no"), "*", index_tokens(body).alias("tokens"))
-    corpus = corpus.withColumns(
-        {
-            "dl": F.greatest(F.size("tokens"), F.lit(1)),
-            "block": F.floor(F.col("chunk_no") / BLOCK),
-            "at": (F.col("chunk_no") % BLOCK).cast("int"),
-        }
-    )
-    names = [c.split()[0] for c in CORPUS.split(", ")]
-    corpus.select(*names).write.mode("overwrite").parquet(f"{path}/corpus")
+    body, order = F.coalesce("content", F.lit("")), [F.col("doc_id"), F.col("seq")]
+    # Cases are whole texts, far longer than chunks: both are cut into ranges of their own, so that no range holds most of the bytes.
+    for first, kind in ((0, ~is_case(F.col("doc_id"))), (FIRST_CASE, is_case(F.col("doc_id")))):
+        ranges = rows.filter(kind).repartitionByRange(*order).sortWithinPartitions(*order)
+        corpus = ranges.select((F.monotonically_increasing_id() + first).alias("chunk_no"), "*", index_tokens(body).alias("tokens"))
+        corpus = corpus.withColumns(
+            {
+                "dl": F.greatest(F.size("tokens"), F.lit(1)),
+                "block": F.floor(F.col("chunk_no") / BLOCK),
+                "at": (F.col("chunk_no") % BLOCK).cast("int"),
+            }
+        )
+        names = [c.split()[0] for c in CORPUS.split(", ")]
+        corpus.select(*names).write.mode("append" if first else "overwrite").option("compression", "zstd").parquet(f"{path}/corpus")
     corpus = spark.read.schema(CORPUS).parquet(f"{path}/corpus")
 
-    parts = F.ceil(F.coalesce(F.sum("dl"), F.lit(0)) / PART_TOKENS)
-    parts = F.least(F.greatest(parts, F.lit(LEAST_PARTS)), F.lit(MOST_PARTS)).cast("int")
-    corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), parts.alias("parts")).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/size")
+    tokens = F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
+    parts = F.least(F.greatest(F.ceil(F.col("tokens") / PART_TOKENS), F.lit(LEAST_PARTS)), F.lit(MOST_PARTS)).cast("int")
+    totals = corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), tokens)
+    totals.withColumn("parts", parts).write.mode("overwrite").parquet(f"{path}/size")
     size = spark.read.parquet(f"{path}/size").first()
 
-    # Two shuffles: of tokens by block, in whose partitions all counting is done, and of the counted rows by term.
-    spread = corpus.repartition("block").select("block", "at", "dl", F.explode("tokens").alias("term"))
-    counted = spread.groupBy("block", "term", "at", "dl").agg(F.count("*").cast("int").alias("tf"))
-    lists = counted.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("at", "tf", "dl"))).alias("uses"))
-    column = lambda c: F.transform("uses", lambda u: u[c])
-    most = F.array_max(F.transform("uses", lambda u: term_part(u["tf"], u["dl"], size["avgdl"])))
-    rows = lists.select("term", "block", *(column(c).alias(c) for c in ("at", "tf", "dl")), most.alias("most"))
-    by = ["part", "term", "block"]
-    rows = rows.withColumn("part", part_of(F.col("term"), size["parts"])).repartitionByRange(size["parts"], *by).sortWithinPartitions(*by)
-    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    # The corpus lies in the order of its numbers, so the task that reads it counts each block alone, and the one shuffle is
+    # that of counted rows. Each folder is cut into slices that hold blocks by hash: a frequent term is in all of them.
+    n = size["parts"]
+    slices = max(1, math.ceil(size["tokens"] / n / SLICE_TOKENS), math.ceil(spark.sparkContext.defaultParallelism / n))
+    counted, part = corpus.select("block", "at", "dl", "tokens").mapInArrow(_counted(), COUNTED), part_of(F.col("term"), n)
+    place = part * slices + F.pmod(F.xxhash64("block"), F.lit(slices))
+    rows = counted.repartitionById(n * slices, place.cast("int")).withColumn("part", part).sortWithinPartitions("part", "term", "block")
+    tf, dl = (lambda u: u.bitwiseAND(0xFFFFFFFF).cast("int")), (lambda u: F.shiftright(u, 32).cast("int"))
+    most = F.array_max(F.transform("uses", lambda u: term_part(tf(u), dl(u), size["avgdl"])))
+    lists = [F.transform("uses", unpacked).alias(name) for name, unpacked in (("tf", tf), ("dl", dl))]
+    rows.select("term", "block", "at", *lists, most.alias("most"), "part").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/postings")
     postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     (
         postings.groupBy("term")
@@ -106,6 +116,40 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     return open_index(spark, path)
 
 
+def _counted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the corpus in its order -> one row per term and block; two where the end of a task cuts a block."""
+
+    def count(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, at, dl = (rows[c].to_numpy() for c in ("block", "at", "dl"))
+        lists = rows["tokens"].combine_chunks()
+        words = pc.list_flatten(lists).dictionary_encode()
+        if not len(words):
+            return
+        use, tf = np.unique(np.asarray(words.indices).astype("int64") * len(block) + np.asarray(pc.list_parent_indices(lists)), return_counts=True)
+        word, row = np.divmod(use, len(block))
+        where = block[row]
+        start = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (where[1:] != where[:-1]))))
+        ends = pa.array(np.append(start, len(use)).astype("int32"))
+        uses = pa.ListArray.from_arrays(ends, pa.array(dl[row].astype("int64") << 32 | tf))
+        places = pa.ListArray.from_arrays(ends, pa.array(at[row].astype("int32")))
+        found = pa.table({"block": where[start], "term": words.dictionary.take(pa.array(word[start])), "at": places, "uses": uses})
+        yield from found.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            block = rows["block"].to_numpy()
+            last = len(block) - int(np.argmax(block[::-1] != block[-1])) if len(block) and (block != block[-1]).any() else 0
+            yield from count(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield from count(held)
+
+    return run
+
+
 def part_of(term: Column, parts: int) -> Column:
     """The folder of a term's postings."""
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
