@@ -195,9 +195,9 @@ def _(spark, d):
 @query("F4_reclassify")
 def _(spark, d):
     stored = t.raw_documents(spark, d).select("doc_id", "name", F.col("category").alias("model"), F.when(F.col("pinned"), "other").alias("kind"))
-    chunks = written(t.chunks(spark, d), "chunks")
-    again = library.reclassified(stored, chunks)
-    filled = library.reclassified(stored, chunks, fill_only=True)
+    labels = written(library.chunk_labels(t.chunks(spark, d)), "labels")
+    again = library.reclassified(stored, None, labels=labels)
+    filled = library.reclassified(stored, None, fill_only=True, labels=labels)
     return again.join(filled.select("doc_id", F.col("model").alias("model_filled"), F.col("kind").alias("kind_filled")), "doc_id").drop("name")
 
 

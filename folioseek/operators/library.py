@@ -236,12 +236,16 @@ def chunk_labels(chunks: DataFrame, scan_chars: int | None = None) -> DataFrame:
     )
 
 
-def reclassified(docs: DataFrame, chunks: DataFrame, fill_only: bool = False, scan_chars: int | None = None) -> DataFrame:
+def reclassified(
+    docs: DataFrame, chunks: DataFrame | None, fill_only: bool = False, scan_chars: int | None = None, labels: DataFrame | None = None
+) -> DataFrame:
     """Model and kind again from the stored chunks: their whole text, or its first `scan_chars` characters.
 
     `fill_only` keeps labels that are set; otherwise a new label wins and an old one stays where nothing was found.
+    `labels` are the `chunk_labels` of the chunks, where they were made before.
     """
-    by_text = chunk_labels(chunks, scan_chars).select("doc_id", F.col("model").alias("_text_model"), F.col("kind").alias("_text_kind"))
+    labels = chunk_labels(chunks, scan_chars) if labels is None else labels
+    by_text = labels.select("doc_id", F.col("model").alias("_text_model"), F.col("kind").alias("_text_kind"))
     name_model, name_kind = classify(F.col("name"), F.lit(""), scan_chars)
     found = docs.join(by_text, "doc_id", "left").withColumns(
         {"_model": F.coalesce(name_model, "_text_model"), "_kind": F.coalesce(name_kind, "_text_kind")}
