@@ -91,12 +91,14 @@ def pinned_rows(
     """The first chunks of the pinned documents, up to each query's budget: query_id, doc_id, seq, page_no, content, place.
 
     The opening of the pinned chunks is the same for all queries: it is taken once, to the largest
-    budget, and each query slices it.
+    budget, and each query slices it. Its keys are found without texts; only the texts of those, at most the
+    largest budget of them, are read after, and none is shuffled.
     """
     if most is None:
         most = queries.agg(F.max(pinned_budget(F.col("top_k")))).first()[0] or 0
     pinned = docs.filter("pinned").select("doc_id")
-    head = chunks.join(pinned, "doc_id", "left_semi").select("doc_id", "seq", "page_no", "content")
+    keys = chunks.select("doc_id", "seq").join(pinned, "doc_id", "left_semi").orderBy("doc_id", "seq").limit(most).distinct()
+    head = chunks.select("doc_id", "seq", "page_no", "content").join(F.broadcast(keys), ["doc_id", "seq"], "left_semi")
     head = head.orderBy("doc_id", "seq").limit(most)
     packed = head.agg(F.array_sort(F.collect_list(F.struct("doc_id", "seq", "page_no", "content"))).alias("rows"))
     taken = queries.select(

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +37,9 @@ BLOCK = 256  # chunks whose places are counted together; a power of 2
 PART_TOKENS = 20_000_000  # of the corpus per folder of postings, between the two bounds
 LEAST_PARTS, MOST_PARTS = 8, 4096
 SLICE_TOKENS = 2_500_000  # of the corpus per file of postings
+COUNT_TOKENS = 2_000_000  # that a task counts together
 FIRST_CASE = 1 << 52  # cases are numbered from here, after all documents
 CORPUS = "chunk_no bigint, block bigint, at int, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
-COUNTED = "block bigint, term string, at array<int>, uses array<bigint>"  # on the way: length and count of a use in one number
 POSTINGS = "term string, block bigint, at array<int>, tf array<int>, dl array<int>, most double, part int"
 TERMS = "term string, df bigint"
 
@@ -95,16 +96,14 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     size = spark.read.parquet(f"{path}/size").first()
 
     # The corpus lies in the order of its numbers, so the task that reads it counts each block alone, and the one shuffle is
-    # that of counted rows. Each folder is cut into slices that hold blocks by hash: a frequent term is in all of them.
+    # that of counted rows, packed by column. Each folder is cut into slices that hold blocks by hash: a frequent term is in all of them.
     n = size["parts"]
     slices = max(1, math.ceil(size["tokens"] / n / SLICE_TOKENS), math.ceil(spark.sparkContext.defaultParallelism / n))
-    counted, part = corpus.select("block", "at", "dl", "tokens").mapInArrow(_counted(), COUNTED), part_of(F.col("term"), n)
-    place = part * slices + F.pmod(F.xxhash64("block"), F.lit(slices))
-    rows = counted.repartitionById(n * slices, place.cast("int")).withColumn("part", part).sortWithinPartitions("part", "term", "block")
-    tf, dl = (lambda u: u.bitwiseAND(0xFFFFFFFF).cast("int")), (lambda u: F.shiftright(u, 32).cast("int"))
-    most = F.array_max(F.transform("uses", lambda u: term_part(tf(u), dl(u), size["avgdl"])))
-    lists = [F.transform("uses", unpacked).alias(name) for name, unpacked in (("tf", tf), ("dl", dl))]
-    rows.select("term", "block", "at", *lists, most.alias("most"), "part").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/postings")
+    slice_of = F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice")
+    packed = corpus.select("block", "at", "dl", "tokens", slice_of).mapInArrow(_counted(n, slices), "place int, uses binary")
+    rows = packed.repartitionById(n * slices, F.col("place")).mapInArrow(_unpacked(slices, size["avgdl"]), POSTINGS)
+    rows = rows.sortWithinPartitions("part", "term", "block")
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/postings")
     postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     (
         postings.groupBy("term")
@@ -116,36 +115,65 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     return open_index(spark, path)
 
 
-def _counted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of the corpus in its order -> one row per term and block; two where the end of a task cuts a block."""
+def _counted(parts: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the corpus in its order -> counted blocks, packed by folder and slice. Only the ends of a task cut a block."""
 
     def count(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, at, dl = (rows[c].to_numpy() for c in ("block", "at", "dl"))
+        block, at, dl, part = (rows[c].to_numpy() for c in ("block", "at", "dl", "slice"))
         lists = rows["tokens"].combine_chunks()
         words = pc.list_flatten(lists).dictionary_encode()
         if not len(words):
             return
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in words.dictionary.to_pylist()], "uint64").astype("int64")  # as in part_of
         use, tf = np.unique(np.asarray(words.indices).astype("int64") * len(block) + np.asarray(pc.list_parent_indices(lists)), return_counts=True)
         word, row = np.divmod(use, len(block))
-        where = block[row]
-        start = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (where[1:] != where[:-1]))))
-        ends = pa.array(np.append(start, len(use)).astype("int32"))
-        uses = pa.ListArray.from_arrays(ends, pa.array(dl[row].astype("int64") << 32 | tf))
-        places = pa.ListArray.from_arrays(ends, pa.array(at[row].astype("int32")))
-        found = pa.table({"block": where[start], "term": words.dictionary.take(pa.array(word[start])), "at": places, "uses": uses})
-        yield from found.to_batches(max_chunksize=10_000)
+        start = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[row[1:]] != block[row[:-1]]))))
+        n, word = np.diff(np.append(start, len(use))), word[start]
+        place = hashes[word] % parts * slices + part[row[start]]
+        order = np.argsort(place, kind="stable")
+        for g in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            uses = np.repeat(start[g] - np.cumsum(n[g]) + n[g], n[g]) + np.arange(n[g].sum())
+            first = np.flatnonzero(np.concatenate(([True], np.diff(word[g]) != 0)))
+            columns = {"term": words.dictionary.take(pa.array(word[g][first])), "block": block[row[start[g]]], "n": n[g], "at": at[row[uses]], "tf": tf[uses], "dl": dl[row[uses]], "times": np.diff(np.append(first, len(g)))}
+            held = pa.table({c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if c == "term" else pa.array(v)) for c, v in columns.items()})
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(held)
+            yield pa.RecordBatch.from_arrays([pa.array([place[g[0]]], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["place", "uses"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held, tokens = [], 0
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            block = rows["block"].to_numpy()
-            last = len(block) - int(np.argmax(block[::-1] != block[-1])) if len(block) and (block != block[-1]).any() else 0
-            yield from count(rows.slice(0, last))
-            held = rows.slice(last)
-        if held is not None:
-            yield from count(held)
+            held.append(batch)
+            tokens += len(pc.list_flatten(batch.column("tokens")))
+            if tokens >= COUNT_TOKENS:
+                rows = pa.Table.from_batches(held)
+                block = rows["block"].to_numpy()
+                last = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
+                yield from count(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+                tokens = sum(len(pc.list_flatten(b.column("tokens"))) for b in held)
+        if held:
+            yield from count(pa.Table.from_batches(held))
+
+    return run
+
+
+def _unpacked(slices: int, avgdl: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed blocks -> postings, one row per term and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, uses in zip(batch.column("place").to_pylist(), batch.column("uses")):
+                held = pa.ipc.open_stream(uses.as_buffer()).read_all()
+                column = {c: held[c].combine_chunks().flatten() for c in held.column_names}
+                block, n, at, tf, dl, times = (column[c].to_numpy() for c in ("block", "n", "at", "tf", "dl", "times"))
+                ends = np.append(0, np.cumsum(n))
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(v.astype("int32"))) for v in (at, tf, dl)]
+                terms = column["term"].take(pa.array(np.repeat(np.arange(len(times)), times)))
+                most = np.maximum.reduceat(term_part(tf, dl, avgdl), ends[:-1])
+                columns = [terms, pa.array(block), *lists, pa.array(most), pa.array(np.full(len(n), place // slices, "int32"))]
+                yield from pa.table(columns, names=[c.split()[0] for c in POSTINGS.split(", ")]).to_batches(max_chunksize=10_000)
 
     return run
 
