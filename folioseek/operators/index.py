@@ -6,7 +6,7 @@ terms      term, df                                                        vocab
 size       n, avgdl, tokens, parts                                         numbers about the whole corpus
 
 Postings lie in folders by hash of the term (`part`) and in the order of terms, so a search reads the folders of its
-terms only, and in them the row groups that can hold a term. A folder has slices by hash of the block, so a term that most chunks have
+terms only, and in them the row groups that can hold a term. A folder has slices by hash of block and term, so a term that most chunks have
 is in many files and no task writes more than a bounded number of tokens. A row
 has all that a score needs: places in the block, counts, lengths, and `most`, the largest BM25 factor in it. Documents come before
 cases and then by id and position, so `chunk_no` alone decides between equal scores.
@@ -37,6 +37,7 @@ BLOCK = 256  # chunks whose places are counted together; a power of 2
 PART_TOKENS = 20_000_000  # of the corpus per folder of postings, between the two bounds
 LEAST_PARTS, MOST_PARTS = 8, 4096
 SLICE_TOKENS = 2_500_000  # of the corpus per file of postings
+LEAST_SLICES = 2
 COUNT_TOKENS = 2_000_000  # that a task counts together
 FIRST_CASE = 1 << 52  # cases are numbered from here, after all documents
 CORPUS = "chunk_no bigint, block bigint, at int, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
@@ -96,9 +97,9 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     size = spark.read.parquet(f"{path}/size").first()
 
     # The corpus lies in the order of its numbers, so the task that reads it counts each block alone, and the one shuffle is
-    # that of counted rows, packed by column. Each folder is cut into slices that hold blocks by hash: a frequent term is in all of them.
+    # that of counted rows, packed by column. Each folder is cut into slices by hash of block and term: a frequent term is in all of them.
     n = size["parts"]
-    slices = max(1, math.ceil(size["tokens"] / n / SLICE_TOKENS), math.ceil(spark.sparkContext.defaultParallelism / n))
+    slices = max(LEAST_SLICES, math.ceil(size["tokens"] / n / SLICE_TOKENS), math.ceil(spark.sparkContext.defaultParallelism / n))
     slice_of = F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice")
     packed = corpus.select("block", "at", "dl", "tokens", slice_of).mapInArrow(_counted(n, slices), "place int, uses binary")
     rows = packed.repartitionById(n * slices, F.col("place")).mapInArrow(_unpacked(slices, size["avgdl"]), POSTINGS)
@@ -129,7 +130,7 @@ def _counted(parts: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], It
         word, row = np.divmod(use, len(block))
         start = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[row[1:]] != block[row[:-1]]))))
         n, word = np.diff(np.append(start, len(use))), word[start]
-        place = hashes[word] % parts * slices + part[row[start]]
+        place = hashes[word] % parts * slices + (hashes[word] // parts + part[row[start]]) % slices
         order = np.argsort(place, kind="stable")
         for g in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
             uses = np.repeat(start[g] - np.cumsum(n[g]) + n[g], n[g]) + np.arange(n[g].sum())
