@@ -138,11 +138,12 @@ class ScopeMask:
         only = queries["only_pinned"].to_pylist()
         category = queries["scope_category"].to_pylist()
         tags = queries["scope_tags"].to_pylist()
-        self.rules = [
-            (i, o, c, pa.array(t, pa.string()) if t else None)
-            for i, (o, c, t) in enumerate(zip(only, category, tags))
-            if o or c is not None or t
-        ]
+        rules: dict[tuple, list[int]] = {}
+        for i, (o, c, t) in enumerate(zip(only, category, tags)):
+            if o or c is not None or t:
+                rules.setdefault((bool(o), c, tuple(sorted(t or ()))), []).append(i)
+        # queries of one scope see the same rows: each scope is looked up once
+        self.rules = [(at, o, c, pa.array(t, pa.string()) if t else None) for (o, c, t), at in rules.items()]
 
     def apply(self, scores: np.ndarray, batch: pa.RecordBatch, exempt: np.ndarray | None) -> None:
         if not self.rules or not batch.num_rows:
@@ -152,7 +153,7 @@ class ScopeMask:
         category, tags = batch.column("category"), batch.column("tags")
         owner = np.asarray(pc.list_parent_indices(tags))
         flat = pc.list_flatten(tags)
-        for i, only, wanted, any_of in self.rules:
+        for at, only, wanted, any_of in self.rules:
             seen = pinned.copy() if only else np.ones(n, bool)
             if wanted is not None:
                 seen &= np.asarray(pc.fill_null(pc.equal(category, wanted), False))
@@ -162,7 +163,7 @@ class ScopeMask:
                 seen &= has
             if exempt is not None:
                 seen |= exempt
-            scores[i, ~seen] = 0.0
+            scores[np.ix_(at, ~seen)] = 0.0
 
 
 def scored_in_tasks(

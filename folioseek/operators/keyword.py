@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,7 @@ class _Hits:
         self.floor = np.zeros(len(boost))  # a query's depth-th best score so far
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
+        self.room = HELD_HITS  # hits held when the next cut is due
 
     def reach(self, scores: np.ndarray) -> np.ndarray:
         """Which scores (queries x any) can still get into the result."""
@@ -70,8 +72,9 @@ class _Hits:
         query, at = np.nonzero(self.reach(scores))
         self.parts.append((query, first + at, scores[query, at]))
         self.n += len(query)
-        if self.n > HELD_HITS:
+        if self.n > self.room:
             self.cut()
+            self.room = self.n + HELD_HITS  # where most may still win, hits are not sorted again for each block
 
     def cut(self) -> None:
         if not self.parts:
@@ -93,72 +96,111 @@ class _Hits:
             for i in range(0, len(query), 10_000):
                 columns = [ids.take(pa.array(query[i : i + 10_000])), pa.array(chunk[i : i + 10_000]), pa.array(score[i : i + 10_000])]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_no", "raw"])
-        self.parts, self.n = [], 0
+        self.parts, self.n, self.room = [], 0, HELD_HITS
+
+
+class _Asked:
+    """The terms of a block of queries by number, and each query's numbers in the order of terms."""
+
+    def __init__(self, queries: pa.Table):
+        lists = queries["terms"].combine_chunks()
+        flat_terms = pc.list_flatten(lists)
+        words, owner = pc.struct_field(flat_terms, "term"), np.asarray(pc.list_parent_indices(lists))
+        self.vocabulary = pa.array(sorted(set(words.to_pylist())), pa.string())
+        code = self.codes(words)
+        self.weight = np.zeros(len(self.vocabulary) + 1)  # the last is that of rows without a term
+        self.weight[code] = np.asarray(pc.struct_field(flat_terms, "weight"))
+        order = np.lexsort((code, owner))
+        self.code, self.ends = code[order], np.searchsorted(owner[order], np.arange(len(lists) + 1))
+        self.row = np.full(len(self.vocabulary), -1)
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1))
+
+    def met(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the terms of a block, some perhaps in two rows: the row for each, and by query (`ends`) the rows of its terms."""
+        self.row[code] = np.arange(len(code))
+        place, use = self.row[code], self.row[self.code]
+        self.row[code] = -1
+        return place, use[use >= 0], np.concatenate(([0], np.cumsum(use >= 0)))[self.ends]
 
 
 def _scored(rows: DataFrame, asked: pa.Table, index: KeywordIndex, depth: int, scoped: bool, id_type: str) -> DataFrame:
     """(query_id, chunk_no, raw) from postings in the order of blocks, with the facets of a block in its first row."""
     shared, avgdl, width = rows.sparkSession.sparkContext.broadcast(asked), index.avgdl, ix.BLOCK
+    step = max(1, blocks.CELLS // width)  # terms whose parts are laid out at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
-        asked_by: dict[str, tuple[list[int], float]] = {}
-        for q, terms in enumerate(queries["terms"].to_pylist()):
-            for t in terms:
-                asked_by.setdefault(t["term"], ([], t["weight"]))[0].append(q)
-        n = len(queries)
+        n, asked = len(queries), _Asked(queries)
         boost = np.array([PHRASE_BOOST if len(p) >= PHRASE_MIN else 0.0 for p in queries["phrase"].to_pylist()])
         ids, mask, hits = queries["query_id"].combine_chunks(), ScopeMask(queries) if scoped else None, _Hits(boost, depth)
 
-        def score(block: int, lists: list[tuple], facets: list[dict] | None) -> None:
-            bound = np.zeros(n)
-            for by, weight, _, _, _, most in lists:
-                bound[by] += weight * most
+        def score(block: int, pieces: list[tuple[np.ndarray, ...]], facets: pa.StructArray | None) -> None:
+            code, size, at, part, most = (np.concatenate(c) if len(pieces) > 1 else c[0] for c in zip(*pieces))
+            place, use, ends = asked.met(code)
+            best = np.zeros(len(code))
+            np.maximum.at(best, place, asked.weight[code] * most)
+            bound = np.bincount(np.repeat(np.arange(n), np.diff(ends)), best[use], n)
             live = hits.reach(bound[:, None])[:, 0]
             if not live.any():
                 return
-            scores = np.zeros((n, width))
-            for by, weight, at, tf, dl, _ in lists:
-                by = [q for q in by if live[q]]
-                if by:
-                    scores[np.ix_(by, at)] += weight * term_part(tf, dl, avgdl)
+            scores, row = np.zeros((n, width)), np.repeat(place, size)
+            for first in range(0, len(code), step):
+                inside = (row >= first) & (row < first + step)
+                parts = np.zeros((min(step, len(code) - first) + 1, width))
+                parts[row[inside] - first + 1, at[inside]] = part[inside]
+                for q in np.flatnonzero(live):  # terms add up one after the other in their order, so copies score alike in all blocks
+                    rows = use[ends[q] : ends[q + 1]] - first + 1
+                    rows = rows[(rows > 0) & (rows <= step)]
+                    if len(rows):
+                        parts[0] = scores[q]
+                        np.add.reduce(parts[np.append(0, rows)], axis=0, out=scores[q])
             if mask:
-                mask.apply(scores, *_facet_rows(facets or [], width))
+                mask.apply(scores, *_facet_rows(facets, width))
             hits.add(scores, block * width)
 
-        now, lists, facets = None, [], None
+        now, pieces, facets = None, [], None
         for batch in batches:
             column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            terms, places, most = (column[c].to_pylist() for c in ("term", "block", "most"))
-            ends = np.asarray(column["at"].offsets)  # the three lists of a row are of one length
-            flat_lists = [(np.asarray(column[c].values), np.asarray(column[c].offsets)[0]) for c in ("at", "tf", "dl")]
-            for i, (term, block) in enumerate(zip(terms, places)):
-                if block != now:
-                    if lists:
-                        score(now, lists, facets)
+            blocks_of, most = column["block"].to_numpy(), column["most"].to_numpy(zero_copy_only=False)
+            code = asked.codes(column["term"])
+            size = np.asarray(pc.fill_null(pc.list_value_length(column["at"]), 0))  # the three lists of a row are of one length
+            at, tf, dl = (np.asarray(pc.list_flatten(column[c])) for c in ("at", "tf", "dl"))
+            part = np.repeat(asked.weight[code], size) * term_part(tf, dl, avgdl)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(blocks_of)) + 1, [len(code)]))
+            for a, b in zip(starts[:-1], starts[1:]):
+                if a == b:
+                    continue
+                if blocks_of[a] != now:
+                    if pieces:
+                        score(now, pieces, facets)
                         if hits.n > 2 * HELD_HITS:  # hits that all may win; what they leave behind is the floor
                             yield from hits.batches(ids)
-                    now, lists, facets = block, [], None
-                if term is None:
-                    facets = column["facets"][i].as_py()
-                elif term in asked_by:
-                    a, b = ends[i] - ends[0], ends[i + 1] - ends[0]
-                    lists.append((*asked_by[term], *(v[first + a : first + b] for v, first in flat_lists), most[i]))
-        if lists:
-            score(now, lists, facets)
+                    now, pieces, facets = blocks_of[a], [], None
+                if code[a] < 0:
+                    facets, a = column["facets"][a].values, a + 1
+                if a < b:
+                    held = slice(ends[a], ends[b])
+                    pieces.append((code[a:b], size[a:b], at[held], part[held], most[a:b]))
+        if pieces:
+            score(now, pieces, facets)
         yield from hits.batches(ids)
 
     return rows.mapInArrow(run, f"query_id {id_type}, chunk_no bigint, raw double")
 
 
-def _facet_rows(facets: list[dict], width: int) -> tuple[pa.RecordBatch, np.ndarray]:
+def _facet_rows(facets: pa.StructArray | None, width: int) -> tuple[pa.RecordBatch, np.ndarray]:
     """The facets of a block's chunks by their places, and which of them are cases."""
-    of: list[dict | None] = [None] * width
-    for f in facets:
-        of[f["at"]] = f
     kinds = {"pinned": pa.bool_(), "category": pa.string(), "tags": pa.list_(pa.string())}
-    rows = pa.RecordBatch.from_arrays([pa.array([f and f[c] for f in of], kind) for c, kind in kinds.items()], names=list(kinds))
-    return rows, np.array([bool(f and f["is_case"]) for f in of])
+    if facets is None:
+        return pa.RecordBatch.from_arrays([pa.nulls(width, kind) for kind in kinds.values()], names=list(kinds)), np.zeros(width, bool)
+    of = np.full(width, -1)
+    of[np.asarray(facets.field("at"))] = np.arange(len(facets))
+    places = pa.array(of, mask=of < 0)
+    rows = pa.RecordBatch.from_arrays([pc.cast(pc.struct_field(facets, c), kind).take(places) for c, kind in kinds.items()], names=list(kinds))
+    return rows, np.asarray(pc.fill_null(pc.struct_field(facets, "is_case").take(places), False))
 
 
 def _facets(index: KeywordIndex, scope: Scope) -> DataFrame:
@@ -244,11 +286,11 @@ def keyword_search(
 
     wanted = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("weight"), "pos", "term")))
     known = terms.groupBy("query_id").agg(wanted.alias("asked"))
-    present = F.filter("asked", lambda a: F.array_contains(F.col("held"), a["term"]))
+    # One look at the tokens of a hit: a test inside a lambda would cut its text into tokens again for each term.
+    present = F.array_intersect(F.transform("asked", lambda a: a["term"]), index_tokens(F.col("content")))
     return (
         top.filter(F.col("rank") <= F.col("depth"))
         .join(known, "query_id")
-        .withColumn("held", index_tokens(F.col("content")))
         .select(
             "query_id",
             "rank",
@@ -258,6 +300,6 @@ def keyword_search(
             "content",
             "raw",
             display_score(F.col("raw")).alias("score"),
-            F.slice(F.transform(present, lambda a: a["term"]), 1, MATCHED_SHOWN).alias("matched"),
+            F.slice(present, 1, MATCHED_SHOWN).alias("matched"),
         )
     )
