@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import is_case
 from ..functions.text import index_tokens
-from .tables import first_seen, scratch_path
+from .tables import first_seen, scratch, scratch_path, written
 
 # --- fixed values ---
 K1 = 1.2  # term frequency saturation
@@ -67,27 +67,15 @@ class KeywordIndex:
 def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> KeywordIndex:
     """Index (doc_id, seq, content, page_no) under `path`.
 
-    The corpus is tokenised once; the later writes read only the columns they need of the one
-    before. `chunk_no` is fixed by the corpus write, and everything else derives from the written corpus.
+    The rows are made once and kept while the corpus is written, as cutting ranges reads them before. The corpus is tokenised
+    once; the later writes read only the columns they need of the one before. `chunk_no` is fixed by the corpus write, and everything else derives from the written corpus.
     """
     spark = rows.sparkSession
     rows = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), "page_no", "content")
     if not unique_keys:
         rows = first_seen(rows, ["doc_id", "seq"], [F.col("content")])
-    body, order = F.coalesce("content", F.lit("")), [F.col("doc_id"), F.col("seq")]
-    # Cases are whole texts, far longer than chunks: both are cut into ranges of their own, so that no range holds most of the bytes.
-    for first, kind in ((0, ~is_case(F.col("doc_id"))), (FIRST_CASE, is_case(F.col("doc_id")))):
-        ranges = rows.filter(kind).repartitionByRange(*order).sortWithinPartitions(*order)
-        corpus = ranges.select((F.monotonically_increasing_id() + first).alias("chunk_no"), "*", index_tokens(body).alias("tokens"))
-        corpus = corpus.withColumns(
-            {
-                "dl": F.greatest(F.size("tokens"), F.lit(1)),
-                "block": F.floor(F.col("chunk_no") / BLOCK),
-                "at": (F.col("chunk_no") % BLOCK).cast("int"),
-            }
-        )
-        names = [c.split()[0] for c in CORPUS.split(", ")]
-        corpus.select(*names).write.mode("append" if first else "overwrite").option("compression", "zstd").parquet(f"{path}/corpus")
+    with scratch(spark):
+        _write_corpus(written(rows, "rows", compression="zstd"), path)
     corpus = spark.read.schema(CORPUS).parquet(f"{path}/corpus")
 
     tokens = F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
@@ -116,6 +104,23 @@ def build_index(rows: DataFrame, path: str, unique_keys: bool = True) -> Keyword
     return open_index(spark, path)
 
 
+def _write_corpus(rows: DataFrame, path: str) -> None:
+    body, order = F.coalesce("content", F.lit("")), [F.col("doc_id"), F.col("seq")]
+    # Cases are whole texts, far longer than chunks: both are cut into ranges of their own, so that no range holds most of the bytes.
+    for first, kind in ((0, ~is_case(F.col("doc_id"))), (FIRST_CASE, is_case(F.col("doc_id")))):
+        ranges = rows.filter(kind).repartitionByRange(*order).sortWithinPartitions(*order)
+        corpus = ranges.select((F.monotonically_increasing_id() + first).alias("chunk_no"), "*", index_tokens(body).alias("tokens"))
+        corpus = corpus.withColumns(
+            {
+                "dl": F.greatest(F.size("tokens"), F.lit(1)),
+                "block": F.floor(F.col("chunk_no") / BLOCK),
+                "at": (F.col("chunk_no") % BLOCK).cast("int"),
+            }
+        )
+        names = [c.split()[0] for c in CORPUS.split(", ")]
+        corpus.select(*names).write.mode("append" if first else "overwrite").option("compression", "zstd").parquet(f"{path}/corpus")
+
+
 def _counted(parts: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of the corpus in its order -> counted blocks, packed by folder and slice. Only the ends of a task cut a block."""
 

@@ -37,3 +37,16 @@ def test_cases_have_ranges_of_their_own(spark):
     index = scratch_index(library(spark, 4000, 40), "ranges")
     kinds = index.corpus.select(ix.F.input_file_name().alias("f"), ix.is_case(ix.F.col("doc_id")).alias("c")).groupBy("f").agg(ix.F.count_distinct("c").alias("n"))
     assert kinds.agg(ix.F.max("n")).first()[0] == 1 and index.corpus.filter("chunk_no >= 4503599627370496").count() == 40
+
+
+def test_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = library(spark)
+    built = scratch_index(rows.mapInArrow(count, rows.schema), "once")
+    assert made.value == built.n == 121
