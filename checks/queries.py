@@ -28,7 +28,7 @@ from folioseek.operators.fuse import (
     pinned_rows,
     ranked_lists,
 )
-from folioseek.operators.index import corpus_fingerprint, idf, occurrences
+from folioseek.operators.index import corpus_fingerprint, idf, occurrences, token_counts
 from folioseek.operators.keyed import create_table, delete_from_table, read_table, upsert_table
 from folioseek.operators.keyword import keyword_search, query_terms
 from folioseek.operators.scope import Scope, resolve_scope, scoped_counts, signatures
@@ -573,8 +573,7 @@ def _(spark, d):
 @query("R1_tokens")
 def _(spark, d):
     rows = cs.library_corpus(t.chunks(spark, d), t.cases(spark, d))
-    counted = rows.select("doc_id", "seq", F.explode(text.index_tokens(F.col("content"))).alias("token"))
-    return counted.groupBy("doc_id", "seq").agg(F.count("*").alias("n"), F.count_distinct("token").alias("kinds"), F.sum(F.length("token")).alias("chars"), F.max("token").alias("last"))
+    return token_counts(rows)
 
 
 @query("R1_query_tokens")

@@ -40,6 +40,7 @@ SLICE_TOKENS = 2_500_000  # of the corpus per file of postings
 LEAST_SLICES = 2
 COUNT_TOKENS = 2_000_000  # that a task counts together
 FIRST_CASE = 1 << 52  # cases are numbered from here, after all documents
+HELD_TOKENS = 100_000  # kinds of the rows of one key that a task puts together
 CORPUS = "chunk_no bigint, block bigint, at int, doc_id string, seq int, page_no int, content string, tokens array<string>, dl int"
 POSTINGS = "term string, block bigint, at array<int>, tf array<int>, dl array<int>, most double, part int"
 TERMS = "term string, df bigint"
@@ -212,6 +213,41 @@ def scratch_index(rows: DataFrame, label: str, **options) -> KeywordIndex:
     return build_index(rows, scratch_path(rows.sparkSession, f"index-{label}"), **options)
 
 
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(doc_id, seq, n, kinds, chars, last): the tokens of all rows (doc_id, seq, content) of a key; keys without tokens are left out.
+
+    A row is counted where it is made, so that only its figures are shuffled. Kinds cannot be added up: keys of several rows are
+    counted again from their tokens, which meet as one list per row, or one by one for keys of more than HELD_TOKENS.
+    """
+    words, figures = F.col("tokens"), ["doc_id", "seq", "n", "kinds", "chars", "last"]
+    cut = rows.select("doc_id", "seq", index_tokens(F.col("content")).alias("tokens"))
+    counted = cut.groupBy("doc_id", "seq").agg(
+        F.count_if(F.size(words) > 0).alias("rows"),
+        F.sum(F.size(words)).alias("n"),
+        F.sum(F.size(F.array_distinct(words))).alias("kinds"),
+        F.sum(F.length(F.array_join(words, ""))).alias("chars"),
+        F.max(F.array_max(words)).alias("last"),
+    )
+    counted = written(counted.filter("n > 0"), "tokens")
+    again = written(counted.filter("rows > 1"), "tokens-again")
+    if again.isEmpty():
+        return counted.select(*figures)
+
+    # The join by document stands on the rows themselves, so only the texts of these documents are cut once more.
+    of_doc = F.col("doc_id").eqNullSafe(F.col("in_doc"))
+    of_key, key = of_doc & F.col("seq").eqNullSafe(F.col("in_seq")), [F.col("doc_id").alias("in_doc"), F.col("seq").alias("in_seq")]
+    docs = written(again.select(key[0]).distinct(), "tokens-docs")
+    wide = written(again.filter(F.col("kinds") > HELD_TOKENS).select(*key, F.lit(True).alias("wide")), "tokens-wide")
+    lists = rows.join(docs, of_doc, "left_semi").select("doc_id", "seq", index_tokens(F.col("content")).alias("tokens"))
+    lists = lists.select("doc_id", "seq", F.sort_array(F.array_distinct(words)).alias("tokens")).join(wide, of_key, "left")
+    parts = F.when(F.col("wide"), words).otherwise(F.array(F.array_join(words, " ")))  # no token has a blank
+    parts = lists.select("doc_id", "seq", "wide", F.explode(parts).alias("part"))
+    parts = parts.groupBy("doc_id", "seq", F.when(F.col("wide"), F.col("part")).alias("word"))
+    kinds = parts.agg(F.size(F.array_distinct(F.split(F.array_join(F.collect_set("part"), " "), " "))).alias("kinds"))
+    kinds = kinds.groupBy(*key).agg(F.sum("kinds").alias("kinds"))
+    return counted.filter("rows = 1").select(*figures).unionByName(again.drop("kinds").join(kinds, of_key).select(*figures))
+
+
 def corpus_fingerprint(rows: DataFrame) -> DataFrame:
     """`count:sum(length + 1)`; reported, but equal-length edits do not change it."""
     return rows.agg(
